@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = {
     "quality_rules": ["op2_quality_rules"],
+    "chat": ["op5_chat_format"],
+    "mixing": ["op6_mix_sources"],
 }
 
 
