@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "html_extract": ["op1_html_extract"],
     "quality_rules": ["op2_quality_rules"],
     "chat": ["op5_chat_format"],
     "mixing": ["op6_mix_sources"],
