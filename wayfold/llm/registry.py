@@ -8,6 +8,7 @@ MODULES = {
     "html_extract": ["op1_html_extract"],
     "quality_rules": ["op2_quality_rules"],
     "chat": ["op5_chat_format"],
+    "language": ["op7_language_id"],
     "mixing": ["op6_mix_sources"],
 }
 
