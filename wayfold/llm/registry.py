@@ -9,6 +9,7 @@ MODULES = {
     "quality_rules": ["op2_quality_rules"],
     "chat": ["op5_chat_format"],
     "language": ["op7_language_id"],
+    "quality_crf": ["op10_quality_crf"],
     "mixing": ["op6_mix_sources"],
 }
 
