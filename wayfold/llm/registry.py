@@ -10,6 +10,7 @@ MODULES = {
     "chat": ["op5_chat_format"],
     "language": ["op7_language_id"],
     "quality_crf": ["op10_quality_crf"],
+    "simhash": ["op3_simhash_dedup"],
     "mixing": ["op6_mix_sources"],
 }
 
