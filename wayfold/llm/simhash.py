@@ -4,12 +4,14 @@ The 64 bits are cut into ``most_bits // 2 + 1`` segments, so that of two fingerp
 ``most_bits`` one segment differs by at most one bit.  Every fingerprint is indexed under each
 segment with each of its bits wildcarded; equal keys are joined and the pairs verified.
 
-Only distinct fingerprints are indexed.  A key held by more than ``CROWD`` fingerprints would cost
-the square of their number, so their fingerprints go another, exact way: each lists the points
+Only distinct fingerprints are indexed.  The members of a key are compared with each other, and links
+that join them are kept, not all pairs.  A key held by more than ``CROWD`` fingerprints would cost the
+square of their number, so their fingerprints go another, exact way: each lists the points
 within ``most_bits // 2`` bits of it.  Two fingerprints within ``most_bits`` have such a point in
 common, and all that list one point are within ``most_bits`` of each other, so each links to the
 point's smallest: a row for each listed point, an aggregation with partial minima, no pairs.
-``CROWD`` is about where both ways cost alike (2,081 points against 64 keys).
+``CROWD`` is about where both ways cost alike: 2,081 rows to shuffle, or comparing with half of a
+key's members under 64 keys.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows get
 a row each; a null doc_id keeps its row and is never the smallest of a component that has another;
@@ -32,7 +34,9 @@ from .components import components
 from .store import cut, table
 
 SEED = 42
-CROWD = 64
+CROWD = 1024
+#: Up to so many members of a key are paired by Spark expressions; more are in numpy, which gives a tree instead of pairs.
+FEW = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -113,11 +117,31 @@ def near(fps: DataFrame, most_bits: int = 4, crowd: int = CROWD) -> DataFrame:
     groups = shared.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     close = f"""flatten(transform(m, (a, i) -> transform(
         filter(slice(m, i + 2, size(m)), b -> bit_count(a ^ b) <= {most_bits}), b -> struct(a AS src, b AS dst))))"""
-    pairs = groups.select(F.explode(F.expr(close)).alias("p")).select("p.*")
+    few = groups.where(F.size("m") <= FEW).select(F.explode(F.expr(close)).alias("p")).select("p.*")
+    many = groups.where(F.size("m") > FEW).select("m").mapInArrow(lambda x: _forests(x, most_bits), "src long, dst long")
+    pairs = few.unionByName(many)
     crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
     return pairs.unionByName(midpoints(crowded, most_bits))
 
 
+def _forests(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.RecordBatch]:
+    """For each key's members, a link from each to the smallest that it reaches by verified pairs."""
+    for batch in batches:
+        for m in batch.column("m"):
+            fp = m.values.to_numpy()
+            bits = fp.view(np.uint64)
+            near_by = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most_bits
+            label = np.arange(len(fp))
+            while True:
+                low = np.where(near_by, label[None, :], len(fp)).min(axis=1)
+                low = low[low]
+                if (low == label).all():
+                    break
+                label = low
+            on = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[on]), pa.array(fp[label[on]])], ["src", "dst"])
+
+
 def midpoints(fps: DataFrame, most_bits: int) -> DataFrame:
     """The links of crowded fingerprints, through the points within half the distance of each."""
     if most_bits % 2:
