@@ -11,6 +11,7 @@ MODULES = {
     "language": ["op7_language_id"],
     "quality_crf": ["op10_quality_crf"],
     "simhash": ["op3_simhash_dedup"],
+    "decontaminate": ["op9_decontaminate"],
     "mixing": ["op6_mix_sources"],
 }
 
