@@ -131,7 +131,12 @@ def train(column: pa.Array, quality: np.ndarray) -> Field | None:
     """Maximum likelihood with Adam; classes weigh alike."""
     if len(set(quality.tolist())) < 2:
         return None
-    doc, length, x = line_features(*tx.raw(column))
+    parts, done = [], 0
+    for block in tx.blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+        doc, length, x = line_features(*tx.raw(block.column("text")))
+        parts.append((doc + done, length, x))
+        done += block.num_rows
+    doc, length, x = (np.concatenate(p) for p in zip(*parts))
     if not len(doc):
         return None
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
