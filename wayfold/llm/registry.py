@@ -12,6 +12,8 @@ MODULES = {
     "quality_crf": ["op10_quality_crf"],
     "simhash": ["op3_simhash_dedup"],
     "decontaminate": ["op9_decontaminate"],
+    "debruijn": ["op8_debruijn_dedup"],
+    "suffix_dedup": ["op4_suffix_dedup"],
     "mixing": ["op6_mix_sources"],
 }
 
