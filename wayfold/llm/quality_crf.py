@@ -189,9 +189,10 @@ def score_texts(field: Field | None, column: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, field: Field | None, *also: str) -> DataFrame:
-    """The columns named in ``also``, with held_out, score and predicted, of every row."""
-    kept = docs.select(*also, held_out().alias("held_out"), "text")
-    names = [c for c in kept.columns if c != "text" or "text" in also]
+    """The columns named in ``also`` (but such as clash with ours), with held_out, score and predicted, of every row."""
+    also = tuple(c for c in also if c not in ("held_out", "score", "predicted"))
+    kept = docs.select(*dict.fromkeys([*also, "text"]), held_out().alias("held_out"))
+    names = [*also, "held_out"]
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

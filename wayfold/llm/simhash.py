@@ -177,7 +177,7 @@ def midpoints(fps: DataFrame, most_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int = 4) -> DataFrame:
-    """``also``, fp and component_id (the smallest doc_id of the component) of every row."""
+    """doc_id, ``also``, fp, root (one fingerprint of the component) and component_id (its smallest doc_id) of every row."""
     found = cut(fingerprint(docs, *dict.fromkeys(["doc_id", *also]), words=words), "fingerprints")
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
     fps = cut(fps, "distinct-fingerprints")
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int
     rooted = fps.join(links, fps["fp"] == links["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     rooted = cut(rooted, "roots")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
+    by_fp = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return found.join(by_fp, "fp")
 
 
