@@ -17,7 +17,7 @@ def sample(df: DataFrame, dem: DataFrame, cols: int, rows: int, cell: float, x:
     df = df.withColumns({"_x": F.when(inside, F.floor(fx).cast("int")), "_y": F.when(inside, F.floor(fy).cast("int")), "_tx": fx - F.floor(fx), "_ty": fy - F.floor(fy)})
     for name, dx, dy in (("_a", 0, 0), ("_b", 1, 0), ("_c", 0, 1), ("_d", 1, 1)):
         corner = dem.select(F.col("gx").alias("_gx"), F.col("gy").alias("_gy"), F.col("h").alias(name))
-        df = df.join(corner, (F.least(F.col("_x") + dx, F.lit(cols - 1)) == F.col("_gx")) & (F.least(F.col("_y") + dy, F.lit(rows - 1)) == F.col("_gy")), "left").drop("_gx", "_gy")
+        df = df.join(corner, F.col("_x").isNotNull() & (F.least(F.col("_x") + dx, F.lit(cols - 1)) == F.col("_gx")) & (F.least(F.col("_y") + dy, F.lit(rows - 1)) == F.col("_gy")), "left").drop("_gx", "_gy")
     low = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_tx")
     high = F.col("_c") + (F.col("_d") - F.col("_c")) * F.col("_tx")
     return df.withColumn(out, low + (high - low) * F.col("_ty")).drop("_x", "_y", "_tx", "_ty", "_a", "_b", "_c", "_d")

@@ -85,7 +85,7 @@ SQL = {
         l_extendedprice/100 AS metres, l_quantity*10 AS seconds, 8+l_discount*100 AS limit_ms FROM lineitem)""",
     "dem": f"""dem AS (SELECT gx, gy, {_ground_sql(f'gx*{CELL}::DOUBLE', f'gy*{CELL}::DOUBLE')} AS h FROM (SELECT CAST(r%{SIDE} AS INT) gx, CAST(r//{SIDE} AS INT) gy FROM range({SIDE * SIDE}) q(r)))""",
     "points": "points AS (SELECT c_custkey AS pid, CAST(c_custkey*37%1770 AS DOUBLE) AS x, CAST(c_custkey*91%1770 AS DOUBLE) AS y, abs(c_acctbal) AS w FROM customer)",
-    "roads": """roads AS (SELECT j*8+i AS sid, i*200.0::DOUBLE AS ax, j*200.0::DOUBLE AS ay, (i+1)*200.0::DOUBLE AS bx, j*200.0::DOUBLE AS by FROM range(8) a(i), range(9) b(j)
+    "roads": """roads AS (SELECT j*8+i AS sid, i*200.0::DOUBLE AS ax, j*200.0::DOUBLE AS ay, (i+1)*200.0::DOUBLE AS ex, j*200.0::DOUBLE AS ey FROM range(8) a(i), range(9) b(j)
         UNION ALL SELECT 72+j*8+i, j*200.0::DOUBLE, i*200.0::DOUBLE, j*200.0::DOUBLE, (i+1)*200.0::DOUBLE FROM range(8) a(i), range(9) b(j))""",
     "places": "places AS (SELECT p_partkey AS fid, ['water','wood','peak','poi'][CAST(p_partkey%4 AS INT)+1] AS kind, CAST(p_partkey*53%1770 AS DOUBLE) AS x, CAST(p_partkey*29%1770 AS DOUBLE) AS y, p_name AS name FROM part)",
 }
