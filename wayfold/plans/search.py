@@ -20,7 +20,8 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 GRID = (SIDE, SIDE, CELL)
 HEADINGS = [90.0] * 12 + [0.0] * 10
-START = (600.0, 500.0)
+#: The walk to be localised: east over the first hill, then north.
+START, LONG, SIGMA = (300.0, 1100.0), [90.0] * 40 + [0.0] * 20, 1.5
 
 
 def query(name: str, sql: str | None = None):
@@ -52,10 +53,10 @@ def path_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query("localised_walk")
 def localised_walk(spark: SparkSession, d: str) -> DataFrame:
     """Off-trail: profiles from a grid of candidates, time-warp likelihood, normalised, clustered."""
-    truth = hy.path_profiles(spark.range(1).select(F.col("id").alias("cid"), F.lit(START[0]).alias("x"), F.lit(START[1]).alias("y")), HEADINGS, 15.0, wo.dem(spark), *GRID).first()["profile"]
+    truth = hy.path_profiles(spark.range(1).select(F.col("id").alias("cid"), F.lit(START[0]).alias("x"), F.lit(START[1]).alias("y")), LONG, 15.0, wo.dem(spark), *GRID).first()["profile"]
     cand = hy.candidate_grid(spark, 0.0, 0.0, 1700.0, 1700.0)
-    p = hy.path_profiles(cand, HEADINGS, 15.0, wo.dem(spark), *GRID).where(F.size("profile") >= max(2, len(truth) // 2))
-    p = se.dtw(p, "profile", list(truth)).withColumn("score", se.likelihood(F.col("cost"))).withColumns({"constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
+    p = hy.path_profiles(cand, LONG, 15.0, wo.dem(spark), *GRID).where(F.size("profile") >= max(2, len(truth) // 2))
+    p = se.dtw(p, "profile", list(truth)).withColumn("score", se.likelihood(F.col("cost"), SIGMA)).withColumns({"constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
     return r6(hy.clusters(hy.normalise(p), 120.0).limit(20))
 
 

@@ -1 +1 @@
-"""Part of the wayfold package."""
+"""Structured Streaming twins of the batch operators."""
