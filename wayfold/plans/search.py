@@ -20,8 +20,8 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 GRID = (SIDE, SIDE, CELL)
 HEADINGS = [90.0] * 12 + [0.0] * 10
-#: The walk to be localised: east over the first hill, then north.
-START, LONG, SIGMA = (300.0, 1100.0), [90.0] * 40 + [0.0] * 20, 1.5
+#: The walk to be localised: east over one hill, then to the top of another.
+START, LONG, SIGMA = (300.0, 1180.0), [90.0] * 25 + [144.0] * 31, 1.0
 
 
 def query(name: str, sql: str | None = None):
