@@ -111,16 +111,16 @@ def variants(fp: Column, most_bits: int) -> Column:
 def near(fps: DataFrame, most_bits: int = 4, crowd: int = CROWD) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fps(fp)`` whose components are those of all pairs within ``most_bits``."""
     keyed = fps.select("fp", F.explode(variants(F.col("fp"), most_bits)).alias("key"))
-    held = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keyed.join(held, "key"), "variants")
+    over = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
     # At most `crowd` members of each key meet here.
-    groups = shared.where(F.col("n") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    groups = keyed.join(over, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    groups = cut(groups.where(F.size("m") > 1).select("m"), "key-members")
     close = f"""flatten(transform(m, (a, i) -> transform(
         filter(slice(m, i + 2, size(m)), b -> bit_count(a ^ b) <= {most_bits}), b -> struct(a AS src, b AS dst))))"""
     few = groups.where(F.size("m") <= FEW).select(F.explode(F.expr(close)).alias("p")).select("p.*")
     many = groups.where(F.size("m") > FEW).select("m").mapInArrow(lambda x: _forests(x, most_bits), "src long, dst long")
     pairs = few.unionByName(many)
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
+    crowded = keyed.join(over, "key").select("fp").distinct()
     return pairs.unionByName(midpoints(crowded, most_bits))
 
 
