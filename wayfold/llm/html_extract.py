@@ -141,8 +141,12 @@ def extract(html: str | None) -> tuple[str, int, int, int]:
         return "", 0, -1, -1
     mass = total[dive] - total[surge]
     keep = mass > 0 if marked else mass >= LEAST_SHARE * mass.max()
-    kept = [found[i][0] for a, z in zip(surge[keep], dive[keep]) for i in range(a, z) if weight[i] or (not found[i][3] and (found[i][2] or not marked))]
-    return "\n\n".join(kept), len(kept), int(surge[keep][0]), int(dive[keep][-1])
+    # The windows reach beyond the text: a stretch begins and ends with lines that weigh.
+    heavy = np.flatnonzero(weight)
+    surge = heavy[np.searchsorted(heavy, surge[keep])]
+    dive = heavy[np.searchsorted(heavy, dive[keep]) - 1] + 1
+    kept = [found[i][0] for a, z in zip(surge, dive) for i in range(a, z) if weight[i] or (not found[i][3] and (found[i][2] or not marked))]
+    return "\n\n".join(kept), len(kept), int(surge[0]), int(dive[-1])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
