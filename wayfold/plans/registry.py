@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["motion", "terrain", "search"]
+MODULES = ["motion", "terrain", "search", "world"]
 
 
 def queries() -> dict:
