@@ -39,8 +39,8 @@ K = 400
 GRAM = 48
 V = 32
 DEPTH = 256
-BLOCK_BYTES = 2 << 20
-MOST_PIECES = 6000
+BLOCK_BYTES = 1 << 20
+MOST_PIECES = 2000
 DOC = ["doc_id", "th"]
 
 
@@ -102,7 +102,7 @@ def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
 
 
 def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: the pieces of text whose windows these own."""
+    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: where the pieces are whose windows these own, and their hashes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +120,29 @@ def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
             keep = hot[own[head]]
             head, size = head[keep], size[keep]
             begin, holder = start[head], doc[head]
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32)), pa.array(hashed[own[head]].view(np.int64))]
-            cols.append(pa.array([buf[b : b + n + k - 1].tobytes() for b, n in zip(begin.tolist(), size.tolist())], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "a", "piece"])
+            end = begin + size + k - 1
+            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashed[own[head]].view(np.int64))]
+            cols += [pa.array(tx.span_hash(buf, begin, end, salt).view(np.int64)) for salt in (1, 2)]
+            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", "h1", "h2"])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, a long, piece binary")
+    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, n int, a long, h1 long, h2 long")
+
+
+def piece_texts(docs: DataFrame, k: int = K) -> DataFrame:
+    """(a, h1, h2, times, piece) of ``docs(listed, text)``, listed being an array of (start, n, a, h1, h2, times)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tx.blocks(batches, "text"):
+            buf, at = tx.raw(block.column("text"))
+            listed = block.column("listed")
+            row = np.repeat(at[:-1], pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False))
+            flat = listed.flatten()
+            begin = row + flat.field("start").to_numpy()
+            end = begin + flat.field("n").to_numpy() + k - 1
+            texts = pa.array([buf[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("a", "h1", "h2", "times")), texts], ["a", "h1", "h2", "times", "piece"])
+
+    return docs.select("listed", "text").mapInArrow(run, "a long, h1 long, h2 long, times long, piece binary")
 
 
 def repeated_suffixes(texts: list[bytes], times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -215,29 +233,30 @@ def _runs(hit: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sort_buckets(kinds: DataFrame, k: int = K) -> DataFrame:
-    """(h, i, n): runs of repeated windows of each piece, for ``kinds(a, h, times, piece)`` whose buckets fit a block."""
+    """(h1, h2, i, n): runs of repeated windows of each piece, for ``kinds(a, h1, h2, times, piece)`` whose buckets fit a block."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        hit, offset = repeated_suffixes([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), k)
+        hit, offset = repeated_suffixes([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), k)
         p, i, n = _runs(hit, offset)
-        return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x in p.tolist()], pa.binary()), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "i", "n"])
+        kind = [pa.array([rows[x][c] for x in p.tolist()], pa.int64()) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([*kind, pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))], ["h1", "h2", "i", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, last = 0, None
         for batch in batches:
-            for a, h, times, piece in zip(*(batch.column(c).to_pylist() for c in ("a", "h", "times", "piece"))):
+            for a, h1, h2, times, piece in zip(*(batch.column(c).to_pylist() for c in ("a", "h1", "h2", "times", "piece"))):
                 if a != last and held >= BLOCK_BYTES:
                     yield block(rows)
                     rows, held = [], 0
                 last = a
-                rows.append((h, times, piece))
+                rows.append((h1, h2, times, piece))
                 held += len(piece)
         if rows:
             yield block(rows)
 
-    dealt = kinds.select("a", "h", "times", "piece").repartition(lanes(kinds.sparkSession), "a").sortWithinPartitions("a")
-    return dealt.mapInArrow(run, "h binary, i int, n int")
+    dealt = kinds.select("a", "h1", "h2", "times", "piece").repartition(lanes(kinds.sparkSession), "a").sortWithinPartitions("a")
+    return dealt.mapInArrow(run, "h1 long, h2 long, i int, n int")
 
 
 def count_windows(kinds: DataFrame, k: int = K) -> DataFrame:
@@ -247,13 +266,13 @@ def count_windows(kinds: DataFrame, k: int = K) -> DataFrame:
         for block in tx.blocks(batches, "piece"):
             buf, at = tx.raw(block.column("piece"))
             start, row = tx.within(at, k)
-            first = tx.span_hash(buf, start, start + k)
-            second = tx.span_hash(tx.mix(np.arange(256, dtype=np.uint64), 77).astype(np.uint8)[buf], start, start + k)
-            yield pa.RecordBatch.from_arrays([block.column("h").take(pa.array(row)), block.column("times").take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["h", "times", "i", "w1", "w2"])
+            own = [block.column(c).take(pa.array(row)) for c in ("h1", "h2", "times")]
+            hashed = [pa.array(tx.span_hash(buf, start, start + k, salt).view(np.int64)) for salt in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array((start - at[row]).astype(np.int32)), *hashed], ["h1", "h2", "times", "i", "w1", "w2"])
 
-    rows = cut(kinds.select("h", "times", "piece").mapInArrow(run, "h binary, times long, i int, w1 long, w2 long"), "windows")
+    rows = cut(kinds.select("h1", "h2", "times", "piece").mapInArrow(run, "h1 long, h2 long, times long, i int, w1 long, w2 long"), "windows")
     twice = rows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
-    return rows.join(twice, ["w1", "w2"]).select("h", "i", F.lit(1).alias("n"))
+    return rows.join(twice, ["w1", "w2"]).select("h1", "h2", "i", F.lit(1).alias("n"))
 
 
 def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PIECES) -> DataFrame:
@@ -262,13 +281,16 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     twice = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     own = found.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     near = docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["th"] == own["th"])).select(docs["doc_id"], docs["th"], "own", "text")
-    # Pieces are told apart by SHA-1 of their bytes.
-    found = cut(pieces(near, k, g).withColumn("h", F.unhex(F.sha1("piece"))), "pieces")
-    kinds = found.groupBy("h").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("piece").alias("piece"))
+    # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
+    found = cut(pieces(near, k, g), "pieces")
+    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at"))
     kinds = cut(kinds, "piece-kinds")
-    crowded = kinds.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > most_pieces).select("a")
-    runs = sort_buckets(kinds.join(crowded, "a", "left_anti"), k).unionByName(count_windows(kinds.join(crowded, "a"), k))
-    back = found.select(*DOC, "start", "h").join(runs, "h")
+    listed = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.start", "at.n", "a", "h1", "h2", "times")).alias("listed"))
+    texts = piece_texts(docs.join(listed, docs["doc_id"].eqNullSafe(listed["doc_id"]) & (docs["th"] == listed["th"])), k)
+    crowded = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > most_pieces).select("a"), "crowded-buckets")
+    runs = sort_buckets(texts.join(crowded, "a", "left_anti"), k).unionByName(count_windows(texts.join(crowded, "a", "left_semi"), k))
+    runs = cut(runs, "repeated-runs")
+    back = found.select(*DOC, "start", "h1", "h2").join(runs, ["h1", "h2"])
     return back.select(*DOC, (F.col("start") + F.col("i")).alias("start"), (F.col("n") + k - 1).alias("bytes")).distinct()
 
 

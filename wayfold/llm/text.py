@@ -85,11 +85,12 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(start, at)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; hashes of different salts are independent."""
+    values = mix(_BYTE, salt) | _U(1) if salt else _BYTE
     power, back = powers("byte", len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * power[:-1], out=total[1:])
+    np.cumsum(values[buf] * power[:-1], out=total[1:])
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
