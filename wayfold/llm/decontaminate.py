@@ -6,7 +6,7 @@ that an item and a copy of it choose alike wherever the copy is unedited, and ev
 A CGK walk reads a window at its pointer and moves on by a random bit that depends on the step and the
 byte read; the string of bytes read has small Hamming distance where the edit distance was small.
 ``WALKS`` walks with ``SAMPLES`` bit samples of ``BITS`` places each make the keys.  A document's windows
-whose keys pass a Bloom filter of fixed size become regions; keys meet in an equality join; each
+that begin with the word of some item's window, and whose keys pass a Bloom filter of fixed size become regions; keys meet in an equality join; each
 (region, item) pair is verified by the exact edit distance between the item and its best match.
 
 Defined cases: null and empty texts and items match nothing; items of fewer words than ``SPREAD`` have
@@ -28,8 +28,10 @@ from .store import cut, table
 
 WINDOW = 48
 STEPS = 2 * WINDOW
-WALKS, SAMPLES, BITS = 4, 2, 9
+WALKS, SAMPLES, BITS = 5, 6, 8
 SPREAD = 6
+#: Shorter words (in bytes) are chosen only where there is no longer one: long words tell places apart.
+LONG_WORD = 7
 SIMILARITY = 0.8
 #: The Bloom filter has so many bits, however many items there are.
 FILTER_BITS = 24
@@ -38,60 +40,68 @@ BROADCAST_ROWS = 200_000
 
 _RANDOM = np.random.default_rng(99)
 _MOVE = _RANDOM.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
-_PLACES = np.stack([[np.sort(_RANDOM.choice(STEPS, BITS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+#: Samples are of steps past the first word, which is compared whole.
+_PLACES = np.stack([[np.sort(_RANDOM.choice(np.arange(2 * LONG_WORD, STEPS), BITS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[tx.SPACE] = 32
 
 
 def fold(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded texts, each followed by ``WINDOW`` zero bytes, and where each begins (one more than texts)."""
+    """Folded texts, end to end and then zero bytes for a walk, and where each begins (one more than texts)."""
     b = _FOLD[buf]
     space = b == 32
-    keep = np.ones(len(b), bool)
-    keep[1:] = ~(space[1:] & space[:-1])
-    keep[at[:-1][np.diff(at) > 0]] = True
-    size = tx.per_text(keep, at)
-    begin = np.concatenate([[0], np.cumsum(size + WINDOW)])
-    out = np.zeros(begin[-1] + STEPS, np.uint8)
-    out[np.arange(int(size.sum())) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)] = b[keep]
-    return out, begin
-
-
-def starts(buf: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Positions of the words at which windows begin."""
-    spaced = np.where(buf == 0, 32, buf).astype(np.uint8)
-    start, end, first = tx.words(spaced[: begin[-1]], begin)
+    twice = np.zeros(len(b), bool)
+    twice[1:] = space[1:] & space[:-1]
+    twice[at[:-1][np.diff(at) > 0]] = False
+    if twice.any():
+        at = np.concatenate([[0], np.cumsum(tx.per_text(~twice, at))])
+        b = b[~twice]
+    return np.concatenate([b, np.zeros(STEPS, np.uint8)]), at
+
+
+def starts(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words at which windows begin, and those words' hashes."""
+    start, end, first = tx.words(buf[: begin[-1]], begin)
     if not len(start):
-        return start
-    order = tx.mix(tx.span_hash(spaced, start, end), 21)
-    doc = np.repeat(np.arange(len(begin) - 1), np.diff(first))
-    low, high = first[doc], first[doc + 1]
-    here = np.arange(len(start))
-    short = np.where(high - low < SPREAD, high - low, SPREAD)
-    # The least of each run of SPREAD words (fewer: of the whole text), the first of equals.
-    run = here[here + short <= high]
-    best = run.copy()
-    for k in range(1, SPREAD):
-        other = np.minimum(run + k, len(start) - 1)
-        better = (k < short[run]) & (order[other] < order[best])
-        best[better] = other[better]
-    return start[np.unique(best)]
-
-
-def keys(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of the windows at ``at``: an array of (windows, WALKS * SAMPLES)."""
+        return start, np.zeros(0, np.uint64)
+    order = tx.mix(tx.span_hash(buf, start, end), 21) >> np.uint64(1) | (end - start < LONG_WORD).astype(np.uint64) << np.uint64(63)
+    # The least of each run of SPREAD words of a text, the first of equals; of shorter texts the least word.
+    at, least, width = np.arange(len(order)), order, 1
+    while width < SPREAD:
+        step = min(width, SPREAD - width)
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        width += step
+    best = at[tx.within(first, SPREAD)[0]]
+    size = np.diff(first)
+    few = np.flatnonzero((size > 0) & (size < SPREAD))
+    if len(few):
+        own = np.concatenate([np.arange(first[d], first[d + 1]) for d in few])
+        head = np.cumsum(size[few]) - size[few]
+        low = np.repeat(np.minimum.reduceat(order[own], head), size[few])
+        same = np.flatnonzero(order[own] == low)
+        _, one = np.unique(np.repeat(np.arange(len(few)), size[few])[same], return_index=True)
+        best = np.concatenate([best, own[same[one]]])
+    best = np.unique(best)
+    return start[best], tx.mix(order[best], 22)
+
+
+def keys(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of the windows at ``at`` that begin with ``word``: an array of (windows, WALKS * SAMPLES)."""
     out = np.empty((len(at), WALKS * SAMPLES), np.uint64)
     for w in range(WALKS):
         taken = [set(_PLACES[w, s].tolist()) for s in range(SAMPLES)]
-        acc = [np.full(len(at), w * SAMPLES + s + 1, np.uint64) for s in range(SAMPLES)]
+        acc = [word + np.uint64(w * SAMPLES + s + 1) for s in range(SAMPLES)]
         pos = at.copy()
+        c, move = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
         for j in range(int(_PLACES[w].max()) + 1):
-            c = buf[pos]
+            np.take(buf, pos, out=c, mode="clip")
             for s in range(SAMPLES):
                 if j in taken[s]:
                     acc[s] = acc[s] * np.uint64(0x100000001B3) + c
-            pos += _MOVE[w, j][c]
+            pos += np.take(_MOVE[w, j], c, out=move, mode="clip")
         for s in range(SAMPLES):
             out[:, w * SAMPLES + s] = tx.mix(acc[s], 5)
     return out
@@ -103,23 +113,24 @@ def _probes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    """item (the folded bytes), item_id, and a row for each of its keys."""
+    """item (the folded bytes), item_id, and a row for each of its windows' first word and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text", 1 << 18):
             buf, begin = fold(*tx.raw(block.column("text")))
-            at = starts(buf, begin)
+            at, word = starts(buf, begin)
             if not len(at):
                 continue
-            found = keys(buf, at)
+            found = keys(buf, at, word)
+            word = np.repeat(word.view(np.int64), found.shape[1])
             row = np.repeat(np.searchsorted(begin, at, side="right") - 1, found.shape[1])
-            got = pa.table({"row": row, "key": found.ravel().view(np.int64)}).group_by(["row", "key"]).aggregate([])
-            folded = [buf[a : z - WINDOW].tobytes().strip() for a, z in zip(begin[:-1], begin[1:])]
+            got = pa.table({"row": row, "word": word, "key": found.ravel().view(np.int64)}).group_by(["row", "word", "key"]).aggregate([])
+            folded = [buf[a:z].tobytes().strip() for a, z in zip(begin[:-1], begin[1:])]
             which = got.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([block.column("item_id").take(pa.array(which)), pa.array([folded[i] for i in which], pa.binary()), got.column("key").combine_chunks()], ["item_id", "item", "key"])
+            yield pa.RecordBatch.from_arrays([block.column("item_id").take(pa.array(which)), pa.array([folded[i] for i in which], pa.binary()), got.column("word").combine_chunks(), got.column("key").combine_chunks()], ["item_id", "item", "word", "key"])
 
     kept = items.select("item_id", "text")
-    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, item binary, key long")
+    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, item binary, word long, key long")
 
 
 def regions(docs: DataFrame, passes: np.ndarray, longest: int, *also: str) -> DataFrame:
@@ -132,10 +143,14 @@ def regions(docs: DataFrame, passes: np.ndarray, longest: int, *also: str) -> Da
         bits = np.unpackbits(passes).astype(bool)
         for block in tx.blocks(batches, "text"):
             buf, begin = fold(*tx.raw(block.column("text")))
-            at = starts(buf, begin)
+            at, word = starts(buf, begin)
+            # A copy's window begins at the item's word; walks elsewhere are wasted.
+            one, two = _probes(word)
+            known = bits[one] & bits[two]
+            at, word = at[known], word[known]
             if not len(at):
                 continue
-            found = keys(buf, at)
+            found = keys(buf, at, word)
             one, two = _probes(found.ravel())
             hit = np.flatnonzero(bits[one])
             hit = hit[bits[two[hit]]]
@@ -150,7 +165,7 @@ def regions(docs: DataFrame, passes: np.ndarray, longest: int, *also: str) -> Da
                 d = doc[a]
                 rows.append(d)
                 lists.append(np.unique(key[a:z]))
-                texts.append(buf[max(begin[d], pos[a] - reach) : min(begin[d + 1] - WINDOW, pos[z - 1] + reach)].tobytes())
+                texts.append(buf[max(begin[d], pos[a] - reach) : min(begin[d + 1], pos[z - 1] + reach)].tobytes())
             yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(rows)) for c in also), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.binary())], [*also, "keys", "region"])
 
     return kept.mapInArrow(run, f"{types}, keys array<long>, region binary")
@@ -192,7 +207,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bits = np.zeros(1 << FILTER_BITS, bool)
     mask = (1 << FILTER_BITS) - 1
-    probe = F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", 64 - FILTER_BITS))
+    probes = lambda c: F.array(F.col(c).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(c, 64 - FILTER_BITS))
+    probe = F.concat(probes("key"), probes("word"))
     # At most 2 ** FILTER_BITS numbers.
     set_bits = listed.select(F.explode(probe).alias("bit")).distinct().select(F.col("bit").cast("int")).toPandas()["bit"].to_numpy()
     bits[set_bits] = True
