@@ -46,3 +46,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def lanes(spark: SparkSession) -> int:
     """How many partitions a keyed exchange gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`cut` that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,8 +14,8 @@ sorted to ``K`` bytes, and only those that can have an equal:
    so a tie takes a few look-ups whatever its length, and memory is bounded by the block;
 4. suffixes that stay equal over ``K`` bytes form classes; those with a count of two or more are repeated.
 
-A bucket of more than ``MOST_PIECES`` pieces would not fit a block.  It takes another exact way: a row
-for each window with a 128-bit hash, counted with partial sums, in as many tasks as there are.
+A bucket of more than ``MOST_PIECES`` pieces would not fit a block.  It takes another exact way: its
+windows are counted by 128-bit hashes, in salted parts and with partial sums.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``K`` lose nothing; strings do not
 cross documents; every row is a document of its own as to counts, rows that share doc_id and text get
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut, lanes, table
+from .store import cut, discard, lanes, table
 
 K = 400
 GRAM = 48
@@ -41,6 +41,7 @@ V = 32
 DEPTH = 256
 BLOCK_BYTES = 1 << 20
 MOST_PIECES = 2000
+SALTS = 8
 DOC = ["doc_id", "th"]
 
 
@@ -260,29 +261,49 @@ def sort_buckets(kinds: DataFrame, k: int = K) -> DataFrame:
 
 
 def count_windows(kinds: DataFrame, k: int = K) -> DataFrame:
-    """The same for buckets of any size, by a row for each window."""
+    """The same for buckets of any size, by hashes of their windows.
+
+    A bucket is dealt out in ``SALTS`` parts, and parts in blocks.  Windows that a block already holds twice
+    are settled there and sent on once; only those that it holds once are sent with their place.
+    """
+
+    def block(part: pa.RecordBatch) -> pa.RecordBatch:
+        buf, at = tx.raw(part.column("piece"))
+        start, row = tx.within(at, k)
+        first, second = (tx.span_hash(buf, start, start + k, salt) for salt in (3, 4))
+        _, where, back = np.unique(first ^ tx.mix(second, 5), return_index=True, return_inverse=True)
+        times = part.column("times").to_numpy()[row]
+        total = np.bincount(back, weights=times).astype(np.int64)
+        settled = total[back] > 1
+        piece, offset, length = _runs(row[settled], (start - at[row])[settled])
+        once, group = np.flatnonzero(~settled), np.flatnonzero(total > 1)
+        kind = lambda c: pa.concat_arrays([part.column(c).take(pa.array(piece)), part.column(c).take(pa.array(row[once])), pa.nulls(len(group), pa.int64())])
+        i = np.concatenate([offset, (start - at[row])[once], np.zeros(len(group), np.int64)]).astype(np.int32)
+        n = np.concatenate([length, np.ones(len(once) + len(group), np.int64)]).astype(np.int32)
+        hashed = lambda h: pa.concat_arrays([pa.nulls(len(piece), pa.int64()), pa.array(np.concatenate([h[once], h[where[group]]]).view(np.int64))])
+        count = np.concatenate([np.zeros(len(piece), np.int64), times[once], total[group]])
+        return pa.RecordBatch.from_arrays([kind("h1"), kind("h2"), pa.array(i), pa.array(n), pa.array(count), hashed(first), hashed(second)], ["h1", "h2", "i", "n", "times", "w1", "w2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tx.blocks(batches, "piece"):
-            buf, at = tx.raw(block.column("piece"))
-            start, row = tx.within(at, k)
-            own = [block.column(c).take(pa.array(row)) for c in ("h1", "h2", "times")]
-            hashed = [pa.array(tx.span_hash(buf, start, start + k, salt).view(np.int64)) for salt in (3, 4)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array((start - at[row]).astype(np.int32)), *hashed], ["h1", "h2", "times", "i", "w1", "w2"])
+        for part in tx.blocks(batches, "piece", BLOCK_BYTES):
+            yield block(part)
 
-    rows = cut(kinds.select("h1", "h2", "times", "piece").mapInArrow(run, "h1 long, h2 long, times long, i int, w1 long, w2 long"), "windows")
-    twice = rows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
-    return rows.join(twice, ["w1", "w2"]).select("h1", "h2", "i", F.lit(1).alias("n"))
+    dealt = kinds.select("a", "h1", "h2", "times", "piece").repartition(lanes(kinds.sparkSession), "a", F.pmod("h1", F.lit(SALTS))).sortWithinPartitions("a")
+    rows = cut(dealt.select("h1", "h2", "times", "piece").mapInArrow(run, "h1 long, h2 long, i int, n int, times long, w1 long, w2 long"), "windows")
+    twice = rows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
+    placed = rows.where("w1 IS NOT NULL AND h1 IS NOT NULL").join(twice, ["w1", "w2"]).select("h1", "h2", "i", "n")
+    return rows.where("w1 IS NULL").select("h1", "h2", "i", "n").unionByName(placed)
 
 
 def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(doc_id, th, start, bytes): strings of ``docs(doc_id, th, text)`` whose windows of k bytes all start elsewhere too; they may overlap."""
-    found = cut(anchors(docs, k, g), "anchors")
-    twice = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    own = found.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
+    every = cut(anchors(docs, k, g), "anchors")
+    twice = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
+    own = every.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     near = docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["th"] == own["th"])).select(docs["doc_id"], docs["th"], "own", "text")
     # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
     found = cut(pieces(near, k, g), "pieces")
+    discard(every)
     kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at"))
     kinds = cut(kinds, "piece-kinds")
     listed = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.start", "at.n", "a", "h1", "h2", "times")).alias("listed"))
@@ -290,6 +311,7 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     crowded = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > most_pieces).select("a"), "crowded-buckets")
     runs = sort_buckets(texts.join(crowded, "a", "left_anti"), k).unionByName(count_windows(texts.join(crowded, "a", "left_semi"), k))
     runs = cut(runs, "repeated-runs")
+    discard(kinds, crowded)
     back = found.select(*DOC, "start", "h1", "h2").join(runs, ["h1", "h2"])
     return back.select(*DOC, (F.col("start") + F.col("i")).alias("start"), (F.col("n") + k - 1).alias("bytes")).distinct()
 
