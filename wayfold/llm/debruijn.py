@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut, table
+from .store import cut, discard, table
 
 K = 20
 GRAM = 5
@@ -85,7 +85,7 @@ def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
 
 
 def segments(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: the segments that these own, with their nodes."""
+    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: the segments that these own, and their hashes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,40 +111,61 @@ def segments(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
                 power, back = tx.powers("word", len(hashed) + 1)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(hashed, salt) * power[:-1], dtype=np.uint64)])
                 sums.append(tx.mix((total[begin + size + k - 1] - total[begin]) * back[begin] + size.astype(np.uint64), salt).view(np.int64))
-            node = tx.gram_hash(hashed, k - 1, 13).view(np.int64)
-            at = np.concatenate([[0], np.cumsum(size + 1)])
-            flat = np.arange(at[-1]) + np.repeat(begin - at[:-1], size + 1)
-            nodes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(node[flat]))
             a = tx.gram_hash(hashed, g, 11)[own[head]].view(np.int64)
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a), pa.array(sums[0]), pa.array(sums[1]), nodes]
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", "h1", "h2", "nodes"])
+            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a), pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", "h1", "h2"])
+
+    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, n int, a long, h1 long, h2 long")
+
+
+def path_edges(docs: DataFrame, k: int = K) -> DataFrame:
+    """Edges (u, v) of the segments of ``docs(doc_id, th, listed, text)``, listed being an array of (start, n, h1, h2, times)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tx.blocks(batches, "text"):
+            hashed, first = _hashed(block.column("text"))
+            listed = block.column("listed")
+            row = np.repeat(np.arange(block.num_rows), pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False))
+            flat = listed.flatten()
+            n = flat.field("n").to_numpy()
+            which = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            start = flat.field("start").to_numpy()[which] + i
+            node = tx.gram_hash(hashed, k - 1, 13).view(np.int64)
+            at = first[:-1][row][which] + start
+            own = [block.column(c).take(pa.array(row[which])) for c in DOC]
+            kind = [flat.field(c).take(pa.array(which)) for c in ("h1", "h2", "times")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(i.astype(np.int32)), *kind, pa.array(node[at]), pa.array(node[at + 1])], [*DOC, "start", "i", "h1", "h2", "times", "u", "v"])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, n int, a long, h1 long, h2 long, nodes array<long>")
+    return docs.select(*DOC, "listed", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, i int, h1 long, h2 long, times long, u long, v long")
 
 
 def spans(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
     """(doc_id, th, start, words, source_doc, source_start): compacted paths of ``docs(doc_id, th, text)`` that occur earlier, as words from a word on."""
-    found = cut(anchors(docs, k, g), "anchors")
-    twice = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    own = found.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
+    every = cut(anchors(docs, k, g), "anchors")
+    twice = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
+    own = every.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     same_doc = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     near = docs.join(own, same_doc(docs, own)).select(docs["doc_id"], docs["th"], "own", "text")
     found = cut(segments(near, k, g), "segments")
+    discard(every)
 
-    here = F.struct("doc_id", "th", "start")
-    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(here).alias("source"), F.first("a").alias("a"), F.first("nodes").alias("nodes"))
+    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("source"))
     kinds = cut(kinds, "segment-kinds")
     several = kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     mixed = kinds.join(several, "a")
-    steps = F.expr("transform(sequence(0, size(nodes) - 2), i -> struct(i AS i, nodes[i] AS u, nodes[i + 1] AS v))")
-    edges = mixed.select("h1", "h2", "times", "source", F.inline(steps))
-    edges = edges.select("h1", "h2", "times", "i", "u", "v", F.struct(F.col("source.doc_id").alias("doc_id"), F.col("source.th").alias("th"), (F.col("source.start") + F.col("i")).alias("start")).alias("source"))
-    firsts = edges.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("source").alias("source")).where("times > 1")
+    listed = mixed.groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.th").alias("th")).agg(F.collect_list(F.struct("source.start", "n", "h1", "h2", "times")).alias("listed"))
+    edges = path_edges(docs.join(listed, same_doc(docs, listed)).select(docs["doc_id"], docs["th"], "listed", "text"), k)
+    edges = cut(edges, "edges")
+    firsts = edges.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "th", "start")).alias("source")).where("times > 1")
     # At most k - g + 1 edges of a segment.
     walked = edges.select("h1", "h2", "i", "u", "v").join(firsts, ["u", "v"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("i", F.lit(1).alias("n"), "source")).alias("steps"))
-    alone = kinds.join(several, "a", "left_anti").where("times > 1").select("h1", "h2", F.array(F.struct(F.lit(0).alias("i"), (F.size("nodes") - 1).alias("n"), "source")).alias("steps"))
+    alone = kinds.join(several, "a", "left_anti").where("times > 1").select("h1", "h2", F.array(F.struct(F.lit(0).alias("i"), "n", "source")).alias("steps"))
+    steps = cut(alone.unionByName(walked), "steps")
+    discard(kinds, edges)
 
-    back = found.select(*DOC, "start", "h1", "h2").join(alone.unionByName(walked), ["h1", "h2"]).select(*DOC, "start", F.inline("steps"))
+    back = found.select(*DOC, "start", "h1", "h2").join(steps, ["h1", "h2"]).select(*DOC, "start", F.inline("steps"))
     back = back.select(*DOC, (F.col("start") + F.col("i")).alias("start"), "n", "source")
     elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("th") == F.col("source.th")) & (F.col("start") == F.col("source.start")))
     back = back.where(elsewhere).distinct()
