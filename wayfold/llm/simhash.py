@@ -65,8 +65,8 @@ def fingerprints_of(column: pa.Array, n: int = 4) -> np.ndarray:
         return out
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     has = np.flatnonzero(count)
-    begin = np.cumsum(count[has]) - count[has]
-    set_bits = np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    end = np.cumsum(count[has])
+    set_bits = np.stack([bits[z - n : z].sum(axis=0, dtype=np.int64) for n, z in zip(count[has].tolist(), end.tolist())])
     over = 2 * set_bits > count[has, None]
     out[has] = np.packbits(over, axis=1).reshape(-1, 8).copy().view(">u8").ravel()
     return out
