@@ -17,6 +17,8 @@ from wayfold.llm.store import cut, table
 
 #: Models, fingerprint components and edit distances are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
+#: Near copies have this Jaccard similarity of five-word shingles, or more.
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
+    """One document of each group of near copies (within 4 bits, or alike in SIMILARITY of their five-word shingles): that of the smallest doc_id."""
     keyed = docs.withColumn("_th", F.hash("text"))
-    found = simhash.near_duplicates(keyed, "_th")
+    found = simhash.near_duplicates(keyed, "_th", similarity=SIMILARITY)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("keep"))
     keep = cut(first.select(F.col("keep.doc_id").alias("_id"), F.col("keep._th").alias("_kth")), "kept-ids")
     kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")

@@ -76,3 +76,38 @@ def test_entry_lists_the_queries():
     names = set(entry.queries())
     assert {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_near_copies_of_similarity_point_eight_go(spark):
+    import random
+
+    from .test_operators import DOCS, WORD, brute_fingerprint, classes, prose
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = prose(rng, 150).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 3, 4, 6):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    wide = prose(rng, 150).split()
+    for _ in range(14):  # more than a pair list takes
+        copy = list(wide)
+        copy[rng.randrange(150)] = "edited"
+        texts.append(" ".join(copy))
+    texts += ["", None, "two words", "Two  Words"]
+    shingles = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    fp = [brute_fingerprint(t) for t in texts]
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    bits = lambda a, b: bin(fp[a] ^ fp[b]).count("1")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    assert sum(alike(a, b) and bits(a, b) > 4 for a, b in pairs) > 20
+    want = set(classes(len(texts), [(a, b) for a, b in pairs if alike(a, b) or bits(a, b) <= 4]))
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    assert sorted(ids(corpus_pipeline.near_dedup(spark, docs, TABLES))) == sorted(want)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
+from .jaccard import similar
 from .store import cut, table
 
 SEED = 42
@@ -176,12 +177,25 @@ def midpoints(fps: DataFrame, most_bits: int) -> DataFrame:
     return own.unionByName(cross)
 
 
-def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int = 4) -> DataFrame:
-    """doc_id, ``also``, fp, root (one fingerprint of the component) and component_id (its smallest doc_id) of every row."""
+def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int = 4, similarity: float | None = None) -> DataFrame:
+    """doc_id, ``also``, fp, root (one fingerprint of the component) and component_id (its smallest doc_id) of every row.
+
+    similarity: texts whose five-word shingles have this Jaccard similarity or more are linked too.
+    """
+    if similarity is not None:
+        docs = docs.withColumn("xt", F.xxhash64("text"))
+        also = (*also, "xt")
     found = cut(fingerprint(docs, *dict.fromkeys(["doc_id", *also]), words=words), "fingerprints")
     fps = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
     fps = cut(fps, "distinct-fingerprints")
-    links = components(near(fps.select("fp"), most_bits))
+    pairs = near(fps.select("fp"), most_bits)
+    if similarity is not None:
+        alike = cut(similar(docs, similarity), "similar")
+        fp_of = found.select("xt", "fp").distinct()
+        for end in ("src", "dst"):
+            alike = alike.join(fp_of.withColumnRenamed("xt", end), end).drop(end).withColumnRenamed("fp", f"{end}_fp")
+        pairs = pairs.unionByName(alike.select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst")))
+    links = components(pairs)
     # Of each fingerprint its component's root, then of each root the smallest doc_id.
     rooted = fps.join(links, fps["fp"] == links["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     rooted = cut(rooted, "roots")
