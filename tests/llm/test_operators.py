@@ -379,3 +379,16 @@ def test_decontamination(spark):
     got = {(r["doc_id"], r["item_id"]) for r in out}
     assert got <= want | {(None, 0)} and len(got & want) >= 0.95 * len(want) and (None, 0) in got and len(out) == len(got)
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_exact_copies_of_short_items_are_found(spark):
+    rng = random.Random(12)
+    items = []
+    while len(items) < 60:
+        item = " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 10)))
+        if 20 <= len(item) <= 60:
+            items.append(item + "?")
+    rows = [(i, prose(rng, 60) + ' "' + t.title() + '" ' + prose(rng, 60)) for i, t in enumerate(items)] + [(100 + i, prose(rng, 120)) for i in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("edits = 0").collect()}
+    assert got == {(i, i) for i in range(60)}

@@ -9,6 +9,9 @@ byte read; the string of bytes read has small Hamming distance where the edit di
 that begin with the word of some item's window, and whose keys pass a Bloom filter of fixed size become regions; keys meet in an equality join; each
 (region, item) pair is verified by the exact edit distance between the item and its best match.
 
+Items are also indexed by their runs of ``GRAM`` tokens (letters, digits and bytes beyond ASCII), all their
+tokens where they have fewer: an exact copy that stands on token boundaries has them all, however short it is.
+
 Defined cases: null and empty texts and items match nothing; items of fewer words than ``SPREAD`` have
 one window; a null doc_id or item_id is kept as null; repeated rows count as one pair; texts of any length
 are walked whole; an empty table on either side gives an empty result; further columns are left out.
@@ -30,6 +33,7 @@ WINDOW = 48
 STEPS = 2 * WINDOW
 WALKS, SAMPLES, BITS = 5, 6, 8
 SPREAD = 6
+GRAM = 4
 #: Shorter words (in bytes) are chosen only where there is no longer one: long words tell places apart.
 LONG_WORD = 7
 SIMILARITY = 0.8
@@ -45,6 +49,10 @@ _PLACES = np.stack([[np.sort(_RANDOM.choice(np.arange(2 * LONG_WORD, STEPS), BIT
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[tx.SPACE] = 32
+_TOKEN = np.full(256, 32, np.uint8)
+_TOKEN[128:] = np.arange(128, 256)
+_TOKEN[48:58] = np.arange(48, 58)
+_TOKEN[97:123] = np.arange(97, 123)
 
 
 def fold(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +115,26 @@ def keys(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out
 
 
+def grams(buf: np.ndarray, begin: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and key of every run of so many tokens, its size, and each text's number of tokens."""
+    start, end, first = tx.words(_TOKEN[buf[: begin[-1]]], begin)
+    token = tx.span_hash(buf, start, end)
+    pos, key, size = [], [], []
+    for n in sizes:
+        at = tx.within(first, n)[0]
+        pos.append(start[at])
+        key.append(tx.mix(tx.gram_hash(token, n)[at], 40 + n))
+        size.append(np.full(len(at), n))
+    return np.concatenate(pos), np.concatenate(key), np.concatenate(size), np.diff(first)
+
+
 def _probes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << FILTER_BITS) - 1)
     return (key & mask).astype(np.int64), (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    """item (the folded bytes), item_id, and a row for each of its windows' first word and keys."""
+    """item (the folded bytes), item_id, and a row for each of its windows' first word and keys; gram is 0, or the tokens of a key of a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text", 1 << 18):
@@ -124,17 +145,24 @@ def item_keys(items: DataFrame) -> DataFrame:
             found = keys(buf, at, word)
             word = np.repeat(word.view(np.int64), found.shape[1])
             row = np.repeat(np.searchsorted(begin, at, side="right") - 1, found.shape[1])
-            got = pa.table({"row": row, "word": word, "key": found.ravel().view(np.int64)}).group_by(["row", "word", "key"]).aggregate([])
+            pos, run_key, size, tokens = grams(buf, begin, list(range(1, GRAM + 1)))
+            holder = np.searchsorted(begin, pos, side="right") - 1
+            own = size == np.minimum(tokens[holder], GRAM)
+            run_key = run_key[own].view(np.int64)
+            row, word = np.concatenate([row, holder[own]]), np.concatenate([word, run_key])
+            key = np.concatenate([found.ravel().view(np.int64), run_key])
+            gram = np.concatenate([np.zeros(found.size, np.int64), size[own]])
+            got = pa.table({"row": row, "word": word, "key": key, "gram": gram}).group_by(["row", "word", "key", "gram"]).aggregate([])
             folded = [buf[a:z].tobytes().strip() for a, z in zip(begin[:-1], begin[1:])]
             which = got.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([block.column("item_id").take(pa.array(which)), pa.array([folded[i] for i in which], pa.binary()), got.column("word").combine_chunks(), got.column("key").combine_chunks()], ["item_id", "item", "word", "key"])
+            yield pa.RecordBatch.from_arrays([block.column("item_id").take(pa.array(which)), pa.array([folded[i] for i in which], pa.binary()), *(got.column(c).combine_chunks() for c in ("word", "key", "gram"))], ["item_id", "item", "word", "key", "gram"])
 
     kept = items.select("item_id", "text")
-    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, item binary, word long, key long")
+    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, item binary, word long, key long, gram long")
 
 
-def regions(docs: DataFrame, passes: np.ndarray, longest: int, *also: str) -> DataFrame:
-    """Stretches of documents around windows that pass the filter, with those windows' keys."""
+def regions(docs: DataFrame, passes: np.ndarray, longest: int, sizes: list[int], *also: str) -> DataFrame:
+    """Stretches of documents around windows, and runs of ``sizes`` tokens, that pass the filter, with their keys."""
     reach = longest + longest // 4 + WINDOW
     kept = docs.select(*also, "text")
     types = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in also)
@@ -148,15 +176,18 @@ def regions(docs: DataFrame, passes: np.ndarray, longest: int, *also: str) -> Da
             one, two = _probes(word)
             known = bits[one] & bits[two]
             at, word = at[known], word[known]
-            if not len(at):
-                continue
-            found = keys(buf, at, word)
-            one, two = _probes(found.ravel())
+            every = keys(buf, at, word).ravel()
+            pos = np.repeat(at, WALKS * SAMPLES)
+            if sizes:
+                run_pos, run_key, _, _ = grams(buf, begin, sizes)
+                every, pos = np.concatenate([every, run_key]), np.concatenate([pos, run_pos])
+            one, two = _probes(every)
             hit = np.flatnonzero(bits[one])
             hit = hit[bits[two[hit]]]
             if not len(hit):
                 continue
-            key, pos = found.ravel()[hit].view(np.int64), at[hit // found.shape[1]]
+            hit = hit[np.argsort(pos[hit], kind="stable")]
+            key, pos = every[hit].view(np.int64), pos[hit]
             doc = np.searchsorted(begin, pos, side="right") - 1
             fresh = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > reach))
             cuts = np.append(np.flatnonzero(fresh), len(pos))
@@ -215,7 +246,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     size = listed.agg(F.max(F.length("item")).alias("longest"), F.count("*").alias("n")).first()
     if not size["n"]:
         return spark.createDataFrame([], f"doc_id {id_type}, item_id {items.schema['item_id'].dataType.simpleString()}, item_bytes int, edits int, similarity double")
-    found = regions(docs, np.packbits(bits), size["longest"], "doc_id").withColumn("rid", F.xxhash64("doc_id", "region"))
+    sizes = sorted(r["gram"] for r in listed.where("gram > 0").select("gram").distinct().collect())
+    found = regions(docs, np.packbits(bits), size["longest"], sizes, "doc_id").withColumn("rid", F.xxhash64("doc_id", "region"))
     found = cut(found, "regions")
     few = F.broadcast if size["n"] <= BROADCAST_ROWS else (lambda x: x)
     pairs = found.select("rid", F.explode("keys").alias("key")).join(few(listed.select("key", "item_id", "item")), "key")
