@@ -392,3 +392,16 @@ def test_exact_copies_of_short_items_are_found(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("edits = 0").collect()}
     assert got == {(i, i) for i in range(60)}
+
+
+def test_prefixes_follow_the_weights_themselves():
+    weights = {0: 1 / 5000, 1: 0.3, 2: 0.123456, 3: 1 - 0.3 - 0.123456 - 1 / 5000}
+    blocks = dict.fromkeys(weights, 1_000_000)
+    blocks[3] = 180_000  # over a thousand cycles of 256 slots
+    plan = [x for x in mixing.phases(blocks, weights, 256) if x[3] == 0]
+    for lane, a, z, _, c, period, places in plan:
+        k = np.arange(a, z)
+        slot = np.asarray(places)[k % c] + k // c * period
+        # Before a block's slot so many are done, after it one more.  Shares round weights at 2 ** -48.
+        assert (np.abs(k - weights[lane] * slot) < 1 + 1e-6).all() and (np.abs(k + 1 - weights[lane] * (slot + 1)) < 1 + 1e-6).all()
+    assert len(plan) == 4

@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame operations only).
 
-Each source's documents, in a hash order, form blocks.  Over a cycle of ``period`` slots a
-source with ``c`` shares releases its block ``j`` at ``floor(j T / c)`` with deadline
-``ceil((j + 1) T / c)``; earliest deadline first among released blocks meets every deadline, so
-after any slot each source is less than one block away from its target.  When a source has no
-blocks left the others go on, with their weights rescaled, so that no row is dropped.
-
-The schedule of a cycle depends on weights alone: the driver computes it from at most
-``MOST_LANES`` counts.  Ranks come from counts of (source, hash bucket) and a window inside a
+Each source's documents, in a hash order, form blocks.  A source of weight w = c / T releases its
+block ``j`` at ``floor(j T / c)`` with deadline ``ceil((j + 1) T / c)``; earliest deadline first among
+released blocks meets every deadline, so after any slot each source is less than one block away from
+its target.  ``T`` is ``FINE`` times ``period``, far beyond any number of blocks, so that the shares are the
+weights.  When a source has no blocks left the others go on, with their weights rescaled, so that no
+row is dropped.
+
+The driver computes the schedule from counts, a number for each block.  Ranks come from counts of (source, hash bucket) and a window inside a
 bucket, so a hot source is spread over ``BUCKETS`` tasks.
 
 Defined cases: a null source is a source of its own; a null doc_id is ranked with the others;
@@ -18,8 +18,9 @@ an empty table gives an empty result; clashing further columns are replaced by t
 from __future__ import annotations
 
 import heapq
-import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .store import table
 
 MOST_LANES = 64
 PERIOD = 1024
+#: Parts of a slot of a cycle that shares are whole numbers of.
+FINE = 1 << 40
 BLOCK = 16
 BUCKETS = 1024
 
@@ -45,42 +48,39 @@ def shares(weights: dict[int, float], period: int) -> dict[int, int]:
     return out
 
 
-def cycle(share: dict[int, int], period: int) -> list[int]:
-    """Whose block each slot of a cycle holds: earliest deadline first among the released."""
-    coming = sorted((j * period // c, -(-(j + 1) * period // c), k) for k, c in share.items() for j in range(c))
-    ready: list[tuple[int, int]] = []
-    out, at = [], 0
-    for slot in range(period):
-        while at < len(coming) and coming[at][0] <= slot:
-            heapq.heappush(ready, coming[at][1:])
-            at += 1
+def schedule(share: dict[int, int], period: int, left: dict[int, int]) -> dict[int, list[int]]:
+    """Slots of each one's blocks, earliest deadline first among the released, until one has no blocks left."""
+    coming, ready = [], []
+
+    def release(k: int, j: int) -> None:
+        heapq.heappush(coming, (j * period // share[k], -(-(j + 1) * period // share[k]), k))
+
+    for k in share:
+        release(k, 0)
+    out: dict[int, list[int]] = {k: [] for k in share}
+    slot = 0
+    while True:
+        while coming and coming[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(coming)[1:])
         deadline, k = heapq.heappop(ready)
         assert slot < deadline
-        out.append(k)
-    return out
+        out[k].append(slot)
+        slot += 1
+        if len(out[k]) == left[k]:
+            return out
+        release(k, len(out[k]))
 
 
 def phases(blocks: dict[int, int], weights: dict[int, float], period: int) -> list[tuple]:
-    """(lane, first block, last block + 1, first slot, blocks a cycle, their slots) of every stretch between exhaustions."""
+    """(lane, first block, last block + 1, first slot, share, shares in all, slots) of every stretch between exhaustions."""
     left, done, base, out = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
         period = max(period, len(left))
-        share = shares({k: weights[k] for k in left}, period)
-        slots = cycle(share, period)
-        whole = min(left[k] // share[k] for k in left)
-        used = {k: whole * share[k] for k in left}
-        length = whole * period
-        if all(used[k] < left[k] for k in left):
-            for k in slots:
-                used[k] += 1
-                length += 1
-                if used[k] == left[k]:
-                    break
-        places: dict[int, list[int]] = {k: [] for k in left}
-        for t, k in enumerate(slots):
-            places[k].append(t)
-        out += [(k, done[k], done[k] + used[k], base, share[k], period, places[k]) for k in left if used[k]]
-        base += length
+        share = shares({k: weights[k] for k in left}, period * FINE)
+        places = schedule(share, period * FINE, left)
+        used = {k: len(x) for k, x in places.items()}
+        out += [(k, done[k], done[k] + used[k], base, share[k], period * FINE, places[k]) for k in left if used[k]]
+        base += sum(used.values())
         for k, n in used.items():
             done[k] += n
             left[k] -= n
@@ -120,14 +120,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
         target = {k: weights.get(source, rest) for source, k, _ in lane_of} | ({len(lane_of): rest} if len(rows) > len(lane_of) else {})
     else:
         target = {k: max(n, 1) ** alpha for k, n in rows.items()}
-    plan = [dict(zip(("l", "a", "z", "s", "c", "p", "o"), x)) for x in phases({k: -(-n // block) for k, n in rows.items()}, target, period)]
-    # At most MOST_LANES stretches of one period each.
-    plan_df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<l:int,a:long,z:long,s:long,c:int,p:int,o:array<int>>>")).alias("x")).select("x.*")
-    found = ranked.join(F.broadcast(plan_df), (F.col("_lane") == F.col("l")) & (F.col("_k") >= F.col("a")) & (F.col("_k") < F.col("z")))
-    turn = F.col("_k") - F.col("a")
-    slot = F.col("s") + F.floor(turn / F.col("c")) * F.col("p") + F.get("o", (turn % F.col("c")).cast("int"))
+    plan = phases({k: -(-n // block) for k, n in rows.items()}, target, period)
+    # A row for each block.
+    lists = [np.concatenate(x) for x in zip(*((np.full(z - a, k), np.arange(a, z), np.array(o) + s) for k, a, z, s, _, _, o in plan))]
+    plan_df = spark.createDataFrame(pa.table(dict(zip(("l", "b", "_slot"), (pa.array(x, pa.int64()) for x in lists)))))
+    found = ranked.join(plan_df, (F.col("_lane") == F.col("l")) & (F.col("_k") == F.col("b")))
     own = [c for c in docs.columns if c not in ("mix_slot", "mix_order")]
-    found = found.withColumn("_slot", slot.cast("long"))
     return found.select(*own, F.col("_slot").alias("mix_slot"), (F.col("_slot") * block + F.col("_rank") % block).alias("mix_order"))
 
 
