@@ -405,3 +405,12 @@ def test_prefixes_follow_the_weights_themselves():
         # Before a block's slot so many are done, after it one more.  Shares round weights at 2 ** -48.
         assert (np.abs(k - weights[lane] * slot) < 1 + 1e-6).all() and (np.abs(k + 1 - weights[lane] * (slot + 1)) < 1 + 1e-6).all()
     assert len(plan) == 4
+
+
+def test_a_small_source_keeps_its_weight_among_many(spark):
+    rows = [(k * 100 + i, f"s{k:02}") for k in range(70) for i in range(12)] + [(10_000 + i, "zz") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(df, {"zz": 0.5} | {f"s{k:02}": 0.5 / 70 for k in range(70)}, block=1).collect()
+    assert len(got) == len(rows)
+    slots = sorted(r["mix_slot"] for r in got if r["source"] == "zz")
+    assert all(abs(i + 1 - 0.5 * (slot + 1)) < 1 + 1e-6 for i, slot in enumerate(slots))

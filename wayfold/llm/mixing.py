@@ -11,7 +11,7 @@ The driver computes the schedule from counts, a number for each block.  Ranks co
 bucket, so a hot source is spread over ``BUCKETS`` tasks.
 
 Defined cases: a null source is a source of its own; a null doc_id is ranked with the others;
-repeated rows each take a place; sources beyond the ``MOST_LANES - 1`` largest share one lane;
+repeated rows each take a place; every source has a lane of its own;
 an empty table gives an empty result; clashing further columns are replaced by the operator's.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .store import table
 
-MOST_LANES = 64
+#: Buckets' counts are broadcast up to this number of sources; beyond it the join shuffles.
+BROADCAST_SOURCES = 64
 PERIOD = 1024
 #: Parts of a slot of a cycle that shares are whole numbers of.
 FINE = 1 << 40
@@ -95,29 +96,26 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     Without weights a source's target is its number of rows to the power ``alpha``.
     """
     spark = docs.sparkSession
-    counts = docs.groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_LANES - 1).collect()
+    counts = docs.groupBy("source").count().orderBy(F.desc("count"), "source").collect()
     lane_of = [(r["source"], k, r["count"]) for k, r in enumerate(counts)]
     if not lane_of:
         return docs.withColumns({"mix_slot": F.lit(0).cast("long"), "mix_order": F.lit(0).cast("long")})
-    lane = F.lit(len(lane_of))
-    for source, k, _ in reversed(lane_of):
-        lane = F.when(F.col("source").eqNullSafe(F.lit(source).cast("string")), k).otherwise(lane)
+    kind = docs.schema["source"].dataType.simpleString()
+    lane_df = spark.createDataFrame([(source, k) for source, k, _ in lane_of], f"_source {kind}, _lane int")
     spread = F.xxhash64(F.col("doc_id"), F.col("source"))
-    ranked = docs.withColumns({"_lane": lane, "_hash": spread, "_bucket": F.shiftrightunsigned(spread, 64 - BUCKETS.bit_length() + 1).cast("int")})
+    ranked = docs.join(F.broadcast(lane_df), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumns({"_hash": spread, "_bucket": F.shiftrightunsigned(spread, 64 - BUCKETS.bit_length() + 1).cast("int")})
     by_bucket = ranked.groupBy("_lane", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_lane").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most MOST_LANES * BUCKETS rows of three numbers.
+    # At most BUCKETS rows of three numbers for each source.
     base = by_bucket.select("_lane", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_lane", "_bucket").orderBy("_hash", "doc_id"))
-    ranked = ranked.withColumn("_place", place - 1).join(F.broadcast(base), ["_lane", "_bucket"])
+    ranked = ranked.withColumn("_place", place - 1).join(F.broadcast(base) if len(lane_of) <= BROADCAST_SOURCES else base, ["_lane", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place")).withColumn("_k", F.floor(F.col("_rank") / block))
 
     rows = {k: n for _, k, n in lane_of}
-    if len(lane_of) == MOST_LANES - 1:
-        rows[len(lane_of)] = docs.count() - sum(rows.values())
     if weights:
         rest = sum(weights.values()) / len(weights)
-        target = {k: weights.get(source, rest) for source, k, _ in lane_of} | ({len(lane_of): rest} if len(rows) > len(lane_of) else {})
+        target = {k: weights.get(source, rest) for source, k, _ in lane_of}
     else:
         target = {k: max(n, 1) ** alpha for k, n in rows.items()}
     plan = phases({k: -(-n // block) for k, n in rows.items()}, target, period)
