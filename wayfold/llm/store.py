@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Spark's own removal of a finished execution's shuffle files.
@@ -24,14 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``.  Only a local session that names none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Where the tables of :func:`cut` are.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,7 +54,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
 
 
 def lanes(spark: SparkSession) -> int:
@@ -55,9 +65,24 @@ def lanes(spark: SparkSession) -> int:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of :func:`cut` that nothing reads any more."""
+    """Empty the folders of tables of :func:`cut` that nothing reads any more."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path = _PATHS.pop(t, None)
+        if path:
+            t.sparkSession.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def identity(*columns: str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of the columns: together they tell rows apart."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)

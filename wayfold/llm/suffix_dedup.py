@@ -14,13 +14,16 @@ sorted to ``K`` bytes, and only those that can have an equal:
    so a tie takes a few look-ups whatever its length, and memory is bounded by the block;
 4. suffixes that stay equal over ``K`` bytes form classes; those with a count of two or more are repeated.
 
-A bucket of more than ``MOST_PIECES`` pieces would not fit a block.  It takes another exact way: its
-windows are counted by 128-bit hashes, in salted parts and with partial sums.
+A bucket of more than ``MOST_PIECES`` pieces would not fit a block and is cut by more of its windows:
+those that begin at most ``WIDTHS[0]`` bytes apart, as counted from the minimiser, share a core; pieces are cut
+to such stretches, the stretches with equal cores are a bucket of their own, equal stretches collapse, and
+what has one kind is settled by its count.  Buckets that are still crowded are cut to the next width; at
+width 1 the core is the window.  Rows are stretches, few for each piece, and runs, never windows.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``K`` lose nothing; strings do not
 cross documents; every row is a document of its own as to counts, rows that share doc_id and text get
-the same result; texts of any length are taken whole; further columns are left out; an empty table
-gives an empty result.
+the same result; a null doc_id is one like any other; texts of any length are taken whole; further columns
+are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut, discard, lanes, table
+from .store import cut, discard, identity, lanes, table
 
 K = 400
 GRAM = 48
@@ -41,8 +44,10 @@ V = 32
 DEPTH = 256
 BLOCK_BYTES = 1 << 20
 MOST_PIECES = 2000
-SALTS = 8
-DOC = ["doc_id", "th"]
+WIDTHS = (64, 8, 1)
+#: A row is told by two hashes of its doc_id and text, a kind of pieces by 128 bits of XXH3.
+DOC = ["d1", "d2"]
+KIND = ["h1", "h2"]
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -68,7 +73,7 @@ def owners(buf: np.ndarray, at: np.ndarray, k: int, g: int) -> tuple[np.ndarray,
     if not len(start):
         return start, doc, start, np.zeros(0, np.uint64)
     begin = np.arange(len(buf) - g + 1)
-    hashed = tx.span_hash(buf, begin, begin + g)
+    hashed = tx.rolling_hash(buf, g)
     value = (hashed >> np.uint64(32) << np.uint64(32)) | begin.astype(np.uint64)
     w = k - g + 1
     full = np.full(-(-len(value) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -81,13 +86,12 @@ def owners(buf: np.ndarray, at: np.ndarray, k: int, g: int) -> tuple[np.ndarray,
 
 
 def with_key(docs: DataFrame, *also: str) -> DataFrame:
-    """Rows with ``th``, a hash of the text: (doc_id, th) tells documents apart."""
-    return docs.select("doc_id", F.hash("text").alias("th"), *also, "text")
+    """(d1, d2, also ..., text): every row with what tells it apart."""
+    return docs.select(*(h.alias(c) for h, c in zip(identity("doc_id", "text"), DOC)), *also, "text")
 
 
 def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """(doc_id, th, pos, a): where minimisers begin, and their hashes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """(d1, d2, pos, a): where minimisers begin, and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -99,12 +103,11 @@ def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
             doc, own = doc[fresh], own[fresh]
             yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(doc)) for c in DOC), pa.array((own - at[doc]).astype(np.int32)), pa.array(hashed[own].view(np.int64))], [*DOC, "pos", "a"])
 
-    return docs.select(*DOC, "text").mapInArrow(run, f"doc_id {id_type}, th int, pos int, a long")
+    return docs.select(*DOC, "text").mapInArrow(run, "d1 long, d2 long, pos int, a long")
 
 
 def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: where the pieces are whose windows these own, and their hashes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """Of ``docs(d1, d2, own, text)``, own being positions of repeated minimisers: where the pieces are whose windows these own (o: the minimiser's place in the piece), and their kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -120,17 +123,19 @@ def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
             size = np.diff(np.append(head, len(own)))
             keep = hot[own[head]]
             head, size = head[keep], size[keep]
+            if not len(head):
+                continue
             begin, holder = start[head], doc[head]
-            end = begin + size + k - 1
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashed[own[head]].view(np.int64))]
-            cols += [pa.array(tx.span_hash(buf, begin, end, salt).view(np.int64)) for salt in (1, 2)]
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", "h1", "h2"])
+            kind = tx.strong_hash(buf.tobytes(), begin, begin + size + k - 1)
+            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((own[head] - begin).astype(np.int32)), pa.array(hashed[own[head]].view(np.int64)), *map(pa.array, kind)]
+            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "o", "a", *KIND])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, n int, a long, h1 long, h2 long")
+    return docs.select(*DOC, "own", "text").mapInArrow(run, "d1 long, d2 long, start int, n int, o int, a long, h1 long, h2 long")
 
 
 def piece_texts(docs: DataFrame, k: int = K) -> DataFrame:
-    """(a, h1, h2, times, piece) of ``docs(listed, text)``, listed being an array of (start, n, a, h1, h2, times)."""
+    """(a, o, h1, h2, times, piece) of ``docs(listed, text)``, listed being an array of (start, n, o, a, h1, h2, times)."""
+    names = ["a", "o", *KIND, "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -141,9 +146,9 @@ def piece_texts(docs: DataFrame, k: int = K) -> DataFrame:
             begin = row + flat.field("start").to_numpy()
             end = begin + flat.field("n").to_numpy() + k - 1
             texts = pa.array([buf[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("a", "h1", "h2", "times")), texts], ["a", "h1", "h2", "times", "piece"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), texts], [*names, "piece"])
 
-    return docs.select("listed", "text").mapInArrow(run, "a long, h1 long, h2 long, times long, piece binary")
+    return docs.select("listed", "text").mapInArrow(run, "a long, o int, h1 long, h2 long, times long, piece binary")
 
 
 def repeated_suffixes(texts: list[bytes], times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -240,100 +245,138 @@ def sort_buckets(kinds: DataFrame, k: int = K) -> DataFrame:
         hit, offset = repeated_suffixes([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), k)
         p, i, n = _runs(hit, offset)
         kind = [pa.array([rows[x][c] for x in p.tolist()], pa.int64()) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*kind, pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))], ["h1", "h2", "i", "n"])
+        return pa.RecordBatch.from_arrays([*kind, pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))], [*KIND, "i", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held, last = 0, None
+        held, last, before = 0, None, None
         for batch in batches:
-            for a, h1, h2, times, piece in zip(*(batch.column(c).to_pylist() for c in ("a", "h1", "h2", "times", "piece"))):
+            for a, h1, h2, times, piece in zip(*(batch.column(c).to_pylist() for c in ("a", *KIND, "times", "piece"))):
+                if (a, h1, h2) == before:
+                    continue  # of a repeated row
                 if a != last and held >= BLOCK_BYTES:
                     yield block(rows)
                     rows, held = [], 0
-                last = a
+                last, before = a, (a, h1, h2)
                 rows.append((h1, h2, times, piece))
                 held += len(piece)
         if rows:
             yield block(rows)
 
-    dealt = kinds.select("a", "h1", "h2", "times", "piece").repartition(lanes(kinds.sparkSession), "a").sortWithinPartitions("a")
+    dealt = kinds.select("a", *KIND, "times", "piece").repartition(lanes(kinds.sparkSession), "a").sortWithinPartitions("a", *KIND)
     return dealt.mapInArrow(run, "h1 long, h2 long, i int, n int")
 
 
-def count_windows(kinds: DataFrame, k: int = K) -> DataFrame:
-    """The same for buckets of any size, by hashes of their windows.
+def stretches(kinds: DataFrame, width: int, k: int = K, whole: bool = False) -> DataFrame:
+    """Pieces ``kinds(a, o, h1, h2, times, piece, todo)`` cut where the distance of their windows from the minimiser passes multiples of ``width``.
 
-    A bucket is dealt out in ``SALTS`` parts, and parts in blocks.  Windows that a block already holds twice
-    are settled there and sent on once; only those that it holds once are sent with their place.
+    todo: an array of (i, n), the runs of windows that are cut.  (h1, h2, i, n, a, s1, s2, times): a run of a piece's windows,
+    the bucket of its core, and the kind of its bytes; ``whole``: with the bytes.
     """
-
-    def block(part: pa.RecordBatch) -> pa.RecordBatch:
-        buf, at = tx.raw(part.column("piece"))
-        start, row = tx.within(at, k)
-        first, second = (tx.span_hash(buf, start, start + k, salt) for salt in (3, 4))
-        _, where, back = np.unique(first ^ tx.mix(second, 5), return_index=True, return_inverse=True)
-        times = part.column("times").to_numpy()[row]
-        total = np.bincount(back, weights=times).astype(np.int64)
-        settled = total[back] > 1
-        piece, offset, length = _runs(row[settled], (start - at[row])[settled])
-        once, group = np.flatnonzero(~settled), np.flatnonzero(total > 1)
-        kind = lambda c: pa.concat_arrays([part.column(c).take(pa.array(piece)), part.column(c).take(pa.array(row[once])), pa.nulls(len(group), pa.int64())])
-        i = np.concatenate([offset, (start - at[row])[once], np.zeros(len(group), np.int64)]).astype(np.int32)
-        n = np.concatenate([length, np.ones(len(once) + len(group), np.int64)]).astype(np.int32)
-        hashed = lambda h: pa.concat_arrays([pa.nulls(len(piece), pa.int64()), pa.array(np.concatenate([h[once], h[where[group]]]).view(np.int64))])
-        count = np.concatenate([np.zeros(len(piece), np.int64), times[once], total[group]])
-        return pa.RecordBatch.from_arrays([kind("h1"), kind("h2"), pa.array(i), pa.array(n), pa.array(count), hashed(first), hashed(second)], ["h1", "h2", "i", "n", "times", "w1", "w2"])
+    out = ["h1", "h2", "i", "n", "a", "s1", "s2", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.blocks(batches, "piece", BLOCK_BYTES):
-            yield block(part)
-
-    dealt = kinds.select("a", "h1", "h2", "times", "piece").repartition(lanes(kinds.sparkSession), "a", F.pmod("h1", F.lit(SALTS))).sortWithinPartitions("a")
-    rows = cut(dealt.select("h1", "h2", "times", "piece").mapInArrow(run, "h1 long, h2 long, i int, n int, times long, w1 long, w2 long"), "windows")
-    twice = rows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
-    placed = rows.where("w1 IS NOT NULL AND h1 IS NOT NULL").join(twice, ["w1", "w2"]).select("h1", "h2", "i", "n")
-    return rows.where("w1 IS NULL").select("h1", "h2", "i", "n").unionByName(placed)
+        for block in tx.blocks(batches, "piece"):
+            buf, at = tx.raw(block.column("piece"))
+            data = buf.tobytes()
+            listed = block.column("todo")
+            row = np.repeat(np.arange(block.num_rows), pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False))
+            flat = listed.flatten()
+            first, n = flat.field("i").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            o = block.column("o").to_numpy().astype(np.int64)[row]
+            # Windows i of a stretch have (o - i) // width in common.
+            high, low = (o - first) // width, (o - first - n + 1) // width
+            count = high - low + 1
+            back = np.repeat(np.arange(len(row)), count)
+            part = high[back] - (np.arange(len(back)) - np.repeat(np.cumsum(count) - count, count))
+            i = np.maximum(first[back], o[back] - (part + 1) * width + 1)
+            z = np.minimum(first[back] + n[back], o[back] - part * width + 1)
+            row, o = row[back], o[back]
+            base = at[:-1][row]
+            core = base + o - part * width
+            c1, c2 = tx.strong_hash(data, core, core + k - width + 1)
+            bucket = tx.mix(c1.view(np.uint64) ^ tx.mix(c2.view(np.uint64) + part.astype(np.uint64), 3), 4).view(np.int64)
+            kind = tx.strong_hash(data, base + i, base + z + k - 1)
+            own = pa.array(row)
+            cols = [*(block.column(c).take(own) for c in KIND), pa.array(i.astype(np.int32)), pa.array((z - i).astype(np.int32)), pa.array(bucket), *map(pa.array, kind), block.column("times").take(own)]
+            if whole:
+                cols.append(pa.array([data[x:y] for x, y in zip((base + i).tolist(), (base + z + k - 1).tolist())], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, [*out, "piece"] if whole else out)
+
+    types = "h1 long, h2 long, i int, n int, a long, s1 long, s2 long, times long" + ", piece binary" * whole
+    return kinds.select("o", *KIND, "times", "piece", "todo").mapInArrow(run, types)
+
+
+def split_buckets(kinds: DataFrame, k: int = K, most: int = MOST_PIECES, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """The same as :func:`sort_buckets` for buckets of any size."""
+    todo = kinds.select(*KIND, F.array(F.struct(F.lit(0).alias("i"), (F.length("piece") - k + 1).alias("n"))).alias("todo")).dropDuplicates(KIND)
+    done = None
+    for width in widths:
+        open_ = kinds.join(todo, KIND)
+        cuts = cut(stretches(open_, width, k), "stretches")
+        alike = cut(cuts.groupBy("s1", "s2", "a").agg(F.sum("times").alias("all"), F.min(F.struct(*KIND, "i", "n")).alias("first")), "stretch-kinds")
+        size = cut(alike.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "stretch-buckets")
+        # One kind in its bucket: its count decides.
+        settled = cuts.join(alike.where("all > 1").join(size, "a", "left_anti").select("s1", "s2"), ["s1", "s2"]).select(*KIND, "i", "n")
+        done = settled if done is None else done.unionByName(settled)
+        # A few kinds: the bucket is sorted.  The kind's first stretch is read again with its bytes.
+        few = alike.join(size.where(F.col("kinds") <= most), "a", "left_semi").select("s1", "s2", "all", "first.*")
+        again = kinds.join(few.groupBy(*KIND).agg(F.collect_list(F.struct("i", "n")).alias("todo")), KIND)
+        texts = stretches(again, width, k, whole=True).select("a", "s1", "s2", "piece").join(few.select("s1", "s2", F.col("all").alias("times")), ["s1", "s2"])
+        runs = cut(sort_buckets(texts.select("a", F.col("s1").alias("h1"), F.col("s2").alias("h2"), "times", "piece"), k), "stretch-runs")
+        listed = runs.groupBy(F.col("h1").alias("s1"), F.col("h2").alias("s2")).agg(F.collect_list(F.struct("i", F.col("n").alias("m"))).alias("runs"))
+        back = cuts.select(*KIND, F.col("i").alias("base"), "s1", "s2").join(listed, ["s1", "s2"]).select(*KIND, "base", F.inline("runs"))
+        done = done.unionByName(back.select(*KIND, (F.col("base") + F.col("i")).alias("i"), F.col("m").alias("n")))
+        crowded = size.where(F.col("kinds") > most).select("a")
+        todo = cut(cuts.join(crowded, "a", "left_semi").groupBy(*KIND).agg(F.collect_list(F.struct("i", "n")).alias("todo")), "crowded-stretches")
+    return done
 
 
 def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PIECES) -> DataFrame:
-    """(doc_id, th, start, bytes): strings of ``docs(doc_id, th, text)`` whose windows of k bytes all start elsewhere too; they may overlap."""
+    """(d1, d2, gone): of ``docs(d1, d2, text)`` the runs (start, bytes) whose windows of k bytes all start elsewhere too; they may overlap."""
     every = cut(anchors(docs, k, g), "anchors")
-    twice = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
+    # Counts are cut so that a hot minimiser may be split in the join.
+    twice = cut(every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "repeated-minimisers")
     own = every.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
-    near = docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["th"] == own["th"])).select(docs["doc_id"], docs["th"], "own", "text")
     # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
-    found = cut(pieces(near, k, g), "pieces")
-    discard(every)
-    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.min(F.struct("doc_id", "th", "start", "n")).alias("at"))
+    found = cut(pieces(docs.join(own, DOC), k, g), "pieces")
+    discard(every, twice)
+    kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("o").alias("o"), F.min(F.struct(*DOC, "start", "n")).alias("at"))
     kinds = cut(kinds, "piece-kinds")
-    listed = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.start", "at.n", "a", "h1", "h2", "times")).alias("listed"))
-    texts = piece_texts(docs.join(listed, docs["doc_id"].eqNullSafe(listed["doc_id"]) & (docs["th"] == listed["th"])), k)
-    crowded = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > most_pieces).select("a"), "crowded-buckets")
-    runs = sort_buckets(texts.join(crowded, "a", "left_anti"), k).unionByName(count_windows(texts.join(crowded, "a", "left_semi"), k))
-    runs = cut(runs, "repeated-runs")
-    discard(kinds, crowded)
-    back = found.select(*DOC, "start", "h1", "h2").join(runs, ["h1", "h2"])
-    return back.select(*DOC, (F.col("start") + F.col("i")).alias("start"), (F.col("n") + k - 1).alias("bytes")).distinct()
+    # A kind whose minimiser owns no other is repeated as a whole, or not at all.
+    several = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "mixed-buckets")
+    alone = kinds.join(several, "a", "left_anti").where("times > 1").select(*KIND, F.lit(0).alias("i"), F.col("at.n").alias("n"))
+    mixed = kinds.join(several, "a", "left_semi")
+    listed = mixed.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("at.start", "at.n", "o", "a", *KIND, "times")).alias("listed"))
+    # Repeated rows give their pieces twice, which are repeated anyhow.
+    texts = piece_texts(docs.join(listed, DOC), k)
+    crowded = several.where(F.col("c") > most_pieces).select("a")
+    runs = alone.unionByName(sort_buckets(texts.join(crowded, "a", "left_anti"), k))
+    if not crowded.isEmpty():
+        runs = runs.unionByName(split_buckets(cut(texts.join(crowded, "a", "left_semi"), "crowded-pieces"), k, most_pieces))
+    runs = cut(runs.groupBy(*KIND).agg(F.collect_set(F.struct("i", "n")).alias("runs")), "repeated-runs")
+    discard(kinds, several)
+    back = found.select(*DOC, "start", *KIND).join(runs, KIND)
+    placed = F.transform("runs", lambda r: F.struct((F.col("start") + r["i"]).alias("start"), (r["n"] + k - 1).alias("bytes")))
+    return back.select(*DOC, placed.alias("placed")).groupBy(*DOC).agg(F.flatten(F.collect_list("placed")).alias("gone"))
 
 
 def remove(docs: DataFrame, gone: DataFrame, *also: str) -> DataFrame:
-    """The columns named in ``also``, n_bytes, n_removed, n_spans and the kept bytes of every row of ``docs(doc_id, th, text)``."""
-    listed = gone.groupBy(*DOC).agg(F.collect_list("start").alias("gone"), F.collect_list("bytes").alias("long"))
-    own = [docs[c] for c in also]
-    both = docs.join(listed, docs["doc_id"].eqNullSafe(listed["doc_id"]) & (docs["th"] == listed["th"]), "left").select(*own, docs["text"], "gone", "long")
-    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in also)
+    """Of every row of ``docs(d1, d2, also ..., text)``: ``own``, a struct of the columns named in ``also``, n_bytes, n_removed, n_spans and the kept bytes."""
+    both = docs.join(gone, DOC, "left").select(F.struct(*also).alias("own"), "text", "gone")
+    types = both.schema["own"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
             buf, at = tx.raw(block.column("text"))
             removed, runs, kept = [], [], []
-            for d, (starts, sizes) in enumerate(zip(block.column("gone"), block.column("long"))):
+            for d, listed in enumerate(block.column("gone")):
                 t = buf[at[d] : at[d + 1]]
-                if starts.is_valid:
+                if listed.is_valid:
                     edge = np.zeros(len(t) + 1, np.int64)
-                    s = starts.values.to_numpy()
+                    s = listed.values.field("start").to_numpy()
                     np.add.at(edge, s, 1)
-                    np.add.at(edge, s + sizes.values.to_numpy(), -1)
+                    np.add.at(edge, s + listed.values.field("bytes").to_numpy(), -1)
                     out = np.cumsum(edge[:-1]) > 0
                     removed.append(int(out.sum()))
                     runs.append(int((out & ~np.append(False, out[:-1])).sum()))
@@ -342,13 +385,13 @@ def remove(docs: DataFrame, gone: DataFrame, *also: str) -> DataFrame:
                     removed.append(0)
                     runs.append(0)
                 kept.append(t.tobytes())
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in also), *(pa.array(x, pa.int64()) for x in (np.diff(at), removed, runs)), pa.array(kept, pa.binary())], [*also, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([block.column("own"), *(pa.array(x, pa.int64()) for x in (np.diff(at), removed, runs)), pa.array(kept, pa.binary())], ["own", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, f"{types}n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, f"own {types}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and removed bytes of every document, and a digest of what is kept."""
-    docs = with_key(table(spark, sf_dir, "documents"))
+    docs = with_key(table(spark, sf_dir, "documents"), "doc_id")
     found = remove(docs, spans(docs), "doc_id")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("own.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -12,14 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
+LONG_SPAN = 128
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 _RANDOM = np.random.default_rng(20_240_607)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
+_BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -31,17 +33,17 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    have = _POWERS.get(kind)
+    have = _POWERS.get("byte")
     if have is None or len(have[0]) < n:
-        base, size = _BASE[kind], max(n, 1 << 16)
+        size = max(n, 1 << 16)
         made = []
-        for b in (base, pow(base, -1, 1 << 64)):
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        have = _POWERS[kind] = tuple(made)
+        have = _POWERS["byte"] = tuple(made)
     return have[0][:n], have[1][:n]
 
 
@@ -85,24 +87,52 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(start, at)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; hashes of different salts are independent."""
-    values = mix(_BYTE, salt) | _U(1) if salt else _BYTE
-    power, back = powers("byte", len(buf) + 1)
+def rolling_hash(buf: np.ndarray, g: int) -> np.ndarray:
+    """A cheap hash of the g bytes from each byte on, for choosing places; equal strings agree, unequal ones may too."""
+    power, back = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
+    np.cumsum(_BYTE[buf] * power[:-1], out=total[1:])
+    return mix((total[g:] - total[:-g]) * back[: max(len(buf) - g + 1, 0)])
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight at a time through the finaliser, XXH3 for spans of more than ``LONG_SPAN``."""
+    size = end - start
+    out = mix(size.astype(np.uint64), 1)
+    if not len(size):
+        return out
+    room = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", room, strides=(1,))
+    live = np.flatnonzero(size <= LONG_SPAN)
+    at, left = start[live], size[live]
+    while len(live):
+        some = left > 0
+        if not some.all():
+            live, at, left = live[some], at[some], left[some]
+        unused = np.maximum(8 - left, 0).astype(np.uint64) * _U(8)
+        out[live] = mix(out[live] * _U(0x9FB21C651E98DF25) ^ (eight[at] << unused), 2)
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]])
+    return out
+
+
+def strong_hash(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit XXH3 of each span's bytes, as two columns of int64."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    got = np.frombuffer(b"".join([digest(view[a:z]) for a, z in zip(start.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(got[:, 0]), np.ascontiguousarray(got[:, 1])
 
 
 def gram_hash(word_hash: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A hash of the n words from each word on; shorter by n - 1, and it runs over text ends."""
-    if len(word_hash) < n:
+    m = len(word_hash) - n + 1
+    if m <= 0:
         return np.zeros(0, np.uint64)
-    h = mix(word_hash, salt) if salt else word_hash
-    power, back = powers("word", len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[:-1], out=total[1:])
-    return mix((total[n:] - total[:-n]) * back[: len(h) - n + 1], salt)
+    h = mix(word_hash[:m], salt)
+    for j in range(1, n):
+        h = mix(h * _U(0xD6E8FEB86659FD93) + word_hash[j : m + j])
+    return h
 
 
 def within(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
