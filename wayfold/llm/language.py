@@ -6,7 +6,8 @@ step scatters into few weights.  Applying it walks all windows of a block of tex
 tables of byte pairs, keeps running maxima, and averages the windows' probabilities by their bytes.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; if nothing is labelled,
-every row is ``und``; a null doc_id is not held out; repeated rows get a row each; texts of any
+every row is ``und``; a null doc_id is not held out; of rows that share a doc_id the least text
+is trained on; repeated rows get a row each; texts of any
 length are walked whole; an empty table gives an empty result; further columns are left out.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .store import table
 
-#: Bound of the sample of labelled documents that the network is trained on.
-TRAINING_ROWS = 3_000
+#: Bounds of the sample of labelled documents that the network is trained on: rows, and bytes of each text.
+TRAINING_ROWS, TRAINING_BYTES = 3_000, 16_384
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -179,11 +180,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Network | None:
+def fit(docs: DataFrame, rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES) -> Network | None:
     """Train on a bounded sample of labelled documents, picked by a hash of the id."""
-    picked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    picked = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").limit(rows).toPandas().sort_values(["doc_id", "text"])
+    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(rows)
+    got = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
     return train([t.encode() for t in got["text"]], list(got["lang"]))
 
 

@@ -6,7 +6,8 @@ labelled like the document.  A document's raw score is the mean of its lines' fo
 marginals weighted by their length; a logistic curve fitted on the training documents calibrates it.
 
 Defined cases: a text without words (null, empty) has no line and gets score 0; without labels of
-both kinds every score is 0.5; a null doc_id is not held out; one very long line is one line;
+both kinds every score is 0.5; documents with contradictory labels are not trained on, of rows that share
+a doc_id the least text is; a null doc_id is not held out; one very long line is one line;
 repeated rows get a row each; an empty table gives an empty result; further columns are left out.
 """
 
@@ -24,8 +25,8 @@ from . import text as tx
 from .language import held_out
 from .store import table
 
-#: Bound of the sample of labelled documents that the field is trained on.
-TRAINING_ROWS = 6_000
+#: Bounds of the sample of labelled documents that the field is trained on: rows, and bytes of each text.
+TRAINING_ROWS, TRAINING_BYTES = 6_000, 16_384
 THRESHOLD = 0.7
 STEPS, RATE = 150, 0.1
 OWN = ["log_words", "word_length", "symbols", "uppers", "digits", "marks", "repeated_line", "unique_words", "repeated_grams", "ends_sentence"]
@@ -203,11 +204,13 @@ def score(docs: DataFrame, field: Field | None, *also: str) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES) -> Field | None:
     """Train on a bounded sample of labelled documents that are not held out, picked by a hash of the id."""
-    picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    picked = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(rows).toPandas().sort_values(["doc_id", "text"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    picked = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
+    got = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
     return train(pa.array(list(got["text"]), pa.string()), got["quality"].to_numpy(int)) if len(got) else None
 
 

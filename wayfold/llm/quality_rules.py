@@ -5,7 +5,7 @@ documents on two thirds of a bounded labelled sample and prunes them on the rest
 turns the ordered list into one Spark conditional expression.
 
 Defined cases: a null or empty text has zero of everything and fails the base rule; repeated
-rows are judged one by one; without labels (or with one class) the list is empty and only the
+rows are judged one by one; documents with contradictory labels teach nothing; without labels (or with one class) the list is empty and only the
 base rule rejects; an empty table gives an empty result; further columns are left out.
 """
 
@@ -60,20 +60,11 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     seen, where = np.unique(own(hashed, doc), return_index=True)
     out["n_unique_words"] = np.bincount(doc[where], minlength=n)
 
-    breaks = np.flatnonzero(buf == 10)
-    holder = np.searchsorted(at, breaks, side="right") - 1
-    line_doc = np.concatenate([np.arange(n), holder])
-    line_start = np.concatenate([at[:-1], breaks + 1])
-    order = np.lexsort((line_start, line_doc))
-    line_doc, line_start = line_doc[order], line_start[order]
-    line_end = np.append(line_start[1:] - 1, len(buf))
-    last = np.append(line_doc[1:] != line_doc[:-1], True)
-    line_end[last] = at[1:][line_doc[last]]
-    out["n_lines"] = np.bincount(line_doc, minlength=n)
-    full = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
-    line_doc, line_start, line_end = line_doc[full], line_start[full], line_end[full]
-    _, where = np.unique(own(tx.span_hash(buf, line_start, line_end), line_doc), return_index=True)
-    out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[where], minlength=n)
+    out["n_lines"] = tx.per_text(buf == 10, at) + 1
+    # Lines are compared as they are, not by a hash.
+    whole = buf.tobytes()
+    lines = ([x for x in whole[a:z].split(b"\n") if x and not x.isspace()] for a, z in zip(at[:-1].tolist(), at[1:].tolist()))
+    out["n_dup_lines"] = np.fromiter((len(x) - len(set(x)) for x in lines), np.int64, n)
 
     begin, holder = tx.within(first, WINDOW)
     grams = own(tx.gram_hash(hashed, WINDOW)[begin], holder)
@@ -168,17 +159,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
     return rules
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """The documents of at most ``rows`` labelled rows, picked by a hash of the id."""
-    picked = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    picked = picked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(rows)
+def sample(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """(doc_id, quality) of at most ``rows`` labelled documents, picked by a hash of the id; documents with contradictory labels are left out."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("most"))
+    return known.where("quality = most").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
-    """Learn the list from the bounded labelled sample."""
-    got = features(statistics(sample(docs, labels, rows), "quality")).select("doc_id", "quality", *FEATURES).toPandas()
-    got = got.sort_values(["doc_id", *FEATURES]).reset_index(drop=True)
+    """Learn the list from the bounded labelled sample; of rows that share a doc_id the one with the least counts."""
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample(labels, rows)), "doc_id")
+    numbers = features(statistics(drawn, "quality")).groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("x"))
+    got = numbers.select("doc_id", "x.*").toPandas().sort_values("doc_id").reset_index(drop=True)
     if got.empty or got["quality"].nunique() < 2:
         return []
     return learn({c: got[c].to_numpy(float) for c in FEATURES}, got["quality"].to_numpy() == 0)
