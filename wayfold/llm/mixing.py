@@ -1,130 +1,122 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame operations only).
 
-Each source's documents, in a hash order, form blocks.  A source of weight w = c / T releases its
-block ``j`` at ``floor(j T / c)`` with deadline ``ceil((j + 1) T / c)``; earliest deadline first among
-released blocks meets every deadline, so after any slot each source is less than one block away from
-its target.  ``T`` is ``FINE`` times ``period``, far beyond any number of blocks, so that the shares are the
-weights.  When a source has no blocks left the others go on, with their weights rescaled, so that no
-row is dropped.
-
-The driver computes the schedule from counts, a number for each block.  Ranks come from counts of (source, hash bucket) and a window inside a
-bucket, so a hot source is spread over ``BUCKETS`` tasks.
-
-Defined cases: a null source is a source of its own; a null doc_id is ranked with the others;
-repeated rows each take a place; every source has a lane of its own;
-an empty table gives an empty result; clashing further columns are replaced by the operator's.
+Each source's documents, in a hash order, form blocks of equal size.  A fluid mixture serves every source at
+the rate of its weight among the sources that are not served up yet; block ``j`` of a source is released when
+the fluid has served ``j`` of its blocks and due when it has served ``j + 1``, rounded outwards to whole slots.
+The fluid itself shows that all blocks can meet their windows, so earliest deadline first among released
+blocks does; after any slot each source is less than one block away from its target.  Releases and deadlines
+are exact: weights are taken as the fractions that they are.
+
+The driver computes the schedule from the sources' counts.  A block has one ``BLOCKS``-th of all rows, so there
+are ``BLOCKS`` blocks and one for each source at most, whatever the number of rows.  Ranks come from counts of
+(source, hash bucket) and a window inside a bucket, so a hot source is spread over ``BUCKETS`` tasks.
+
+Defined cases: a null source is a source of its own; a null doc_id is ranked with the others; rows are ordered
+by a hash of all columns, and rows that are equal in all take a place each; every source has a lane of its own;
+sources of weight zero follow all others, each like any other; a negative weight, or one that is no number, is
+an error; an empty table gives an empty result; the operator's columns replace further ones of their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
+from fractions import Fraction
+from itertools import accumulate
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import spare, table
 
-#: Buckets' counts are broadcast up to this number of sources; beyond it the join shuffles.
-BROADCAST_SOURCES = 64
-PERIOD = 1024
-#: Parts of a slot of a cycle that shares are whole numbers of.
-FINE = 1 << 40
-BLOCK = 16
+BLOCKS = 1 << 16
 BUCKETS = 1024
-
-
-def shares(weights: dict[int, float], period: int) -> dict[int, int]:
-    """Whole numbers of slots of a cycle, one at least, by largest remainders."""
-    total = sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))
-    while sum(out.values()) < period:
-        for k in order[: period - sum(out.values())]:
-            out[k] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda k: (out[k] - exact[k] if out[k] > 1 else -period, k))] -= 1
+#: Tables with a row for each source are broadcast up to this number of sources, those with one for each bucket up to fewer.
+BROADCAST_SOURCES, BROADCAST_BUCKETS = 100_000, 64
+
+
+def windows(blocks: dict[int, int], weights: dict[int, float]) -> dict[int, list[tuple[int, int]]]:
+    """Release and deadline slot of every block of every source; weights are positive."""
+    exact = {k: Fraction(weights[k]) for k in blocks}
+    # The fluid serves a source up when its virtual time is n / w.
+    ends = sorted((n / exact[k], k) for k, n in blocks.items())
+    at = [e for e, _ in ends]
+    served = [0, *accumulate(blocks[k] for _, k in ends)]
+    rate = [Fraction(0), *accumulate(exact[k] for _, k in reversed(ends))][::-1]
+
+    def slot(v: Fraction) -> Fraction:
+        i = bisect_right(at, v)
+        return served[i] + v * rate[i]
+
+    out = {}
+    for k, n in blocks.items():
+        edge = [slot(j / exact[k]) for j in range(n + 1)]
+        out[k] = [(x.numerator // x.denominator, -(-y.numerator // y.denominator)) for x, y in zip(edge, edge[1:])]
     return out
 
 
-def schedule(share: dict[int, int], period: int, left: dict[int, int]) -> dict[int, list[int]]:
-    """Slots of each one's blocks, earliest deadline first among the released, until one has no blocks left."""
-    coming, ready = [], []
-
-    def release(k: int, j: int) -> None:
-        heapq.heappush(coming, (j * period // share[k], -(-(j + 1) * period // share[k]), k))
-
-    for k in share:
-        release(k, 0)
-    out: dict[int, list[int]] = {k: [] for k in share}
-    slot = 0
-    while True:
-        while coming and coming[0][0] <= slot:
-            heapq.heappush(ready, heapq.heappop(coming)[1:])
-        deadline, k = heapq.heappop(ready)
-        assert slot < deadline
-        out[k].append(slot)
-        slot += 1
-        if len(out[k]) == left[k]:
-            return out
-        release(k, len(out[k]))
-
-
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int) -> list[tuple]:
-    """(lane, first block, last block + 1, first slot, share, shares in all, slots) of every stretch between exhaustions."""
-    left, done, base, out = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        period = max(period, len(left))
-        share = shares({k: weights[k] for k in left}, period * FINE)
-        places = schedule(share, period * FINE, left)
-        used = {k: len(x) for k, x in places.items()}
-        out += [(k, done[k], done[k] + used[k], base, share[k], period * FINE, places[k]) for k in left if used[k]]
-        base += sum(used.values())
-        for k, n in used.items():
-            done[k] += n
-            left[k] -= n
-        left = {k: n for k, n in left.items() if n}
+def schedule(blocks: dict[int, int], weights: dict[int, float]) -> dict[int, list[int]]:
+    """The slot of every block: earliest deadline first among the released."""
+    out: dict[int, list[int]] = {k: [] for k in blocks}
+    base = 0
+    for some in ({k: w for k, w in weights.items() if w > 0}, {k: 1.0 for k, w in weights.items() if w == 0}):
+        window = windows({k: blocks[k] for k in some}, some)
+        coming = [(w[0][0], w[0][1], k, 0) for k, w in window.items() if w]
+        heapq.heapify(coming)
+        ready: list[tuple[int, int, int]] = []
+        slots = sum(map(len, window.values()))
+        for slot in range(slots):
+            while coming and coming[0][0] <= slot:
+                heapq.heappush(ready, heapq.heappop(coming)[1:])
+            deadline, k, j = heapq.heappop(ready)
+            assert slot < deadline
+            out[k].append(base + slot)
+            if j + 1 < len(window[k]):
+                heapq.heappush(coming, (*window[k][j + 1], k, j + 1))
+        base += slots
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block: int | None = None) -> DataFrame:
     """``docs`` with mix_slot (the block's place) and mix_order (a place of its own for each row).
 
     weights: target weight by source; a source that it does not name gets the mean of those named.
     Without weights a source's target is its number of rows to the power ``alpha``.
+    block: rows of a block; by default a ``BLOCKS``-th of all rows.
     """
     spark = docs.sparkSession
-    counts = docs.groupBy("source").count().orderBy(F.desc("count"), "source").collect()
-    lane_of = [(r["source"], k, r["count"]) for k, r in enumerate(counts)]
-    if not lane_of:
+    if weights and not all(0 <= w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be numbers of zero or more")
+    own = [c for c in docs.columns if c.lower() not in ("mix_slot", "mix_order")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    lanes = [(r["source"], k, r["count"]) for k, r in enumerate(docs.groupBy("source").count().orderBy(F.desc("count"), "source").collect())]
+    if not lanes:
         return docs.withColumns({"mix_slot": F.lit(0).cast("long"), "mix_order": F.lit(0).cast("long")})
-    kind = docs.schema["source"].dataType.simpleString()
-    lane_df = spark.createDataFrame([(source, k) for source, k, _ in lane_of], f"_source {kind}, _lane int")
-    spread = F.xxhash64(F.col("doc_id"), F.col("source"))
-    ranked = docs.join(F.broadcast(lane_df), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumns({"_hash": spread, "_bucket": F.shiftrightunsigned(spread, 64 - BUCKETS.bit_length() + 1).cast("int")})
-    by_bucket = ranked.groupBy("_lane", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_lane").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most BUCKETS rows of three numbers for each source.
-    base = by_bucket.select("_lane", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_lane", "_bucket").orderBy("_hash", "doc_id"))
-    ranked = ranked.withColumn("_place", place - 1).join(F.broadcast(base) if len(lane_of) <= BROADCAST_SOURCES else base, ["_lane", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place")).withColumn("_k", F.floor(F.col("_rank") / block))
-
-    rows = {k: n for _, k, n in lane_of}
+    block = block or -(-sum(n for _, _, n in lanes) // BLOCKS)
     if weights:
         rest = sum(weights.values()) / len(weights)
-        target = {k: weights.get(source, rest) for source, k, _ in lane_of}
+        target = {k: weights.get(source, rest) for source, k, _ in lanes}
     else:
-        target = {k: max(n, 1) ** alpha for k, n in rows.items()}
-    plan = phases({k: -(-n // block) for k, n in rows.items()}, target, period)
-    # A row for each block.
-    lists = [np.concatenate(x) for x in zip(*((np.full(z - a, k), np.arange(a, z), np.array(o) + s) for k, a, z, s, _, _, o in plan))]
-    plan_df = spark.createDataFrame(pa.table(dict(zip(("l", "b", "_slot"), (pa.array(x, pa.int64()) for x in lists)))))
-    found = ranked.join(plan_df, (F.col("_lane") == F.col("l")) & (F.col("_k") == F.col("b")))
-    own = [c for c in docs.columns if c not in ("mix_slot", "mix_order")]
-    return found.select(*own, F.col("_slot").alias("mix_slot"), (F.col("_slot") * block + F.col("_rank") % block).alias("mix_order"))
+        target = {k: n**alpha for _, k, n in lanes}
+    places = schedule({k: -(-n // block) for _, k, n in lanes}, target)
+
+    name, lane, hashed, bucket, before, rank, slot, number = spare(docs, "name", "lane", "hash", "bucket", "before", "rank", "slot", "number")
+    few = F.broadcast if len(lanes) <= BROADCAST_SOURCES else (lambda x: x)
+    kind = docs.schema["source"].dataType.simpleString()
+    known = spark.createDataFrame([(source, k) for source, k, _ in lanes], f"`{name}` {kind}, `{lane}` int")
+    spread = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    ranked = docs.join(few(known), F.col("source").eqNullSafe(F.col(name))).drop(name).withColumn(hashed, spread).withColumn(bucket, F.shiftrightunsigned(hashed, 65 - BUCKETS.bit_length()).cast("int"))
+    # At most BUCKETS rows of three numbers for each source.
+    sizes = ranked.groupBy(lane, bucket).agg(F.count("*").alias(number))
+    earlier = Window.partitionBy(lane).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(lane, bucket, F.coalesce(F.sum(number).over(earlier), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(lane, bucket).orderBy(hashed, "doc_id")) - 1
+    ranked = ranked.withColumn(rank, place).join(F.broadcast(base) if len(lanes) <= BROADCAST_BUCKETS else base, [lane, bucket])
+    ranked = ranked.withColumn(rank, F.col(before) + F.col(rank)).withColumn(number, F.floor(F.col(rank) / block).cast("int"))
+    # A row for each block: BLOCKS, and one for each source, at most.
+    plan = spark.createDataFrame(list(places.items()), f"`{lane}` int, slots array<long>").select(lane, F.posexplode("slots").alias(number, slot))
+    found = ranked.join(few(plan), [lane, number])
+    return found.select(*[F.col(f"`{c}`") for c in own], F.col(slot).alias("mix_slot"), (F.col(slot) * block + F.col(rank) % block).alias("mix_order"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
