@@ -1,51 +1,58 @@
 """Benchmark decontamination: CGK embedding, bit sampling, exact edit verification.
 
-Texts are folded (ASCII lower case, white space runs to one space).  Windows of ``WINDOW`` bytes
-begin at content-chosen words: of every ``SPREAD`` neighbouring words the one whose hash is least, so
-that an item and a copy of it choose alike wherever the copy is unedited, and every item has a window.
-A CGK walk reads a window at its pointer and moves on by a random bit that depends on the step and the
-byte read; the string of bytes read has small Hamming distance where the edit distance was small.
-``WALKS`` walks with ``SAMPLES`` bit samples of ``BITS`` places each make the keys.  A document's windows
-that begin with the word of some item's window, and whose keys pass a Bloom filter of fixed size become regions; keys meet in an equality join; each
-(region, item) pair is verified by the exact edit distance between the item and its best match.
+Texts are folded (ASCII lower case, white space runs to one space).  A window begins at every word of every
+item and of every document.  A CGK walk reads a window at its pointer and moves on by a random bit that
+depends on the step and the byte read; the ``STEPS`` bytes read have small Hamming distance where the edit
+distance was small, and differ in runs, until the pointers meet again.  A bit sample leaves out ``GAP`` places that
+follow each other; samples stand so close that any run of ``RUN`` places is left out by one: walks that differ
+in one such run agree in some sample for certain.  Windows are a walk long, not an item: an item has one at every
+word, and one that agrees is enough; of walks over a whole item with edits in a fifth of its bytes no number
+of samples would agree.
+
+Keys of documents pass a Bloom filter of the items' keys; those that do become regions, which meet the items in
+an equality join, and each (region, item) pair is verified by the exact edit distance between the item and its
+best match about the places where windows agree.
 
 Items are also indexed by their runs of ``GRAM`` tokens (letters, digits and bytes beyond ASCII), all their
 tokens where they have fewer: an exact copy that stands on token boundaries has them all, however short it is.
 
-Defined cases: null and empty texts and items match nothing; items of fewer words than ``SPREAD`` have
-one window; a null doc_id or item_id is kept as null; repeated rows count as one pair; texts of any length
-are walked whole; an empty table on either side gives an empty result; further columns are left out.
+Defined cases: null and empty texts and items match nothing; a null doc_id or item_id is kept as null; repeated
+rows count as one pair, the best; of items that share an id each counts; texts of any length are walked whole, and a
+document full of hits is cut into regions of ``REGION`` reaches at most, which overlap; ties between matches do not
+show, as the distance is all that is told; an empty table on either side gives an empty result; further
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut, table
+from .store import cut, identity, table
 
-WINDOW = 48
-STEPS = 2 * WINDOW
-WALKS, SAMPLES, BITS = 5, 6, 8
-SPREAD = 6
+STEPS, GAP, RUN, WALKS = 34, 8, 6, 1
+#: Where samples leave places out.
+OUT = [*range(0, STEPS - GAP, GAP - RUN + 1), STEPS - GAP]
 GRAM = 4
-#: Shorter words (in bytes) are chosen only where there is no longer one: long words tell places apart.
-LONG_WORD = 7
 SIMILARITY = 0.8
-#: The Bloom filter has so many bits, however many items there are.
-FILTER_BITS = 24
+#: Bits of the Bloom filter for each key, its probes, and the most bits (as a power of two).
+FILTER_SHARE, PROBES, MOST_FILTER_BITS, COARSE_BITS = 64, 4, 26, 21
+#: A region is so many times as long as the longest item may reach, at most.
+REGION = 8
 #: Item keys are broadcast up to this number of rows (counted first); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 _RANDOM = np.random.default_rng(99)
-_MOVE = _RANDOM.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int64)
-#: Samples are of steps past the first word, which is compared whole.
-_PLACES = np.stack([[np.sort(_RANDOM.choice(np.arange(2 * LONG_WORD, STEPS), BITS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+_MOVE = _RANDOM.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int32)
+#: A place's byte counts by this factor.
+_FACTOR = _RANDOM.integers(1, 2**63, (WALKS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 4096
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[tx.SPACE] = 32
@@ -68,50 +75,25 @@ def fold(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b, np.zeros(STEPS, np.uint8)]), at
 
 
-def starts(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words at which windows begin, and those words' hashes."""
-    start, end, first = tx.words(buf[: begin[-1]], begin)
-    if not len(start):
-        return start, np.zeros(0, np.uint64)
-    order = tx.mix(tx.span_hash(buf, start, end), 21) >> np.uint64(1) | (end - start < LONG_WORD).astype(np.uint64) << np.uint64(63)
-    # The least of each run of SPREAD words of a text, the first of equals; of shorter texts the least word.
-    at, least, width = np.arange(len(order)), order, 1
-    while width < SPREAD:
-        step = min(width, SPREAD - width)
-        right = least[step:] < least[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        least = np.where(right, least[step:], least[:-step])
-        width += step
-    best = at[tx.within(first, SPREAD)[0]]
-    size = np.diff(first)
-    few = np.flatnonzero((size > 0) & (size < SPREAD))
-    if len(few):
-        own = np.concatenate([np.arange(first[d], first[d + 1]) for d in few])
-        head = np.cumsum(size[few]) - size[few]
-        low = np.repeat(np.minimum.reduceat(order[own], head), size[few])
-        same = np.flatnonzero(order[own] == low)
-        _, one = np.unique(np.repeat(np.arange(len(few)), size[few])[same], return_index=True)
-        best = np.concatenate([best, own[same[one]]])
-    best = np.unique(best)
-    return start[best], tx.mix(order[best], 22)
-
-
-def keys(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of the windows at ``at`` that begin with ``word``: an array of (windows, WALKS * SAMPLES)."""
-    out = np.empty((len(at), WALKS * SAMPLES), np.uint64)
-    for w in range(WALKS):
-        taken = [set(_PLACES[w, s].tolist()) for s in range(SAMPLES)]
-        acc = [word + np.uint64(w * SAMPLES + s + 1) for s in range(SAMPLES)]
-        pos = at.copy()
-        c, move = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
-        for j in range(int(_PLACES[w].max()) + 1):
-            np.take(buf, pos, out=c, mode="clip")
-            for s in range(SAMPLES):
-                if j in taken[s]:
-                    acc[s] = acc[s] * np.uint64(0x100000001B3) + c
-            pos += np.take(_MOVE[w, j], c, out=move, mode="clip")
-        for s in range(SAMPLES):
-            out[:, w * SAMPLES + s] = tx.mix(acc[s], 5)
+def keys(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the windows at ``at``: an array of (windows, WALKS * len(OUT))."""
+    out = np.empty((len(at), WALKS * len(OUT)), np.uint64)
+    for a in range(0, len(at), _CHUNK):
+        part = at[a : a + _CHUNK]
+        # Sums of the places before each step: a sample is the whole without the places it leaves out.
+        before = np.zeros((STEPS + 1, len(part)), np.uint64)
+        byte, term, move = np.empty(len(part), np.uint8), np.empty(len(part), np.uint64), np.empty(len(part), np.int32)
+        for w in range(WALKS):
+            pos = part.astype(np.int32)
+            for j in range(STEPS):
+                np.take(buf, pos, out=byte, mode="clip")
+                np.multiply(byte, _FACTOR[w, j], out=term, casting="unsafe")
+                np.add(before[j], term, out=before[j + 1])
+                np.take(_MOVE[w, j], byte, out=move, mode="clip")
+                pos += move
+            for s, o in enumerate(OUT):
+                key = before[STEPS] - before[o + GAP] + before[o]
+                out[a : a + len(part), w * len(OUT) + s] = tx.mix(key, w * len(OUT) + s + 1)
     return out
 
 
@@ -128,78 +110,82 @@ def grams(buf: np.ndarray, begin: np.ndarray, sizes: list[int]) -> tuple[np.ndar
     return np.concatenate(pos), np.concatenate(key), np.concatenate(size), np.diff(first)
 
 
-def _probes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return (key & mask).astype(np.int64), (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def item_keys(items: DataFrame) -> DataFrame:
-    """item (the folded bytes), item_id, and a row for each of its windows' first word and keys; gram is 0, or the tokens of a key of a run."""
+    """(i1, i2, key, off, gram) of ``items(i1, i2, text)``: the keys of an item's windows and runs, and where in it these begin; gram is 0, or the tokens of a key of a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tx.blocks(batches, "text", 1 << 18):
+        for block in tx.blocks(batches, "text", 1 << 16):
             buf, begin = fold(*tx.raw(block.column("text")))
-            at, word = starts(buf, begin)
+            at = tx.words(buf[: begin[-1]], begin)[0]
             if not len(at):
                 continue
-            found = keys(buf, at, word)
-            word = np.repeat(word.view(np.int64), found.shape[1])
-            row = np.repeat(np.searchsorted(begin, at, side="right") - 1, found.shape[1])
+            found = keys(buf, at)
             pos, run_key, size, tokens = grams(buf, begin, list(range(1, GRAM + 1)))
-            holder = np.searchsorted(begin, pos, side="right") - 1
-            own = size == np.minimum(tokens[holder], GRAM)
-            run_key = run_key[own].view(np.int64)
-            row, word = np.concatenate([row, holder[own]]), np.concatenate([word, run_key])
-            key = np.concatenate([found.ravel().view(np.int64), run_key])
-            gram = np.concatenate([np.zeros(found.size, np.int64), size[own]])
-            got = pa.table({"row": row, "word": word, "key": key, "gram": gram}).group_by(["row", "word", "key", "gram"]).aggregate([])
-            folded = [buf[a:z].tobytes().strip() for a, z in zip(begin[:-1], begin[1:])]
-            which = got.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([block.column("item_id").take(pa.array(which)), pa.array([folded[i] for i in which], pa.binary()), *(got.column(c).combine_chunks() for c in ("word", "key", "gram"))], ["item_id", "item", "word", "key", "gram"])
-
-    kept = items.select("item_id", "text")
-    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, item binary, word long, key long, gram long")
-
-
-def regions(docs: DataFrame, passes: np.ndarray, longest: int, sizes: list[int], *also: str) -> DataFrame:
-    """Stretches of documents around windows, and runs of ``sizes`` tokens, that pass the filter, with their keys."""
-    reach = longest + longest // 4 + WINDOW
-    kept = docs.select(*also, "text")
-    types = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in also)
+            own = size == np.minimum(tokens[np.searchsorted(begin, pos, side="right") - 1], GRAM)
+            at = np.concatenate([np.repeat(at, found.shape[1]), pos[own]])
+            key = np.concatenate([found.ravel(), run_key[own]]).view(np.int64)
+            gram = np.concatenate([np.zeros(found.size, np.int32), size[own].astype(np.int32)])
+            row = np.searchsorted(begin, at, side="right") - 1
+            head = np.array([len(x) - len(x.lstrip()) for x in (buf[a:z].tobytes() for a, z in zip(begin[:-1], begin[1:]))])
+            off = (at - begin[row] - head[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(row)) for c in ("i1", "i2")), pa.array(key), pa.array(off), pa.array(gram)], ["i1", "i2", "key", "off", "gram"])
+
+    return items.select("i1", "i2", "text").mapInArrow(run, "i1 long, i2 long, key long, off int, gram int").dropDuplicates(["i1", "i2", "key", "off"])
+
+
+def folded(items: DataFrame) -> DataFrame:
+    """(i1, i2, item_id, item): every item's folded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tx.blocks(batches, "text"):
+            buf, begin = fold(*tx.raw(block.column("text")))
+            text = [buf[a:z].tobytes().strip() for a, z in zip(begin[:-1], begin[1:])]
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("i1", "i2", "item_id")), pa.array(text, pa.binary())], ["i1", "i2", "item_id", "item"])
+
+    return items.select("i1", "i2", "item_id", "text").mapInArrow(run, f"i1 long, i2 long, item_id {items.schema['item_id'].dataType.simpleString()}, item binary")
+
+
+def regions(docs: DataFrame, passes: tuple[np.ndarray, np.ndarray], bits: int, reach: int, sizes: list[int]) -> DataFrame:
+    """(doc_id, hits, region): stretches of documents about windows, and runs of ``sizes`` tokens, that pass the filter, with their keys and places."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(passes).astype(bool)
+        known, coarse = (np.unpackbits(x, bitorder="little").view(bool) for x in passes)
         for block in tx.blocks(batches, "text"):
             buf, begin = fold(*tx.raw(block.column("text")))
-            at, word = starts(buf, begin)
-            # A copy's window begins at the item's word; walks elsewhere are wasted.
-            one, two = _probes(word)
-            known = bits[one] & bits[two]
-            at, word = at[known], word[known]
-            every = keys(buf, at, word).ravel()
-            pos = np.repeat(at, WALKS * SAMPLES)
+            at = tx.words(buf[: begin[-1]], begin)[0]
+            key = keys(buf, at).ravel()
+            pos = np.arange(len(key)) // (WALKS * len(OUT))
             if sizes:
                 run_pos, run_key, _, _ = grams(buf, begin, sizes)
-                every, pos = np.concatenate([every, run_key]), np.concatenate([pos, run_pos])
-            one, two = _probes(every)
-            hit = np.flatnonzero(bits[one])
-            hit = hit[bits[two[hit]]]
+                key = np.concatenate([key, run_key])
+            # A small table of the keys' highest bits, which fits a core's cache, lets few others on to the filter.
+            hit = np.flatnonzero(coarse[(key >> np.uint64(64 - COARSE_BITS)).view(np.int64)])
+            for p in range(PROBES):
+                hit = hit[known[((key[hit] >> np.uint64(9 * p)) & np.uint64((1 << bits) - 1)).view(np.int64)]]
             if not len(hit):
                 continue
-            hit = hit[np.argsort(pos[hit], kind="stable")]
-            key, pos = every[hit].view(np.int64), pos[hit]
-            doc = np.searchsorted(begin, pos, side="right") - 1
-            fresh = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > reach))
-            cuts = np.append(np.flatnonzero(fresh), len(pos))
+            place = np.concatenate([at[pos[hit[hit < len(pos)]]], run_pos[hit[hit >= len(pos)] - len(pos)]]) if sizes else at[pos[hit]]
+            order = np.argsort(place, kind="stable")
+            key, place = key[hit][order].view(np.int64), place[order]
+            doc = np.searchsorted(begin, place, side="right") - 1
+            # A region ends where the next hit is far, or after REGION reaches; what is cut overlaps by twice the reach.
             rows, lists, texts = [], [], []
+            far = np.append(True, (doc[1:] != doc[:-1]) | (np.diff(place) > reach))
+            cuts = np.append(np.flatnonzero(far), len(place))
             for a, z in zip(cuts[:-1], cuts[1:]):
                 d = doc[a]
-                rows.append(d)
-                lists.append(np.unique(key[a:z]))
-                texts.append(buf[max(begin[d], pos[a] - reach) : min(begin[d + 1], pos[z - 1] + reach)].tobytes())
-            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(rows)) for c in also), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.binary())], [*also, "keys", "region"])
+                while a < z:
+                    stop = int(np.searchsorted(place[a:z], place[a] + REGION * reach)) + a
+                    low, high = max(begin[d], place[a] - reach), min(begin[d + 1], place[stop - 1] + reach)
+                    rows.append(d)
+                    lists.append([{"key": k, "at": x} for k, x in zip(key[a:stop].tolist(), (place[a:stop] - low).tolist())])
+                    texts.append(buf[low:high].tobytes())
+                    a = stop
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(rows)), pa.array(lists, kind), pa.array(texts, pa.binary())], ["doc_id", "hits", "region"])
 
-    return kept.mapInArrow(run, f"{types}, keys array<long>, region binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, hits array<struct<key:long,at:int>>, region binary")
 
 
 def best_match(item: bytes, region: bytes, most: int) -> int:
@@ -211,8 +197,9 @@ def best_match(item: bytes, region: bytes, most: int) -> int:
     places: dict[int, int] = {}
     for i, c in enumerate(item):
         places[c] = places.get(c, 0) | 1 << i
-    plus, minus, score, best = full, 0, m, m
+    plus, minus, score, best, left = full, 0, m, m, len(region)
     for c in region:  # Myers' bit vectors
+        left -= 1
         eq = places.get(c, 0)
         x = eq | minus
         d = (((x & plus) + plus) ^ plus) | x
@@ -228,41 +215,106 @@ def best_match(item: bytes, region: bytes, most: int) -> int:
         minus = up & d
         if score < best:
             best = score
+        elif score - left > most:
+            break  # no later place can be near enough
     return min(best, most + 1)
 
 
+def best_matches(items: list[bytes], regions_: list[bytes]) -> np.ndarray:
+    """:func:`best_match` of many pairs, without a bound: Myers' bit vectors in blocks of 64, all pairs of as many blocks step together."""
+    out = np.array([len(i) for i in items])
+    one, high = np.uint64(1), np.uint64(63)
+    of: dict[int, list[int]] = {}
+    for p, i in enumerate(items):
+        if i:
+            of.setdefault(-(-len(i) // 64), []).append(p)
+    for blocks_, pairs in of.items():
+        pairs.sort(key=lambda p: -len(regions_[p]))
+        known = {t: k for k, t in enumerate(dict.fromkeys(items[p] for p in pairs))}
+        places = np.zeros((len(known), 256, blocks_), np.uint64)
+        for t, k in known.items():
+            at, byte = np.arange(len(t)), np.frombuffer(t, np.uint8)
+            np.bitwise_or.at(places[k], (byte, at // 64), one << (at % 64).astype(np.uint64))
+        which = np.array([known[items[p]] for p in pairs])
+        size = np.array([len(regions_[p]) for p in pairs])
+        text = np.zeros((len(pairs), max(int(size[0]), 1)), np.uint8)
+        for k, p in enumerate(pairs):
+            text[k, : size[k]] = np.frombuffer(regions_[p], np.uint8)
+        length = np.array([len(items[p]) for p in pairs])
+        top = ((length - 1) % 64).astype(np.uint64)
+        plus, minus = np.full((blocks_, len(pairs)), ~np.uint64(0)), np.zeros((blocks_, len(pairs)), np.uint64)
+        score, best = length.copy(), length.copy()
+        n = len(pairs)
+        for j in range(text.shape[1]):
+            n = int(np.searchsorted(-size[:n], -j, side="left"))
+            eqs = places[which[:n], text[:n, j]]
+            up, down = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # carried from the block below
+            for b in range(blocks_):
+                eq, p, m = eqs[:, b], plus[b, :n], minus[b, :n]
+                x = eq | m
+                eq = eq | down
+                d = (((eq & p) + p) ^ p) | eq
+                grow, fall = m | ~(d | p), p & d
+                last = top[:n] if b == blocks_ - 1 else high
+                next_up, next_down = (grow >> last) & one, (fall >> last) & one
+                grow, fall = (grow << one) | up, (fall << one) | down
+                plus[b, :n], minus[b, :n] = fall | ~(x | grow), grow & x
+                up, down = next_up, next_down
+            score[:n] += up.astype(np.int64) - down.astype(np.int64)
+            np.minimum(best[:n], score[:n], out=best[:n])
+        out[pairs] = best
+    return out
+
+
+def _packed(bit: Column, of: DataFrame, bits: int) -> np.ndarray:
+    """A packed table of 2 ** ``bits`` bits with those of the column set; words of 64 bits come to the driver."""
+    word = of.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
+    got = word.groupBy("word").agg(F.bit_or("one").alias("ones")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["word"].to_numpy()] = got["ones"].to_numpy()
+    return out.view(np.uint8)
+
+
+def bloom(listed: DataFrame, n: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The filter of the keys of ``listed`` and the coarse table before it, packed, and the filter's bits as a power of two, MOST_FILTER_BITS at most."""
+    bits = min(MOST_FILTER_BITS, max(16, (FILTER_SHARE * n).bit_length()))
+    probe = F.explode(F.array(*[F.shiftrightunsigned("key", 9 * p).bitwiseAND(F.lit((1 << bits) - 1)) for p in range(PROBES)]))
+    return (_packed(probe, listed, bits), _packed(F.shiftrightunsigned("key", 64 - COARSE_BITS), listed, COARSE_BITS)), bits
+
+
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, item_bytes, edits, similarity) of every document and item that it holds a near copy of."""
     spark = docs.sparkSession
+    items = items.select("item_id", "text", *(h.alias(c) for h, c in zip(identity("item_id", "text"), ("i1", "i2")))).dropDuplicates(["i1", "i2"])
     listed = cut(item_keys(items), "item-keys")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    mask = (1 << FILTER_BITS) - 1
-    probes = lambda c: F.array(F.col(c).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(c, 64 - FILTER_BITS))
-    probe = F.concat(probes("key"), probes("word"))
-    # At most 2 ** FILTER_BITS numbers.
-    set_bits = listed.select(F.explode(probe).alias("bit")).distinct().select(F.col("bit").cast("int")).toPandas()["bit"].to_numpy()
-    bits[set_bits] = True
-    size = listed.agg(F.max(F.length("item")).alias("longest"), F.count("*").alias("n")).first()
-    if not size["n"]:
-        return spark.createDataFrame([], f"doc_id {id_type}, item_id {items.schema['item_id'].dataType.simpleString()}, item_bytes int, edits int, similarity double")
+    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    known = cut(folded(items), "items")
+    n = listed.count()
+    if not n:
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, item_bytes int, edits int, similarity double")
+    longest = known.agg(F.max(F.length("item"))).first()[0]
     sizes = sorted(r["gram"] for r in listed.where("gram > 0").select("gram").distinct().collect())
-    found = regions(docs, np.packbits(bits), size["longest"], sizes, "doc_id").withColumn("rid", F.xxhash64("doc_id", "region"))
-    found = cut(found, "regions")
-    few = F.broadcast if size["n"] <= BROADCAST_ROWS else (lambda x: x)
-    pairs = found.select("rid", F.explode("keys").alias("key")).join(few(listed.select("key", "item_id", "item")), "key")
-    pairs = pairs.select("rid", "item_id", "item").distinct()
-    pairs = found.select("rid", "doc_id", "region").join(pairs, "rid").select("doc_id", "item_id", "item", "region")
+    reach = longest + ceil((1 - similarity) * longest) + STEPS
+    found = cut(regions(docs, *bloom(listed, n), reach, sizes).withColumn("rid", F.xxhash64("doc_id", "region")).withColumn("rid2", F.xxhash64(F.lit(1), "doc_id", "region")), "regions")
+    few = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
+    rid = ["rid", "rid2"]
+    met = found.select(*rid, F.inline("hits")).join(few(listed.select("key", "i1", "i2", "off")), "key")
+    # Where the item would begin in the region, by the hits that agree.
+    pairs = met.groupBy(*rid, "i1", "i2").agg(F.min(F.col("at") - F.col("off")).alias("first"), F.max(F.col("at") - F.col("off")).alias("last"))
+    pairs = pairs.join(known, ["i1", "i2"])
+    pairs = found.dropDuplicates(rid).select(*rid, "doc_id", "region").join(pairs, rid).select("doc_id", "i1", "i2", "item_id", "item", "region", "first", "last")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edits = []
-            for item, region in zip(batch.column("item").to_pylist(), batch.column("region").to_pylist()):
-                edits.append(best_match(item, region, int((1 - similarity) * len(item))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array([len(i) for i in batch.column("item").to_pylist()], pa.int32()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "item_bytes", "edits"])
-
-    item_type = items.schema["item_id"].dataType.simpleString()
-    checked = pairs.mapInArrow(verify, f"doc_id {id_type}, item_id {item_type}, item_bytes int, edits int")
+            texts, parts = batch.column("item").to_pylist(), []
+            size = np.array([len(t) for t in texts])
+            most = ((1 - similarity) * size).astype(int)
+            for region, low, high in zip(batch.column("region").to_pylist(), (batch.column("first").to_numpy() - most).tolist(), (batch.column("last").to_numpy() + size + most).tolist()):
+                parts.append(region[max(0, low) : max(0, high)])
+            edits = best_matches(texts, parts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "i1", "i2", "item_id")), pa.array(size.astype(np.int32)), pa.array(edits.astype(np.int32))], ["doc_id", "i1", "i2", "item_id", "item_bytes", "edits"])
+
+    checked = pairs.mapInArrow(verify, f"doc_id {id_type}, i1 long, i2 long, item_id {item_type}, item_bytes int, edits int")
     best = checked.groupBy("doc_id", "item_id", "item_bytes").agg(F.min("edits").alias("edits"))
     share = 1 - F.col("edits") / F.col("item_bytes")
     return best.where(F.col("edits") <= F.floor((1 - similarity) * F.col("item_bytes"))).withColumn("similarity", share)
