@@ -1,15 +1,19 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element.  A line weighs as much as its text
-outside links, and nothing inside elements that never hold an article (menus, forms, adverts,
-reader comments ...) or, where the page marks its article, outside of it.  Weights are summed over
-a sliding window of lines: where the sum surges above nothing a stretch begins, where it dives to
-nothing the stretch ends.  Stretches much lighter than the heaviest are dropped, the weighing lines
-of the rest are the text.
-
-Defined cases: null or empty html gives an empty text; a page of one very long line is one block;
-repeated rows give a result each; null page_id or url is passed through; an empty table gives an
-empty result; further columns are left out.
+Markup is stripped to lines, one for each block element; each part that never holds the article (menus, headers,
+footers, forms, adverts, reader comments ...) is one line without weight.  Other lines weigh as much as their text
+outside links.  Where the page marks an article, its lines weigh all their text and enough more to surge, and
+lines outside of it weigh only if they are longer than ``ASIDE``.  Weights are summed over a sliding window of lines: where the sum
+surges above nothing a stretch begins, where it dives to nothing the stretch ends.  What stands between is text if
+the sums surge to ``SURGE`` (or, if they do nowhere, where they surge highest).
+
+An element is such a part by its name, its role, or a class or id all of whose words are names of page parts or
+words of layout: ``comment-list`` is, ``social-history`` is not.
+
+Defined cases: null or empty html gives an empty text; a page of one very long line is one block; of stretches that
+surge alike all are kept if they surge enough, else the first; a tag that never ends hides the rest of the page;
+repeated rows give a result each; null page_id or url is passed through; an empty table gives an empty result;
+further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,128 +29,185 @@ from pyspark.sql import DataFrame, SparkSession
 from .store import table
 
 WINDOW = 3
-#: A stretch with less than this share of the heaviest one's weight is dropped (pages without a marked article).
-LEAST_SHARE = 0.3
-# Element names of HTML and usual names of page parts.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+SURGE, ASIDE = 12, 200
+# Element names and roles of HTML, usual names of page parts, and words of layout.
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav aside form footer head title button select option textarea label menu dialog".split())
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|audio|video"
+NEVER = frozenset("nav aside form header footer head title button select option textarea label menu dialog".split())
+RAW = frozenset("script style noscript template svg iframe object canvas math audio video".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs masthead footer comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe signup login "
+    "breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe signup login "
     "searchform widget widgets pagination pager toolbar skip copyright legal".split()
 )
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*>", re.S | re.I)
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+LAYOUT = frozenset("area bar block body bottom box buttons col column container content footer group head holder inner item items left link links list main outer page panel post posts right row section site slot text thread title top unit wrap wrapper".split())
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CLOSE = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
-def _part(attributes: str, inside: bool) -> bool:
-    """Whether the names in an element's attributes are those of a page part that is no article text."""
+def _part(attributes: str) -> bool:
+    """Whether an element's attributes hide it or name a page part."""
     if not attributes or attributes.isspace():
         return False
     if HIDDEN.search(attributes):
         return True
-    names = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")}
-    return not PARTS.isdisjoint(names) or (not inside and "header" in names)
+    for kind, *value in NAMED.findall(attributes):
+        for name in "".join(value).split():
+            words = {w.lower() for w in WORD.findall(name)}
+            if name.lower() in ROLES if kind.lower() == "role" else words & PARTS and words <= PARTS | LAYOUT:
+                return True
+    return False
+
+
+def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, whether it closes, attributes) of each tag, and the text after the last with no name; every character is looked at a few times at most."""
+    at = start = 0
+    unclosed: set[str] = set()
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            yield html[start:], "", False, ""
+            return
+        m = NAME.match(html, at + 1)
+        if not m:
+            if html.startswith("<!--", at):
+                text, end = html[start:at], html.find("-->", at + 4)
+                end = len(html) if end < 0 else end + 3
+            elif html[at + 1 : at + 2] in ("!", "?"):
+                text, end = html[start:at], html.find(">", at) + 1 or len(html)
+            else:
+                at += 1
+                continue
+            yield text, "!", False, ""
+            at = start = end
+            continue
+        end, text = m.end(), html[start:at]
+        while True:
+            stop = STOP.search(html, end)
+            if not stop:
+                yield text, "", False, ""
+                return
+            end, mark = stop.end(), stop[0]
+            if mark == ">":
+                break
+            close = -1 if mark in unclosed else html.find(mark, end)
+            if close < 0:
+                unclosed.add(mark)
+            else:
+                end = close + 1
+        name = m[2].lower()
+        yield text, name, bool(m[1]), html[m.end() : end - 1]
+        if name in RAW and not m[1]:
+            gone = CLOSE[name].search(html, end)
+            end = gone.end() if gone else len(html)
+        at = start = end
 
 
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters outside links, whether it stands in the marked article, and whether in a part that never counts; one for each block."""
+    """Text, characters outside links, whether it stands in a marked article, and whether it stands for a part that never counts; one for each block."""
     out: list[tuple[str, int, bool, bool]] = []
     piece: list[str] = []
     weight = links = article = 0
-    skip, depth, skip_is_p = "", 0, False
+    skip, depth = "", 0
 
     def flush() -> None:
         nonlocal weight
-        if piece:
-            text = " ".join(unescape("".join(piece)).split())
-            if text:
-                out.append((text, weight, article > 0, bool(skip)))
+        text = " ".join(unescape("".join(piece)).split()) if piece and not skip else ""
+        if text:
+            out.append((text, weight, article > 0, False))
         piece.clear()
         weight = 0
 
-    def add(text: str) -> None:
-        nonlocal weight
-        piece.append(text)
-        if not links:
-            weight += len(text) - text.count(" ")
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        if not m[3]:
-            continue
-        name, closing = m[3].lower(), bool(m[2])
-        if name == "br":
-            piece.append("\n")
-            continue
-        if name in ("td", "th"):
-            piece.append(" ")
-            continue
-        if name == "a":
-            links = 0 if closing else 1
-        if name in BLOCKS or name in NEVER:
-            if not skip or name == skip or name in ("article", "main") or skip_is_p:
-                flush()
-            else:
-                piece.append(" ")
-            links = 0
-        if name in ("article", "main"):
-            skip = ""
-            article = max(0, article + (-1 if closing else 1))
+    for text, name, closing, attributes in tags(html):
+        if text and not skip:
+            piece.append(text)
+            if not links:
+                weight += len(text) - text.count(" ")
+        if not name or name == "!":
             continue
         if skip:
-            if skip_is_p and name in BLOCKS and not (name == "p" and closing):
+            if name in ("article", "main"):
+                # An article does not stand in such a part: its end is missing.
+                skip = ""
+            elif skip == "p" and name in BLOCKS and not (name == "p" and closing):
                 skip = ""
             elif name == skip:
-                depth += -1 if closing else (name not in VOID)
+                depth += -1 if closing else 1
                 if depth <= 0:
-                    flush()
                     skip = ""
                 continue
-            elif name == "body" or (skip in ("head", "title") and name in BLOCKS):
+            elif name == "body" or (skip in ("head", "title") and name in BLOCKS and name not in ("head", "title")):
                 skip = ""
             else:
                 continue
-        if not closing and name not in VOID and name not in ("body", "html"):
-            if name in NEVER or (name == "header" and not article) or _part(m[4] or "", article > 0):
-                flush()
-                skip, depth, skip_is_p = name, 1, name == "p"
-    if at < len(html):
-        add(html[at:])
+        if name == "br":
+            piece.append("\n")
+        elif name in ("td", "th"):
+            piece.append(" ")
+        elif name == "a":
+            links = 0 if closing else 1
+        if name in BLOCKS or name in NEVER:
+            flush()
+            links = 0
+        if name in ("article", "main"):
+            article = max(0, article + (-1 if closing else 1))
+        elif not closing and name not in VOID and name not in ("body", "html") and (name in NEVER or _part(attributes)):
+            flush()
+            if not (out and out[-1][3]):
+                out.append(("", 0, article > 0, True))
+            skip, depth = name, 1
     flush()
     return out
 
 
-def extract(html: str | None) -> tuple[str, int, int, int]:
-    """Text, its number of blocks, and the lines of the first surge and the last dive (-1: none)."""
-    found = lines(html) if html else []
-    if not found:
-        return "", 0, -1, -1
-    marked = any(inside and not never and w for _, w, inside, never in found)
-    weight = np.array([0 if never or (marked and not inside) else (len(text) if marked else w) for text, w, inside, never in found], np.int64)
-    total = np.concatenate([[0], np.cumsum(weight)])
-    half, n = WINDOW // 2, len(weight)
-    at = np.arange(n)
+def weigh(found: list[tuple[str, int, bool, bool]]) -> np.ndarray:
+    """The weight of every line."""
+    marked = any(inside and not never for _, _, inside, never in found)
+
+    def one(text: str, outside_links: int, inside: bool, never: bool) -> int:
+        if never:
+            return 0
+        if not marked:
+            return outside_links
+        return len(text) + SURGE if inside else outside_links * (outside_links > ASIDE)
+
+    return np.array([one(*x) for x in found], np.int64)
+
+
+def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Where the sums of ``WINDOW`` lines surge above nothing and where they dive to it, of the stretches that are text."""
+    n, half = len(weight), WINDOW // 2
+    total, at = np.concatenate([[0], np.cumsum(weight)]), np.arange(n)
     block = total[np.minimum(at + half + 1, n)] - total[np.maximum(at - half, 0)]
     above = np.concatenate([[False], block > 0, [False]])
     surge, dive = np.flatnonzero(above[1:] & ~above[:-1]), np.flatnonzero(above[:-1] & ~above[1:])
     if not len(surge):
-        return "", 0, -1, -1
-    mass = total[dive] - total[surge]
-    keep = mass > 0 if marked else mass >= LEAST_SHARE * mass.max()
+        return []
+    peak = np.maximum.reduceat(np.append(block, 0), np.stack([surge, dive], 1).ravel())[::2]
+    text = peak >= min(SURGE, peak.max())
+    if peak.max() < SURGE:
+        text = np.arange(len(peak)) == peak.argmax()
     # The windows reach beyond the text: a stretch begins and ends with lines that weigh.
     heavy = np.flatnonzero(weight)
-    surge = heavy[np.searchsorted(heavy, surge[keep])]
-    dive = heavy[np.searchsorted(heavy, dive[keep]) - 1] + 1
-    kept = [found[i][0] for a, z in zip(surge, dive) for i in range(a, z) if weight[i] or (not found[i][3] and (found[i][2] or not marked))]
-    return "\n\n".join(kept), len(kept), int(surge[0]), int(dive[-1])
+    return list(zip(heavy[np.searchsorted(heavy, surge[text])].tolist(), (heavy[np.searchsorted(heavy, dive[text]) - 1] + 1).tolist()))
+
+
+def extract(html: str | None) -> tuple[str, int, int, int]:
+    """Text, its number of blocks, and the lines of the first surge and the last dive (-1: none)."""
+    found = lines(html) if html else []
+    weight = weigh(found)
+    kept = stretches(weight)
+    if not kept:
+        return "", 0, -1, -1
+    marked = any(inside and not never for _, _, inside, never in found)
+    # Lines of links between weighing ones are text, but for those outside a marked article.
+    out = [found[i][0] for a, z in kept for i in range(a, z) if weight[i] or not (found[i][3] or (marked and not found[i][2]))]
+    return "\n\n".join(out), len(out), kept[0][0], kept[-1][1]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
