@@ -2,49 +2,60 @@
 
 Nodes are runs of ``K - 1`` words, edges are windows of ``K``.  Only edges that occur twice matter:
 
-1. each window is owned by its minimiser (the leftmost of the least-hashed word 5-grams in it); equal
+1. each window is owned by its minimiser (the leftmost of the least-hashed runs of ``GRAM`` words in it); equal
    windows have equal minimisers, so a window whose minimiser occurs once in the corpus is unique and
    its edge is never built;
-2. the remaining windows of a text are cut where the owner changes.  Such a segment is a path of edges;
-   equal segments (by 128-bit hash) collapse to one with a count and its first source coordinate;
-3. where one minimiser owns several different segments, the segments' edges (u, v) are aggregated: how
-   often an edge occurs, and where first;
-4. every occurrence joins its segment's or edges' first coordinate; runs whose source coordinates go on
-   together are one compacted path, a long repeated span with its source.
+2. the remaining windows of a text are cut where the owner changes.  Such a segment is a path of edges; equal
+   segments (by 128 bits of XXH3 over their words) collapse to one with a count and its first source coordinate;
+3. the graph: a segment whose minimiser owns no other kind is one long edge from its first node to its last, the
+   segments of other minimisers are taken apart to their edges of one window.  An edge has the number of its
+   occurrences and its first source coordinate; edges that occur once go;
+4. nodes with one edge in and one out, as often, whose source coordinates go on, do not branch: edges there are linked,
+   and pointer jumping by joins compacts them to paths, each edge with its place in its path;
+5. every occurrence joins its path; the edges of a path that follow each other in a text are one long repeated span with
+   its source coordinate.  The source's words there are read and digested (SHA-256), and a span is removed
+   only if its own words have that digest.
 
 Words of windows that start earlier elsewhere are removed.  All keys are aggregated with partial sums
-before they are shuffled, and joins on them stand alone, so that a hot passage may be split.
+before they are shuffled, and joins on them have plain exchanges on both sides, so that a hot passage may be split.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; rows that
 share both doc_id and text are one document and give a row each; a null doc_id is smaller than any
-other; texts of any length are taken whole; further columns are left out; an empty table gives an empty
-result.
+other, and of documents that share a doc_id any is first, the same in every run; texts of any length are taken
+whole; further columns are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut, discard, table
+from .store import cut, discard, identity, table
 
 K = 20
-GRAM = 5
-DOC = ["doc_id", "th"]
+GRAM = 10
+#: A document is told by its id and two hashes of id and text, a kind of segments by 128 bits of XXH3.
+DOC = ["doc_id", "d1", "d2"]
+ROW = ["d1", "d2"]
+KIND = ["h1", "h2"]
+EDGE = ["x1", "x2"]
 
 
-def owners(hashed: np.ndarray, first: np.ndarray, k: int, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of k words inside a text: its first word, its text, and the word at which its minimiser begins."""
+def owners(hashed: np.ndarray, first: np.ndarray, k: int, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of k words inside a text: its first word, its text, the word at which its minimiser begins; and the hash of the run at every word."""
     start, doc = tx.within(first, k)
-    if not len(start):
-        return start, doc, start
     value = tx.gram_hash(hashed, g, 11)
-    at = np.arange(len(value))
+    if not len(start):
+        return start, doc, start, value
+    every, at = value, np.arange(len(value))
     width, want = 1, k - g + 1
     while width < want:
         step = min(width, want - width)
@@ -52,148 +63,208 @@ def owners(hashed: np.ndarray, first: np.ndarray, k: int, g: int) -> tuple[np.nd
         at = np.where(right, at[step:], at[:-step])
         value = np.where(right, value[step:], value[:-step])
         width += step
-    return start, doc, at[start]
+    return start, doc, at[start], every
 
 
-def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    buf, at = tx.raw(column)
-    start, end, first = tx.words(buf, at)
-    return tx.span_hash(buf, start, end), first
+def _words(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words, one space between them; where each begins and ends, its hash, and each text's first word."""
+    texts = [b" ".join(t.split()) for t in column.cast(pa.large_binary()).fill_null(b"").to_pylist()]
+    data = b"".join(texts)
+    buf = np.frombuffer(data, np.uint8)
+    start, end, first = tx.words(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+    return data, start, end, tx.span_hash(buf, start, end), first
 
 
-def with_key(docs: DataFrame, *also: str) -> DataFrame:
-    """Rows with ``th``, a hash of the text: (doc_id, th) tells documents apart."""
-    return docs.select("doc_id", F.hash("text").alias("th"), *also, "text")
+def with_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, text): rows with what tells documents apart."""
+    return docs.select("doc_id", *(h.alias(c) for h, c in zip(identity("doc_id", "text"), ROW)), "text")
 
 
 def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """(doc_id, th, pos, a): where minimisers begin, and their hashes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """(d1, d2, pos, a): where minimisers begin, and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
-            hashed, first = _hashed(block.column("text"))
-            _, doc, own = owners(hashed, first, k, g)
+            buf, at = tx.raw(block.column("text"))
+            begin, end, first = tx.words(buf, at)
+            _, doc, own, value = owners(tx.span_hash(buf, begin, end), first, k, g)
             if not len(own):
                 continue
             fresh = np.append(True, own[1:] != own[:-1])
             doc, own = doc[fresh], own[fresh]
-            a = tx.gram_hash(hashed, g, 11)[own].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(doc)) for c in DOC), pa.array((own - first[doc]).astype(np.int32)), pa.array(a)], [*DOC, "pos", "a"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(doc)) for c in ROW), pa.array((own - first[doc]).astype(np.int32)), pa.array(value[own].view(np.int64))], [*ROW, "pos", "a"])
+
+    return docs.select(*ROW, "text").mapInArrow(run, "d1 long, d2 long, pos int, a long")
+
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, th int, pos int, a long")
+def _nodes(data: bytes, start: np.ndarray, end: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the node (k - 1 words) at each word of ``at``."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.array([digest(view[a:z]) for a, z in zip(start[at].tolist(), end[at + k - 2].tolist())], np.uint64).view(np.int64)
 
 
 def segments(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(doc_id, th, own, text)``, own being positions of repeated minimisers: the segments that these own, and their hashes."""
+    """Of ``docs(doc_id, d1, d2, own, text)``, own being positions of repeated minimisers: the segments that these own, their kinds, first and last nodes."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
-            hashed, first = _hashed(block.column("text"))
-            start, doc, own = owners(hashed, first, k, g)
+            data, start, end, hashed, first = _words(block.column("text"))
+            window, doc, own, value = owners(hashed, first, k, g)
             if not len(own):
                 continue
             listed = block.column("own")
-            count = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
             hot = np.zeros(len(hashed), bool)
-            hot[listed.flatten().to_numpy() + np.repeat(first[:-1], count)] = True
-            fresh = np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))
-            head = np.flatnonzero(fresh)
+            hot[listed.flatten().to_numpy() + np.repeat(first[:-1], pc.list_value_length(listed).to_numpy(zero_copy_only=False))] = True
+            head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))
             size = np.diff(np.append(head, len(own)))
             keep = hot[own[head]]
             head, size = head[keep], size[keep]
             if not len(head):
                 continue
-            begin, holder = start[head], doc[head]
-            sums = []
-            for salt in (1, 2):
-                power, back = tx.powers("word", len(hashed) + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(hashed, salt) * power[:-1], dtype=np.uint64)])
-                sums.append(tx.mix((total[begin + size + k - 1] - total[begin]) * back[begin] + size.astype(np.uint64), salt).view(np.int64))
-            a = tx.gram_hash(hashed, g, 11)[own[head]].view(np.int64)
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a), pa.array(sums[0]), pa.array(sums[1])]
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", "h1", "h2"])
+            begin, holder = window[head], doc[head]
+            kind = tx.strong_hash(data, start[begin], end[begin + size + k - 2])
+            ends = [_nodes(data, start, end, at, k) for at in (begin, begin + size)]
+            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(value[own[head]].view(np.int64)), *map(pa.array, (*kind, *ends))]
+            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", *KIND, "u", "v"])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, n int, a long, h1 long, h2 long")
+    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, n int, a long, h1 long, h2 long, u long, v long")
 
 
 def path_edges(docs: DataFrame, k: int = K) -> DataFrame:
-    """Edges (u, v) of the segments of ``docs(doc_id, th, listed, text)``, listed being an array of (start, n, h1, h2, times)."""
+    """Edges (u, v) of the segments of ``docs(doc_id, d1, d2, listed, text)``, listed being an array of (start, n, h1, h2, times)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
-            hashed, first = _hashed(block.column("text"))
+            data, begin, end, _, first = _words(block.column("text"))
             listed = block.column("listed")
-            row = np.repeat(np.arange(block.num_rows), pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(block.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
             flat = listed.flatten()
             n = flat.field("n").to_numpy()
             which = np.repeat(np.arange(len(n)), n)
             i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             start = flat.field("start").to_numpy()[which] + i
-            node = tx.gram_hash(hashed, k - 1, 13).view(np.int64)
             at = first[:-1][row][which] + start
             own = [block.column(c).take(pa.array(row[which])) for c in DOC]
-            kind = [flat.field(c).take(pa.array(which)) for c in ("h1", "h2", "times")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(i.astype(np.int32)), *kind, pa.array(node[at]), pa.array(node[at + 1])], [*DOC, "start", "i", "h1", "h2", "times", "u", "v"])
+            kind = [flat.field(c).take(pa.array(which)) for c in (*KIND, "times")]
+            ends = [pa.array(_nodes(data, begin, end, x, k)) for x in (at, at + 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(i.astype(np.int32)), *kind, *ends], [*DOC, "start", "i", *KIND, "times", "u", "v"])
+
+    return docs.select(*DOC, "listed", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, i int, h1 long, h2 long, times long, u long, v long")
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """(x1, x2, off): of ``edges(x1, x2, u, v, n, times, source)`` those that are not the first of their path, and how many windows after its beginning they stand."""
+    e = F.struct(*EDGE, "n", "times", "source")
+    none = F.lit(None).cast(edges.select(e).schema[0].dataType)
+    ends = edges.select(F.col("v").alias("node"), e.alias("into"), none.alias("out")).unionByName(edges.select(F.col("u").alias("node"), none.alias("into"), e.alias("out")))
+    # Degrees of every node, and its edges: any of each, as only nodes with one of each go on.
+    nodes = ends.groupBy("node").agg(F.count("into").alias("ins"), F.count("out").alias("outs"), F.max("into").alias("into"), F.max("out").alias("out")).where("ins = 1 AND outs = 1")
+    same = lambda c: F.col(f"into.source.{c}").eqNullSafe(F.col(f"out.source.{c}"))
+    goes_on = (F.col("into.times") == F.col("out.times")) & same("doc_id") & same("d1") & same("d2") & (F.col("into.source.start") + F.col("into.n") == F.col("out.source.start"))
+    # Source coordinates grow along links, so there are no circles.
+    links = nodes.where(goes_on).select("out.x1", "out.x2", F.col("into.x1").alias("p1"), F.col("into.x2").alias("p2"), F.col("into.n").alias("off"), F.lit(False).alias("ended"))
+    active, done = cut(links, "links"), None
+    while not active.isEmpty():
+        every = active if done is None else active.unionByName(done)
+        ahead = every.select(F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("off").alias("more"), F.col("ended").alias("there"))
+        # Each edge looks as far ahead as the one it looks at; one that looks at the first of its path is done.
+        first = F.col("more").isNull()
+        jumped = active.join(ahead, ["p1", "p2"], "left").select(
+            *EDGE, F.coalesce("q1", "p1").alias("p1"), F.coalesce("q2", "p2").alias("p2"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (first | F.coalesce("there", F.lit(False))).alias("ended")
+        )
+        jumped = cut(jumped, "jumps")
+        ended, active = jumped.where("ended"), jumped.where("NOT ended")
+        done = ended if done is None else done.unionByName(ended)
+    return done.select(*EDGE, "off") if done is not None else edges.select(*EDGE, F.col("n").alias("off")).limit(0)
+
+
+def _runs(steps: str) -> str:
+    """SQL: the runs (start, n) of an array of (start, n) in order, joined where one ends as the next begins."""
+    last = "try_element_at(acc, -1)"
+    grown = f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'n', {last}.n + x.n)))"
+    return f"aggregate({steps}, cast(array() AS array<struct<start:int,n:int>>), (acc, x) -> IF({last}.start + {last}.n = x.start, {grown}, concat(acc, array(x))))"
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(d1, d2, start, words, digest) of the word spans of ``docs(d1, d2, listed, text)``, listed being an array of (start, words)."""
 
-    return docs.select(*DOC, "listed", "text").mapInArrow(run, f"doc_id {id_type}, th int, start int, i int, h1 long, h2 long, times long, u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tx.blocks(batches, "text"):
+            rows, listed = [], block.column("listed")
+            for t, spans_ in zip(block.column("text").to_pylist(), listed.to_pylist()):
+                words = (t or "").encode().split()
+                rows.append([sha256(b" ".join(words[s["start"] : s["start"] + s["words"]])).digest() for s in spans_])
+            own = pa.array(np.repeat(np.arange(block.num_rows), [len(r) for r in rows]))
+            flat = listed.flatten()
+            yield pa.RecordBatch.from_arrays([*(block.column(c).take(own) for c in ROW), flat.field("start"), flat.field("words"), pa.array([d for r in rows for d in r], pa.binary())], [*ROW, "start", "words", "digest"])
+
+    return docs.select(*ROW, "listed", "text").mapInArrow(run, "d1 long, d2 long, start int, words int, digest binary")
 
 
 def spans(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """(doc_id, th, start, words, source_doc, source_start): compacted paths of ``docs(doc_id, th, text)`` that occur earlier, as words from a word on."""
+    """(d1, d2, start, words, source, digest): stretches of compacted paths in ``docs(doc_id, d1, d2, text)`` that occur earlier, as words from a word on, with the source's (doc_id, d1, d2, start) and the digest of its words."""
     every = cut(anchors(docs, k, g), "anchors")
-    twice = every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    own = every.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
-    same_doc = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
-    near = docs.join(own, same_doc(docs, own)).select(docs["doc_id"], docs["th"], "own", "text")
-    found = cut(segments(near, k, g), "segments")
-    discard(every)
-
-    kinds = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("source"))
+    # Counts are cut so that a hot minimiser may be split in the join.
+    twice = cut(every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "repeated-minimisers")
+    own = every.join(twice, "a").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("own"))
+    found = cut(segments(docs.join(own, ROW), k, g), "segments")
+    discard(every, twice)
+
+    kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("v").alias("v"), F.min(F.struct(*DOC, "start")).alias("source"))
     kinds = cut(kinds, "segment-kinds")
-    several = kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    mixed = kinds.join(several, "a")
-    listed = mixed.groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.th").alias("th")).agg(F.collect_list(F.struct("source.start", "n", "h1", "h2", "times")).alias("listed"))
-    edges = path_edges(docs.join(listed, same_doc(docs, listed)).select(docs["doc_id"], docs["th"], "listed", "text"), k)
-    edges = cut(edges, "edges")
-    firsts = edges.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "th", "start")).alias("source")).where("times > 1")
-    # At most k - g + 1 edges of a segment.
-    walked = edges.select("h1", "h2", "i", "u", "v").join(firsts, ["u", "v"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("i", F.lit(1).alias("n"), "source")).alias("steps"))
-    alone = kinds.join(several, "a", "left_anti").where("times > 1").select("h1", "h2", F.array(F.struct(F.lit(0).alias("i"), "n", "source")).alias("steps"))
-    steps = cut(alone.unionByName(walked), "steps")
-    discard(kinds, edges)
-
-    back = found.select(*DOC, "start", "h1", "h2").join(steps, ["h1", "h2"]).select(*DOC, "start", F.inline("steps"))
-    back = back.select(*DOC, (F.col("start") + F.col("i")).alias("start"), "n", "source")
-    elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("th") == F.col("source.th")) & (F.col("start") == F.col("source.start")))
-    back = back.where(elsewhere).distinct()
-    order = Window.partitionBy(*DOC).orderBy("start")
-    goes_on = (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & F.lag("source.doc_id").over(order).eqNullSafe(F.col("source.doc_id")) & (F.lag(F.col("source.start") - F.col("start")).over(order) == F.col("source.start") - F.col("start"))
-    back = back.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("fresh").over(order))
-    return back.groupBy(*DOC, "path").agg(F.min("start").alias("start"), (F.sum("n") + k - 1).alias("words"), F.min("source").alias("s")).select(
-        *DOC, "start", "words", F.col("s.doc_id").alias("source_doc"), F.col("s.start").alias("source_start")
-    )
+    several = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "mixed-minimisers")
+    alone = kinds.join(several, "a", "left_anti").where("times > 1").select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "u", "v", "n", "times", "source")
+    listed = kinds.join(several, "a", "left_semi").groupBy("source.d1", "source.d2").agg(F.collect_list(F.struct("source.start", "n", *KIND, "times")).alias("listed"))
+    walks = cut(path_edges(docs.join(listed, ROW), k), "windows")
+    single = walks.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min(F.struct(*DOC, "start")).alias("source")).where("times > 1")
+    single = single.select(F.col("u").alias("x1"), F.col("v").alias("x2"), "u", "v", F.lit(1).alias("n"), "times", "source")
+    edges = cut(alone.unionByName(single), "edges")
+    off = cut(compact(edges), "places")
+    # The path of an edge begins in the source so many windows before the edge.
+    placed = edges.join(off, EDGE, "left").select(*EDGE, F.struct("n", "source", F.coalesce("off", F.lit(0)).alias("off")).alias("at"))
+    placed = cut(placed, "placed-edges")
+    one = alone.select(*EDGE).join(placed, EDGE).select(F.col("x1").alias("h1"), F.col("x2").alias("h2"), F.array(F.struct(F.lit(0).alias("i"), "at")).alias("steps"))
+    many = walks.select(*KIND, "i", F.col("u").alias("x1"), F.col("v").alias("x2")).join(placed, EDGE).groupBy(*KIND).agg(F.collect_set(F.struct("i", "at")).alias("steps"))
+    steps = cut(one.unionByName(many), "steps")
+    discard(kinds, several, walks, edges, off, placed)
+
+    # Occurrences of edges by document, path and where the path would begin in the document.
+    back = found.select(*DOC, "start", *KIND).join(steps, KIND).select(*DOC, "start", F.inline("steps"))
+    head = F.struct("at.source.doc_id", "at.source.d1", "at.source.d2", (F.col("at.source.start") - F.col("at.off")).alias("start")).alias("head")
+    back = back.select(*DOC, head, (F.col("start") + F.col("i") - F.col("at.off")).alias("base"), F.struct((F.col("start") + F.col("i")).alias("start"), F.col("at.n").alias("n")).alias("step"))
+    itself = (F.col("d1") == F.col("head.d1")) & (F.col("d2") == F.col("head.d2")) & (F.col("base") == F.col("head.start"))
+    whole = back.where(~itself).groupBy(*ROW, "head", "base").agg(F.array_sort(F.collect_set("step")).alias("walk"))
+    runs = whole.select(*ROW, "head", "base", F.inline(F.expr(_runs("walk"))))
+    runs = runs.select(*ROW, "start", (F.col("n") + k - 1).alias("words"), F.col("head").withField("start", F.col("head.start") + F.col("start") - F.col("base")).alias("source"))
+    runs = cut(runs, "runs")
+    discard(steps, found)
+    asked = runs.groupBy("source.d1", "source.d2").agg(F.collect_set(F.struct("source.start", "words")).alias("listed"))
+    read = digests(docs.join(asked, ROW)).distinct().select(*(F.col(c).alias(f"s_{c}") for c in (*ROW, "start", "words")), "digest")
+    met = [F.col("source.d1") == F.col("s_d1"), F.col("source.d2") == F.col("s_d2"), F.col("source.start") == F.col("s_start"), F.col("words") == F.col("s_words")]
+    return runs.join(read, met).select(*ROW, "start", "words", "source", "digest")
 
 
 def remove(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words (joined by one space, as bytes) of every row."""
-    listed = gone.groupBy(*DOC).agg(F.collect_list(F.struct("start", "words")).alias("gone"))
-    both = docs.join(listed, docs["doc_id"].eqNullSafe(listed["doc_id"]) & (docs["th"] == listed["th"]), "left").select(docs["doc_id"], "text", F.col("gone.start").alias("gone"), F.col("gone.words").alias("long"))
+    """doc_id, n_words, n_removed and the kept words (joined by one space, as bytes) of every row; spans whose words have another digest stay."""
+    listed = gone.groupBy(*ROW).agg(F.collect_list(F.struct("start", "words", "digest")).alias("gone"))
+    both = docs.join(listed, ROW, "left").select("doc_id", "text", "gone")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for t, starts, sizes in zip(batch.column("text"), batch.column("gone"), batch.column("long")):
+            for t, listed in zip(batch.column("text"), batch.column("gone")):
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
                 total.append(len(words))
-                if starts.is_valid:
+                if listed.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + sizes.values.to_numpy(), -1)
+                    for s in listed.as_py():
+                        a, z = s["start"], s["start"] + s["words"]
+                        if sha256(b" ".join(words[a:z])).digest() == s["digest"]:
+                            edge[a] += 1
+                            edge[z] -= 1
                     stay = np.cumsum(edge[:-1]) == 0
                     words = [w for w, s in zip(words, stay.tolist()) if s]
                 removed.append(total[-1] - len(words))
