@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,13 +25,15 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     for _ in range(most_steps):
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        # Minima are cut so that both sides of the joins are plain exchanges, which a hot node may be split in.
+        low = cut(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "low")
         large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         large = cut(large, "large-star")
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        edges = cut(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct(), "small-star")
-        now = _state(edges)
+        least = cut(large.groupBy("src").agg(F.min("dst").alias("m")), "low")
+        small = large.join(least, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        after = cut(small.unionByName(least.select("src", F.col("m").alias("dst"))).distinct(), "small-star")
+        discard(low, large, least, edges)
+        edges, now = after, _state(after)
         if now == before:
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
         before = now

@@ -2,9 +2,15 @@
 
 A text's signature is ``BANDS`` keys, each of the least values of ``ROWS`` hash functions over its
 shingles; two texts of Jaccard similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS
-(0.99993 at 0.8).  Texts that share a key are compared by their whole shingle sets.  Keys of up to
-``FEW`` texts give pairs, each compared once; the texts of a larger key are searched breadth first in
-one worker, which finds the components of all their pairs and gives a tree, not the pairs.
+(0.99993 at 0.8).  Texts that share a key are compared by their whole shingle sets, but not all pairs are:
+
+1. every text of a key is compared with the key's smallest one, its leader; a pair that shares several keys is
+   compared once, and keys with the same texts count once;
+2. texts that these links leave apart from their key's leader, over all keys, are few.  Each of them is compared with
+   all texts of its key, dealt out in parts of about ``PART`` texts against ``ASKED`` of the odd ones at a time.
+
+All other texts of a key are linked with its leader already, so these links have the components of all pairs.  No
+key's texts meet in one task or one row.
 
 Defined cases: a text of fewer words than a shingle has one, of all its words; texts without words
 have no signature.
@@ -20,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import cut
+from .components import components
+from .store import cut, lanes
 
 BANDS, ROWS = 24, 5
-FEW = 8
+PART, ASKED = 512, 128
 _FACTOR = np.random.default_rng(5).integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -63,37 +70,35 @@ def signatures(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[head], out
 
 
-def forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links (member, member) of a tree of each component of all pairs with a similarity of ``least`` or more."""
-    size = np.array([len(s) for s in sets])
-    own = np.repeat(np.arange(len(sets)), size)
-    value = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    edge = np.concatenate([[0], np.cumsum(size)])
-    every, mark = value, np.zeros(int(value.max()) + 1, bool)
-    left, links, ready = np.ones(len(sets), bool), [], []
-    while left.any():
-        if ready:
-            seed = ready.pop()
-        else:
-            seed = int(np.argmax(left))
-            left[seed] = False
-        at = every[edge[seed] : edge[seed + 1]]
-        mark[at] = True
-        shared = np.bincount(own[mark[value]], minlength=len(sets))
-        mark[at] = False
-        near = np.flatnonzero(left & (shared >= least * (size[seed] + size - shared) - 1e-9))
-        if len(near):
-            links += [(seed, int(i)) for i in near]
-            ready += near.tolist()
-            left[near] = False
-        if len(near) or not ready:
-            keep = left[own]
-            own, value = own[keep], value[keep]
-    return links
+def alike(one: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have this similarity; the rounding of the product is forgiven."""
+    if min(len(one), len(other)) < least * max(len(one), len(other)) - 1e-9:
+        return False
+    shared = len(one) + len(other) - len(np.unique(np.concatenate([one, other])))
+    return shared >= least * (len(one) + len(other) - shared) - 1e-9
+
+
+def _compare(asked: list, part: list, least: float, src: list, dst: list) -> None:
+    """Append the links between texts asked about and those of a part, each an (xt, sorted set)."""
+    if not asked or not part:
+        return
+    size = np.array([len(s) for _, s in part])
+    owner = np.repeat(np.arange(len(part)), size)
+    known, value = np.unique(np.concatenate([s for _, s in part]), return_inverse=True)
+    for xt, own in asked:
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        mark = np.zeros(len(known), bool)
+        mark[at[known[at] == own]] = True
+        shared = np.bincount(owner[mark[value]], minlength=len(part))
+        for k in np.flatnonzero(shared >= least * (len(own) + size - shared) - 1e-9):
+            if part[k][0] != xt:
+                src.append(xt)
+                dst.append(part[k][0])
 
 
 def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
-    """Links (src, dst) between texts ``docs(xt, text)``, xt a hash of the text, whose components are those of similar pairs."""
+    """Links (src, dst) between texts ``docs(xt, text)``, xt the identity of the text, whose components are those of similar pairs."""
+    spark, kind = docs.sparkSession, docs.schema["xt"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -108,24 +113,53 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
             sets = [np.unique(v).tobytes() for v in np.split(value, np.searchsorted(doc, np.arange(1, block.num_rows)))]
             yield pa.RecordBatch.from_arrays([block.column("xt"), pa.array(sets, pa.binary())], ["xt", "set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets = ((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+            good = pa.array([alike(a, b, least) for a, b in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("src").filter(good), batch.column("dst").filter(good)], ["src", "dst"])
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of (key, part, asked, no): texts asked about come first in their group, then the texts of the part."""
+        group, asked, part = None, [], []
+        for batch in batches:
+            src, dst = [], []
+            for key, of, some, no, xt, own in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "asked", "no", "xt", "set"))):
+                if (key, of, some) != group:
+                    _compare(asked, part, least, src, dst)
+                    group, asked, part = (key, of, some), [], []
+                (part if no else asked).append((xt, np.frombuffer(own, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(src, batch.schema.field("xt").type), pa.array(dst, batch.schema.field("xt").type)], ["src", "dst"])
+        if group is not None:
             src, dst = [], []
-            for members in batch.column("members").to_pylist():
-                for a, b in forest([np.frombuffer(m["set"], np.uint64) for m in members], least):
-                    src.append(members[a]["xt"])
-                    dst.append(members[b]["xt"])
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            _compare(asked, part, least, src, dst)
+            yield pa.RecordBatch.from_arrays([pa.array(src, batch.schema.field("xt").type), pa.array(dst, batch.schema.field("xt").type)], ["src", "dst"])
 
     kept = docs.select("xt", "text")
-    signed = cut(kept.mapInArrow(sign, "xt long, keys array<long>").dropDuplicates(["xt"]), "signatures")
-    buckets = signed.select("xt", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("xt")).alias("m"))
-    buckets = cut(buckets.where(F.size("m") > 1).select("m").distinct(), "alike")
-    pair = "flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> array(a, b))))"
-    few = buckets.where(F.size("m") <= FEW).select(F.explode(F.expr(pair)).alias("m")).distinct()
-    groups = few.unionByName(buckets.where(F.size("m") > FEW)).select(F.xxhash64("m").alias("gid"), F.explode("m").alias("xt"))
-    groups = cut(groups, "groups")
-    texts = kept.join(groups.select("xt").distinct(), "xt", "left_semi").dropDuplicates(["xt"])
-    sets = cut(texts.mapInArrow(collect, "xt long, set binary"), "shingle-sets")
-    members = groups.join(sets, "xt").groupBy("gid").agg(F.collect_list(F.struct("xt", "set")).alias("members"))
-    return members.select("members").mapInArrow(compare, "src long, dst long")
+    signed = cut(kept.mapInArrow(sign, f"xt {kind}, keys array<long>").dropDuplicates(["xt"]), "signatures")
+    by_key = signed.select("xt", F.xxhash64("xt").alias("h"), F.explode("keys").alias("key"))
+    told = F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")
+    keys = by_key.groupBy("key").agg(F.min("xt").alias("leader"), F.count("*").alias("n"), *told).where("n > 1")
+    keys = cut(keys.groupBy("leader", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "leader", "n"), "shared-keys")
+    members = cut(by_key.select("key", "xt").join(keys, "key"), "key-members")
+    few = members.where("xt <> leader").select("xt", "leader").distinct()
+    texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
+    sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
+    both = few.join(sets.select("xt", F.col("set").alias("a")), "xt").join(sets.select(F.col("xt").alias("leader"), F.col("set").alias("b")), "leader")
+    links = cut(both.select(F.col("xt").alias("src"), F.col("leader").alias("dst"), "a", "b").mapInArrow(pairs, f"src {kind}, dst {kind}"), "links-to-leaders")
+
+    group = cut(components(links), "alike-so-far")
+    own, head = (group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")) for c in ("xt", "leader"))
+    apart = members.where("n > 2").join(own, "xt", "left").join(head, "leader", "left").where(F.coalesce("xt_group", "xt") != F.coalesce("leader_group", "leader"))
+    odd = cut(apart.select("key", "xt", "n"), "odd-members")
+    if odd.isEmpty():
+        return links
+    many = odd.groupBy("key").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks"), F.ceil(F.first("n") / PART).cast("int").alias("parts"))
+    many = cut(many, "odd-keys")
+    spread = lambda salt, most: F.pmod(F.xxhash64("xt", F.lit(salt)), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    ask = odd.select("key", "xt").join(many, "key").withColumn("asked", spread(1, "asks")).withColumn("part", every("parts")).withColumn("no", F.lit(0))
+    stand = members.select("key", "xt").join(many, "key").withColumn("part", spread(2, "parts")).withColumn("asked", every("asks")).withColumn("no", F.lit(1))
+    rows = ask.select("key", "part", "asked", "no", "xt").unionByName(stand.select("key", "part", "asked", "no", "xt")).join(sets, "xt")
+    dealt = rows.repartition(lanes(spark), "key", "part", "asked").sortWithinPartitions("key", "part", "asked", "no")
+    return links.unionByName(dealt.mapInArrow(against, f"src {kind}, dst {kind}"))

@@ -4,8 +4,9 @@ The 64 bits are cut into ``most_bits // 2 + 1`` segments, so that of two fingerp
 ``most_bits`` one segment differs by at most one bit.  Every fingerprint is indexed under each
 segment with each of its bits wildcarded; equal keys are joined and the pairs verified.
 
-Only distinct fingerprints are indexed.  The members of a key are compared with each other, and links
-that join them are kept, not all pairs.  A key held by more than ``CROWD`` fingerprints would cost the
+Only distinct fingerprints are indexed.  Rows (fingerprint, key) are dealt by key and sorted, and a worker
+reads them as a stream: the members of a key are compared with each other, and links that join them are
+kept, not all pairs.  A key held by more than ``CROWD`` fingerprints would cost the
 square of their number, so their fingerprints go another, exact way: each lists the points
 within ``most_bits // 2`` bits of it.  Two fingerprints within ``most_bits`` have such a point in
 common, and all that list one point are within ``most_bits`` of each other, so each links to the
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .components import components
 from .jaccard import similar
-from .store import cut, table
+from .store import cut, discard, identity, lanes, table
 
 SEED = 42
 CROWD = 1024
-#: Up to so many members of a key are paired by Spark expressions; more are in numpy, which gives a tree instead of pairs.
+#: Up to so many members of a key give their pairs; more give a tree.
 FEW = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -111,36 +112,70 @@ def variants(fp: Column, most_bits: int) -> Column:
 
 def near(fps: DataFrame, most_bits: int = 4, crowd: int = CROWD) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fps(fp)`` whose components are those of all pairs within ``most_bits``."""
-    keyed = fps.select("fp", F.explode(variants(F.col("fp"), most_bits)).alias("key"))
-    over = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
-    # At most `crowd` members of each key meet here.
-    groups = keyed.join(over, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
-    groups = cut(groups.where(F.size("m") > 1).select("m"), "key-members")
-    close = f"""flatten(transform(m, (a, i) -> transform(
-        filter(slice(m, i + 2, size(m)), b -> bit_count(a ^ b) <= {most_bits}), b -> struct(a AS src, b AS dst))))"""
-    few = groups.where(F.size("m") <= FEW).select(F.explode(F.expr(close)).alias("p")).select("p.*")
-    many = groups.where(F.size("m") > FEW).select("m").mapInArrow(lambda x: _forests(x, most_bits), "src long, dst long")
-    pairs = few.unionByName(many)
-    crowded = keyed.join(over, "key").select("fp").distinct()
-    return pairs.unionByName(midpoints(crowded, most_bits))
-
-
-def _forests(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.RecordBatch]:
-    """For each key's members, a link from each to the smallest that it reaches by verified pairs."""
+    dealt = fps.select("fp").repartition(lanes(fps.sparkSession), "fp")
+    keyed = dealt.select("fp", F.explode(variants(F.col("fp"), most_bits)).alias("key"))
+    keyed = keyed.repartition(lanes(fps.sparkSession), "key").sortWithinPartitions("key")
+    links = cut(keyed.mapInArrow(lambda x: _meet(x, most_bits, crowd), "src long, dst long"), "met")
+    # A link to itself says that one of the fingerprint's keys is crowded.
+    crowded = links.where("src = dst").select(F.col("src").alias("fp")).distinct()
+    return links.where("src <> dst").unionByName(midpoints(crowded, most_bits))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """The verified links of each key's members, from rows (fp, key) in order of keys; members of a key of more than ``crowd`` link to themselves."""
+    fp, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    past: int | None = None  # the crowded key whose first members are gone
+
+    def settle(fp: np.ndarray, key: np.ndarray, past: int | None) -> pa.RecordBatch:
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(key)))
+        over = (size > crowd) | (key[head] == past if past is not None else False)
+        own = np.repeat(over, size)
+        src, dst = [fp[own]], [fp[own]]
+        # Members of small keys meet at every distance in the order of the rows, others as a matrix of their key.
+        run = np.repeat(np.arange(len(head)), size)
+        small = np.flatnonzero(np.repeat(~over & (size > 1) & (size <= FEW), size))
+        for step in range(1, FEW):
+            a, b = small[:-step], small[step:]
+            hit = (run[a] == run[b]) & (np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= most_bits)
+            src.append(fp[a[hit]])
+            dst.append(fp[b[hit]])
+        for i in np.flatnonzero(~over & (size > FEW)):
+            for a, b in _forest(fp[head[i] : head[i] + size[i]], most_bits):
+                src.append(a)
+                dst.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
     for batch in batches:
-        for m in batch.column("m"):
-            fp = m.values.to_numpy()
-            bits = fp.view(np.uint64)
-            near_by = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most_bits
-            label = np.arange(len(fp))
-            while True:
-                low = np.where(near_by, label[None, :], len(fp)).min(axis=1)
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            on = np.flatnonzero(label != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[on]), pa.array(fp[label[on]])], ["src", "dst"])
+        fp, key = np.concatenate([fp, batch.column("fp").to_numpy()]), np.concatenate([key, batch.column("key").to_numpy()])
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        if len(key) - last > crowd or key[-1] == past:
+            # The last key is crowded already: what is here of it may go.
+            now, last = int(key[-1]), len(key)
+        else:
+            now = None
+        yield settle(fp[:last], key[:last], past)
+        past = now
+        fp, key = fp[last:], key[last:]
+    if len(key):
+        yield settle(fp, key, past)
+
+
+def _forest(fp: np.ndarray, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A link from each member of a key to the smallest that it reaches by verified pairs."""
+    bits = fp.view(np.uint64)
+    near_by = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most_bits
+    label = np.arange(len(fp))
+    while True:
+        low = np.where(near_by, label[None, :], len(fp)).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    on = np.flatnonzero(label != np.arange(len(fp)))
+    yield fp[on], fp[label[on]]
 
 
 def midpoints(fps: DataFrame, most_bits: int) -> DataFrame:
@@ -181,14 +216,14 @@ def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int
     """doc_id, ``also``, fp, root (one fingerprint of the component) and component_id (its smallest doc_id) of every row.
 
     similarity: texts whose five-word shingles have this Jaccard similarity or more are linked too.
+    ``also`` may not name fp, root, component_id, low or xt.
     """
     if similarity is not None:
-        docs = docs.withColumn("xt", F.xxhash64("text"))
+        docs = docs.select(*dict.fromkeys(["doc_id", *also, "text"]), F.struct(*(h.alias(n) for h, n in zip(identity("text"), "ab"))).alias("xt"))
         also = (*also, "xt")
     found = cut(fingerprint(docs, *dict.fromkeys(["doc_id", *also]), words=words), "fingerprints")
-    fps = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    fps = cut(fps, "distinct-fingerprints")
-    pairs = near(fps.select("fp"), most_bits)
+    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    pairs = near(fps, most_bits)
     if similarity is not None:
         alike = cut(similar(docs, similarity), "similar")
         fp_of = found.select("xt", "fp").distinct()
@@ -199,6 +234,7 @@ def near_duplicates(docs: DataFrame, *also: str, most_bits: int = 4, words: int
     # Of each fingerprint its component's root, then of each root the smallest doc_id.
     rooted = fps.join(links, fps["fp"] == links["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     rooted = cut(rooted, "roots")
+    discard(links)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return found.join(by_fp, "fp")
