@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +114,11 @@ def test_quality_rules_learn_and_judge(spark):
 # 3
 
 
-def brute_fingerprint(t):
+def brute_fingerprint(t, n_words=4):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
         return 0
-    sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    sh = [" ".join(w[i : i + n_words]) for i in range(max(1, len(w) - n_words + 1))]
     n = [0] * 64
     for s in sh:
         h = xxhash.xxh64_intdigest(s.encode(), 42)
@@ -188,8 +189,8 @@ def brute_bytes(texts, k):
 
 @pytest.mark.parametrize("most", [2000, 1])
 def test_suffix_dedup(spark, docs, texts, most):
-    keyed = suffix_dedup.with_key(docs)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(keyed, suffix_dedup.spans(keyed, most_pieces=most), "doc_id").collect()}
+    keyed = suffix_dedup.with_key(docs, "doc_id")
+    got = {r["own"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(keyed, suffix_dedup.spans(keyed, most_pieces=most), "doc_id").collect()}
     assert got == dict(enumerate(brute_bytes(texts, 400)))
 
 
@@ -234,36 +235,57 @@ def test_chat(spark):
 # 6
 
 
+def within_a_block(blocks, weights):
+    """Every prefix of the schedule against the fluid mixture of the weights themselves."""
+    places = mixing.schedule(blocks, weights)
+    assert sorted(x for p in places.values() for x in p) == list(range(sum(blocks.values())))
+    of = {x: k for k, p in places.items() for x in p}
+    done, fluid = Counter(), dict.fromkeys(blocks, Fraction(0))
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    for t in range(len(of)):
+        done[of[t]] += 1
+        left = Fraction(1)  # of this slot
+        while left:
+            live = [k for k in blocks if fluid[k] < blocks[k]]
+            rate = sum(exact[k] for k in live)
+            step = min(left, *((blocks[k] - fluid[k]) * rate / exact[k] for k in live))
+            for k in live:
+                fluid[k] += step * exact[k] / rate
+            left -= step
+        assert all(abs(done[k] - fluid[k]) < 1 for k in blocks)
+
+
 def test_every_prefix_is_within_a_block():
     rng = random.Random(1)
-    for _ in range(20):
-        blocks = {k: rng.randint(1, 4000) for k in range(rng.randint(1, 9))}
-        weights = {k: rng.random() + 0.01 for k in blocks}
-        plan = mixing.phases(blocks, weights, 256)
-        slots = {}
-        for lane, a, z, base, c, period, places in plan:
-            for k in range(a, z):
-                slots[base + (k - a) // c * period + places[(k - a) % c]] = (lane, base, c / period)
-        assert sorted(slots) == list(range(sum(blocks.values())))
-        done = Counter()
-        start = None
-        for t in sorted(slots):
-            lane, base, _ = slots[t]
-            if base != start:
-                start, done = base, Counter()
-                rate = {x[0]: x[4] / x[5] for x in plan if x[3] == base}
-            done[lane] += 1
-            assert all(abs(done[k] - r * (t + 1 - start)) < 1 for k, r in rate.items())
+    for _ in range(8):
+        blocks = {k: rng.randint(1, 60) for k in range(rng.randint(1, 9))}
+        within_a_block(blocks, {k: rng.randint(1, 1000) / 1024 for k in blocks})
+    within_a_block(dict.fromkeys(range(20), 50), dict.fromkeys(range(20), 1.0))
+    within_a_block({0: 300, 1: 3}, {0: 1.0, 1: 0.0001})
+    within_a_block({k: 1 + k % 4 for k in range(100)}, {k: float(1 + k % 7) for k in range(100)})
+
+
+def test_many_equal_sources_do_not_drift():
+    # The target of equal weights is a turn for each source in every round.
+    places = mixing.schedule(dict.fromkeys(range(20), 1000), dict.fromkeys(range(20), 1 / 3))
+    assert all(20 * j <= slot < 20 * (j + 1) for p in places.values() for j, slot in enumerate(p))
 
 
 def test_mixing_keeps_every_row(spark):
     rows = [(i, None if i % 7 == 0 else f"s{i % 3}") for i in range(400)] + [(None, "s1"), (5, "s2"), (5, "s2")]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("mix_slot", F.lit("clash"))
-    got = mixing.mix(df, {"s1": 0.7, "s2": 0.2}, block=4, period=32).collect()
+    got = mixing.mix(df, {"s1": 0.7, "s2": 0.2}, block=4).collect()
     assert len(got) == len(rows) and len({r["mix_order"] for r in got}) == len(rows)
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
     assert all(len({r["source"] for r in got if r["mix_slot"] == s}) == 1 for s in {r["mix_slot"] for r in got})
     assert mixing.mix(df.limit(0)).count() == 0
+    odd = df.withColumns({c: F.lit(k) for k, c in enumerate(["a", "s", "c", "o", "l", "lane", "rank", "slot", "number", "x.y"])})
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.mix(odd).collect()) == Counter(rows) and mixing.mix(odd).columns == [*[c for c in odd.columns if c != "mix_slot"], "mix_slot", "mix_order"]
+    last = mixing.mix(df, {"s0": 0.0, "s1": 1.0, "s2": 2.0, None: 1.0}, block=4).groupBy("source").agg(F.min("mix_slot").alias("a"), F.max("mix_slot").alias("z")).collect()
+    by = {r["source"]: r for r in last}
+    assert by["s0"]["a"] > max(r["z"] for r in last if r["source"] != "s0")
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"s0": -1.0})
 
 
 # 7, 10
@@ -359,6 +381,9 @@ def test_best_match_is_the_edit_distance():
     for _ in range(40):
         a, b = bytes(rng.choices(b"abc ", k=rng.randint(1, 30))), bytes(rng.choices(b"abc ", k=rng.randint(0, 60)))
         assert decontaminate.best_match(a, b, 1000) == edit(a, b)
+    items = [bytes(rng.choices(b"abc ", k=rng.choice([1, 5, 63, 64, 65, 130, 200]))) for _ in range(60)]
+    texts = [bytes(rng.choices(b"abc ", k=rng.randint(0, 90))) + (i[5:] if rng.random() < 0.5 else b"") for i in items]
+    assert decontaminate.best_matches(items, texts).tolist() == [edit(a, b) for a, b in zip(items, texts)]
 
 
 def test_decontamination(spark):
@@ -396,15 +421,14 @@ def test_exact_copies_of_short_items_are_found(spark):
 
 def test_prefixes_follow_the_weights_themselves():
     weights = {0: 1 / 5000, 1: 0.3, 2: 0.123456, 3: 1 - 0.3 - 0.123456 - 1 / 5000}
-    blocks = dict.fromkeys(weights, 1_000_000)
-    blocks[3] = 180_000  # over a thousand cycles of 256 slots
-    plan = [x for x in mixing.phases(blocks, weights, 256) if x[3] == 0]
-    for lane, a, z, _, c, period, places in plan:
-        k = np.arange(a, z)
-        slot = np.asarray(places)[k % c] + k // c * period
-        # Before a block's slot so many are done, after it one more.  Shares round weights at 2 ** -48.
-        assert (np.abs(k - weights[lane] * slot) < 1 + 1e-6).all() and (np.abs(k + 1 - weights[lane] * (slot + 1)) < 1 + 1e-6).all()
-    assert len(plan) == 4
+    blocks = {0: 20, 1: 30_000, 2: 12_300, 3: 57_000}
+    places, total = mixing.schedule(blocks, weights), sum(map(Fraction, weights.values()))
+    until = min(Fraction(n) * total / Fraction(weights[k]) for k, n in blocks.items())  # the first source is served up
+    for k, p in places.items():
+        for j, slot in enumerate(p):
+            if slot + 1 <= until:
+                # Before a block's slot so many are done, after it one more.
+                assert abs(j - Fraction(weights[k]) / total * slot) < 1 and abs(j + 1 - Fraction(weights[k]) / total * (slot + 1)) < 1
 
 
 def test_a_small_source_keeps_its_weight_among_many(spark):
@@ -414,3 +438,175 @@ def test_a_small_source_keeps_its_weight_among_many(spark):
     assert len(got) == len(rows)
     slots = sorted(r["mix_slot"] for r in got if r["source"] == "zz")
     assert all(abs(i + 1 - 0.5 * (slot + 1)) < 1 + 1e-6 for i, slot in enumerate(slots))
+
+
+def test_recall_of_edited_items_wherever_verification_accepts(spark):
+    rng = random.Random(21)
+    items = [re.sub(r"\s+", " ", prose(rng, rng.randint(14, 40))) for _ in range(40)]
+    rows, rate_of, copies = [], {}, {}
+    for rate in (0.05, 0.10, 0.15, 0.18):
+        for k, item in enumerate(items):
+            copy = list(item)
+            for _ in range(round(rate * len(item))):
+                at, how = rng.randrange(len(copy)), rng.randrange(3)
+                if how == 0:
+                    copy[at] = rng.choice("etaoin shrdlu")
+                elif how == 1:
+                    copy.insert(at, rng.choice("etaoin shrdlu"))
+                elif len(copy) > 1:
+                    del copy[at]
+            rate_of[len(rows)], copies[len(rows)] = rate, (k, "".join(copy))
+            rows.append((len(rows), prose(rng, 40) + " " + "".join(copy) + " " + prose(rng, 40)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    met = Counter()
+    for d, (k, _) in copies.items():
+        item, whole = items[k].encode(), re.sub(r"\s+", " ", rows[d][1]).lower().encode()
+        if decontaminate.best_match(item, whole, 10**6) <= int(0.2 * len(item)):
+            met[rate_of[d], (d, k) in got] += 1
+    for rate in (0.05, 0.10, 0.15, 0.18):
+        assert met[rate, True] >= 0.9 * (met[rate, True] + met[rate, False]) and met[rate, True] >= 30, (rate, met)
+
+
+def test_decontamination_of_long_and_crowded_documents(spark):
+    rng = random.Random(22)
+    items = [re.sub(r"\s+", " ", prose(rng, 30)) for _ in range(10)]
+    every = prose(rng, 4000) + " " + " ".join(items * 30) + " " + prose(rng, 4000)
+    rows = [(1, every, 0, 0), (2, prose(rng, 9000), 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, rid int")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (20, items[1])], "item_id long, text string").withColumns({"i1": F.lit(1), "off": F.lit(2)})
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, k, 0) for k in [*range(10), 20]}
+
+
+def test_line_blocks_decide_by_brute_force():
+    rng = random.Random(31)
+    for _ in range(300):
+        weight = [rng.choice([0, 0, 0, 3, 10, 40, 300]) for _ in range(rng.randint(1, 25))]
+        block = [sum(weight[max(0, i - 1) : i + 2]) for i in range(len(weight))]
+        runs, now = [], []
+        for i, b in enumerate([*block, 0]):
+            if b > 0:
+                now.append(i)
+            elif now:
+                runs.append(now)
+                now = []
+        high = [r for r in runs if max(block[i] for i in r) >= html_extract.SURGE] or sorted(runs, key=lambda r: (-max(block[i] for i in r), r[0]))[:1]
+        want = []
+        for r in high:
+            heavy = [i for i in r if weight[i]]
+            want.append((heavy[0], heavy[-1] + 1))
+        assert html_extract.stretches(np.array(weight)) == want
+
+
+def test_html_parts_names_and_surges():
+    get = lambda h: html_extract.extract(h)[0]
+    kept = '<article><p>Intro here.</p><div class="social-history"><p>Social history.</p></div><section id="legal-notice-study">A study.</section><p>End.</p></article>'
+    assert get(kept) == "Intro here.\n\nSocial history.\n\nA study.\n\nEnd."
+    gone = '<article><header><p>By me</p></header><p>Text.</p><div class="comment-list"><p>I disagree.</p></div><div role="complementary">Side</div><p hidden>No</p><p>More.</p></article>'
+    assert get(gone) == "Text.\n\nMore."
+    links = "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(5))
+    body = f"<h1>Headline of it</h1><p>A short intro, not long.</p><ul>{links}</ul><p>{'many words ' * 200}</p><ul>{links}</ul><p>A short closing section.</p>"
+    assert [len(x) for x in get(f"<body><div>{body}</div></body>").split("\n\n")] == [14, 24, 2199, 24]
+    beside = f"<article><p>Short.</p></article><div><ul>{links}</ul></div><div><p>{'long text ' * 100}</p></div><div>tiny</div>"
+    assert get(beside).startswith("Short.\n\nlong text") and "tiny" not in get(beside)
+    assert get("<p>a &lt;b&gt; &amp;amp; c<p>5 < 6 and 7 > 3") == "a <b> &amp; c\n\n5 < 6 and 7 > 3"
+
+
+def test_html_time_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<script " * 130_000, '<a "' * 250_000, "<!--" * 250_000, "<p " * 300_000, "<div class='x" * 80_000):
+        html_extract.extract(page)
+    assert time.perf_counter() - began < 5
+    assert html_extract.extract("<p>Before.</p>" + "<script " * 1000)[0] == "Before."
+
+
+def brute_words(texts, k=20):
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        gone = set()
+        for s in range(len(w) - k + 1):
+            key = tuple(w[s : s + k])
+            if key in seen:
+                gone.update(range(s, s + k))
+            seen.add(key)
+        want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    return want
+
+
+def test_debruijn_with_branching_nodes(spark):
+    rng = random.Random(33)
+    core, left, right = prose(rng, 60), [prose(rng, 40) for _ in range(3)], [prose(rng, 40) for _ in range(3)]
+    texts = [f"{left[a]} {core} {right[z]}" for a, z in [(0, 0), (1, 1), (0, 1), (2, 2), (1, 0), (0, 0)]]  # branches before and after the core
+    texts += [core[: len(core) // 2] + " " + prose(rng, 30), " ".join(core.split()[20:]) + "\t" + core, "same " * 90, "same " * 50 + prose(rng, 30), "a b " * 40]
+    texts += [" ".join(f"w{i % 7}" for i in range(80)), " ".join(f"w{i % 7}" for i in range(3, 60))]
+    docs = debruijn.with_key(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("a", "start", "source", "times", "d1")}))
+    out = debruijn.remove(docs, debruijn.spans(docs)).select("*", F.sha2("kept", 256).alias("sha")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["sha"]) for r in out} == brute_words(texts)
+
+
+def test_paths_are_compacted_where_nodes_do_not_branch(spark):
+    source = lambda s: (0, 1, 1, s)
+    # 1 -> 2 -> 3 -> 4 in a row; 4 -> 5 and 4 -> 6 branch; 6 -> 7 occurs more often; 7 -> 8 goes on elsewhere.
+    rows = [(1, 1, 2, 1, 2, source(0)), (2, 2, 3, 5, 2, source(1)), (3, 3, 4, 1, 2, source(6)), (4, 4, 5, 1, 2, source(7)), (5, 4, 6, 1, 2, source(30)), (6, 6, 7, 1, 3, source(31)), (7, 7, 8, 1, 3, source(50))]
+    edges = spark.createDataFrame([(x, x, u, v, n, t, s) for x, u, v, n, t, s in rows], "x1 long, x2 long, u long, v long, n int, times long, source struct<doc_id:long,d1:long,d2:long,start:int>")
+    assert {r["x1"]: r["off"] for r in debruijn.compact(edges).collect()} == {2: 1, 3: 6}
+
+
+def test_debruijn_keeps_spans_whose_words_differ(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = debruijn.with_key(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    gone = debruijn.spans(docs)
+    assert [r["words"] for r in gone.collect()] == [60]
+    other = gone.withColumn("digest", F.unhex(F.sha2(F.lit("other words"), 256)))
+    assert {r["n_removed"] for r in debruijn.remove(docs, other).collect()} == {0}
+
+
+def test_thue_morse_lines_and_words_are_told_apart(spark):
+    sign = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[s] for s in sign), "".join("ba"[s] for s in sign)
+    got = quality_rules.statistics(spark.createDataFrame([(1, f"{a}\n{b}")], "doc_id long, text string")).first()
+    assert got["n_dup_lines"] == 0 and got["n_unique_words"] == 2
+    texts = [a + "x" + a[:500], b + "y" + b[:500], " ".join(a[:60]), " ".join(b[:60])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = suffix_dedup.with_key(docs, "doc_id")
+    found = {r["own"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(keyed, suffix_dedup.spans(keyed), "doc_id").collect()}
+    assert found == dict(enumerate(brute_bytes(texts, 400)))
+    keyed = debruijn.with_key(docs)
+    assert {r["doc_id"]: r["n_removed"] for r in debruijn.remove(keyed, debruijn.spans(keyed)).collect()} == {i: w[1] for i, w in brute_words(texts).items()}
+
+
+def test_suffix_dedup_of_odd_rows(spark):
+    rng = random.Random(35)
+    passage = prose(rng, 150)
+    rows = [(None, passage), (None, passage), (None, passage + "!"), (1, prose(rng, 20) + passage), (2, None), (2, ""), (3, prose(rng, 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("th", "kept", "n_bytes", "gone", "own", "a", "o", "h1", "piece")})
+    want = sorted((repr(i), *b) for (i, _), b in zip(rows, brute_bytes([t for _, t in rows], 400)))
+    for most in (2000, 1):
+        keyed = suffix_dedup.with_key(docs, "doc_id")
+        got = suffix_dedup.remove(keyed, suffix_dedup.spans(keyed, most_pieces=most), "doc_id").collect()
+        assert sorted((repr(r["own"]["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+    none = suffix_dedup.with_key(docs.limit(0), "doc_id")
+    assert suffix_dedup.remove(none, suffix_dedup.spans(none), "doc_id").count() == 0
+
+
+def test_simhash_takes_null_ids_and_clashing_columns(spark):
+    rows = [(None, "one two three four five"), (7, "One two three four five"), (None, None), (3, ""), (9, "six seven eight nine ten")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("low", "root", "fp", "key", "component_id")})
+    got = sorted((repr(r["doc_id"]), repr(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("None", "7"), ("7", "7"), ("None", "3"), ("3", "3"), ("9", "9")])
+
+
+def test_conflicting_labels_and_repeated_rows_fit_alike(spark):
+    rng = random.Random(36)
+    rows = [(i, prose(rng, 40) if i % 2 else prose(rng, 40).upper(), "xx", None, 0) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (3, "other text", "yy", None, 0)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(8, 1), (8, 0), (8, 0)], "doc_id long, quality int")
+    one, two = (quality_crf.fit(d, labels) for d in (docs.repartition(5, "text"), docs.repartition(2)))
+    assert np.array_equal(one.weight, two.weight) and one.slope == two.slope
+    assert quality_rules.fit(docs.repartition(5, "text"), labels) == quality_rules.fit(docs.repartition(2), labels)
+    a, b = (language.fit(d) for d in (docs.repartition(5, "text"), docs.repartition(2)))
+    assert a.langs == b.langs and np.array_equal(a.dense, b.dense)
