@@ -2,6 +2,10 @@
 
 ``STAGES`` are applied one after the other; each stage's result is written as Parquet and read again as
 the next one's documents.  All but the last return the columns of ``documents``.
+
+Defined cases, of every stage: an empty table gives an empty table; further columns are kept, whatever their
+names; a null doc_id, lang, source or n_chars is kept as it is; texts of any length are taken whole.  What a null
+or empty text and a repeated row come to, and how ties are broken, each stage says itself.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import decontaminate, mixing, quality_crf, simhash, suffix_dedup
-from wayfold.llm.store import cut, table
+from wayfold.llm.store import cut, discard, identity, spare, table
 
 #: Models, fingerprint components and edit distances are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
@@ -21,47 +25,85 @@ ORACLE_SQL = None
 SIMILARITY = 0.8
 
 
+def _rest(docs: DataFrame) -> DataFrame:
+    """(doc_id, rest, text): all columns but the text in one struct, so that none clashes with an operator's."""
+    return docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), "text")
+
+
+def _back(df: DataFrame, rest: str, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else F.col(f"{rest}.`{c}`").alias(c) for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it is trained on labelled documents that are not held out."""
+    """Documents that the classifier accepts; it is trained on labelled documents that are not held out.
+
+    A null or empty text scores 0 and goes; repeated rows are judged alike and stay repeated; a score equal to the
+    threshold is accepted.  Without labels of both kinds there is no classifier, and every document stays.
+    """
     field = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_crf.score(docs, field, *docs.columns).where("predicted = 1")
-    return scored.drop("held_out", "score", "predicted")
+    if field is None:
+        return docs
+    return _back(quality_crf.score(_rest(docs), field, "rest", "text").where("predicted = 1"), "rest", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (within 4 bits, or alike in SIMILARITY of their five-word shingles): that of the smallest doc_id."""
-    keyed = docs.withColumn("_th", F.hash("text"))
-    found = simhash.near_duplicates(keyed, "_th", similarity=SIMILARITY)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th")).alias("keep"))
-    keep = cut(first.select(F.col("keep.doc_id").alias("_id"), F.col("keep._th").alias("_kth")), "kept-ids")
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    """One document of each group of near copies stays: fingerprints of five-word shingles within 4 bits, or sets of them alike in SIMILARITY.
+
+    That of the smallest doc_id stays, a null one last; of texts that share the doc_id any, the same in every run.  Null and
+    empty texts are near copies of each other; of rows that share doc_id and text one stays.
+    """
+    d1, d2, n = spare(docs, "d1", "d2", "n")
+    keyed = docs.withColumns(dict(zip((d1, d2), identity("doc_id", "text"))))
+    slim = keyed.select("doc_id", F.col(d1).alias("d1"), F.col(d2).alias("d2"), "text")
+    found = cut(simhash.near_duplicates(slim, "d1", "d2", words=5, similarity=SIMILARITY).select("doc_id", "d1", "d2", "root"), "groups-of-copies")
+    # Most documents have no copy: only groups of several are looked at, and only what goes is taken out.
+    first = found.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2")).alias("keep")).where("n > 1")
+    first = cut(first, "copies")
+    others = found.join(first, "root").where((F.col("d1") != F.col("keep.d1")) | (F.col("d2") != F.col("keep.d2"))).select("d1", "d2").distinct()
+    twice = found.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    out = cut(others.withColumn(n, F.lit(0)).unionByName(twice.withColumn(n, F.lit(1))).groupBy("d1", "d2").agg(F.min(n).alias(n)), "to-go")
+    out = out.select(F.col("d1").alias(d1), F.col("d2").alias(d2), n)
+    single = keyed.join(out, [d1, d2], "left_anti").select(*docs.columns)
+    repeated = keyed.join(out.where(F.col(n) == 1), [d1, d2], "left_semi").dropDuplicates([d1, d2]).select(*docs.columns)
+    return single.unionByName(repeated)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur more than once; characters cut in two go."""
-    keyed = suffix_dedup.with_key(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
-    keyed = keyed.withColumn("_null", F.col("text").isNull())
-    also = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = suffix_dedup.remove(keyed, suffix_dedup.spans(keyed.select("doc_id", "th", "text")), *also, "_null")
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    """Documents without the byte strings that occur more than once; characters cut in two go.
+
+    Every document stays, a null text null, and one that is all repeated empty; n_chars is counted anew.  Repeated rows lose
+    what they share, which is all if it is long enough.
+    """
+    keyed = suffix_dedup.with_key(_rest(docs).withColumn("none", F.col("text").isNull()), "rest", "none")
+    found = suffix_dedup.remove(keyed, suffix_dedup.spans(keyed), "rest", "none")
+    own = found.schema["own"].dataType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [None if gone else k.decode("utf-8", "ignore") for k, gone in zip(batch.column("kept").to_pylist(), batch.column("_null").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array(text, pa.string()), pa.array([None if t is None else len(t) for t in text], pa.int64())], [*also, "text", "n_chars"])
+            none = batch.column("own").field("none").to_pylist()
+            text = [None if gone else k.decode("utf-8", "ignore") for k, gone in zip(batch.column("kept").to_pylist(), none)]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(text, pa.string())], ["own", "text"])
 
-    return found.mapInArrow(decode, f"{types}, text string, n_chars long").select(*docs.columns)
+    kept = found.select("own", "kept").mapInArrow(decode, f"own {own}, text string")
+    out = _back(kept, "own.rest", docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no near copy of a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that hold no near copy of a benchmark item.
+
+    A null or empty text holds none and stays; repeated rows go or stay together.
+    """
+    (name,) = spare(docs, "name")
+    keyed = docs.withColumn(name, F.struct(*(h.alias(c) for h, c in zip(identity("doc_id", "text"), "ab"))))
+    found = decontaminate.contaminated(keyed.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    # Its size is known once it is written, so that few rows are broadcast and many are not.
+    found = cut(found, "contaminated")
+    return keyed.join(found, name, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its place in the mixture of sources."""
+    """Every document with its place in the mixture of sources; null and empty texts and repeated rows have a place each."""
     return mixing.mix(docs)
 
 
@@ -78,7 +120,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(before)
     return docs
 
 
