@@ -28,7 +28,7 @@ def test_trails_use_no_edge_twice(spark):
 def test_road_match_holds_the_truth(spark):
     """Every observed walk keeps a hypothesis, and concentrations are shares."""
     got = world.matched_walks(spark, "").collect()
-    assert len(got) == 12 and all(0 < r["concentration"] <= 1 for r in got)
+    assert len(got) == 40 and all(0 < r["concentration"] <= 1 for r in got)
 
 
 def test_session_events(spark):

@@ -143,3 +143,11 @@ def sun(lat, lon, unix) -> dict[str, Column]:
     a = F.degrees(F.acos(cos_az))
     azimuth = F.when(F.sin(zenith) < 1e-9, F.lit(0.0)).when(hour > 0, mod(a + 180, 360)).otherwise(mod(540 - a, 360))
     return {"azimuth": azimuth, "elevation": 90 - F.degrees(zenith)}
+
+
+def decimal_year(ts) -> Column:
+    """The year with the part of it that is over."""
+    ts = _c(ts)
+    start, after = F.make_date(F.year(ts), F.lit(1), F.lit(1)), F.make_date(F.year(ts) + 1, F.lit(1), F.lit(1))
+    seconds = lambda d: F.unix_micros(d.cast("timestamp")) / 1e6
+    return F.year(ts) + (F.unix_micros(ts) / 1e6 - seconds(start)) / (seconds(after) - seconds(start))

@@ -41,3 +41,26 @@ def arrow(angle: Column) -> Column:
     """Which way to point."""
     size = F.abs(angle)
     return F.when(size < 15, "ahead").when(size < 50, F.when(angle > 0, "bear right").otherwise("bear left")).otherwise(F.when(angle > 0, "right").otherwise("left"))
+
+
+# How a milestone's kind is called.
+SPOKEN = {"stop_sign": "stop sign", "traffic_light": "traffic light", "crossing": "crossing", "roundabout": "roundabout"}
+
+
+def milestone_text(kind: Column, road: Column) -> Column:
+    """What is said when a milestone comes near."""
+    word = F.lit("the intersection")
+    for k, v in SPOKEN.items():
+        word = F.when(kind == k, F.lit(v)).otherwise(word)
+    on = F.when(F.coalesce(road, F.lit("")).isin("", "unnamed road"), F.lit("")).otherwise(F.concat(F.lit(" on "), road))
+    return F.when(kind == "destination", F.lit("Approaching your destination")).otherwise(F.concat(F.lit("Approaching "), word, on))
+
+
+def limit_text(limit: Column) -> Column:
+    """A speed limit in miles an hour, a dash where there is none."""
+    return F.when(limit > 0, F.concat(miles_an_hour(limit).cast("string"), F.lit(" mph"))).otherwise("—")
+
+
+def away_text(metres: Column) -> Column:
+    """A distance left, in kilometres from one on."""
+    return F.when(metres >= 1000, F.format_string("~%.1f km away", metres / 1000)).otherwise(F.concat(F.lit("~"), F.round(metres).cast("long").cast("string"), F.lit(" m away")))

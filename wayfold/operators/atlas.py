@@ -30,6 +30,42 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.min_by(F.struct("lat", "lon"), "patch").alias("v")).select("id", "v.*")
 
 
+def merge_features(features: DataFrame, origins: DataFrame, lat0: float, lon0: float) -> DataFrame:
+    """Features (patch, fid, kind, name, line) of several patches about one origin; ``origins(patch, lat, lon)`` are the patches' own.
+
+    Lines are arrays of (x, y) in metres.  A feature that patches share is told by kind, name and rounded first place, and
+    is taken from the first patch.
+    """
+    from ..functions.geo import to_degrees, to_metres
+
+    here = features.join(origins.select("patch", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "patch")
+
+    def moved(p: Column) -> Column:
+        lat, lon = to_degrees(p["x"], p["y"], F.col("_lat"), F.col("_lon"))
+        x, y = to_metres(lat, lon, lat0, lon0)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    line = here.withColumn("line", F.transform("line", moved)).drop("_lat", "_lon")
+    first = F.get("line", 0)
+    key = [F.col("kind"), F.coalesce("name", F.lit("")).alias("_name"), F.round(first["x"]).alias("_x"), F.round(first["y"]).alias("_y")]
+    return line.groupBy(*key).agg(F.min_by(F.struct("patch", "fid", "name", "line"), F.struct("patch", "fid")).alias("v")).select("v.patch", "v.fid", "kind", "v.name", "v.line")
+
+
+def write_patches(df: DataFrame, path: str) -> None:
+    """Rows of patches, a folder for each; writing a patch again replaces it alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patch").parquet(path)
+
+
+def patch_index(spark: SparkSession, path: str) -> DataFrame:
+    """(patch, rows) of the patches that are stored."""
+    return spark.read.parquet(path).groupBy("patch").agg(F.count("*").alias("rows"))
+
+
+def migrated(spark: SparkSession, path: str, patch: str) -> DataFrame:
+    """A legacy area's rows as a patch."""
+    return spark.read.parquet(path).withColumn("patch", F.lit(patch))
+
+
 def first_patch(points: DataFrame, patches: DataFrame) -> DataFrame:
     """(pid, patch): the first patch (patch, s, n, w, e) that covers each point; patches meet points on whole degrees."""
     span = lambda a, b: F.sequence(F.floor(F.col(a)), F.floor(F.col(b)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_bearing, haversine
 from ..functions.labels import node_kind, speed
+from ..sources.tables import settled
+
+# Classes of roads that are driven, and those that are walked besides; a class holds its links too.
+DRIVE = "motorway trunk primary secondary tertiary residential unclassified living_street service".split()
+CLASSES = {"drive": DRIVE, "walk": [*DRIVE, *"footway path track pedestrian cycleway steps".split()]}
 
 ELEMENT = "type string, id long, lat double, lon double, nodes array<long>, tags map<string,string>"
 
@@ -49,19 +54,87 @@ def covers(node: DataFrame, north: float, south: float, east: float, west: float
     return box.select(F.coalesce(inside, F.lit(False)).alias("fresh"))
 
 
-def distances(e: DataFrame, start: int, most_hops: int, every: int = 4) -> DataFrame:
-    """(node, metres) from ``start`` by relaxing the frontier; lineage is cut every few hops, and it stops when nothing improves."""
-    best = e.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0.0).alias("metres"))
-    front = best
-    for hop in range(most_hops):
-        reached = front.select(F.col("node").alias("u"), F.col("metres").alias("so_far")).join(e, "u").groupBy(F.col("v").alias("node")).agg(F.min(F.col("so_far") + F.col("metres")).alias("new"))
-        better = reached.join(best, "node", "left").where(F.col("metres").isNull() | (F.col("new") < F.col("metres"))).select("node", F.col("new").alias("metres"))
-        front = better.checkpoint() if hop % every == every - 1 else better.cache()
-        if front.isEmpty():
-            break
-        best = best.unionByName(front).groupBy("node").agg(F.min("metres").alias("metres"))
-        best = best.checkpoint() if hop % every == every - 1 else best
-    return best
+def distances(e: DataFrame, start: int) -> DataFrame:
+    """(node, metres) of every node that can be reached from ``start``: the frontier is relaxed until nothing improves."""
+    pairs = e.sparkSession.range(1).select(F.lit(0).cast("long").alias("route"), F.lit(start).cast("long").alias("start"), F.lit(None).cast("long").alias("goal"))
+    return _relaxed(e, pairs).select("node", "metres")
+
+
+def _relaxed(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(route, goal, node, metres, path) by relaxing the frontiers of all routes together; what is no shorter than the route to the goal so far goes no further."""
+    step = settled(e.groupBy("u", "v").agg(F.min("metres").alias("step")))
+    state = settled(pairs.select("route", "goal", F.col("start").alias("node"), F.lit(0.0).alias("metres"), F.lit(True).alias("fresh"), F.array("start").alias("path")))
+    while not state.where("fresh").isEmpty():
+        bound = state.where("node = goal").select("route", F.col("metres").alias("bound"))
+        ahead = state.where("fresh").withColumnRenamed("node", "u").join(step, "u").withColumn("metres", F.col("metres") + F.col("step"))
+        ahead = ahead.join(bound, "route", "left").where("bound IS NULL OR metres < bound").select("route", "goal", F.col("v").alias("node"), "metres", "fresh", F.concat("path", F.array("v")).alias("path"))
+        # Of equals the one that is known stays, so that what does not improve is not fresh again.
+        both = state.withColumn("fresh", F.lit(False)).unionByName(ahead)
+        state = settled(both.groupBy("route", "goal", "node").agg(F.min(F.struct("metres", "fresh", "path")).alias("b")).select("route", "goal", "node", "b.*"))
+    return state.drop("fresh")
+
+
+def shortest_paths(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(route, metres, path) of ``pairs(route, start, goal)`` over ``e(u, v, metres)``; no row where there is no path or no way to go."""
+    found = _relaxed(e, pairs.where("start <> goal"))
+    return found.where("node = goal").select("route", "metres", "path")
+
+
+def trail_graph(trails: DataFrame, roads: DataFrame, apart: float = 25.0, cell: float = 3.0) -> DataFrame:
+    """(u, v, ux, uy, vx, vy): sides of trails ``(fid, line)`` between vertices rounded to ``cell`` metres, both ways, without those whose middle hugs a road."""
+    from .spatial import nearest_road
+
+    side = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct(F.get("line", i - 1).alias("a"), F.get("line", i).alias("b")))
+    s = trails.where(F.size("line") >= 2).select("fid", F.posexplode(side).alias("i", "s"))
+    s = s.select("fid", "i", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    middle = s.select("fid", "i", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    hugging = nearest_road(middle, roads, ["fid", "i"], 60.0).where(F.col("dist") <= apart)
+    node = lambda x, y: F.struct(F.round(F.col(x) / cell).cast("long").alias("x"), F.round(F.col(y) / cell).cast("long").alias("y"))
+    e = s.join(hugging, ["fid", "i"], "left_anti").select(node("ax", "ay").alias("u"), node("bx", "by").alias("v")).where("u <> v")
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    # A node stands where its rounding says.
+    return both.select("u", "v", *[(F.col(f"{n}.{c}") * cell).alias(f"{n}{c}") for n in "uv" for c in "xy"])
+
+
+def in_classes(elements: DataFrame, surface: str, south: float, west: float, north: float, east: float) -> DataFrame:
+    """An extract's ways of the classes of a surface (``drive`` or ``walk``) with a node in the box, and the nodes of those."""
+    ways = elements.where("type = 'way'").where(F.col("tags")["highway"].rlike("|".join(CLASSES[surface])))
+    inside = elements.where("type = 'node'").where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).select(F.col("id").alias("n"))
+    refs = ways.select("id", F.explode("nodes").alias("n"))
+    kept = refs.join(inside, "n").select("id").distinct()
+    ways = ways.join(kept, "id", "left_semi")
+    used = refs.join(kept, "id", "left_semi").select(F.col("n").alias("id")).distinct()
+    return ways.unionByName(elements.where("type = 'node'").join(used, "id", "left_semi").select(*ways.columns))
+
+
+def save(node: DataFrame, e: DataFrame, path: str) -> None:
+    """A snapshot of a graph: all nodes and all directed edges."""
+    node.write.mode("overwrite").parquet(f"{path}/nodes")
+    e.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The snapshot's nodes and edges; the edges are directed already."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, data) and (u, v, data) of a GraphML file, data being a map from the names of the file's keys to text."""
+    part = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    data = "data array<struct<_key:string,_VALUE:string>>"
+    names = part("key", "_id string, `_attr.name` string").agg(F.map_from_entries(F.collect_list(F.struct("_id", "`_attr.name`"))).alias("names"))
+    named = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(F.element_at("names", d["_key"]), d["_VALUE"])))
+    node = part("node", f"_id string, {data}").crossJoin(F.broadcast(names)).select(F.col("_id").cast("long").alias("id"), named.alias("data"))
+    e = part("edge", f"_source string, _target string, {data}").crossJoin(F.broadcast(names)).select(F.col("_source").cast("long").alias("u"), F.col("_target").cast("long").alias("v"), named.alias("data"))
+    return node, e
+
+
+def write_graphml(node: DataFrame, e: DataFrame, path: str) -> None:
+    """Nodes (id, lat, lon) and edges (u, v, metres) as GraphML, a file for each partition, under ``path``/nodes and ``path``/edges."""
+    data = lambda key, c: F.struct(F.lit(key).alias("_key"), F.col(c).cast("string").alias("_VALUE"))
+    both = {"node": node.select(F.col("id").alias("_id"), F.array(data("lat", "lat"), data("lon", "lon")).alias("data")), "edge": e.select(F.col("u").alias("_source"), F.col("v").alias("_target"), F.array(data("metres", "metres")).alias("data"))}
+    for tag, rows in both.items():
+        rows.write.format("xml").mode("overwrite").option("rootTag", "graphml").option("rowTag", tag).save(f"{path}/{tag}s")
 
 
 def milestones(path: DataFrame) -> DataFrame:

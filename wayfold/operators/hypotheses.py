@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_gap
+from ..sources.tables import settled
 from .terrain import sample
 
 # Matcher defaults.
@@ -47,10 +48,22 @@ def normalise(df: DataFrame, score: str = "score", constraint: str = "constraint
     """``w``: score times constraint over their sum; all zero stays zero."""
     raw = F.col(score) * F.col(constraint)
     total = df.groupBy(*by).agg(F.sum(raw).alias("_total"))
-    df = df.join(F.broadcast(total), list(by)) if by else df.crossJoin(F.broadcast(total))
+    # One row is broadcast; a row for each group is left to the planner.
+    df = df.join(total, list(by)) if by else df.crossJoin(F.broadcast(total))
     return df.withColumn("w", F.when(F.col("_total") > 0, raw / F.col("_total")).otherwise(raw)).drop("_total")
 
 
+def cumulate(df: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
+    """``out``: the running sum of ``value`` in order of the number ``order``, by sums of up to ``parts`` ranges and windows inside them, so that no task sees all rows."""
+    edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    df = df.withColumn("_part", part)
+    sums = df.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + run).drop("_part", "_before")
+
+
 def constrain(df: DataFrame, keep: Column, hard: bool) -> DataFrame:
     """Multiply the constraint of hypotheses that contradict an answer by 0 or a quarter."""
     return df.withColumn("constraint", F.when(keep, F.col("constraint")).otherwise(F.col("constraint") * (0.0 if hard else SOFT)))
@@ -67,10 +80,10 @@ def summary(df: DataFrame, radius: float) -> DataFrame:
 
 
 def coverage_count(clusters: DataFrame, share: float = 0.85) -> DataFrame:
-    """n: fewest clusters (cid, w) that hold the share of the weight."""
-    w = Window.orderBy(F.desc("w"), "cid")
-    run = clusters.withColumn("_r", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("w").over(Window.partitionBy()))
-    return run.agg((F.sum(F.when(F.col("_r") < share * F.col("_t"), 1).otherwise(0)) + 1).alias("n"))
+    """n: fewest clusters (cid, w), heaviest first, that hold the share of the weight."""
+    run = cumulate(clusters.withColumn("_down", -F.col("w")), "_down", "w", "_r")
+    total = clusters.agg(F.sum("w").alias("_t"))
+    return run.crossJoin(F.broadcast(total)).agg((F.sum(F.when(F.col("_r") < share * F.col("_t"), 1).otherwise(0)) + 1).alias("n"))
 
 
 def clusters(df: DataFrame, radius: float, run: str = "run", least: float = 0.02, weighted: bool = True) -> DataFrame:
@@ -92,16 +105,20 @@ def clusters(df: DataFrame, radius: float, run: str = "run", least: float = 0.02
     return df.select(run, "cid", "x", "y", "w").groupBy(run).applyInPandas(greedy, f"{run} long, x double, y double, w double")
 
 
-def resample(df: DataFrame, n: int, offset: float) -> DataFrame:
-    """(k, cid): systematic resampling - n evenly spaced picks on the cumulated weights in order of cid.
+def resample(df: DataFrame, n: int, offset: float, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """(k, cid), with a jitter also (x, y, w): systematic resampling - n evenly spaced picks on the cumulated weights in order of cid.
 
     Each hypothesis lists its own picks from the interval it covers, so no range join is needed.
     """
-    w = Window.orderBy("cid").rowsBetween(Window.unboundedPreceding, 0)
     total = df.agg(F.sum("w").alias("_t"))
-    df = df.crossJoin(F.broadcast(total)).withColumn("_c", F.sum("w").over(w) / F.col("_t")).withColumn("_b", F.col("_c") - F.col("w") / F.col("_t"))
+    df = cumulate(df, "cid", "w", "_run").crossJoin(F.broadcast(total))
+    df = df.withColumn("_c", F.col("_run") / F.col("_t")).withColumn("_b", F.col("_c") - F.col("w") / F.col("_t"))
     low, high = F.ceil(F.col("_b") * n - offset), F.ceil(F.col("_c") * n - offset) - 1
-    return df.where(low <= high).select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k"), "cid").where(F.col("k").between(0, n - 1))
+    picks = df.where(low <= high).withColumn("k", F.explode(F.sequence(low.cast("int"), high.cast("int")))).where(F.col("k").between(0, n - 1))
+    if not jitter:
+        return picks.select("k", "cid")
+    moved = lambda c, s: F.col(c) + (F.rand(s) * 2 - 1) * jitter
+    return picks.select("k", "cid", moved("x", seed).alias("x"), moved("y", seed + 1).alias("y"), F.lit(1.0 / n).alias("w"))
 
 
 def assess(inside: Column, clusters_n: Column, clustered: Column) -> Column:
@@ -123,23 +140,36 @@ def spacing_for(edges: DataFrame, target: int) -> Column:
     return F.greatest(F.lit(12.0), F.sum("len") / 2 / target)
 
 
-def advance(walkers: DataFrame, edges: DataFrame, step: float, heading: float, hops: int = 3) -> DataFrame:
+#: A hypothesis takes so many edges in one step, at most; a step is shorter than that many edges.
+MOST_POPS = 16
+
+
+def advance(walkers: DataFrame, edges: DataFrame, step: float | Column, heading: float) -> DataFrame:
     """Walkers moved ``step`` metres: those past their edge's end go on along every edge there that does not turn
-    back and lies within the gate of the heading; after ``hops`` junctions the rest are dropped."""
+    back and lies within the gate of the heading, until all have stopped; dead ends vanish.
+
+    step: metres, or for driving a column over the walker's starting edge, such as :func:`driven`.
+    """
     e = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("len").alias("_len"), F.col("bearing").alias("_bearing"))
-    now = walkers.join(edges.select("a", "b", "len"), ["a", "b"]).withColumn("s", F.col("s") + step)
+    start = edges.select("a", "b", "len", *([F.col("speed").alias("_speed")] if "speed" in edges.columns else []))
+    now = walkers.join(start, ["a", "b"]).withColumn("s", F.col("s") + step).drop("_speed")
     done = None
-    for hop in range(hops + 1):
+    for _ in range(MOST_POPS):
         stay = now.where("s <= len")
         done = stay if done is None else done.unionByName(stay)
-        if hop == hops:
-            break
         on = now.where("s > len").withColumnRenamed("len", "_old")
         on = on.join(e, (F.col("b") == F.col("_a")) & (F.col("_b") != F.col("a"))).where(bearing_gap(F.col("_bearing"), F.lit(heading)) <= BRANCH_GATE)
-        now = on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len")}).drop("_old", "_a", "_b", "_len", "_bearing")
+        now = settled(on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len")}).drop("_old", "_a", "_b", "_len", "_bearing"))
+        if now.isEmpty():
+            break
     return done.drop("len")
 
 
+def driven(seconds: float, scale: float = 1.0, default: float = 13.0) -> Column:
+    """Metres that a walker drives at the speed of the edge it starts from."""
+    return F.coalesce("_speed", F.lit(default)) * scale * seconds
+
+
 def score(walkers: DataFrame, edges: DataFrame, heading: float, climb: float, sigma_h: float, sigma_s: float, height: str = "h") -> DataFrame:
     """logw less a capped penalty for heading and climb; off the map only the heading counts and e_prev stays."""
     df = walkers.join(edges.select("a", "b", "bearing"), ["a", "b"])
@@ -156,6 +186,95 @@ def merge_and_prune(walkers: DataFrame, beam: int = BEAM) -> DataFrame:
     return best.select("a", "b", "v.*").orderBy(F.desc("logw"), "a", "b", "s").limit(beam)
 
 
+def walk_end(bins: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """(keys, dx, dy): where a walk of bins (keys, i, heading) ends, from its start."""
+    r = F.radians("heading")
+    return bins.groupBy(*keys).agg(F.sum(F.sin(r) * step).alias("dx"), F.sum(F.cos(r) * step).alias("dy"))
+
+
+def curve_score(adherence: Column, cost: Column, length: Column, observed: int, sigma: float = 5.0, sharpness: float = 4.0) -> Column:
+    """A candidate's score against the whole curve: how well it keeps to roads, to a power, times the likelihood of its heights; a curve that leaves the map early scores 0.
+
+    adherence: null where there are no roads to keep to.  A curve of fewer than three heights is scored by roads alone.
+    """
+    heights = F.lit(1.0) if observed < 3 else F.when(length < max(2, observed // 2), 0.0).otherwise(F.exp(-cost * cost / (2 * sigma * sigma)))
+    return F.pow(F.coalesce(adherence, F.lit(1.0)), F.lit(sharpness)) * heights
+
+
+def weigh_by_roads(cloud: DataFrame, fit: DataFrame, sharpness: float) -> DataFrame:
+    """Weights times adherence ``fit(cid, adherence)`` to a power, rescaled."""
+    fits = cloud.join(fit, "cid", "left").withColumns({"score": F.col("w"), "constraint": F.pow(F.coalesce("adherence", F.lit(0.0)), F.lit(sharpness))})
+    return normalise(fits).drop("adherence", "score", "constraint")
+
+
+# When a walk is too flat to tell anything, and the recovery engine's radii.
+FLAT_VARIANCE, LOCK_M, CLUSTER_M, MOST_CLUSTERS = 1.0, 120.0, 120.0, 3
+
+
+def recovery_step(cloud: DataFrame, fit: DataFrame, variance: float, jitter: float = 8.0, seed: int = 1, impossible: Column | None = None) -> tuple[DataFrame, str]:
+    """The cloud (cid, x, y, w) after one observation and what it has come to: ``fit(cid, likelihood)`` weighs it, and it is resampled when fewer than half of it count.
+
+    A flat walk (``variance`` of its heights) changes nothing.  impossible: places (by x and y) that resampling may not move into.
+    """
+    if variance < FLAT_VARIANCE:
+        return cloud, "flatline"
+    weighed = cloud.join(fit, "cid", "left").withColumns({"score": F.col("w"), "constraint": F.coalesce("likelihood", F.lit(0.0))})
+    now = settled(normalise(weighed).select("cid", "x", "y", "w"))
+    n, ess = now.agg(F.count("*"), F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).first()
+    if ess is not None and ess < n / 2:
+        now = settled(resampled(now, n, jitter, seed, impossible))
+    return now, state(now)
+
+
+def resampled(cloud: DataFrame, n: int, jitter: float, seed: int, impossible: Column | None = None) -> DataFrame:
+    """A cloud of n even hypotheses; those moved into impossible places weigh nothing, unless all are."""
+    new = resample(cloud, n, 0.5, jitter, seed).select(F.col("k").cast("long").alias("cid"), "x", "y", "w")
+    if impossible is None:
+        return new
+    masked = normalise(new.withColumns({"score": F.col("w"), "constraint": F.when(impossible, 0.0).otherwise(1.0)})).select("cid", "x", "y", "w")
+    return masked
+
+
+def state(cloud: DataFrame) -> str:
+    """located, ambiguous or searching."""
+    inside = summary(cloud, LOCK_M).select("inside").first()
+    areas = [r["w"] for r in clusters(cloud.withColumn("run", F.lit(0).cast("long")), CLUSTER_M).select("w").collect()]
+    if not areas:
+        return "searching"
+    told = cloud.sparkSession.range(1).select(assess(F.lit(inside["inside"]), F.lit(len(areas)), F.lit(sum(areas[:MOST_CLUSTERS])))).first()[0]
+    return told
+
+
+def interrogated(cloud: DataFrame, keep: Column, hard: bool, jitter: float = 8.0, seed: int = 1) -> DataFrame:
+    """The cloud after a person's answer: what contradicts it is weakened or goes, and the cloud is resampled."""
+    n = cloud.count()
+    now = normalise(constrain(cloud.withColumns({"score": F.col("w"), "constraint": F.lit(1.0)}), keep, hard)).select("cid", "x", "y", "w")
+    return resampled(now, n, jitter, seed)
+
+
+def possible(cloud: DataFrame, surface: str, in_water: DataFrame, in_area: DataFrame | None = None, on_road: DataFrame | None = None) -> DataFrame:
+    """Hypotheses that a surface allows: never in water; on ``road`` only near a road, ``offroad`` only away from roads; in the search area where there is one.
+
+    in_water, in_area, on_road: the cid of hypotheses in each.
+    """
+    out = cloud.join(in_water.select("cid"), "cid", "left_anti")
+    if in_area is not None:
+        out = out.join(in_area.select("cid"), "cid", "left_semi")
+    if on_road is not None and surface != "any":
+        out = out.join(on_road.select("cid"), "cid", "left_semi" if surface == "road" else "left_anti")
+    return out
+
+
+def as_cloud(df: DataFrame, cid: str = "cid", x: str = "x", y: str = "y", weight: Column | None = None, log_weight: str | None = None) -> DataFrame:
+    """Any matcher's hypotheses as a cloud (cid, x, y, w) whose weights add up to one."""
+    if log_weight is not None:
+        top = df.agg(F.max(log_weight).alias("_top"))
+        df = df.crossJoin(F.broadcast(top)).withColumn("_w", F.exp(F.col(log_weight) - F.col("_top")))
+        weight = F.col("_w")
+    even = df.select(F.col(cid).cast("long").alias("cid"), F.col(x).alias("x"), F.col(y).alias("y"), (weight if weight is not None else F.lit(1.0)).alias("score"), F.lit(1.0).alias("constraint"))
+    return normalise(even).select("cid", "x", "y", "w")
+
+
 def best_split(answers: DataFrame) -> DataFrame:
     """(q, share) of the question (q, yes, w) whose yes share of the weight is nearest one half, within the band; first of equals."""
     share = F.sum(F.when(F.col("yes"), F.col("w")).otherwise(0.0)) / F.sum("w")

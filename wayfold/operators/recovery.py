@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE
-from .hypotheses import BAND, SOFT, normalise
+from ..sources.tables import settled
+from .hypotheses import BAND, SOFT, cumulate, normalise
 
 # How far named things may be confirmed, and the lock's share.
 CONFIRM_M, REJECT_M, LOCK_SHARE = 70.0, 300.0, 0.80
@@ -44,7 +45,7 @@ def stride(df: DataFrame, most: int) -> DataFrame:
     if n <= most:
         return df
     k = -(-n // most)
-    return df.withColumn("_r", F.row_number().over(Window.orderBy("cid"))).where((F.col("_r") - 1) % k == 0).drop("_r")
+    return cumulate(df.withColumn("_one", F.lit(1)), "cid", "_one", "_r").where((F.col("_r") - 1) % k == 0).drop("_r", "_one")
 
 
 def confirm_named(df: DataFrame, x: float, y: float) -> DataFrame:
@@ -99,11 +100,10 @@ def ask(cloud: DataFrame, questions: dict[str, Column], answer: Callable[[str],
 
 def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
     """(pid, node, dist): the nearest node (node, x, y) within ``reach``, the first of equals; on cells of that size."""
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    n = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")).withColumns({"cx": F.floor(F.col("nx") / reach), "cy": F.floor(F.col("ny") / reach)})
-    p = points.select("pid", "x", "y", around.alias("o")).withColumns({"cx": F.floor(F.col("x") / reach) + F.col("o.a"), "cy": F.floor(F.col("y") / reach) + F.col("o.b")})
-    d = p.join(n, ["cx", "cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))).where(F.col("dist") <= reach)
-    return d.groupBy("pid").agg(F.min(F.struct("dist", "node")).alias("b")).select("pid", "b.node", "b.dist")
+    from .spatial import nearest_feature
+
+    found = nearest_feature(points, nodes.select(F.col("node").alias("fid"), "x", "y"), reach)
+    return found.select("pid", F.col("fid").alias("node"), "dist")
 
 
 def retrace(crumbs: DataFrame, here: DataFrame, back_m: float = 20.0) -> DataFrame:
@@ -127,6 +127,13 @@ def padded_box(path: DataFrame, pad: float = 0.005) -> DataFrame:
     return path.groupBy("route").agg((F.min("lat") - pad).alias("s"), (F.min("lon") - pad).alias("w"), (F.max("lat") + pad).alias("n"), (F.max("lon") + pad).alias("e"))
 
 
+def expanded(boxes: DataFrame, s: float, w: float, n: float, e: float) -> DataFrame:
+    """Boxes of paths with the map's box: their union where the path's middle lies in the map, else the path's own."""
+    inside = ((F.col("s") + F.col("n")) / 2).between(s, n) & ((F.col("w") + F.col("e")) / 2).between(w, e)
+    both = {"s": F.least("s", F.lit(s)), "w": F.least("w", F.lit(w)), "n": F.greatest("n", F.lit(n)), "e": F.greatest("e", F.lit(e))}
+    return boxes.select("route", *[F.when(inside, v).otherwise(F.col(k)).alias(k) for k, v in both.items()])
+
+
 def landmarks(edges: DataFrame) -> DataFrame:
     """(u, degree, kind): dead ends and intersections of the graph taken both ways."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -139,22 +146,84 @@ def metres(df: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return df.withColumns({"x": (F.col("lon") - lon0) * METRES_PER_DEGREE * F.cos(F.radians(F.lit(lat0))), "y": (F.col("lat") - lat0) * METRES_PER_DEGREE})
 
 
+# How much weaker a contradicted hypothesis gets, by the kind of question.
+SOFT_NAMED, SOFT_PLAIN = 0.02, 0.2
+
+
+class Interview:
+    """A recovery session over road hypotheses (cid, x, y, logw): what was asked, and the cloud that is left.
+
+    ``answer`` weakens what contradicts; ``skip`` only puts the question aside; ``reset`` and ``start`` go back to a cloud.
+    """
+
+    def __init__(self, cloud: DataFrame) -> None:
+        self.start(cloud)
+
+    def start(self, cloud: DataFrame) -> None:
+        self.first = self.cloud = settled(cloud)
+        self.asked: list[tuple[str, bool | None]] = []
+
+    def reset(self) -> None:
+        self.cloud, self.asked = self.first, []
+
+    def skip(self, question: str) -> None:
+        self.asked.append((question, None))
+
+    def answer(self, question: str, yes: bool, holds: DataFrame, named: bool = False) -> None:
+        """holds: (cid, yes) of every hypothesis."""
+        told = self.cloud.join(holds.select("cid", "yes"), "cid", "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
+        self.cloud = settled(softened(told, F.col("yes") == yes, SOFT_NAMED if named else SOFT_PLAIN).drop("yes"))
+        self.asked.append((question, yes))
+
+    def open(self, bank: DataFrame) -> DataFrame:
+        """The questions (q, ...) not yet asked or put aside."""
+        return bank.where(~F.col("q").isin(*[q for q, _ in self.asked])) if self.asked else bank
+
+
 def meander(starts: DataFrame, height: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float, steps: int, most_grade: float = 0.35) -> DataFrame:
-    """(walk, i, x, y, heading): off-trail walks that weigh seven turns by grade; one group for each walk."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = next(pdf.itertuples())
-        rng = np.random.default_rng(int(r.seed))
-        x, y, h = float(r.x), float(r.y), rng.uniform(0, 360)
-        out = []
-        for i in range(steps):
-            out.append((r.walk, i, x, y, h))
-            turn = (h + rng.normal(0, 25, 7)) % 360
-            nx, ny = x + np.sin(np.radians(turn)) * step, y + np.cos(np.radians(turn)) * step
-            grade = np.abs(height(nx, ny) - height(np.array([x]), np.array([y]))) / step
-            p = np.exp(-((grade / most_grade) ** 2)) + 1e-9
-            k = rng.choice(7, p=p / p.sum())
-            x, y, h = float(nx[k]), float(ny[k]), float(turn[k])
-        return pd.DataFrame(out, columns=["walk", "i", "x", "y", "heading"])
-
-    return starts.groupBy("walk").applyInPandas(one, "walk long, i int, x double, y double, heading double")
+    """(walk, i, x, y, heading): off-trail walks that weigh seven turns by grade; the walks of a batch step together, each by its own draws."""
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rngs = [np.random.default_rng(int(s)) for s in pdf["seed"]]
+            h = np.array([r.uniform(0, 360) for r in rngs])
+            turns = np.stack([r.normal(0, 25, (steps, 7)) for r in rngs])
+            draws = np.stack([r.uniform(0, 1, steps) for r in rngs])
+            x, y, out = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), []
+            for i in range(steps):
+                out.append(pd.DataFrame({"walk": pdf["walk"].to_numpy(), "i": np.int32(i), "x": x, "y": y, "heading": h}))
+                turn = (h[:, None] + turns[:, i]) % 360
+                nx, ny = x[:, None] + np.sin(np.radians(turn)) * step, y[:, None] + np.cos(np.radians(turn)) * step
+                grade = np.abs(height(nx, ny) - height(x, y)[:, None]) / step
+                p = np.cumsum(np.exp(-((grade / most_grade) ** 2)) + 1e-9, axis=1)
+                k = np.minimum((p < draws[:, i, None] * p[:, -1:]).sum(axis=1), 6)
+                at = np.arange(len(k))
+                x, y, h = nx[at, k], ny[at, k], turn[at, k]
+            yield pd.concat(out)
+
+    return starts.select("walk", "x", "y", "seed").mapInPandas(some, "walk long, i int, x double, y double, heading double")
+
+
+# Tries for each terrain walk, and the climb that one may take.
+TERRAIN_TRIES, CLIMB_BUDGET_M = 25, 500.0
+
+
+def terrain_walks(starts: DataFrame, height: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float, steps: int, most_grade: float, x1: float, y1: float) -> DataFrame:
+    """(walk, attempt, i, x, y, heading): of ``TERRAIN_TRIES`` meanders from each of ``starts(walk, x, y, seed)`` the first that stays on the map (0 to x1, 0 to y1) and within the climb budget and the grade; none if all fail."""
+    tries = starts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(TERRAIN_TRIES - 1))))
+    tries = tries.select((F.col("walk") * TERRAIN_TRIES + F.col("attempt")).alias("walk"), "x", "y", (F.col("seed") * TERRAIN_TRIES + F.col("attempt")).alias("seed"))
+    drawn = settled(meander(tries, height, step, steps, most_grade))
+
+    def climbs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"walk": pdf["walk"], "i": pdf["i"], "h": height(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))})
+
+    h = drawn.select("walk", "i", "x", "y").mapInPandas(climbs, "walk long, i int, h double")
+    up = F.col("h") - F.lag("h").over(Window.partitionBy("walk").orderBy("i"))
+    gain = h.withColumn("_d", up).groupBy("walk").agg(F.coalesce(F.sum(F.greatest("_d", F.lit(0.0))), F.lit(0.0)).alias("gain"), F.coalesce(F.max(F.abs("_d")), F.lit(0.0)).alias("steepest"))
+    inside = drawn.groupBy("walk").agg(F.min(F.col("x").between(0.0, x1) & F.col("y").between(0.0, y1)).alias("inside"))
+    good = gain.join(inside, "walk").where(F.col("inside") & (F.col("gain") <= CLIMB_BUDGET_M) & (F.col("steepest") <= most_grade * step))
+    first = good.groupBy(F.floor(F.col("walk") / TERRAIN_TRIES).alias("_w")).agg(F.min("walk").alias("walk"))
+    return drawn.join(first, "walk").select(F.col("_w").alias("walk"), (F.col("walk") % TERRAIN_TRIES).cast("int").alias("attempt"), "i", "x", "y", "heading")

@@ -64,3 +64,54 @@ def terrain_metrics(walk: DataFrame) -> DataFrame:
     )
     base = F.when(F.col("gain") > 0, F.col("gain")).otherwise(1.0)
     return out.select("walk", "gain", "range", "net", "change", F.when(F.col("change") > 0, F.abs("net") / F.col("change")).otherwise(0.0).alias("monotony"), (F.col("_e") / base).alias("early"), (F.col("_m") / base).alias("mid"), (F.col("_l") / base).alias("late"))
+
+
+# What successes and failures are compared by.
+COMPARED = ["early_gain_frac", "mid_gain_frac", "late_gain_frac", "elev_roughness_m_per_km", "curvature_per_km", "elev_gain_m", "elev_range_m"]
+
+
+def compact_rows(walks: DataFrame, elevations: DataFrame) -> DataFrame:
+    """A benchmark row for each of ``walks(walk, located, error, conc, lat, lon, end_lat, end_lon, asked, turns, heading_sd, turned, steps, metres, pre_error, pre_conc, least_asked)`` with the noisy ``elevations(walk, i, elev)``."""
+    m = terrain_metrics(elevations).select("walk", "gain", "range")
+    r = lambda c, n: F.round(c, n)
+    return walks.join(m, "walk").select(
+        "walk", "located", r("error", 1).alias("locatedErrorM"), r("conc", 4).alias("locatedConc"), r("lat", 6).alias("locatedLat"), r("lon", 6).alias("locatedLon"), r("end_lat", 6).alias("trueEndLat"), r("end_lon", 6).alias("trueEndLon"),
+        F.col("asked").alias("qAnsweredCount"), F.col("turns").alias("significantTurns"), r("heading_sd", 2).alias("headingStdDev"), r("turned", 1).alias("totalHeadingChangeDeg"), r("gain", 1).alias("elevGainM"), r("range", 1).alias("elevRangeM"),
+        F.col("steps").alias("walkSteps"), r("metres", 0).cast("long").alias("walkDistanceM"), r("pre_error", 1).alias("preQuestionErrorM"), r("pre_conc", 4).alias("preQuestionConc"), F.col("least_asked").alias("minQuestionsUsed"),
+    )
+
+
+def single_walk(route: DataFrame, hypotheses: DataFrame, answers: DataFrame, questions: DataFrame, bins: DataFrame, most: int = 600) -> DataFrame:
+    """(walk, body): a walk's whole result as JSON - its route (walk, i, lat, lon), a sample of ``hypotheses(walk, cid, lat, lon, w)``, the questions (walk, q, text, named) and every hypothesis's ``answers(walk, cid, q, yes)``, and its bins (walk, i, heading, elev, noisy).
+
+    Of more than ``most`` hypotheses every k-th in order of cid is taken.
+    """
+    ordered = lambda df, by, *cols: df.groupBy("walk").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, *cols))), lambda s: F.struct(*[s[c].alias(c) for c in cols])).alias("v"))
+    n = hypotheses.groupBy("walk").agg(F.ceil(F.count("*") / most).alias("_k"))
+    place = F.row_number().over(Window.partitionBy("walk").orderBy("cid")) - 1
+    taken = hypotheses.withColumn("_r", place).join(n, "walk").where("_r % _k = 0").drop("_r", "_k")
+    said = answers.join(taken.select("walk", "cid"), ["walk", "cid"]).groupBy("walk", "cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "yes"))), lambda s: s["yes"]).alias("row"))
+    parts = {
+        "route": ordered(route, "i", "lat", "lon"), "hypotheses": ordered(taken, "cid", "lat", "lon", "w"), "questions": ordered(questions, "q", "text", "named"),
+        "questionAnswers": ordered(said, "cid", "row"), "profile": ordered(bins, "i", "heading", "elev", "noisy"),
+    }
+    out = route.select("walk").distinct()
+    for name, part in parts.items():
+        out = out.join(part.withColumnRenamed("v", name), "walk", "left")
+    flat = lambda c, f: F.transform(c, lambda s: s[f])
+    body = F.struct(
+        F.size("profile").alias("walkSteps"), F.transform("route", lambda s: F.array(s["lat"], s["lon"])).alias("route"), F.transform("hypotheses", lambda s: F.array(s["lat"], s["lon"], s["w"])).alias("hypotheses"), "questions",
+        flat("questionAnswers", "row").alias("questionAnswers"), flat("profile", "elev").alias("elevProfile"), flat("profile", "noisy").alias("noisyElev"), flat("profile", "heading").alias("headings"),
+    )
+    return out.select("walk", F.to_json(body).alias("body"))
+
+
+def write_results(walks: DataFrame, path: str, drop: tuple[str, ...] = ("coords",)) -> None:
+    """Results as lines of JSON, without the coordinates."""
+    walks.drop(*drop).write.mode("overwrite").json(path)
+
+
+def transcript(log: DataFrame) -> DataFrame:
+    """(walk, i, line) of the questions of ``log(walk, i, question, answer, share)``, as one would read them."""
+    said = F.when(F.col("answer"), "yes").otherwise("no")
+    return log.select("walk", "i", F.concat(F.format_string("%d. ", F.col("i") + 1), F.col("question"), F.lit(" - "), said, F.format_string(" (%.0f%% of the weight at the lead)", F.col("share") * 100)).alias("line"))

@@ -100,8 +100,53 @@ def guard_gaps(df: DataFrame, most_gap: float) -> DataFrame:
     return df.withColumn("walked", F.sum(F.when(gap, 0.0).otherwise(F.coalesce("_jump", F.lit(0.0)))).over(w)).withColumn("lost_s", F.sum(F.when(gap, F.col("_dt")).otherwise(0.0)).over(w)).drop("_dt", "_jump")
 
 
-def breadcrumbs(df: DataFrame, step: float) -> DataFrame:
-    """``x, y``: where the headings lead, ``step`` metres a row."""
-    w = Window.partitionBy("device_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = F.radians("heading")
-    return df.withColumn("x", F.sum(F.sin(r) * step).over(w)).withColumn("y", F.sum(F.cos(r) * step).over(w))
+def breadcrumbs(df: DataFrame, most_gap: float = 3.0, gate: float = 0.05, apart: float = 5.0) -> DataFrame:
+    """(device_id, i, x, y): a walk's crumbs, from rows (device_id, t, event_id, d, heading), d being the metres walked so far.
+
+    A step is taken where more than ``gate`` metres have come since the last one; after a gap of more than ``most_gap``
+    seconds what came in it is dropped; a crumb falls every ``apart`` metres from the last crumb, the first at the start.
+    Each rule looks back at what the one before it did, so a device's rows are folded in order.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("t", "event_id", "d", "heading")))
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("base"), F.lit(None).cast("double").alias("t"), zero.alias("x"), zero.alias("y"), place(zero, zero).alias("last"), F.array(place(zero, zero)).alias("crumbs"))
+
+    def step(a, r):
+        gap = F.coalesce(r["t"] - a["t"] > most_gap, F.lit(False))
+        base = F.when(gap, r["d"]).otherwise(a["base"])
+        go = r["d"] - base
+        moved = go > gate
+        x = F.when(moved, a["x"] + F.sin(F.radians(r["heading"])) * go).otherwise(a["x"])
+        y = F.when(moved, a["y"] + F.cos(F.radians(r["heading"])) * go).otherwise(a["y"])
+        falls = moved & (F.hypot(x - a["last"]["x"], y - a["last"]["y"]) >= apart)
+        return F.struct(F.when(moved, r["d"]).otherwise(base).alias("base"), r["t"].alias("t"), x.alias("x"), y.alias("y"), F.when(falls, place(x, y)).otherwise(a["last"]).alias("last"), F.when(falls, F.concat(a["crumbs"], F.array(place(x, y)))).otherwise(a["crumbs"]).alias("crumbs"))
+
+    out = df.groupBy("device_id").agg(F.aggregate(rows, start, step, lambda a: a["crumbs"]).alias("crumbs"))
+    return out.select("device_id", F.posexplode("crumbs").alias("i", "c")).select("device_id", "i", "c.x", "c.y")
+
+
+# When one is off the route, and when a turn confirms a node.
+OFF_ROUTE_DEG, STEADY_DPS, TURN_DEG, TURN_RANGE_M, TURN_SHARE = 60.0, 10.0, 30.0, 120.0, 0.5
+
+
+def off_route(heading: Column, bearing: Column, still: Column, yaw: Column) -> Column:
+    """Whether a calibrated heading is far from the leg's bearing while one moves and does not turn; unknown headings are not."""
+    from ..functions.geo import bearing_gap
+
+    return F.coalesce(~still & (F.abs(yaw) < STEADY_DPS) & (bearing_gap(heading, bearing) > OFF_ROUTE_DEG), F.lit(False))
+
+
+def turn_confirmed(expected: Column, detected: Column, left_m: Column, has_gyro: Column) -> Column:
+    """Whether a sensed turn of about the size expected, either way, says that the node ahead is reached."""
+    return F.coalesce(has_gyro & (F.abs(expected) >= TURN_DEG) & (left_m <= TURN_RANGE_M) & (F.abs(detected) >= TURN_SHARE * F.abs(expected)), F.lit(False))
+
+
+def auto_advances(confirmations: Column, paused: Column) -> Column:
+    """Whether nodes are passed without asking: after two confirmations, unless it is paused."""
+    return (confirmations >= 2) & ~paused
+
+
+def travel_speed(engine: Column, override: Column, calibrated: Column, arrivals: Column) -> Column:
+    """The speed that dead reckoning uses: one set by hand within 0 to 45, else the engine's, held at none before the first arrival where it must be calibrated."""
+    return F.when(override.isNotNull(), clamp(override, 0.0, MOST_SPEED)).when(calibrated & (arrivals == 0), 0.0).otherwise(engine)

@@ -79,15 +79,18 @@ def polyline_length(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_s", step).groupBy(*keys).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("length"))
 
 
-def along(df: DataFrame, step: float, keys: list[str]) -> DataFrame:
-    """(keys, k, x, y): a point at every ``step`` of the polyline's length."""
+def along(df: DataFrame, step: float, keys: list[str], heading: bool = False) -> DataFrame:
+    """(keys, k, x, y), with ``heading`` also that of the side it stands on: a point at every ``step`` of the polyline's length."""
+    from ..functions.geo import planar_bearing
+
     w = Window.partitionBy(*keys).orderBy("i")
     df = df.withColumns({"_x": F.lead("x").over(w), "_y": F.lead("y").over(w)}).where(F.col("_x").isNotNull())
     df = df.withColumn("_len", F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y"))).withColumn("_end", F.sum("_len").over(w)).withColumn("_start", F.col("_end") - F.col("_len"))
     low, high = F.ceil(F.col("_start") / step), F.ceil(F.col("_end") / step) - 1
     df = df.where(low <= high).withColumn("k", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     t = (F.col("k") * step - F.col("_start")) / F.col("_len")
-    return df.select(*keys, "k", (F.col("x") + (F.col("_x") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("_y") - F.col("y")) * t).alias("y"))
+    more = [planar_bearing(F.col("_x") - F.col("x"), F.col("_y") - F.col("y")).alias("heading")] if heading else []
+    return df.select(*keys, "k", (F.col("x") + (F.col("_x") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("_y") - F.col("y")) * t).alias("y"), *more)
 
 
 def variance(profile: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +104,44 @@ def calibrate_gated(df: DataFrame, compass: str, bearing: str, ok: str, alpha: f
     return fold(df, [compass, bearing, ok], start, step, read)
 
 
-def thin(df: DataFrame, period: float) -> DataFrame:
-    """``out``: times kept by greedy thinning, each at least ``period`` after the one kept before."""
-    start = F.array().cast("array<double>")
-    return fold(df, [], start, lambda a, x: F.when((F.size(a) == 0) | (x["t"] - F.element_at(a, -1) >= period), F.concat(a, F.array(x["t"]))).otherwise(a), lambda a: a)
+def thin(df: DataFrame, period: float, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
+    """``out``: times kept by greedy thinning, each at least ``period`` after the one kept before.
+
+    A time's successor is the first that is late enough, so the kept times are those reached from the first one;
+    a batch of devices' sorted times is followed by binary search, a step for each kept time.
+    """
+    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("out"))
+    names = [*keys, "out"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for t in batch.column("out"):
+                times, at, own = t.values.to_numpy(), 0, []
+                while at < len(times):
+                    own.append(times[at])
+                    at = int(np.searchsorted(times, times[at] + period, side="left"))
+                kept.append(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(kept, pa.list_(pa.float64()))], names)
+
+    return listed.select(*names).mapInArrow(run, listed.select(*names).schema)
+
+
+# Seconds between rows of a log, by what is logged.
+LOG_PERIOD = {"sensor": 0.33, "motion": 0.04}
+
+
+def log_rows(df: DataFrame, owner: str) -> DataFrame:
+    """The rows (owner, kind, t, ...) of one owner that a log keeps: sensors and raw motion thinned, each kind on its own, all else whole."""
+    own = df.where(F.col("owner") == owner)
+    out = own.where(~F.col("kind").isin(*LOG_PERIOD))
+    for kind, period in LOG_PERIOD.items():
+        rows = own.where(F.col("kind") == kind)
+        kept = thin(rows.select("owner", "t"), period, ("owner",)).select("owner", F.explode("out").alias("t")).distinct()
+        out = out.unionByName(rows.dropDuplicates(["owner", "t"]).join(kept, ["owner", "t"], "left_semi").select(*df.columns))
+    return out
+
+
+def write_log(df: DataFrame, owner: str, path: str) -> None:
+    """Append the kept rows as lines of JSON."""
+    log_rows(df, owner).write.mode("append").json(path)

@@ -1,11 +1,13 @@
-"""Walk generation, walk sessions and whole-walk matching: sequential by nature, so one Arrow group for each walk."""
+"""Walk generation, walk sessions and whole-walk matching: sequential by nature, in Arrow batches or groups of an area's walks."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +40,36 @@ def placed(outline: DataFrame, placements: DataFrame, perimeter: float) -> DataF
     step = outline.withColumn("_s", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     # A row for each shape.
     size = step.groupBy("shape").agg(F.sum("_s").alias("_len"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    p = outline.join(F.broadcast(size), "shape").crossJoin(placements)
+    # Outlines are a constant few hundred points; placements may be many.
+    p = placements.crossJoin(F.broadcast(outline.join(size, "shape")))
     k, r = perimeter / F.col("_len"), F.radians("turn")
     dx, dy = (F.col("x") - F.col("_mx")) * k, (F.col("y") - F.col("_my")) * k
     return p.select("shape", "pid", "i", (F.col("cx") + dx * F.cos(r) - dy * F.sin(r)).alias("x"), (F.col("cy") + dx * F.sin(r) + dy * F.cos(r)).alias("y"))
 
 
+def _by_area(walks: DataFrame, edges: DataFrame, fold, schema: str, lanes: int = 8) -> DataFrame:
+    """Walks (area, walk ...) with the graph of their area (area, a, b ...), both dealt by area: ``fold(walks, edges)``.
+
+    An area's walks are spread over ``lanes`` groups, each of which gets the area's graph; no graph passes through the driver.
+    """
+    w = walks.withColumn("_lane", F.pmod(F.xxhash64("walk"), F.lit(lanes)).cast("int"))
+    e = edges.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return w.groupBy("area", "_lane").cogroup(e.groupBy("area", "_lane")).applyInPandas(fold, schema)
+
+
 def _adjacency(edges: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
     out: dict[int, list[tuple[int, float]]] = {}
-    for a, b, m in edges.sort_values(["a", "b"]).itertuples(index=False):
+    for a, b, m in edges[["a", "b", "len"]].sort_values(["a", "b"]).itertuples(index=False):
         out.setdefault(int(a), []).append((int(b), float(m)))
     return out
 
 
-def random_walks(starts: DataFrame, edges: pd.DataFrame, least_m: float, style: str = "plain", most_steps: int = 400, tries: int = 14) -> DataFrame:
-    """(walk, i, node) from ``starts(walk, node, seed)`` over a graph of checked size held by each worker.
+def random_walks(starts: DataFrame, edges: DataFrame, least_m: float, style: str = "plain", most_steps: int = 400, tries: int = 14) -> DataFrame:
+    """(area, walk, i, node) from ``starts(area, walk, node, seed)`` over ``edges(area, a, b, len)``.
 
     ``plain`` never turns straight back unless it must; ``avoiding`` prefers nodes not yet seen;
     ``trail`` uses no edge twice and is tried again with other draws when it gets stuck.
     """
-    if len(edges) > 2_000_000:
-        raise ValueError("the graph is too large to hold on each worker: split it by area")
 
     def walk(adj: dict, node: int, rng: np.random.Generator) -> tuple[list[int], float]:
         path, metres, used, before = [node], 0.0, set(), None
@@ -85,20 +96,38 @@ def random_walks(starts: DataFrame, edges: pd.DataFrame, least_m: float, style:
             metres += m
         return path, metres
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(edges)
-        out = []
-        for r in pdf.itertuples():
+    def some(starts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        adj, out = _adjacency(edges), []
+        for r in starts.itertuples():
             rng = np.random.default_rng(int(r.seed))
             best: tuple[list[int], float] = ([int(r.node)], 0.0)
             for _ in range(tries if style == "trail" else 1):
                 best = max(best, walk(adj, int(r.node), rng), key=lambda x: x[1])
                 if best[1] >= least_m:
                     break
-            out += [(r.walk, i, n) for i, n in enumerate(best[0])]
-        return pd.DataFrame(out, columns=["walk", "i", "node"])
+            out += [(r.area, r.walk, i, n) for i, n in enumerate(best[0])]
+        return pd.DataFrame(out, columns=["area", "walk", "i", "node"])
+
+    return _by_area(starts, edges, some, "area long, walk long, i int, node long")
+
+
+ATTEMPTS = 12
+
+
+def generate(starts: DataFrame, edges: DataFrame, places: DataFrame, least_m: float, style: str = "trail", least_turns: int = 0) -> DataFrame:
+    """(area, walk, attempt, i, node): for each of ``starts(area, walk, node, seed)`` at a node of two edges or more the first of ``ATTEMPTS`` walks that no other has drawn and that turns ``least_turns`` times.
+
+    A set of edges that several drew belongs to the least (walk, attempt); ``places(area, node, x, y)`` tells turns.
+    """
+    from .report import coverage
 
-    return starts.groupBy("walk").applyInPandas(one, "walk long, i int, node long")
+    busy = edges.groupBy("area", F.col("a").alias("node")).agg(F.countDistinct("b").alias("_d")).where("_d >= 2").select("area", "node")
+    tried = starts.join(busy, ["area", "node"], "left_semi").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
+    tried = tried.select("area", (F.col("walk") * ATTEMPTS + F.col("attempt")).alias("walk"), "node", (F.col("seed") * ATTEMPTS + F.col("attempt")).alias("seed"))
+    drawn = distinct_walks(random_walks(tried, edges, least_m, style))
+    turns = coverage(drawn.join(places, ["area", "node"])).where(F.col("turns") >= least_turns).select("walk")
+    first = turns.groupBy(F.floor(F.col("walk") / ATTEMPTS).alias("_w")).agg(F.min("walk").alias("walk"))
+    return drawn.join(first, "walk").select("area", F.col("_w").alias("walk"), (F.col("walk") % ATTEMPTS).cast("int").alias("attempt"), "i", "node")
 
 
 def distinct_walks(walks: DataFrame) -> DataFrame:
@@ -113,94 +142,215 @@ def distinct_walks(walks: DataFrame) -> DataFrame:
 
 
 def observe(bins: DataFrame, seed: int = 7, height_m: float = 0.5, heading_deg: float = 4.0) -> DataFrame:
-    """Sensor noise on (heading, climb) of a walk's bins, the same for every run of one seed."""
-    return bins.withColumn("heading", F.pmod(F.col("heading") + heading_deg * F.randn(seed), F.lit(360.0))).withColumn("climb", F.col("climb") + height_m * F.randn(seed + 1))
+    """Sensor noise on (walk, i, heading, climb) of a walk's bins: of one seed and bin the same in every run, however the rows are dealt."""
+    from ..functions.noise import gauss
+
+    return bins.withColumn("heading", F.pmod(F.col("heading") + gauss(seed, "walk", "i") * heading_deg, F.lit(360.0))).withColumn("climb", F.col("climb") + gauss(seed + 1, "walk", "i") * height_m)
 
 
-def session(ticks: DataFrame, legs: pd.DataFrame | None = None) -> DataFrame:
+def session(ticks: DataFrame) -> DataFrame:
     """(route, t, event, leg, speed): arrivals, prompts and the end of each route's session.
 
     ``ticks(route, t, moving, still, answer, lengths)``: ``lengths`` are the route's legs in metres, ``answer``
     is null, ``arrive`` or ``deny``.  Order within a tick: an answer, then progress, then the stop, then the
-    gate.  A session without a leg left is over.
+    gate.  A session without a leg left is over.  A route's ticks are one array, and batches hold many routes.
     """
+    own = F.sort_array(F.collect_list(F.struct("t", "moving", "still", "answer"))).alias("ticks")
+    routes = ticks.groupBy("route").agg(own, F.first("lengths").alias("lengths"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        lengths = list(pdf["lengths"].iloc[0])
-        leg, speed, done, entered, last, out = 0, 11.0, 0.0, None, None, []
+    def fold(route: int, rows, lengths: list[float], out: list[tuple]) -> None:
+        leg, speed, done, entered, last = 0, 11.0, 0.0, None, None
 
         def arrive(t: float, kind: str) -> None:
             nonlocal leg, speed, done, entered
             v = lengths[leg] / max(t - entered, 3.0)
             speed = min(45.0, max(1.0, 0.7 * speed + 0.3 * v))
             leg += 1
-            out.append((pdf["route"].iloc[0], t, "destination" if leg == len(lengths) else kind, leg, speed))
+            out.append((route, t, "destination" if leg == len(lengths) else kind, leg, speed))
             done, entered = 0.0, t
 
-        for r in pdf.itertuples():
+        for r in rows:
             if leg >= len(lengths):
                 break
-            entered = r.t if entered is None else entered
-            dt = 0.0 if last is None else r.t - last
-            last = r.t
-            if r.answer == "arrive":
-                arrive(r.t, "arrived")
+            t = r["t"]
+            entered = t if entered is None else entered
+            dt = 0.0 if last is None else t - last
+            last = t
+            if r["answer"] == "arrive":
+                arrive(t, "arrived")
                 continue
-            if r.answer == "deny":
+            if r["answer"] == "deny":
                 done = max(0.0, lengths[leg] - speed)
-            if r.moving:
+            if r["moving"]:
                 done = min(done + speed * dt, lengths[leg])
-            if r.still and lengths[leg] - done <= 50.0 and r.t - entered >= 3.0:
-                arrive(r.t, "snapped")
+            if r["still"] and lengths[leg] - done <= 50.0 and t - entered >= 3.0:
+                arrive(t, "snapped")
             elif done >= lengths[leg]:
-                out.append((pdf["route"].iloc[0], r.t, "prompt", leg + 1, speed))
-        return pd.DataFrame(out, columns=["route", "t", "event", "leg", "speed"])
-
-    return ticks.groupBy("route").applyInPandas(fold, "route long, t double, event string, leg int, speed double")
-
-
-def match_walks(walks: DataFrame, edges: pd.DataFrame, spacing: float, step: float, sigma_deg: float = 25.0, beam: int = 18_000, gate: float = 150.0, radius: float = 120.0) -> DataFrame:
-    """(walk, x, y, concentration): where on a road graph ``walks(walk, i, heading)`` ends.
-
-    All hypotheses of a walk advance together as arrays; the graph (a, b, ax, ay, bx, by, len, bearing) is
-    held by each worker, its size checked.
+                out.append((route, t, "prompt", leg + 1, speed))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                part = batch.slice(at, 256)
+                for route, rows, lengths in zip(*(part.column(c).to_pylist() for c in ("route", "ticks", "lengths"))):
+                    fold(route, rows, lengths, out)
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.float64()))], ["route", "t", "event", "leg", "speed"])
+
+    return routes.select("route", "ticks", "lengths").mapInArrow(some, "route long, t double, event string, leg int, speed double")
+
+
+#: Points of a road's height profile are so far apart, at most.
+PROFILE_M = 5.0
+
+
+def with_heights(edges: DataFrame, dem: DataFrame, cols: int, rows: int, cell: float) -> DataFrame:
+    """Edges (area, a, b, ax, ay, bx, by, len ...) with ``heights``: the raster along each, evenly spaced, null off the map."""
+    from .terrain import sample
+
+    n = F.greatest(F.ceil(F.col("len") / PROFILE_M), F.lit(1)).cast("int")
+    p = edges.select("area", "a", "b", "ax", "ay", "bx", "by", n.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    f = F.col("_k") / F.col("_n")
+    p = p.withColumns({"_px": F.col("ax") + (F.col("bx") - F.col("ax")) * f, "_py": F.col("ay") + (F.col("by") - F.col("ay")) * f})
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "h"))), lambda s: s["h"])
+    h = sample(p, dem, cols, rows, cell, "_px", "_py").groupBy("area", "a", "b").agg(listed.alias("heights"))
+    return edges.join(h, ["area", "a", "b"])
+
+
+class Roads:
+    """A graph's directed edges as arrays, for matching many hypotheses at once."""
+
+    def __init__(self, edges: pd.DataFrame) -> None:
+        e = edges.sort_values(["a", "b"], ignore_index=True)
+        self.a, self.b = e["a"].to_numpy(), e["b"].to_numpy()
+        self.ax, self.ay, self.bx, self.by, self.len, self.bearing = (e[c].to_numpy(float) for c in ("ax", "ay", "bx", "by", "len", "bearing"))
+        self.speed = e["speed"].to_numpy(float) if "speed" in e else np.full(len(e), DEFAULT_SPEED)
+        profiles = [np.array([np.nan if v is None else v for v in x], float) for x in e["heights"]] if "heights" in e else [np.full(2, np.nan)] * len(e)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in profiles])])
+        self.height = np.concatenate(profiles) if profiles else np.zeros(0)
+        # Edges are in order of a: those out of a node follow each other.
+        self.low, self.high = np.searchsorted(self.a, self.b, "left"), np.searchsorted(self.a, self.b, "right")
+
+    def elevation(self, edge: np.ndarray, s: np.ndarray) -> np.ndarray:
+        n = np.diff(self.first)[edge] - 1
+        at = np.where(self.len[edge] > 0, s / np.maximum(self.len[edge], 1e-9), 0) * n
+        i = np.clip(np.floor(at).astype(int), 0, n - 1)
+        low, high = self.height[self.first[edge] + i], self.height[self.first[edge] + i + 1]
+        return low + (high - low) * (at - i)
+
+    def place(self, edge: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = np.where(self.len[edge] > 0, s / np.maximum(self.len[edge], 1e-9), 0)
+        return self.ax[edge] + (self.bx - self.ax)[edge] * f, self.ay[edge] + (self.by - self.ay)[edge] * f
+
+    def seeds(self, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+        n = np.maximum(np.ceil((self.len - spacing / 2) / spacing), 0).astype(int)
+        edge = np.repeat(np.arange(len(self.a)), n)
+        return edge, spacing / 2 + spacing * (np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n))
+
+    def advance(self, edge: np.ndarray, s: np.ndarray, metres: np.ndarray, heading: float, gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edge, place and source of every hypothesis after so many metres: on through junctions, not straight back, within the gate; at most ``MOST_POPS`` edges of each."""
+        source, rest, pops, done = np.arange(len(edge)), metres.astype(float), np.zeros(len(edge), int), []
+        while len(edge):
+            # Of one source edges are taken in order, up to the bound.
+            order = np.argsort(source, kind="stable")
+            edge, s, rest, source = edge[order], s[order], rest[order], source[order]
+            nth = np.arange(len(source)) - np.searchsorted(source, source)
+            few = pops[source] + nth < MOST_POPS
+            np.add.at(pops, source, 1)
+            edge, s, rest, source = edge[few], s[few], rest[few], source[few]
+            stay = s + rest <= self.len[edge]
+            done.append((edge[stay], (s + rest)[stay], source[stay]))
+            edge, rest, source = edge[~stay], (rest - (self.len[edge] - s))[~stay], source[~stay]
+            n = (self.high - self.low)[edge]
+            nxt = np.repeat(self.low[edge], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            here = np.repeat(edge, n)
+            gap = np.abs((self.bearing[nxt] - heading + 540) % 360 - 180)
+            ok = (self.b[nxt] != self.a[here]) & (gap <= gate)
+            edge, rest, source = nxt[ok], np.repeat(rest, n)[ok], np.repeat(source, n)[ok]
+            s = np.zeros(len(edge))
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (edge, s, source)
+
+
+# The matcher's defaults.
+DEFAULT_SPEED, MOST_POPS, SIGMA_HEADING, SIGMA_CLIMB, MOST_PENALTY, MERGE_M, BEAM, GATE = 13.0, 16, 25.0, 3.0, 5.0, 8.0, 18_000, 150.0
+
+
+def follow(roads: Roads, bins: pd.DataFrame, spacing: float, step: float | None, scale: float = 1.0, beam: int = BEAM, sigma_heading: float = SIGMA_HEADING, sigma_climb: float = SIGMA_CLIMB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edge, place and log weight of the hypotheses that are left after a walk's bins (heading, climb, seconds).
+
+    step: metres of a bin; None: each hypothesis drives at its edge's speed, times ``scale``, for the bin's seconds.
+    Hypotheses off the height map are not seeded where there is a map at all, and later are scored by heading alone.
     """
-    if len(edges) > 2_000_000:
-        raise ValueError("the graph is too large to hold on each worker: split it by area")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = {c: edges[c].to_numpy(float) for c in ("ax", "ay", "bx", "by", "len", "bearing")}
-        a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
-        by_a: dict[int, np.ndarray] = {n: np.flatnonzero(a == n) for n in np.unique(a)}
-        n = np.maximum(np.ceil((e["len"] - spacing / 2) / spacing), 0).astype(int)
-        edge = np.repeat(np.arange(len(a)), n)
-        s = spacing / 2 + spacing * (np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n))
-        logw = np.zeros(len(edge))
-        for h in pdf.sort_values("i")["heading"]:
-            s = s + step
-            stay = s <= e["len"][edge]
-            out = [(edge[stay], s[stay], logw[stay])]
-            for i in np.flatnonzero(~stay):
-                for c in by_a.get(b[edge[i]], ()):
-                    if b[c] != a[edge[i]] and abs((e["bearing"][c] - h + 180) % 360 - 180) <= gate:
-                        out.append((np.array([c]), np.array([s[i] - e["len"][edge[i]]]), logw[i : i + 1]))
-            edge, s, logw = (np.concatenate(x) for x in zip(*out))
-            if not len(edge):
-                break
-            gap = np.abs((e["bearing"][edge] - h + 180) % 360 - 180)
-            logw = logw - np.minimum(gap * gap / (2 * sigma_deg**2), 5.0)
-            order = np.lexsort((s, -logw))
-            _, first = np.unique(np.stack([edge[order], np.round(s[order] / 8.0)]), axis=1, return_index=True)
-            keep = order[np.sort(first)][:beam]
-            edge, s, logw = edge[keep], s[keep], logw[keep]
+    edge, s = roads.seeds(spacing)
+    logw, before = np.zeros(len(edge)), roads.elevation(edge, s)
+    if np.isfinite(before).any():
+        edge, s, logw, before = (x[np.isfinite(before)] for x in (edge, s, logw, before))
+    for heading, climb, seconds in zip(bins["heading"].to_numpy(float), bins["climb"].to_numpy(float), bins["seconds"].to_numpy(float) if "seconds" in bins else np.zeros(len(bins))):
+        metres = np.full(len(edge), step) if step is not None else roads.speed[edge] * scale * seconds
+        edge, s, source = roads.advance(edge, s, metres, heading, GATE)
         if not len(edge):
-            return pd.DataFrame([], columns=["walk", "x", "y", "concentration"])
-        f = s / e["len"][edge]
-        x, y = e["ax"][edge] + (e["bx"] - e["ax"])[edge] * f, e["ay"][edge] + (e["by"] - e["ay"])[edge] * f
+            break
+        logw, before = logw[source], before[source]
+        gap = np.abs((roads.bearing[edge] - heading + 540) % 360 - 180)
+        h = roads.elevation(edge, s)
+        off = np.where(np.isfinite(h) & np.isfinite(before), (h - before - climb) ** 2 / (2 * sigma_climb**2), 0.0)
+        logw = logw - np.minimum(gap * gap / (2 * sigma_heading**2) + off, MOST_PENALTY)
+        before = np.where(np.isfinite(h), h, before)
+        order = np.lexsort((s, edge, -logw))
+        key = edge[order] * (1 << 20) + np.floor(s[order] / MERGE_M + 0.5).astype(int)
+        keep = order[np.sort(np.unique(key, return_index=True)[1])][:beam]
+        edge, s, logw, before = edge[keep], s[keep], logw[keep], before[keep]
+    return edge, s, logw
+
+
+def areas(x: np.ndarray, y: np.ndarray, logw: np.ndarray, radius: float, most: int = 1500, least: float = 0.05) -> list[tuple[float, float, float]]:
+    """(x, y, w) of greedy clusters of about ``most`` of the hypotheses, heaviest first."""
+    every = max(1, len(x) // most)
+    x, y, w = x[::every], y[::every], np.exp(logw[::every] - logw.max())
+    left, out = w > least * w.max(), []
+    for i in range(len(w)):
+        if left[i]:
+            hit = left & (np.hypot(x - x[i], y - y[i]) <= radius)
+            left &= ~hit
+            out.append((float((x[hit] * w[hit]).sum() / w[hit].sum()), float((y[hit] * w[hit]).sum() / w[hit].sum()), float(w[hit].sum())))
+    return sorted(out, key=lambda c: -c[2])
+
+
+_MATCH = "area long, walk long, x double, y double, concentration double, areas int, lead_x double, lead_y double, lead_share double, scale double"
+
+
+def match_walks(walks: DataFrame, edges: DataFrame, spacing: float, step: float | None, scales: tuple[float, ...] = (1.0,), radius: float = 120.0, beam: int = BEAM, search_spacing: float | None = None) -> DataFrame:
+    """Where on its area's roads each of ``walks(area, walk, i, heading, climb, seconds)`` ends: the best hypothesis, the share of the mass near it, and the areas that survive.
+
+    edges: (area, a, b, ax, ay, bx, by, len, bearing), with ``heights`` (see :func:`with_heights`) and ``speed`` where there are any.
+    scales: of several speed scales the one with the best concentration at ``search_spacing`` is matched again at ``spacing``.
+    All hypotheses of a walk advance together as arrays.
+    """
+
+    def told(roads: Roads, bins: pd.DataFrame, scale: float, spacing: float) -> tuple | None:
+        edge, s, logw = follow(roads, bins, spacing, step, scale, beam)
+        if not len(edge):
+            return None
+        x, y = roads.place(edge, s)
         w = np.exp(logw - logw.max())
         top = int(np.lexsort((y, x, -logw))[0])
         near = np.hypot(x - x[top], y - y[top]) <= radius
-        return pd.DataFrame([(pdf["walk"].iloc[0], float(x[top]), float(y[top]), float(w[near].sum() / w.sum()))], columns=["walk", "x", "y", "concentration"])
+        found = areas(x, y, logw, radius)
+        return float(x[top]), float(y[top]), float(w[near].sum() / w.sum()), len(found), found[0][0], found[0][1], found[0][2] / sum(c[2] for c in found), scale
 
-    return walks.groupBy("walk").applyInPandas(one, "walk long, x double, y double, concentration double")
+    def some(walks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(walks) and len(edges):
+            roads = Roads(edges)
+            for (area, walk), bins in walks.groupby(["area", "walk"]):
+                bins = bins.sort_values("i")
+                best = scales[0]
+                if len(scales) > 1:
+                    tried = {k: told(roads, bins, k, search_spacing or spacing) for k in scales}
+                    best = max(scales, key=lambda k: tried[k][2] if tried[k] else -1.0)
+                if (r := told(roads, bins, best, spacing)) is not None:
+                    out.append((area, walk, *r))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH.split(", ")])
+
+    return _by_area(walks, edges, some, _MATCH)

@@ -144,16 +144,23 @@ def gap_guard(spark: SparkSession, d: str) -> DataFrame:
     return r6(ro.guard_gaps(wo.telemetry(spark, d).withColumn("d", F.col("k") * 3.0), 20_000.0).select("event_id", "walked", "lost_s"))
 
 
-@query("breadcrumbs", with_sql("tele") + " SELECT event_id, round(sum(sin(radians(heading))*15) OVER w,6) AS x, round(sum(cos(radians(heading))*15) OVER w,6) AS y FROM tele WINDOW w AS (PARTITION BY device_id ORDER BY t,event_id ROWS UNBOUNDED PRECEDING)")
+@query("breadcrumbs", with_sql("tele").replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT device_id, row_number() OVER q AS rn, t, sum(k) OVER q*0.05::DOUBLE AS d, heading FROM tele WINDOW q AS (PARTITION BY device_id ORDER BY t,event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ r AS (SELECT DISTINCT device_id, 0::BIGINT AS rn, 0.0::DOUBLE AS base, NULL::DOUBLE AS t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly, 0::BIGINT AS n, true AS falls FROM tele
+  UNION ALL SELECT device_id, rn, CASE WHEN moved THEN d ELSE base END, t, x, y, CASE WHEN moved AND far THEN x ELSE lx END, CASE WHEN moved AND far THEN y ELSE ly END, n+(moved AND far)::INT, moved AND far FROM
+   (SELECT *, sqrt((x-lx)**2+(y-ly)**2)>=5 AS far FROM (SELECT device_id, rn, base, d, t, lx, ly, n, d-base>0.05 AS moved, CASE WHEN d-base>0.05 THEN x+sin(radians(h))*(d-base) ELSE x END AS x, CASE WHEN d-base>0.05 THEN y+cos(radians(h))*(d-base) ELSE y END AS y FROM
+    (SELECT r.device_id, w.rn, CASE WHEN coalesce(w.t-r.t>20000,false) THEN w.d ELSE r.base END AS base, w.d, w.t, w.heading AS h, r.x, r.y, r.lx, r.ly, r.n FROM r JOIN w ON w.device_id=r.device_id AND w.rn=r.rn+1))))
+ SELECT device_id, CAST(n AS INT) AS i, round(lx,4) AS x, round(ly,4) AS y FROM r WHERE falls""")
 def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
-    return r6(ro.breadcrumbs(wo.telemetry(spark, d), 15.0).select("event_id", "x", "y"))
+    w = Window.partitionBy("device_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = ro.breadcrumbs(wo.telemetry(spark, d).withColumn("d", F.sum("k").over(w) * 0.05), 20_000.0)
+    return out.select("device_id", "i", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y")])
 
 
-@query("dead_reckoning", with_sql("legs") + """, q AS (SELECT route, seq, i AS t, i%5<>0 AS moving, limit_ms, metres FROM legs, range(20) z(i) WHERE seq<=2)
+@query("dead_reckoning", with_sql("legs") + """, q AS (SELECT route, seq, i AS t, i%5<>0 AS moving, limit_ms, metres FROM legs, range(20) z(i))
  SELECT route, seq AS leg, CAST(t AS INT) AS t, round(least(sum(CASE WHEN moving THEN limit_ms*2 ELSE 0 END) OVER w, metres),6) AS done, least(sum(CASE WHEN moving THEN limit_ms*2 ELSE 0 END) OVER w, metres)>=metres AS prompt,
   i_snap(moving, metres, t, least(sum(CASE WHEN moving THEN limit_ms*2 ELSE 0 END) OVER w, metres)) AS snap FROM q WINDOW w AS (PARTITION BY route,seq ORDER BY t ROWS UNBOUNDED PRECEDING)""".replace("i_snap(moving, metres, t, least(sum(CASE WHEN moving THEN limit_ms*2 ELSE 0 END) OVER w, metres))", "(NOT moving AND metres-least(sum(CASE WHEN moving THEN limit_ms*2 ELSE 0 END) OVER w, metres)<=50 AND t*2>=3)"))
 def dead_reckoning(spark: SparkSession, d: str) -> DataFrame:
-    legs = wo.legs(spark, d).where("seq <= 2").withColumnRenamed("seq", "leg")
+    legs = wo.legs(spark, d).withColumnRenamed("seq", "leg")
     ticks = legs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({"moving": F.col("t") % 5 != 0, "speed": F.col("limit_ms"), "dt": F.lit(2.0)})
     out = ro.progress(ticks).withColumn("snap", ro.snaps(F.col("done"), F.col("metres"), ~F.col("moving"), F.col("t") * 2.0))
     return r6(out.select("route", "leg", "t", "done", "prompt", "snap"))

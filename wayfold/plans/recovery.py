@@ -105,10 +105,12 @@ def interrogation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("meanders")
 def meanders(spark: SparkSession, d: str) -> DataFrame:
-    def height(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return x * wo.TILT + sum(h * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * r * r)) for cx, cy, h, r in wo.HILLS)
+    s = wo.points(spark, d).select(F.col("pid").alias("walk"), "x", "y", F.col("pid").alias("seed"))
+    return r6(re.meander(s, ground, 15.0, 40))
 
-    s = wo.points(spark, d).where("pid % 100 = 0").select(F.col("pid").alias("walk"), "x", "y", F.col("pid").alias("seed"))
-    return r6(re.meander(s, height, 15.0, 40))
+
+def ground(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Heights of the demonstration terrain, for walks that feel their way."""
+    return x * wo.TILT + sum(h * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * r * r)) for cx, cy, h, r in wo.HILLS)
 
 

@@ -11,6 +11,7 @@ from ..operators import report as rp
 from ..operators import sequences as se
 from ..operators import terrain as tr
 from ..sources import payloads as pl
+from ..sources.tables import settled
 from ..sources import worlds as wo
 from ..sources.worlds import CELL, SIDE, with_sql
 from .motion import r6
@@ -56,8 +57,9 @@ def localised_walk(spark: SparkSession, d: str) -> DataFrame:
     truth = hy.path_profiles(spark.range(1).select(F.col("id").alias("cid"), F.lit(START[0]).alias("x"), F.lit(START[1]).alias("y")), LONG, 15.0, wo.dem(spark), *GRID).first()["profile"]
     cand = hy.candidate_grid(spark, 0.0, 0.0, 1700.0, 1700.0)
     p = hy.path_profiles(cand, LONG, 15.0, wo.dem(spark), *GRID).where(F.size("profile") >= max(2, len(truth) // 2))
-    p = se.dtw(p, "profile", list(truth)).withColumn("score", se.likelihood(F.col("cost"), SIGMA)).withColumns({"constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
-    return r6(hy.clusters(hy.normalise(p), 120.0).limit(20))
+    # A row of a few numbers for each candidate: used twice, computed once.
+    p = settled(se.dtw(p, "profile", list(truth)).select("cid", "x", "y", "cost")).withColumn("score", se.likelihood(F.col("cost"), SIGMA)).withColumns({"constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
+    return r6(hy.clusters(hy.normalise(p), 120.0))
 
 
 _CLOUD = "cloud AS (SELECT pid AS cid, x, y, w/sum(w) OVER () AS w FROM points)"
@@ -166,13 +168,13 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     c = wo.read(spark, d, "customer").select((F.col("c_custkey")).alias("id"))
     grid = [("type", F.lit("node")), ("id", F.col("id")), ("lat", 40 + F.col("id") % 50 * 0.001), ("lon", -80 + F.floor(F.col("id") / 50) * 0.001), ("nodes", F.lit(None).cast("array<long>")), ("tags", F.create_map(F.lit("highway"), F.when(F.col("id") % 7 == 0, "stop").otherwise("x")))]
     node = c.select(*[v.alias(k) for k, v in grid])
-    way = c.where("id % 10 = 0").select(F.lit("way").alias("type"), "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2, F.col("id") + 52).alias("nodes"),
+    way = c.select(F.lit("way").alias("type"), "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 2, F.col("id") + 52).alias("nodes"),
                                         F.create_map(F.lit("highway"), F.lit("primary"), F.lit("maxspeed"), F.when(F.col("id") % 20 == 0, "30 mph").otherwise("50"), F.lit("oneway"), F.when(F.col("id") % 30 == 0, "yes").otherwise("no")).alias("tags"))
     return node.unionByName(way)
 
 
 _OSM = """n AS (SELECT c_custkey AS id, 40+c_custkey%50*0.001::DOUBLE AS lat, -80+(c_custkey//50)*0.001::DOUBLE AS lon FROM customer),
- st AS (SELECT c_custkey AS way, unnest([[c_custkey,c_custkey+1],[c_custkey+1,c_custkey+2],[c_custkey+2,c_custkey+52]]) AS p FROM customer WHERE c_custkey%10=0),
+ st AS (SELECT c_custkey AS way, unnest([[c_custkey,c_custkey+1],[c_custkey+1,c_custkey+2],[c_custkey+2,c_custkey+52]]) AS p FROM customer),
  e0 AS (SELECT way, p[1] AS u, p[2] AS v, CASE WHEN way%20=0 THEN 30*0.44704::DOUBLE ELSE 50/3.6::DOUBLE END AS speed, 2*6371000*asin(least(1,sqrt(sin(radians(b.lat-a.lat)/2)**2+cos(radians(a.lat))*cos(radians(b.lat))*sin(radians(b.lon-a.lon)/2)**2))) AS metres FROM st JOIN n a ON a.id=p[1] JOIN n b ON b.id=p[2]),
  e AS (SELECT u, v, way, metres, speed FROM e0 UNION ALL SELECT v, u, way, metres, speed FROM e0 WHERE way%30<>0)"""
 
@@ -201,13 +203,10 @@ def graph_fresh(spark: SparkSession, d: str) -> DataFrame:
     return gr.covers(gr.nodes(_elements(spark, d)), 40.05, 40.0, -79.9, -80.0)
 
 
-@query("street_distances", with_sql("roads") + ", g AS (SELECT x, y FROM range(9) a(x), range(9) b(y)) SELECT CAST(x+y*9 AS BIGINT) AS node, (x+y)*200.0::DOUBLE AS metres FROM g WHERE x+y<=6")
+@query("street_distances", with_sql("roads") + ", g AS (SELECT x, y FROM range(9) a(x), range(9) b(y)) SELECT CAST(x+y*9 AS BIGINT) AS node, (x+y)*200.0::DOUBLE AS metres FROM g")
 def street_distances(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.tables import ensure_checkpoints
-
-    ensure_checkpoints(spark)
     e = _edges(spark).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("len").alias("metres"))
-    return gr.distances(e, 0, 6)
+    return gr.distances(e, 0)
 
 
 @query("route_milestones")
@@ -241,11 +240,13 @@ def shape_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return rp.leaderboard(_results(spark, d).withColumn("success", rp.offtrail_success(F.col("error"))))
 
 
-@query("feature_compare", "WITH " + _RES + """, u AS (UNPIVOT (SELECT coalesce(error<120,false) AS ok, turns::DOUBLE AS turns, curvature::DOUBLE AS curvature, gain::DOUBLE AS gain FROM r) ON turns, curvature, gain INTO NAME feature VALUE value)
+@query("feature_compare", "WITH " + _RES + f""", u AS (UNPIVOT (SELECT coalesce(error<120,false) AS ok, (turns/10)::DOUBLE AS early_gain_frac, (questions/7.0)::DOUBLE AS mid_gain_frac, (conc/5)::DOUBLE AS late_gain_frac, (gain*3)::DOUBLE AS elev_roughness_m_per_km, curvature::DOUBLE AS curvature_per_km, gain::DOUBLE AS elev_gain_m, turns::DOUBLE AS elev_range_m FROM r)
+ ON {', '.join(rp.COMPARED)} INTO NAME feature VALUE value)
  SELECT feature, round(avg(value) FILTER (WHERE ok),2) AS located, round(avg(value) FILTER (WHERE NOT ok),2) AS "not" FROM u GROUP BY 1""")
 def feature_compare(spark: SparkSession, d: str) -> DataFrame:
     r = _results(spark, d).withColumn("success", rp.offtrail_success(F.col("error")))
-    return rp.feature_compare(r.select("success", "turns", "curvature", "gain"), ["turns", "curvature", "gain"])
+    seven = [F.col("turns") / 10, F.col("questions") / 7.0, F.col("conc") / 5, F.col("gain") * 3, F.col("curvature"), F.col("gain"), F.col("turns")]
+    return rp.feature_compare(r.select("success", *[c.cast("double").alias(n) for c, n in zip(seven, rp.COMPARED)]), rp.COMPARED)
 
 
 @query("climb_metrics", with_sql("tele") + """, w AS (SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY t,event_id) AS i, mag/100 AS elev FROM tele), x AS (SELECT *, elev-lag(elev) OVER q AS dd, i-2 AS k, count(*) OVER (PARTITION BY device_id)-1 AS n FROM w WINDOW q AS (PARTITION BY device_id ORDER BY i)),

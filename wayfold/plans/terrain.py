@@ -151,23 +151,23 @@ def profile_variance(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round("v", 4).alias("variance"), (F.col("v") < 1.0).alias("flat"))
 
 
-@query("warp_cost", """WITH RECURSIVE b AS (SELECT list_transform(embedding, lambda v: v::DOUBLE*100) AS o FROM embeddings WHERE vec_id=0), a AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE*100) AS p FROM embeddings WHERE vec_id%20=0),
+@query("warp_cost", """WITH RECURSIVE b AS (SELECT list_transform(embedding, lambda v: v::DOUBLE*100) AS o FROM embeddings WHERE vec_id=0), a AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE*100) AS p FROM embeddings),
  c AS (SELECT vec_id, p, o, 0 AS i, list_concat([0.0::DOUBLE], list_transform(range(64), lambda j: 1e300::DOUBLE)) AS prev FROM a, b
   UNION ALL SELECT vec_id, p, o, i+1, list_reduce(list_transform(range(1,65), lambda j: [CASE WHEN abs(j-(i+1))<=13 THEN abs(p[i+1]-o[j]) ELSE 1e300::DOUBLE END, least(prev[j+1], prev[j])]), lambda acc, t: list_append(acc, CASE WHEN t[1]>=1e299 THEN 1e300::DOUBLE ELSE t[1]+least(t[2], acc[-1]) END), [1e300::DOUBLE]) FROM c WHERE i<64)
  SELECT vec_id, round(prev[65]/128,6) AS cost, round(exp(-pow(prev[65]/128,2)/50),6) AS weight FROM c WHERE i=64""")
 def warp_cost(spark: SparkSession, d: str) -> DataFrame:
     e = wo.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 100).alias("p"))
     observed = e.where("vec_id = 0").select("p").first()
-    out = se.dtw(e.where("vec_id % 20 = 0"), "p", list(observed["p"]) if observed else [])
+    out = se.dtw(e, "p", list(observed["p"]) if observed else [])
     return r6(out.select("vec_id", "cost", se.likelihood(F.col("cost")).alias("weight")))
 
 
 _ROADS = """ n AS (SELECT pid, sid, sqrt((x-cx)**2+(y-cy)**2) AS dist, br FROM (SELECT *, ax+u*(ex-ax) AS cx, ay+u*(ey-ay) AS cy FROM (SELECT *, least(1,greatest(0,((x-ax)*(ex-ax)+(y-ay)*(ey-ay))/((ex-ax)**2+(ey-ay)**2))) AS u, CASE WHEN ax=ex THEN 0.0 ELSE 90.0 END AS br FROM {src}, roads)))"""
 
 
-@query("nearest_road", with_sql("points", "roads") + "," + _ROADS.format(src="points") + """ SELECT pid, round(dist,6) AS dist, sid, br::DOUBLE AS road_bearing FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY dist, sid) AS rn FROM n) WHERE rn=1 AND dist<=60""")
+@query("nearest_road", with_sql("points", "roads") + "," + _ROADS.format(src="points") + """ SELECT pid, round(dist,6) AS dist, sid, br::DOUBLE AS road_bearing FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY dist, sid) AS rn FROM n) WHERE rn=1""")
 def nearest_road(spark: SparkSession, d: str) -> DataFrame:
-    return r6(sp.nearest_road(wo.points(spark, d).select("pid", "x", "y"), wo.roads(spark), ["pid"]).where("dist <= 60"))
+    return r6(sp.nearest_road_anywhere(wo.points(spark, d).select("pid", "x", "y"), wo.roads(spark), ["pid"]).select("pid", "dist", "sid", "road_bearing"))
 
 
 def _bins(spark, d):
@@ -201,10 +201,10 @@ def ranked_features(spark: SparkSession, d: str) -> DataFrame:
     return r6(found.withColumn("near", F.col("dist") <= 45))
 
 
-@query("inside_polygons", with_sql("points", "places") + """ SELECT pid, fid FROM points p JOIN places g ON kind='water' AND fid%8=0 AND p.y>g.y-60.5 AND p.y<g.y+60.5 AND abs(p.x-g.x)<60.5-abs(p.y-g.y)""")
+@query("inside_polygons", with_sql("points", "places") + """ SELECT pid, fid FROM points p JOIN places g ON kind='water' AND p.y>g.y-60.5 AND p.y<g.y+60.5 AND abs(p.x-g.x)<60.5-abs(p.y-g.y)""")
 def inside_polygons(spark: SparkSession, d: str) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-    lakes = wo.places(spark, d).where("kind = 'water' AND fid % 8 = 0").select("fid", F.array(corner(60.5, 0.0), corner(0.0, 60.5), corner(-60.5, 0.0), corner(0.0, -60.5)).alias("ring"))
+    lakes = wo.places(spark, d).where("kind = 'water'").select("fid", F.array(corner(60.5, 0.0), corner(0.0, 60.5), corner(-60.5, 0.0), corner(0.0, -60.5)).alias("ring"))
     return sp.contains(wo.points(spark, d), lakes, 100.0)
 
 

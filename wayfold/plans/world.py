@@ -36,12 +36,12 @@ def feature_kinds(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), at.feature_kind(layer, kind, name).alias("kind"))
 
 
-_ATLAS = "pts AS (SELECT c_custkey AS pid, (c_custkey%70)/10.0::DOUBLE AS lat, (c_custkey%90)/10.0::DOUBLE AS lon FROM customer), patches AS (SELECT s_suppkey AS patch, (s_suppkey%6)+0.05::DOUBLE AS s, (s_suppkey%6)+1.25::DOUBLE AS n, (s_suppkey%8)+0.05::DOUBLE AS w, (s_suppkey%8)+1.25::DOUBLE AS e FROM supplier WHERE s_suppkey%3=0)"
+_ATLAS = "pts AS (SELECT c_custkey AS pid, (c_custkey%70)/10.0::DOUBLE AS lat, (c_custkey%90)/10.0::DOUBLE AS lon FROM customer), patches AS (SELECT s_suppkey AS patch, (s_suppkey%6)+0.05::DOUBLE AS s, (s_suppkey%6)+1.25::DOUBLE AS n, (s_suppkey%8)+0.05::DOUBLE AS w, (s_suppkey%8)+1.25::DOUBLE AS e FROM supplier)"
 
 
 def _patches(spark, d):
     s = F.col("s_suppkey")
-    return wo.read(spark, d, "supplier").where(s % 3 == 0).select(s.alias("patch"), (s % 6 + 0.05).alias("s"), (s % 6 + 1.25).alias("n"), (s % 8 + 0.05).alias("w"), (s % 8 + 1.25).alias("e"))
+    return wo.read(spark, d, "supplier").select(s.alias("patch"), (s % 6 + 0.05).alias("s"), (s % 6 + 1.25).alias("n"), (s % 8 + 0.05).alias("w"), (s % 8 + 1.25).alias("e"))
 
 
 @query("covering_patch", "WITH " + _ATLAS + " SELECT pid, min(patch) AS patch FROM pts JOIN patches ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1")
@@ -80,35 +80,40 @@ def shape_outlines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("placed_shapes")
 def placed_shapes(spark: SparkSession, d: str) -> DataFrame:
-    p = wo.points(spark, d).where("pid % 50 = 0").select("pid", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("pid") % 360).alias("turn"))
+    p = wo.points(spark, d).select("pid", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("pid") % 360).alias("turn"))
     return r6(wa.placed(wa.outlines(spark), p, 1200.0))
 
 
+def _area():
+    return F.lit(0).cast("long").alias("area")
+
+
 def _starts(spark: SparkSession) -> DataFrame:
-    return spark.range(40).select(F.col("id").alias("walk"), (F.col("id") * 17 % 81).alias("node"), (F.col("id") + 1000).alias("seed"))
+    return spark.range(40).select(_area(), F.col("id").alias("walk"), (F.col("id") * 17 % 81).alias("node"), (F.col("id") + 1000).alias("seed"))
 
 
 @query("generated_trails")
 def generated_trails(spark: SparkSession, d: str) -> DataFrame:
     """Edge-disjoint walks over the street grid, equal ones dropped."""
-    e = _edges(spark).select("a", "b", F.col("len").alias("m")).toPandas()
-    return wa.distinct_walks(wa.random_walks(_starts(spark), e, 2000.0, "trail"))
+    return wa.distinct_walks(wa.random_walks(_starts(spark), _edges(spark).select(_area(), "a", "b", "len"), 2000.0, "trail")).select("walk", "i", "node")
 
 
 @query("matched_walks")
 def matched_walks(spark: SparkSession, d: str) -> DataFrame:
-    """Trails over the street grid, observed with noise and matched back to it."""
-    e = _edges(spark).toPandas()
-    trail = wa.random_walks(_starts(spark).where("walk < 12"), e[["a", "b", "len"]], 2000.0, "trail")
+    """Trails over the street grid and its hills, observed with noise and matched back to them by heading and climb."""
+    e = wa.with_heights(_edges(spark).withColumn("area", F.lit(0).cast("long")), wo.dem(spark), wo.SIDE, wo.SIDE, wo.CELL)
+    trail = wa.random_walks(_starts(spark), e.select("area", "a", "b", "len"), 2000.0, "trail")
     w = Window.partitionBy("walk").orderBy("i")
-    step = trail.withColumn("to", F.lead("node").over(w)).where("to IS NOT NULL").join(_edges(spark).select(F.col("a").alias("node"), F.col("b").alias("to"), "bearing"), ["node", "to"])
-    bins = step.select("walk", (F.col("i") * 10).alias("i0"), F.col("bearing").alias("heading"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).select("walk", (F.col("i0") + F.col("j")).alias("i"), "heading", F.lit(0.0).alias("climb"))
-    return r6(wa.match_walks(wa.observe(bins), e, 50.0, 20.0))
+    side = trail.withColumn("to", F.lead("node").over(w)).where("to IS NOT NULL").join(_edges(spark).select(F.col("a").alias("node"), F.col("b").alias("to"), "bearing", "ax", "ay", "bx", "by"), ["node", "to"])
+    at = lambda k: wo.ground(F.col("ax") + (F.col("bx") - F.col("ax")) * k, F.col("ay") + (F.col("by") - F.col("ay")) * k)
+    bins = side.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    bins = bins.select("area", "walk", (F.col("i") * 10 + F.col("j")).alias("i"), F.col("bearing").alias("heading"), (at((F.col("j") + 1) / 10) - at(F.col("j") / 10)).alias("climb"))
+    return r6(wa.match_walks(wa.observe(bins), e, 20.0, 20.0))
 
 
 @query("sessions")
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    legs = wo.legs(spark, d).where("route % 40 = 0").groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "metres"))), lambda s: s["metres"]).alias("lengths"))
+    legs = wo.legs(spark, d).groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "metres"))), lambda s: s["metres"]).alias("lengths"))
     ticks = legs.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(240), F.lit(2)), lambda x: x.cast("double"))))
     answer = F.when(F.col("t") % 60 == 58, "arrive").when(F.col("t") % 60 == 30, "deny")
     return r6(wa.session(ticks.withColumns({"moving": F.col("t") % 14 != 0, "still": F.col("t") % 14 == 0, "answer": answer})))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # A raster is five int32 (zoom, first pixel x and y, width, height), two float64 (origin), int16 heights, little-endian; the phone's has a version byte of 1 before.
@@ -155,3 +157,59 @@ def decode_tile(data: bytes) -> list[tuple[str, int, dict, list[list[tuple[int,
                     tags, shape = (listed, shape) if n == 2 else (tags, listed)
             out.append((parts[1][0].decode(), kind, {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2])}, geometry(shape)))
     return out
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """(rows, columns, channels) of an 8-bit grey, RGB or RGBA image that is not interlaced."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, packed, head = 8, [], None
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    wide, high, depth, colour, _, _, interlaced = head
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or channels is None or interlaced:
+        raise ValueError("a kind of PNG that is not read")
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(high, 1 + wide * channels)
+    out = np.zeros((high + 1, wide + 1, channels), np.uint8)
+    for y, line in enumerate(lines, 1):
+        raw = line[1:].reshape(wide, channels)
+        if line[0] == 0:
+            out[y, 1:] = raw
+        elif line[0] == 1:  # each pixel is a difference from the one before
+            out[y, 1:] = np.cumsum(raw, axis=0, dtype=np.uint64).astype(np.uint8)
+        elif line[0] == 2:
+            out[y, 1:] = raw + out[y - 1, 1:]
+        else:
+            for x in range(1, wide + 1):
+                left, up, corner = (v.astype(int) for v in (out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]))
+                if line[0] == 3:
+                    guess = (left + up) // 2
+                else:  # Paeth: the neighbour nearest to their plane
+                    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                out[y, x] = raw[x - 1] + guess.astype(np.uint8)
+    return out[1:, 1:]
+
+
+def read_elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """(tile_x, tile_y, cx, cy, h) of elevation tiles stored as .../x/y.png, in whole metres."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path).select("path", "content")
+
+    def rows(batches):
+        for batch in batches:
+            for name, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                rgb = decode_png(body)[:, :, :3].astype(float)
+                h = np.clip(np.round(rgb[:, :, 0] * 256 + rgb[:, :, 1] + rgb[:, :, 2] / 256 - 32768), -32768, 32767).astype(np.int16)
+                x, y = (int(p) for p in name.removesuffix(".png").split("/")[-2:])
+                cy, cx = np.indices(h.shape)
+                n = h.size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int64)), pa.array(np.full(n, y, np.int64)), pa.array(cx.ravel().astype(np.int32)), pa.array(cy.ravel().astype(np.int32)), pa.array(h.ravel())], ["tile_x", "tile_y", "cx", "cy", "h"])
+
+    return files.mapInArrow(rows, "tile_x long, tile_y long, cx int, cy int, h short")

@@ -25,36 +25,47 @@ def xyz(values: Column, styles=STYLES) -> Column:
     return out
 
 
-def samples(payloads: DataFrame) -> DataFrame:
-    """(pid, kind, i, x, y, z) of every sample in ``payloads(pid, body)``, in the order accel, gyro, mag.
-
-    A flat sample wins; else the first of the lists that yields samples of the sensor's name.  All samples of a
-    payload share its one time stamp.
-    """
-    p = payloads.select("pid", F.try_parse_json("body").alias("v"))
-    parts = []
+def _listed(v: Column) -> Column:
+    """Array of (kind, i, x, y, z) of a parsed payload's samples, in the order accel, gyro, mag."""
+    out = []
     for kind, names in NAMES.items():
-        flat = xyz(F.col("v"), FLAT[kind])
         any_flat = F.lit(False)
         for keys in FLAT[kind]:
             here = F.lit(True)
             for k in keys:
-                here = here & F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
+                here = here & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
             any_flat = any_flat | here
-        found = []
-        for name in LISTS:
-            listed = F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), lambda m: F.lower(F.try_variant_get(m, "$.name", "string")).isin(*names))
-            got = F.transform(listed, lambda m: xyz(F.coalesce(F.try_variant_get(m, "$.values", "variant"), m)))
-            found.append(F.filter(got, lambda s: s.isNotNull()))
-        batch = F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(found[2])
-        got = F.when(any_flat, F.filter(F.array(flat), lambda s: s.isNotNull())).otherwise(batch)
-        parts.append(p.select("pid", F.lit(kind).alias("kind"), F.posexplode(got).alias("i", "s")).select("pid", "kind", "i", "s.*"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        batch = F.array().cast("array<struct<x:double,y:double,z:double>>")
+        for name in reversed(LISTS):
+            named = F.filter(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda m: F.lower(F.try_variant_get(m, "$.name", "string")).isin(*names))
+            got = F.filter(F.transform(named, lambda m: xyz(F.coalesce(F.try_variant_get(m, "$.values", "variant"), m))), lambda s: s.isNotNull())
+            batch = F.when(F.size(got) > 0, got).otherwise(batch)
+        got = F.when(any_flat, F.filter(F.array(xyz(v, FLAT[kind])), lambda s: s.isNotNull())).otherwise(batch)
+        out.append(_numbered(kind, got))
+    return F.concat(*out)
+
+
+def _numbered(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z")))
+
+
+def samples(payloads: DataFrame) -> DataFrame:
+    """(pid, kind, i, x, y, z) of every sample in ``payloads(pid, body)``.
+
+    A flat sample wins; else the first of the lists that yields samples of the sensor's name.  All samples of a
+    payload share its one time stamp.  Each body is parsed once.
+    """
+    return payloads.select("pid", F.try_parse_json("body").alias("v")).select("pid", F.inline(_listed(F.col("v"))))
 
 
 def rejects(payloads: DataFrame) -> DataFrame:
     """Payloads of which no sample can be read."""
-    return payloads.join(samples(payloads).select("pid").distinct(), "pid", "left_anti")
+    return payloads.withColumn("_v", F.try_parse_json("body")).where(F.coalesce(F.size(_listed(F.col("_v"))), F.lit(0)) == 0).drop("_v")
+
+
+def post(bodies: DataFrame, running: Column) -> DataFrame:
+    """Samples of posted bodies (pid, body); what is posted while no session runs is ignored."""
+    return samples(bodies.where(running).select("pid", "body"))
 
 
 def encode(df: DataFrame) -> DataFrame:

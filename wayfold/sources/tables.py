@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Set a checkpoint folder of our own only where the session names none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-checkpoints-"))
+    """Only a local session that names no checkpoint folder gets a temporary one: on a cluster it must be shared."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wayfold-checkpoints-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder: computed once, its lineage cut, whatever executor is lost."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
