@@ -152,16 +152,18 @@ def advance(walkers: DataFrame, edges: DataFrame, step: float | Column, heading:
     """
     e = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("len").alias("_len"), F.col("bearing").alias("_bearing"))
     start = edges.select("a", "b", "len", *([F.col("speed").alias("_speed")] if "speed" in edges.columns else []))
-    now = walkers.join(start, ["a", "b"]).withColumn("s", F.col("s") + step).drop("_speed")
-    done = None
-    for _ in range(MOST_POPS):
-        stay = now.where("s <= len")
-        done = stay if done is None else done.unionByName(stay)
+    metres = step if isinstance(step, Column) else F.lit(float(step))
+    # So many junctions a step can pass at most: the longest step over the shortest edge.
+    longest, shortest = start.agg(F.max(metres), F.min("len")).first()
+    hops = 0 if longest is None else min(MOST_POPS, int(longest / max(shortest, 1e-9)) + 1)
+    now = walkers.join(start, ["a", "b"]).withColumn("s", F.col("s") + metres).drop("_speed")
+    done = now.where("s <= len")
+    for hop in range(hops):
         on = now.where("s > len").withColumnRenamed("len", "_old")
         on = on.join(e, (F.col("b") == F.col("_a")) & (F.col("_b") != F.col("a"))).where(bearing_gap(F.col("_bearing"), F.lit(heading)) <= BRANCH_GATE)
-        now = settled(on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len")}).drop("_old", "_a", "_b", "_len", "_bearing"))
-        if now.isEmpty():
-            break
+        now = on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len")}).drop("_old", "_a", "_b", "_len", "_bearing")
+        now = settled(now) if hop % 4 == 3 else now
+        done = done.unionByName(now.where("s <= len"))
     return done.drop("len")
 
 

@@ -118,7 +118,11 @@ def heading_offset(spark: SparkSession, d: str) -> DataFrame:
     return r6(te.calibrate(df, "compass", "heading").select("device_id", "out.*"))
 
 
-@query("gated_offset")
+@query("gated_offset", with_sql("tele").replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY t,event_id) AS rn, radians(CAST((k*3)%90 AS DOUBLE)) AS o, k<80 AS ok FROM tele),
+ r AS (SELECT DISTINCT device_id, 0::BIGINT AS rn, 0.0::DOUBLE AS s, 0.0::DOUBLE AS c, 0::BIGINT AS n FROM tele
+  UNION ALL SELECT device_id, rn, CASE WHEN use THEN s*0.97+sin(o)*0.03 ELSE s END, CASE WHEN use THEN c*0.97+cos(o)*0.03 ELSE c END, n+use::INT FROM
+   (SELECT *, ok AND NOT (n>=10 AND s*s+c*c>1e-6 AND abs(degrees(o)-degrees(atan2(s,c))-360*floor((degrees(o)-degrees(atan2(s,c))+180)/360))>40) AS use FROM (SELECT r.device_id, w.rn, r.s, r.c, r.n, w.o, w.ok FROM r JOIN w ON w.device_id=r.device_id AND w.rn=r.rn+1)))
+ SELECT device_id, CAST(n AS INT) AS n, round(CASE WHEN degrees(atan2(s,c))<0 THEN degrees(atan2(s,c))+360 ELSE degrees(atan2(s,c)) END,6) AS "offset" FROM r QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY rn DESC)=1""")
 def gated_offset(spark: SparkSession, d: str) -> DataFrame:
     df = wo.telemetry(spark, d).withColumns({"compass": F.pmod(F.col("heading") + F.col("k") * 3 % 90, F.lit(360.0)), "ok": F.col("k") < 80})
     return r6(te.calibrate_gated(df, "compass", "heading", "ok", least=10).select("device_id", "out.*"))
@@ -257,7 +261,15 @@ def map_pixels(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(box["north"], 6).alias("north"), F.round(box["east"], 6).alias("east"))
 
 
-@query("sun_position")
+@query("sun_position", with_sql("tele") + """, a AS (SELECT event_id, t, k-50.0::DOUBLE AS lat, heading-180 AS lon, t/86400+2440587.5::DOUBLE AS dy, (t/86400+2440587.5::DOUBLE-2451545.0::DOUBLE)/36525.0::DOUBLE AS c FROM tele),
+ b AS (SELECT *, (280.46646+c*(36000.76983+c*0.0003032))-360*floor((280.46646+c*(36000.76983+c*0.0003032))/360) AS m, radians(357.52911+c*(35999.05029-0.0001537*c)) AS an, 0.016708634-c*(0.000042037+0.0000001267*c) AS ecc, radians(125.04-1934.136*c) AS nd FROM a),
+ d AS (SELECT *, radians(m+sin(an)*(1.914602-c*(0.004817+0.000014*c))+sin(2*an)*(0.019993-0.000101*c)+sin(3*an)*0.000289-0.00569-0.00478*sin(nd)) AS ap, radians(23+(26+(21.448-c*(46.815+c*(0.00059-c*0.001813)))/60)/60+0.00256*cos(nd)) AS ti, radians(m) AS l0 FROM b),
+ e AS (SELECT *, asin(sin(ti)*sin(ap)) AS de, tan(ti/2)*tan(ti/2) AS y FROM d),
+ f AS (SELECT *, 4*degrees(y*sin(2*l0)-2*ecc*sin(an)+4*ecc*y*sin(an)*cos(2*l0)-0.5*y*y*sin(4*l0)-1.25*ecc*ecc*sin(2*an)) AS eq, ((dy+0.5)-floor(dy+0.5))*1440 AS mi FROM e),
+ g AS (SELECT *, radians((mi+eq+4*lon-1440*floor((mi+eq+4*lon)/1440))/4-180) AS ho, radians(lat) AS la FROM f), h AS (SELECT *, acos(least(1,greatest(-1,sin(la)*sin(de)+cos(la)*cos(de)*cos(ho)))) AS ze FROM g),
+ i AS (SELECT *, degrees(acos(least(1,greatest(-1,(sin(la)*cos(ze)-sin(de))/(cos(la)*sin(ze)))))) AS az FROM h)
+ SELECT event_id, round(CASE WHEN sin(ze)<1e-9 THEN 0 WHEN ho>0 THEN az+180-360*floor((az+180)/360) ELSE 540-az-360*floor((540-az)/360) END,4) AS azimuth, round(90-degrees(ze),4) AS elevation,
+  round(year(to_timestamp(t) AT TIME ZONE 'UTC')+(t-epoch(make_timestamp(year(to_timestamp(t) AT TIME ZONE 'UTC'),1,1,0,0,0.0)))/(epoch(make_timestamp(year(to_timestamp(t) AT TIME ZONE 'UTC')+1,1,1,0,0,0.0))-epoch(make_timestamp(year(to_timestamp(t) AT TIME ZONE 'UTC'),1,1,0,0,0.0))),6) AS year FROM i""")
 def sun_position(spark: SparkSession, d: str) -> DataFrame:
     e = wo.telemetry(spark, d)
     s = geo.sun(F.col("k").cast("double") - 50, F.col("heading") - 180, F.col("t"))

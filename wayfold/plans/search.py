@@ -209,7 +209,11 @@ def street_distances(spark: SparkSession, d: str) -> DataFrame:
     return gr.distances(e, 0)
 
 
-@query("route_milestones")
+@query("route_milestones", with_sql("legs") + """, l AS (SELECT route, seq, 40+(seq*7+route)%11*0.001::DOUBLE AS lat, -80+(seq*5+route)%13*0.001::DOUBLE AS lon, metres FROM legs), a AS (SELECT *, lag(lat) OVER w AS a1, lag(lon) OVER w AS o1, lag(seq) OVER w IS NULL AS head, lead(seq) OVER w IS NULL AS tail, sum(metres) OVER w AS total FROM l WINDOW w AS (PARTITION BY route ORDER BY seq)),
+ b AS (SELECT *, degrees(atan2(sin(radians(lon-o1))*cos(radians(lat)), cos(radians(a1))*sin(radians(lat))-sin(radians(a1))*cos(radians(lat))*cos(radians(lon-o1)))) AS b0, 2*6371000*asin(least(1,sqrt(sin(radians(lat-a1)/2)**2+cos(radians(a1))*cos(radians(lat))*sin(radians(lon-o1)/2)**2))) AS air FROM a),
+ c AS (SELECT *, CASE WHEN b0<0 THEN b0+360 ELSE b0 END AS bearing, coalesce(air>=40 AND metres<=1.08*air,false) AS straight FROM b), d AS (SELECT *, lead(bearing) OVER (PARTITION BY route ORDER BY seq)-bearing AS df FROM c),
+ e AS (SELECT *, CASE WHEN df IS NULL THEN 0 ELSE df+180-360*floor((df+180)/360)-180 END AS turn FROM d), f AS (SELECT *, CASE WHEN turn>0 THEN 'right' ELSE 'left' END AS side, abs(turn) AS size FROM e)
+ SELECT route, seq, round(total,6) AS total, round(bearing,6) AS bearing, straight, round(turn,6) AS turn, CASE WHEN head THEN 'start' WHEN tail THEN 'arrive' WHEN size<30 THEN 'straight' WHEN size>=150 THEN 'sharp '||side||' (U-turn)' WHEN size>=100 THEN 'sharp '||side WHEN size>=55 THEN side ELSE 'slight '||side END AS label FROM f""")
 def route_milestones(spark: SparkSession, d: str) -> DataFrame:
     legs = wo.legs(spark, d).select("route", "seq", (40 + (F.col("seq") * 7 + F.col("route")) % 11 * 0.001).alias("lat"), (-80 + (F.col("seq") * 5 + F.col("route")) % 13 * 0.001).alias("lon"), "metres")
     return r6(gr.milestones(legs).select("route", "seq", "total", "bearing", "straight", "turn", "label"))

@@ -78,7 +78,10 @@ def shape_outlines(spark: SparkSession, d: str) -> DataFrame:
     return r6(wa.outlines(spark))
 
 
-@query("placed_shapes")
+@query("placed_shapes", with_sql("points") + """, o AS (SELECT 'triangle' AS shape, i, [0.0,1.0,0.5,0.0][i+1]::DOUBLE AS x, [0.0,0.0,sqrt(3)/2,0.0][i+1]::DOUBLE AS y FROM range(4) r(i) UNION ALL SELECT 'square', i, [0.0,1.0,1.0,0.0,0.0][i+1], [0.0,0.0,1.0,1.0,0.0][i+1] FROM range(5) r(i)
+  UNION ALL SELECT 'rectangle', i, [0.0,2.0,2.0,0.0,0.0][i+1], [0.0,0.0,1.0,1.0,0.0][i+1] FROM range(5) r(i) UNION ALL SELECT 'circle', i, cos(i%240*pi()/120), sin(i%240*pi()/120) FROM range(241) r(i) UNION ALL SELECT 'zigzag', i, i*cos(radians(30)), CASE WHEN i%2=1 THEN sin(radians(30)) ELSE 0 END FROM range(7) r(i)),
+ s AS (SELECT *, sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)) AS st FROM o WINDOW w AS (PARTITION BY shape ORDER BY i)), z AS (SELECT shape, sum(st) AS len, avg(x) AS mx, avg(y) AS my FROM s GROUP BY 1), d AS (SELECT o.shape, i, (x-mx)*1200/len AS dx, (y-my)*1200/len AS dy FROM o JOIN z ON o.shape=z.shape)
+ SELECT shape, pid, CAST(i AS INT) AS i, round(x+dx*cos(radians(pid%360))-dy*sin(radians(pid%360)),6) AS x, round(y+dx*sin(radians(pid%360))+dy*cos(radians(pid%360)),6) AS y FROM points, d""")
 def placed_shapes(spark: SparkSession, d: str) -> DataFrame:
     p = wo.points(spark, d).select("pid", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("pid") % 360).alias("turn"))
     return r6(wa.placed(wa.outlines(spark), p, 1200.0))
@@ -111,7 +114,14 @@ def matched_walks(spark: SparkSession, d: str) -> DataFrame:
     return r6(wa.match_walks(wa.observe(bins), e, 20.0, 20.0))
 
 
-@query("sessions")
+@query("sessions", with_sql("legs").replace("WITH", "WITH RECURSIVE", 1) + """, l AS (SELECT route, list(metres ORDER BY seq) AS lens FROM legs GROUP BY 1),
+ r AS (SELECT route, lens, -2.0::DOUBLE AS t, 0 AS leg, 11.0::DOUBLE AS speed, 0.0::DOUBLE AS done, 0.0::DOUBLE AS entered, NULL::VARCHAR AS event FROM l
+  UNION ALL SELECT route, lens, t, leg+arr::INT, CASE WHEN arr THEN least(45.0,greatest(1.0,0.7*speed+0.3*(lens[leg+1]/greatest(t-entered,3.0)))) ELSE speed END, CASE WHEN arr THEN 0.0 ELSE done END, CASE WHEN arr THEN t ELSE entered END,
+    CASE WHEN arr THEN CASE WHEN leg+1=len(lens) THEN 'destination' WHEN ans='arrive' THEN 'arrived' ELSE 'snapped' END WHEN done>=lens[leg+1] THEN 'prompt' END FROM
+   (SELECT *, coalesce(ans='arrive',false) OR (still AND lens[leg+1]-done<=50 AND t-entered>=3) AS arr FROM
+    (SELECT route, lens, t, leg, speed, entered, ans, still, CASE WHEN ans='arrive' THEN done ELSE least(CASE WHEN ans='deny' THEN greatest(0.0,lens[leg+1]-speed) ELSE done END+CASE WHEN moving THEN speed*dt ELSE 0 END, CASE WHEN moving THEN lens[leg+1] ELSE 1e300 END) END AS done FROM
+     (SELECT route, lens, t+2 AS t, leg, speed, done, entered, CASE WHEN (t+2)%60=58 THEN 'arrive' WHEN (t+2)%60=30 THEN 'deny' END AS ans, (t+2)%14=0 AS still, (t+2)%14<>0 AS moving, CASE WHEN t<0 THEN 0.0 ELSE 2.0 END AS dt FROM r WHERE t<240 AND leg<len(lens)))))
+ SELECT route, t, event, CASE WHEN event='prompt' THEN leg+1 ELSE leg END AS leg, round(speed,6) AS speed FROM r WHERE event IS NOT NULL""")
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     legs = wo.legs(spark, d).groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "metres"))), lambda s: s["metres"]).alias("lengths"))
     ticks = legs.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(240), F.lit(2)), lambda x: x.cast("double"))))
