@@ -4,21 +4,23 @@ An assistant turn may hold ``{"content": ..., "tool_calls": [{"id", "name", "arg
 tool turn holds ``{"tool_call_id", "content"}``.  Calls and results are hash-joined on
 (conversation, identifier).  The result has a row for each message, call and result, with
 
-- ``order_turn, depth, part``: a topological order - a call stands after its message, a result
+- ``order_turn, depth, part``: the ranks of a topological order - a call stands after its message, a result
   after its call, even where the log has them the other way round;
+- ``place``: the row's number in that order of its conversation, from 1; equal ranks go by kind, turn and JSON;
 - ``link``: ``linked``, ``unanswered`` (call), ``orphan`` (result without call), null (message);
 - ``arguments_valid``: whether a call's arguments meet the tool's schema (null: not a call);
 - ``json``: canonical JSON - keys in alphabetical order, no white space.
 
 Defined cases: a text that is no such object is a plain message; null role or text is JSON null,
 left out; an identifier that several calls of a conversation use belongs to the earliest; further
-results of one call stay, each as a row; a null turn sorts first; repeated rows stay.  No row
-depends on more than its own link, so one hot conversation is no hot task.
+results of one call stay, each as a row; a null turn sorts first; repeated rows stay, each with a place; an empty
+table gives an empty result; further columns are left out.  Links are equi-joins, and places are counted by
+stretches of ``TURNS`` turns, so that one long conversation is no hot task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import table
@@ -29,6 +31,8 @@ SCHEMAS = {
     "calculate": {"expression": ("string", True)},
     "fetch": {"url": ("string", True), "headers": ("object", False)},
 }
+#: Turns that are numbered together.
+TURNS = 1024
 KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT<.*", "array": "ARRAY<.*", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*"}
 
 
@@ -81,7 +85,18 @@ def link(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         F.when(found, "linked").otherwise("orphan").alias("link"), none("boolean").alias("arguments_valid"),
         F.to_json(F.struct("content", F.col("call.name").alias("name"), F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))).alias("json"),
     )
-    return messages.unionByName(call_rows).unionByName(result_rows)
+    return numbered(messages.unionByName(call_rows).unionByName(result_rows))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with their places: those before their stretch of turns, and their number within it."""
+    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("order_turn") / TURNS), F.lit(-1)))
+    sizes = rows.groupBy("conv_id", "stretch").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("conv_id").alias("k"), F.col("stretch").alias("i"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    order = Window.partitionBy("conv_id", "stretch").orderBy(F.asc_nulls_first("order_turn"), "depth", "part", "kind", F.asc_nulls_first("turn"), "json")
+    found = rows.withColumn("number", F.row_number().over(order)).join(before, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("stretch") == F.col("i")))
+    return found.withColumn("place", F.col("before") + F.col("number")).drop("stretch", "k", "i", "before", "number")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +109,8 @@ ORACLE = {
     "op5_chat_format": """
         SELECT conv_id, turn, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::VARCHAR AS tool, turn AS order_turn,
                0 AS depth, 0 AS part, NULL::VARCHAR AS link, NULL::BOOLEAN AS arguments_valid,
-               CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
+               CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, CAST(json_object('content', text, 'role', role) AS VARCHAR)) AS place
         FROM conversations
         WHERE NOT (role IN ('assistant', 'tool') AND starts_with(ltrim(text), '{') AND coalesce(json_valid(text), false))
     """,
