@@ -41,7 +41,7 @@ from . import text as tx
 from .store import cut, discard, identity, table
 
 K = 20
-GRAM = 10
+GRAM = 7
 #: A document is told by its id and two hashes of id and text, a kind of segments by 128 bits of XXH3.
 DOC = ["doc_id", "d1", "d2"]
 ROW = ["d1", "d2"]
@@ -104,7 +104,7 @@ def _nodes(data: bytes, start: np.ndarray, end: np.ndarray, at: np.ndarray, k: i
 
 
 def segments(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(doc_id, d1, d2, own, text)``, own being positions of repeated minimisers: the segments that these own, their kinds, first and last nodes."""
+    """Of ``docs(doc_id, d1, d2, own, text)``, own being positions of repeated minimisers: the segments that these own, and their kinds."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +124,14 @@ def segments(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
                 continue
             begin, holder = window[head], doc[head]
             kind = tx.strong_hash(data, start[begin], end[begin + size + k - 2])
-            ends = [_nodes(data, start, end, at, k) for at in (begin, begin + size)]
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(value[own[head]].view(np.int64)), *map(pa.array, (*kind, *ends))]
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", *KIND, "u", "v"])
+            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - first[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(value[own[head]].view(np.int64)), *map(pa.array, kind)]
+            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "a", *KIND])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, n int, a long, h1 long, h2 long, u long, v long")
+    return docs.select(*DOC, "own", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, n int, a long, h1 long, h2 long")
 
 
 def path_edges(docs: DataFrame, k: int = K) -> DataFrame:
-    """Edges (u, v) of the segments of ``docs(doc_id, d1, d2, listed, text)``, listed being an array of (start, n, h1, h2, times)."""
+    """Edges (u, v) of the segments of ``docs(doc_id, d1, d2, listed, text)``, listed being an array of (start, n, h1, h2, times, whole): one of n windows if it is whole, else n of one."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,42 +141,42 @@ def path_edges(docs: DataFrame, k: int = K) -> DataFrame:
             row = np.repeat(np.arange(block.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
             flat = listed.flatten()
             n = flat.field("n").to_numpy()
-            which = np.repeat(np.arange(len(n)), n)
-            i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            long = np.where(flat.field("whole").to_numpy(zero_copy_only=False), n, 1)
+            count = n // long
+            which = np.repeat(np.arange(len(n)), count)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             start = flat.field("start").to_numpy()[which] + i
             at = first[:-1][row][which] + start
             own = [block.column(c).take(pa.array(row[which])) for c in DOC]
-            kind = [flat.field(c).take(pa.array(which)) for c in (*KIND, "times")]
-            ends = [pa.array(_nodes(data, begin, end, x, k)) for x in (at, at + 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(i.astype(np.int32)), *kind, *ends], [*DOC, "start", "i", *KIND, "times", "u", "v"])
+            kind = [flat.field(c).take(pa.array(which)) for c in (*KIND, "times", "whole")]
+            ends = [pa.array(_nodes(data, begin, end, x, k)) for x in (at, at + long[which])]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(long[which].astype(np.int32)), *kind, *ends], [*DOC, "start", "i", "n", *KIND, "times", "whole", "u", "v"])
 
-    return docs.select(*DOC, "listed", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, i int, h1 long, h2 long, times long, u long, v long")
+    return docs.select(*DOC, "listed", "text").mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, start int, i int, n int, h1 long, h2 long, times long, whole boolean, u long, v long")
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(x1, x2, off): of ``edges(x1, x2, u, v, n, times, source)`` those that are not the first of their path, and how many windows after its beginning they stand."""
-    e = F.struct(*EDGE, "n", "times", "source")
-    none = F.lit(None).cast(edges.select(e).schema[0].dataType)
-    ends = edges.select(F.col("v").alias("node"), e.alias("into"), none.alias("out")).unionByName(edges.select(F.col("u").alias("node"), none.alias("into"), e.alias("out")))
-    # Degrees of every node, and its edges: any of each, as only nodes with one of each go on.
-    nodes = ends.groupBy("node").agg(F.count("into").alias("ins"), F.count("out").alias("outs"), F.max("into").alias("into"), F.max("out").alias("out")).where("ins = 1 AND outs = 1")
-    same = lambda c: F.col(f"into.source.{c}").eqNullSafe(F.col(f"out.source.{c}"))
-    goes_on = (F.col("into.times") == F.col("out.times")) & same("doc_id") & same("d1") & same("d2") & (F.col("into.source.start") + F.col("into.n") == F.col("out.source.start"))
+    """(x1, x2, off): of ``edges(x1, x2, u, v, n, times, d1, d2, start)`` those that are not the first of their path, and how many windows after its beginning they stand."""
+    fields = [*EDGE, "n", "times", *ROW, "start"]
+    ends = edges.select(F.col("v").alias("node"), F.lit(True).alias("into"), *fields).unionByName(edges.select(F.col("u").alias("node"), F.lit(False).alias("into"), *fields))
+    # Degrees of every node; where one edge comes in and one goes out, the greatest values are theirs.
+    side = {"in": F.col("into"), "out": ~F.col("into")}
+    most = [F.max(F.when(c, F.col(f))).alias(f"{name}_{f}") for name, c in side.items() for f in fields]
+    nodes = ends.groupBy("node").agg(*[F.count(F.when(c, 1)).alias(f"{name}s") for name, c in side.items()], *most).where("ins = 1 AND outs = 1")
+    goes_on = (F.col("in_start") + F.col("in_n") == F.col("out_start")) & (F.col("in_times") == F.col("out_times")) & (F.col("in_d1") == F.col("out_d1")) & (F.col("in_d2") == F.col("out_d2"))
     # Source coordinates grow along links, so there are no circles.
-    links = nodes.where(goes_on).select("out.x1", "out.x2", F.col("into.x1").alias("p1"), F.col("into.x2").alias("p2"), F.col("into.n").alias("off"), F.lit(False).alias("ended"))
-    active, done = cut(links, "links"), None
-    while not active.isEmpty():
-        every = active if done is None else active.unionByName(done)
-        ahead = every.select(F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("off").alias("more"), F.col("ended").alias("there"))
+    links = nodes.where(goes_on).select(F.col("out_x1").alias("x1"), F.col("out_x2").alias("x2"), F.col("in_x1").alias("p1"), F.col("in_x2").alias("p2"), F.col("in_n").alias("off"), F.lit(False).alias("ended"))
+    state = cut(links, "links")
+    while not state.where("NOT ended").isEmpty():
+        ahead = state.select(F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("off").alias("more"), F.col("ended").alias("there"))
         # Each edge looks as far ahead as the one it looks at; one that looks at the first of its path is done.
         first = F.col("more").isNull()
-        jumped = active.join(ahead, ["p1", "p2"], "left").select(
+        jumped = state.where("NOT ended").join(ahead, ["p1", "p2"], "left").select(
             *EDGE, F.coalesce("q1", "p1").alias("p1"), F.coalesce("q2", "p2").alias("p2"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (first | F.coalesce("there", F.lit(False))).alias("ended")
         )
-        jumped = cut(jumped, "jumps")
-        ended, active = jumped.where("ended"), jumped.where("NOT ended")
-        done = ended if done is None else done.unionByName(ended)
-    return done.select(*EDGE, "off") if done is not None else edges.select(*EDGE, F.col("n").alias("off")).limit(0)
+        before, state = state, cut(jumped.unionByName(state.where("ended")), "jumps")
+        discard(before)
+    return state.select(*EDGE, "off")
 
 
 def _runs(steps: str) -> str:
@@ -208,32 +207,33 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
     every = cut(anchors(docs, k, g), "anchors")
     # Counts are cut so that a hot minimiser may be split in the join.
     twice = cut(every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "repeated-minimisers")
-    own = every.join(twice, "a").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("own"))
+    own = every.join(twice.hint("shuffle_hash"), "a").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     found = cut(segments(docs.join(own, ROW), k, g), "segments")
     discard(every, twice)
 
-    kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("u").alias("u"), F.first("v").alias("v"), F.min(F.struct(*DOC, "start")).alias("source"))
+    kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct(*DOC, "start")).alias("source"))
     kinds = cut(kinds, "segment-kinds")
-    several = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "mixed-minimisers")
-    alone = kinds.join(several, "a", "left_anti").where("times > 1").select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "u", "v", "n", "times", "source")
-    listed = kinds.join(several, "a", "left_semi").groupBy("source.d1", "source.d2").agg(F.collect_list(F.struct("source.start", "n", *KIND, "times")).alias("listed"))
-    walks = cut(path_edges(docs.join(listed, ROW), k), "windows")
-    single = walks.groupBy("u", "v").agg(F.sum("times").alias("times"), F.min(F.struct(*DOC, "start")).alias("source")).where("times > 1")
-    single = single.select(F.col("u").alias("x1"), F.col("v").alias("x2"), "u", "v", F.lit(1).alias("n"), "times", "source")
-    edges = cut(alone.unionByName(single), "edges")
-    off = cut(compact(edges), "places")
-    # The path of an edge begins in the source so many windows before the edge.
-    placed = edges.join(off, EDGE, "left").select(*EDGE, F.struct("n", "source", F.coalesce("off", F.lit(0)).alias("off")).alias("at"))
-    placed = cut(placed, "placed-edges")
-    one = alone.select(*EDGE).join(placed, EDGE).select(F.col("x1").alias("h1"), F.col("x2").alias("h2"), F.array(F.struct(F.lit(0).alias("i"), "at")).alias("steps"))
-    many = walks.select(*KIND, "i", F.col("u").alias("x1"), F.col("v").alias("x2")).join(placed, EDGE).groupBy(*KIND).agg(F.collect_set(F.struct("i", "at")).alias("steps"))
-    steps = cut(one.unionByName(many), "steps")
-    discard(kinds, several, walks, edges, off, placed)
-
-    # Occurrences of edges by document, path and where the path would begin in the document.
-    back = found.select(*DOC, "start", *KIND).join(steps, KIND).select(*DOC, "start", F.inline("steps"))
-    head = F.struct("at.source.doc_id", "at.source.d1", "at.source.d2", (F.col("at.source.start") - F.col("at.off")).alias("start")).alias("head")
-    back = back.select(*DOC, head, (F.col("start") + F.col("i") - F.col("at.off")).alias("base"), F.struct((F.col("start") + F.col("i")).alias("start"), F.col("at.n").alias("n")).alias("step"))
+    several = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a", F.lit(False).alias("whole")), "mixed-minimisers")
+    taken = kinds.join(several, "a", "left").where("times > 1 OR NOT whole").select("source", F.struct("source.start", "n", *KIND, "times", F.coalesce("whole", F.lit(True)).alias("whole")).alias("one"))
+    listed = taken.groupBy("source.d1", "source.d2").agg(F.collect_list("one").alias("listed"))
+    walks = cut(path_edges(docs.join(listed, ROW), k), "walks")
+    discard(kinds, several)
+    # An edge is told by its nodes and its length.
+    edges = walks.groupBy("u", "v", "n").agg(F.sum("times").alias("times"), F.min(F.struct(*DOC, "start")).alias("source")).where("times > 1")
+    edges = cut(edges.select(F.col("u").alias("x1"), F.xxhash64("v", "n").alias("x2"), "u", "v", "n", "times", "source"), "edges")
+    off = compact(edges.select(*EDGE, "u", "v", "n", "times", "source.d1", "source.d2", "source.start"))
+    # Where the path of an edge begins in the source, and how far on the edge stands.
+    head = F.struct("source.doc_id", "source.d1", "source.d2", (F.col("source.start") - F.coalesce("off", F.lit(0))).alias("start")).alias("head")
+    placed = cut(edges.join(off, EDGE, "left").select("u", "v", "n", head, F.coalesce("off", F.lit(0)).alias("off")), "placed-edges")
+    # Of each kind the stretches that lie on one path.
+    walked = walks.select(*KIND, "i", "u", "v", "n").join(placed, ["u", "v", "n"]).groupBy(*KIND, "head", (F.col("i") - F.col("off")).alias("base")).agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("start"), "n"))).alias("walk"))
+    steps = walked.select(*KIND, "head", "base", F.inline(F.expr(_runs("walk")))).groupBy(*KIND).agg(F.collect_list(F.struct("head", "base", F.col("start").alias("i"), "n")).alias("steps"))
+    steps = cut(steps, "steps")
+    discard(walks, edges, off, placed)
+
+    # Occurrences by document, path and where the path would begin in the document.
+    back = found.select(*ROW, F.col("start").alias("at"), *KIND).join(steps, KIND).select(*ROW, "at", F.inline("steps"))
+    back = back.select(*ROW, "head", (F.col("at") + F.col("base")).alias("base"), F.struct((F.col("at") + F.col("i")).alias("start"), "n").alias("step"))
     itself = (F.col("d1") == F.col("head.d1")) & (F.col("d2") == F.col("head.d2")) & (F.col("base") == F.col("head.start"))
     whole = back.where(~itself).groupBy(*ROW, "head", "base").agg(F.array_sort(F.collect_set("step")).alias("walk"))
     runs = whole.select(*ROW, "head", "base", F.inline(F.expr(_runs("walk"))))

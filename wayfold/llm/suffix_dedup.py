@@ -337,7 +337,7 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     every = cut(anchors(docs, k, g), "anchors")
     # Counts are cut so that a hot minimiser may be split in the join.
     twice = cut(every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "repeated-minimisers")
-    own = every.join(twice, "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
+    own = every.join(twice.hint("shuffle_hash"), "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
     found = cut(pieces(docs.join(own, DOC), k, g), "pieces")
     discard(every, twice)
