@@ -230,6 +230,24 @@ def test_chat(spark):
     assert sum(r["kind"] == "message" for r in got) == 6
     order = sorted((r["order_turn"], r["depth"], r["part"], r["kind"]) for r in got if r["conv_id"] == 2)
     assert [o[3] for o in order] == ["message", "call", "result"]
+    for conv in {r["conv_id"] for r in got}:
+        own = sorted((r["place"], (r["order_turn"] or 0, r["depth"], r["part"])) for r in got if r["conv_id"] == conv)
+        assert [p for p, _ in own] == list(range(1, len(own) + 1)) and [o for _, o in own] == sorted(o for _, o in own)
+
+
+def test_chat_odd_rows(spark):
+    call = lambda i, name, args: {"id": i, "name": name, "arguments": args}
+    long = "x" * 2_000_000
+    twice = json.dumps({"tool_calls": [call("a", "search", {"query": long}), call("a", "fetch", {"url": "u"})]})
+    rows = [(1, t, "user", f"turn {t}") for t in range(3000)] + [(2, 5, "assistant", twice), (2, 6, "tool", json.dumps({"tool_call_id": "a", "content": "one"})), (2, 7, "tool", json.dumps({"tool_call_id": "a", "content": "two"}))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("place", "k", "i", "stretch", "number", "before")})
+    got = chat.link(df).collect()
+    assert sorted(r["place"] for r in got if r["conv_id"] == 1) == list(range(1, 3001)) and all(r["place"] == r["turn"] + 1 for r in got if r["conv_id"] == 1)
+    # An identifier that two calls use belongs to the first; both results are its own.
+    assert [(r["kind"], r["tool"], r["link"]) for r in sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["place"])] == [
+        ("message", None, None), ("call", "search", "linked"), ("call", "fetch", "linked"), ("result", "search", "linked"), ("result", "search", "linked")
+    ]
+    assert chat.link(df.limit(0)).count() == 0
 
 
 # 6
@@ -549,10 +567,9 @@ def test_debruijn_with_branching_nodes(spark):
 
 
 def test_paths_are_compacted_where_nodes_do_not_branch(spark):
-    source = lambda s: (0, 1, 1, s)
     # 1 -> 2 -> 3 -> 4 in a row; 4 -> 5 and 4 -> 6 branch; 6 -> 7 occurs more often; 7 -> 8 goes on elsewhere.
-    rows = [(1, 1, 2, 1, 2, source(0)), (2, 2, 3, 5, 2, source(1)), (3, 3, 4, 1, 2, source(6)), (4, 4, 5, 1, 2, source(7)), (5, 4, 6, 1, 2, source(30)), (6, 6, 7, 1, 3, source(31)), (7, 7, 8, 1, 3, source(50))]
-    edges = spark.createDataFrame([(x, x, u, v, n, t, s) for x, u, v, n, t, s in rows], "x1 long, x2 long, u long, v long, n int, times long, source struct<doc_id:long,d1:long,d2:long,start:int>")
+    rows = [(1, 1, 2, 1, 2, 0), (2, 2, 3, 5, 2, 1), (3, 3, 4, 1, 2, 6), (4, 4, 5, 1, 2, 7), (5, 4, 6, 1, 2, 30), (6, 6, 7, 1, 3, 31), (7, 7, 8, 1, 3, 50)]
+    edges = spark.createDataFrame([(x, x, u, v, n, t, 1, 1, s) for x, u, v, n, t, s in rows], "x1 long, x2 long, u long, v long, n int, times long, d1 long, d2 long, start int")
     assert {r["x1"]: r["off"] for r in debruijn.compact(edges).collect()} == {2: 1, 3: 6}
 
 
