@@ -414,3 +414,13 @@ def test_breadcrumbs_fall_every_five_metres(spark):
     rows = [(1, k, float(k), 0.04 * k if k < 3 else 1.0 * k, 90.0) for k in range(12)] + [(1, 12, 30.0, 60.0, 90.0), (1, 13, 31.0, 66.0, 0.0)]
     got = [(r["i"], round(r["x"], 6), round(r["y"], 6)) for r in ro.breadcrumbs(spark.createDataFrame(rows, "device_id int, event_id int, t double, d double, heading double")).orderBy("i").collect()]
     assert got == [(0, 0.0, 0.0), (1, 5.0, 0.0), (2, 10.0, 0.0), (3, 11.0, 6.0)]
+
+
+def test_curves_are_scored_alike_with_the_raster_joined_or_held(spark, monkeypatch):
+    cand = wo.points(spark, TABLES).select(F.col("pid").alias("cid"), "x", "y")
+    seen = [0.4 * k for k in range(22)]
+    args = (cand, search.HEADINGS, 15.0, wo.dem(spark), *GRID, seen)
+    held = {r["cid"]: r for r in hy.curve_costs(*args).collect()}
+    monkeypatch.setattr(hy, "BROADCAST_CELLS", 0)
+    joined = {r["cid"]: r for r in hy.curve_costs(*args).collect()}
+    assert held.keys() == joined.keys() and all(held[k]["length"] == joined[k]["length"] and held[k]["cost"] == pytest.approx(joined[k]["cost"]) for k in held)

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_gap
 from ..sources.tables import settled
-from .terrain import sample
+from .sequences import dtw, dtw_many
+from .terrain import BROADCAST_CELLS, sample
 
 # Matcher defaults.
 SOFT, MERGE_M, BEAM, PENALTY_CAP, BRANCH_GATE = 0.25, 8.0, 18_000, 5.0, 150.0
@@ -53,6 +55,44 @@ def normalise(df: DataFrame, score: str = "score", constraint: str = "constraint
     return df.withColumn("w", F.when(F.col("_total") > 0, raw / F.col("_total")).otherwise(raw)).drop("_total")
 
 
+def curve_costs(candidates: DataFrame, headings: list[float], step: float, dem: DataFrame, cols: int, rows: int, cell: float, observed: list[float]) -> DataFrame:
+    """(cid, x, y, cost, length): the time-warp distance of the observed heights to those along the walk from each candidate, up to where it leaves the map.
+
+    A raster of a checked size goes to every worker, where a batch of candidates is scored at once and nothing is shuffled;
+    a larger one is joined (:func:`path_profiles`).
+    """
+    if cols * rows > BROADCAST_CELLS:
+        p = dtw(path_profiles(candidates, headings, step, dem, cols, rows, cell), "profile", observed)
+        return p.select("cid", "x", "y", "cost", F.size("profile").alias("length"))
+    found = dem.select("gx", "gy", "h").toPandas()
+    grid = np.full((rows + 1, cols + 1), np.nan)
+    grid[found["gy"], found["gx"]] = found["h"]
+    grid[rows], grid[:, cols] = grid[rows - 1], grid[:, cols - 1]  # the far edge repeats its neighbours
+    grid[rows, cols] = grid[rows - 1, cols - 1]
+    turn = np.radians(headings[:-1] if len(headings) else [])
+    dx, dy = (np.concatenate([[0.0], np.cumsum(f(turn) * step)]) for f in (np.sin, np.cos))
+    seen = np.array(observed, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+            fx, fy = (x[:, None] + dx) / cell, (y[:, None] + dy) / cell
+            inside = (fx >= 0) & (fy >= 0) & (fx <= cols - 1) & (fy <= rows - 1)
+            i, j = (np.where(inside, np.floor(f), 0).astype(int) for f in (fx, fy))
+            tx, ty = fx - np.floor(fx), fy - np.floor(fy)
+            low, high = grid[j, i] + (grid[j, i + 1] - grid[j, i]) * tx, grid[j + 1, i] + (grid[j + 1, i + 1] - grid[j + 1, i]) * tx
+            h = np.where(inside, low + (high - low) * ty, np.nan)
+            gone = np.isnan(h)
+            length = np.where(gone.any(axis=1), gone.argmax(axis=1), h.shape[1])
+            cost = np.full(len(x), np.inf)
+            for n in np.unique(length[length > 0]):
+                own = length == n
+                cost[own] = dtw_many(h[own, :n] - h[own, :1], seen)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(x), pa.array(y), pa.array(cost), pa.array(length.astype(np.int32))], ["cid", "x", "y", "cost", "length"])
+
+    return candidates.select("cid", "x", "y").mapInArrow(run, "cid long, x double, y double, cost double, length int")
+
+
 def cumulate(df: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
     """``out``: the running sum of ``value`` in order of the number ``order``, by sums of up to ``parts`` ranges and windows inside them, so that no task sees all rows."""
     edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))

@@ -102,14 +102,12 @@ def road_weights(spark: SparkSession, d: str) -> DataFrame:
 def curve_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's place as the start of a walk over one hill to another: heights and streets together."""
     start = wo.points(spark, d).select(F.col("pid").alias("cid"), "x", "y")
-    p = hy.path_profiles(start, HEADINGS, 15.0, wo.dem(spark), *GRID)
     walk = hy.path_offsets(spark, HEADINGS, 15.0).where(F.col("i") < len(HEADINGS))
     heading = F.element_at(F.array(*[F.lit(h) for h in HEADINGS]), F.col("i") + 1)
     bins = start.crossJoin(F.broadcast(walk)).select("cid", "i", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), heading.alias("heading"))
     fit = sp.adherence(bins, wo.roads(spark), ["cid"], 30.0)
-    seen = OBSERVED
-    scored = se.dtw(p, "profile", seen).join(fit, "cid")
-    return r6(scored.select("cid", hy.curve_score(F.col("adherence"), F.col("cost"), F.size("profile"), len(seen)).alias("score")))
+    scored = hy.curve_costs(start, HEADINGS, 15.0, wo.dem(spark), *GRID, OBSERVED).join(fit, "cid")
+    return r6(scored.select("cid", hy.curve_score(F.col("adherence"), F.col("cost"), F.col("length"), len(OBSERVED)).alias("score")))
 
 
 #: What a walker to be found has climbed, a value for each bin.

@@ -56,9 +56,9 @@ def localised_walk(spark: SparkSession, d: str) -> DataFrame:
     """Off-trail: profiles from a grid of candidates, time-warp likelihood, normalised, clustered."""
     truth = hy.path_profiles(spark.range(1).select(F.col("id").alias("cid"), F.lit(START[0]).alias("x"), F.lit(START[1]).alias("y")), LONG, 15.0, wo.dem(spark), *GRID).first()["profile"]
     cand = hy.candidate_grid(spark, 0.0, 0.0, 1700.0, 1700.0)
-    p = hy.path_profiles(cand, LONG, 15.0, wo.dem(spark), *GRID).where(F.size("profile") >= max(2, len(truth) // 2))
     # A row of a few numbers for each candidate: used twice, computed once.
-    p = settled(se.dtw(p, "profile", list(truth)).select("cid", "x", "y", "cost")).withColumn("score", se.likelihood(F.col("cost"), SIGMA)).withColumns({"constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
+    p = settled(hy.curve_costs(cand, LONG, 15.0, wo.dem(spark), *GRID, list(truth)).where(F.col("length") >= max(2, len(truth) // 2)))
+    p = p.withColumns({"score": se.likelihood(F.col("cost"), SIGMA), "constraint": F.lit(1.0), "run": F.lit(0).cast("long")})
     return r6(hy.clusters(hy.normalise(p), 120.0))
 
 
