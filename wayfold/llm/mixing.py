@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from fractions import Fraction
+from functools import cmp_to_key
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,21 +37,26 @@ BROADCAST_SOURCES, BROADCAST_BUCKETS = 100_000, 64
 
 def windows(blocks: dict[int, int], weights: dict[int, float]) -> dict[int, list[tuple[int, int]]]:
     """Release and deadline slot of every block of every source; weights are positive."""
-    exact = {k: Fraction(weights[k]) for k in blocks}
+    ratio = {k: float(weights[k]).as_integer_ratio() for k in blocks}
+    unit = max((d for _, d in ratio.values()), default=1)
+    # Whole numbers in the proportion of the weights: denominators are powers of two.
+    whole = {k: n * (unit // d) for k, (n, d) in ratio.items()}
     # The fluid serves a source up when its virtual time is n / w.
-    ends = sorted((n / exact[k], k) for k, n in blocks.items())
-    at = [e for e, _ in ends]
-    served = [0, *accumulate(blocks[k] for _, k in ends)]
-    rate = [Fraction(0), *accumulate(exact[k] for _, k in reversed(ends))][::-1]
-
-    def slot(v: Fraction) -> Fraction:
-        i = bisect_right(at, v)
-        return served[i] + v * rate[i]
-
+    ends = sorted(((n / whole[k], n, whole[k]) for k, n in blocks.items()), key=cmp_to_key(lambda a, b: a[1] * b[2] - b[1] * a[2]))
+    near = [e[0] for e in ends]
+    served = [0, *accumulate(n for _, n, _ in ends)]
+    rate = [0, *accumulate(w for _, _, w in reversed(ends))][::-1]
     out = {}
     for k, n in blocks.items():
-        edge = [slot(j / exact[k]) for j in range(n + 1)]
-        out[k] = [(x.numerator // x.denominator, -(-y.numerator // y.denominator)) for x, y in zip(edge, edge[1:])]
+        w, edge = whole[k], []
+        for j in range(n + 1):
+            i = bisect_right(near, j / w)
+            while i < len(ends) and ends[i][1] * w <= j * ends[i][2]:
+                i += 1
+            while i and ends[i - 1][1] * w > j * ends[i - 1][2]:
+                i -= 1
+            edge.append(served[i] * w + j * rate[i])  # over w
+        out[k] = [(x // w, -(-y // w)) for x, y in zip(edge, edge[1:])]
     return out
 
 
