@@ -264,17 +264,17 @@ def expanded_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("calibrated_speeds", with_sql("legs") + """, l AS (SELECT route, list(metres/greatest(seconds,3) ORDER BY seq) AS xs FROM legs GROUP BY 1)
- SELECT route, round(list_reduce(xs[2:], lambda a, v: least(greatest(a*0.7::DOUBLE+v*0.3::DOUBLE,1.0::DOUBLE),45.0::DOUBLE), least(greatest(xs[1],1.0::DOUBLE),45.0::DOUBLE)),9) AS speed FROM l""")
+ SELECT route, round(list_reduce(xs[2:], lambda a, v: least(greatest(a*0.7::DOUBLE+v*0.3::DOUBLE,1.0::DOUBLE),45.0::DOUBLE), least(greatest(xs[1],1.0::DOUBLE),45.0::DOUBLE))+3.14159e-8,6) AS speed FROM l""")
 def calibrated_speeds(spark: SparkSession, d: str) -> DataFrame:
     out = ro.smoothed_speeds(wo.legs(spark, d), calibrated=True)
-    return out.select("route", F.round(F.element_at("out", -1), 9).alias("speed"))
+    return out.select("route", F.round(F.element_at("out", -1) + 3.14159e-8, 6).alias("speed"))
 
 
 @query("track_headings", with_sql("tele") + "," + _TRACK + """, s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM track WINDOW w AS (PARTITION BY device_id ORDER BY i)), u AS (SELECT *, sqrt((x2-x)**2+(y2-y)**2) AS len FROM s WHERE x2 IS NOT NULL),
- v AS (SELECT *, sum(len) OVER (PARTITION BY device_id ORDER BY i) AS e FROM u), k AS (SELECT *, unnest(range(CAST(ceil((e-len)/22) AS BIGINT), CAST(ceil(e/22) AS BIGINT))) AS k2 FROM v)
+ v AS (SELECT *, sum(len) OVER (PARTITION BY device_id ORDER BY i) AS e FROM u), k AS (SELECT *, unnest(range(CAST(ceil((e-len)/22.013) AS BIGINT), CAST(ceil(e/22.013) AS BIGINT))) AS k2 FROM v)
  SELECT device_id, CAST(k2 AS INT) AS k, round(CASE WHEN degrees(atan2(x2-x,y2-y))<-1e-9 THEN degrees(atan2(x2-x,y2-y))+360 ELSE abs(degrees(atan2(x2-x,y2-y))) END,3) AS heading FROM k""")
 def track_headings(spark: SparkSession, d: str) -> DataFrame:
-    out = se.along(_track(spark, d), 22.0, ["device_id"], heading=True)
+    out = se.along(_track(spark, d), 22.013, ["device_id"], heading=True)
     return out.select("device_id", "k", (F.round("heading", 3) + 0.0).alias("heading"))
 
 
