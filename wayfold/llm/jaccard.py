@@ -143,7 +143,8 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     keys = cut(keys.groupBy("leader", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "leader", "n"), "shared-keys")
     members = cut(by_key.select("key", "xt").join(keys, "key"), "key-members")
     few = members.where("xt <> leader").select("xt", "leader").distinct()
-    texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
+    # Texts are joined in one way at every size.
+    texts = kept.join(cut(members.select("xt").distinct(), "members").hint("merge"), "xt", "left_semi")
     sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
     both = few.join(sets.select("xt", F.col("set").alias("a")), "xt").join(sets.select(F.col("xt").alias("leader"), F.col("set").alias("b")), "leader")
     links = cut(both.select(F.col("xt").alias("src"), F.col("leader").alias("dst"), "a", "b").mapInArrow(pairs, f"src {kind}, dst {kind}"), "links-to-leaders")

@@ -339,7 +339,8 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     twice = cut(every.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "repeated-minimisers")
     own = every.join(twice.hint("shuffle_hash"), "a").groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("own"))
     # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
-    found = cut(pieces(docs.join(own, DOC), k, g), "pieces")
+    # Texts are joined in one way at every size: what is small here is not on a larger corpus.
+    found = cut(pieces(docs.join(own.hint("merge"), DOC), k, g), "pieces")
     discard(every, twice)
     kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("o").alias("o"), F.min(F.struct(*DOC, "start", "n")).alias("at"))
     kinds = cut(kinds, "piece-kinds")
@@ -349,7 +350,7 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     mixed = kinds.join(several, "a", "left_semi")
     listed = mixed.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("at.start", "at.n", "o", "a", *KIND, "times")).alias("listed"))
     # Repeated rows give their pieces twice, which are repeated anyhow.
-    texts = piece_texts(docs.join(listed, DOC), k)
+    texts = piece_texts(docs.join(listed.hint("merge"), DOC), k)
     crowded = several.where(F.col("c") > most_pieces).select("a")
     runs = alone.unionByName(sort_buckets(texts.join(crowded, "a", "left_anti"), k))
     if not crowded.isEmpty():
@@ -363,7 +364,7 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
 
 def remove(docs: DataFrame, gone: DataFrame, *also: str) -> DataFrame:
     """Of every row of ``docs(d1, d2, also ..., text)``: ``own``, a struct of the columns named in ``also``, n_bytes, n_removed, n_spans and the kept bytes."""
-    both = docs.join(gone, DOC, "left").select(F.struct(*also).alias("own"), "text", "gone")
+    both = docs.join(gone.hint("merge"), DOC, "left").select(F.struct(*also).alias("own"), "text", "gone")
     types = both.schema["own"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
