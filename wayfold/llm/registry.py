@@ -15,6 +15,9 @@ MODULES = {
     "debruijn": ["op8_debruijn_dedup"],
     "suffix_dedup": ["op4_suffix_dedup"],
     "mixing": ["op6_mix_sources"],
+    "spelling": ["op11_spelling_variants"],
+    "license_scan": ["op12_license_scan"],
+    "periodic": ["op13_periodic_runs"],
 }
 
 
