@@ -61,6 +61,16 @@ def limit_text(limit: Column) -> Column:
     return F.when(limit > 0, F.concat(miles_an_hour(limit).cast("string"), F.lit(" mph"))).otherwise("—")
 
 
+def tenths(value: Column) -> Column:
+    """A number that is not negative with one decimal, rounded by its exact binary value, ties to the even tenth."""
+    low = F.floor(value * 10)
+    # Twenty times the value, less what halfway is: exact, as either half of the value has few bits.
+    head = value.cast("float").cast("double")
+    over = (head * 20 - (2 * low + 1)) + (value - head) * 20
+    n = F.when(over > 0, low + 1).when(over < 0, low).otherwise(low + low % 2)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def away_text(metres: Column) -> Column:
     """A distance left, in kilometres from one on."""
-    return F.when(metres >= 1000, F.format_string("~%.1f km away", metres / 1000)).otherwise(F.concat(F.lit("~"), F.round(metres).cast("long").cast("string"), F.lit(" m away")))
+    return F.when(metres >= 1000, F.concat(F.lit("~"), tenths(metres / 1000), F.lit(" km away"))).otherwise(F.concat(F.lit("~"), F.round(metres).cast("long").cast("string"), F.lit(" m away")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_bearing, haversine
@@ -57,27 +59,144 @@ def covers(node: DataFrame, north: float, south: float, east: float, west: float
 def distances(e: DataFrame, start: int) -> DataFrame:
     """(node, metres) of every node that can be reached from ``start``: the frontier is relaxed until nothing improves."""
     pairs = e.sparkSession.range(1).select(F.lit(0).cast("long").alias("route"), F.lit(start).cast("long").alias("start"), F.lit(None).cast("long").alias("goal"))
-    return _relaxed(e, pairs).select("node", "metres")
-
-
-def _relaxed(e: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(route, goal, node, metres, path) by relaxing the frontiers of all routes together; what is no shorter than the route to the goal so far goes no further."""
-    step = settled(e.groupBy("u", "v").agg(F.min("metres").alias("step")))
-    state = settled(pairs.select("route", "goal", F.col("start").alias("node"), F.lit(0.0).alias("metres"), F.lit(True).alias("fresh"), F.array("start").alias("path")))
-    while not state.where("fresh").isEmpty():
-        bound = state.where("node = goal").select("route", F.col("metres").alias("bound"))
-        ahead = state.where("fresh").withColumnRenamed("node", "u").join(step, "u").withColumn("metres", F.col("metres") + F.col("step"))
-        ahead = ahead.join(bound, "route", "left").where("bound IS NULL OR metres < bound").select("route", "goal", F.col("v").alias("node"), "metres", "fresh", F.concat("path", F.array("v")).alias("path"))
-        # Of equals the one that is known stays, so that what does not improve is not fresh again.
-        both = state.withColumn("fresh", F.lit(False)).unionByName(ahead)
-        state = settled(both.groupBy("route", "goal", "node").agg(F.min(F.struct("metres", "fresh", "path")).alias("b")).select("route", "goal", "node", "b.*"))
-    return state.drop("fresh")
-
-
-def shortest_paths(e: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(route, metres, path) of ``pairs(route, start, goal)`` over ``e(u, v, metres)``; no row where there is no path or no way to go."""
-    found = _relaxed(e, pairs.where("start <> goal"))
-    return found.where("node = goal").select("route", "metres", "path")
+    return _searched(e, pairs).select("node", "metres")
+
+
+#: So many landmarks tell how far apart two nodes are at least.
+LANDMARKS = 4
+
+
+
+def straight(place: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """Bounds from ``place(node, lat, lon)``: no way is shorter than the great circle."""
+    return place.select("node", F.array("lat", "lon").alias("at")), lambda a, b: haversine(a[0], a[1], b[0], b[1])
+
+
+def landmarks(e: DataFrame, count: int = LANDMARKS) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """Bounds from the ways to and from some nodes of ``e(u, v, metres)``: a way is no shorter than what two nodes' ways to one landmark differ by.
+
+    For edges without coordinates, and closer than great circles where ways wind.  All landmarks are searched together, once for a graph.
+    """
+    ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    chosen = settled(ends.orderBy(F.xxhash64("node"), "node").limit(count).withColumn("route", F.row_number().over(Window.orderBy("node")) - 1))
+    pairs = chosen.select("route", F.col("node").alias("start"), F.lit(None).cast("long").alias("goal"))
+    back = e.select(F.col("v").alias("u"), F.col("u").alias("v"), "metres")
+    far = [_searched(x, pairs).select("node", F.struct("route", "metres").alias(c)) for x, c in ((e, "out"), (back, "home"))]
+    by_node = [d.groupBy("node").agg(F.map_from_entries(F.collect_list(c)).alias(c)) for d, c in zip(far, ("out", "home"))]
+    slots = [F.element_at(c, F.lit(k)) for c in ("out", "home") for k in range(count)]
+    at = ends.join(by_node[0], "node", "left").join(by_node[1], "node", "left").select("node", F.array(*slots).alias("at"))
+
+    def bound(a: Column, b: Column) -> Column:
+        # What a landmark reaches, and what reaches it; a way that is not known says nothing.
+        ahead = [F.coalesce(b[k] - a[k], F.lit(0.0)) for k in range(count)]
+        behind = [F.coalesce(a[count + k] - b[count + k], F.lit(0.0)) for k in range(count)]
+        return F.greatest(F.lit(0.0), *ahead, *behind)
+
+    return settled(at), bound
+
+
+def _searched(e: DataFrame, pairs: DataFrame, bounds: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None, width: float | None = None, told: dict | None = None) -> DataFrame:
+    """(route, goal, node, metres, prev, hops): the nodes that the searches of ``pairs(route, start, goal)`` reach, each with the node before it.
+
+    All routes are searched together, goal-directed: of a route's open nodes those go on whose metres and bound to the goal
+    are within ``width`` of its least, and what cannot be shorter than the way that is known is dropped.  A round is one job; rows
+    have a fixed width.  Without ``bounds`` every open node goes on.  ``told`` gets the number of rounds and of rows that went on.
+    """
+    step = e.groupBy("u", "v").agg(F.min("metres").alias("step"))
+    at, bound = bounds if bounds else (None, None)
+    if bounds:
+        step = step.join(at.select(F.col("node").alias("v"), F.col("at").alias("v_at")), "v", "left")
+        pairs = pairs.join(at.select(F.col("node").alias("goal"), F.col("at").alias("goal_at")), "goal", "left")
+    step = settled(step)
+    if bounds and width is None:
+        width = 8 * (step.agg(F.avg("step")).first()[0] or 0.0)
+    extra = ["goal_at"] if bounds else []
+    none = F.lit(None).cast("long")
+    known = settled(pairs.select("route", "goal", *extra, F.col("start").alias("node"), F.lit(0.0).alias("metres"), none.alias("prev"), F.lit(0).alias("hops"), F.lit(0.0).alias("f"), F.lit(True).alias("fresh")))
+    rounds = rows = 0
+    while True:
+        goal = F.min(F.when(F.col("node") == F.col("goal"), F.col("metres"))).alias("best")
+        per = known.groupBy("route").agg(goal, F.min(F.when(F.col("fresh"), F.col("f"))).alias("low"))
+        state = known.join(per, "route")
+        # A way that ties with the best is no better.
+        hopeful = F.col("fresh") & (F.col("best").isNull() | (F.col("f") < F.col("best")))
+        goes = hopeful & (F.col("f") <= F.col("low") + width) if bounds else hopeful
+        state = settled(state.withColumn("goes", goes).withColumn("fresh", hopeful & ~F.col("goes")))
+        left = state.agg(F.count_if("goes"), F.count_if("fresh")).first()
+        if told is not None:
+            told.update(rounds=rounds, rows=rows)
+        if not left[0] and not left[1]:
+            return state.select("route", "goal", "node", "metres", "prev", "hops")
+        rounds, rows = rounds + 1, rows + left[0]
+        ahead = state.where("goes").withColumnRenamed("node", "u").join(step, "u").withColumn("metres", F.col("metres") + F.col("step"))
+        f = F.col("metres") + F.coalesce(bound(F.col("v_at"), F.col("goal_at")), F.lit(0.0)) if bounds else F.col("metres")
+        ahead = ahead.withColumn("f", f).where("best IS NULL OR f < best")
+        ahead = ahead.select("route", "goal", *extra, F.col("v").alias("node"), "metres", F.col("u").alias("prev"), (F.col("hops") + 1).alias("hops"), "f", F.lit(True).alias("fresh"), F.lit(True).alias("new"))
+        both = state.select(*known.columns, F.lit(False).alias("new")).unionByName(ahead)
+        # Of equals the one that is known stays, so that what does not improve is not open again.
+        best = F.min(F.struct("metres", "new", "prev", "hops", "f", "fresh")).alias("b")
+        known = both.groupBy("route", "goal", "node").agg(best, *(F.first(c).alias(c) for c in extra)).select("route", "goal", *extra, "node", "b.metres", "b.prev", "b.hops", "b.f", "b.fresh")
+
+
+def shortest_paths(e: DataFrame, pairs: DataFrame, bounds: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None, width: float | None = None, told: dict | None = None) -> DataFrame:
+    """(route, metres, path) of ``pairs(route, start, goal)`` over ``e(u, v, metres)``; no row where there is no path or no way to go.
+
+    ``bounds``, of :func:`straight` or :func:`landmarks`, direct the search to the goals.
+    """
+    found = _searched(e, pairs.where("start <> goal"), bounds, width, told)
+    done = found.where("node = goal").select("route", F.col("metres").alias("total"), F.col("hops").alias("most"))
+    back = settled(found.join(done, "route").where("hops < most AND metres <= total").select("route", F.col("node").alias("at"), F.col("prev").alias("before")))
+    # From the goals back, some nodes a job.
+    way = found.where("node = goal").select("route", "metres", F.array("node").alias("path"), F.col("prev").alias("at"))
+    while True:
+        for _ in range(6):
+            way = way.join(back, ["route", "at"], "left")
+            way = way.select("route", "metres", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("before").alias("at"))
+        way = settled(way)
+        if way.where("at IS NOT NULL").isEmpty():
+            return way.select("route", "metres", "path")
+
+
+def contracted(e: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of ``e(u, v, metres)`` through nodes of two neighbours that ``keep(node)`` does not name, as single edges.
+
+    The edges (u, v, metres, chain, edges), and the chains' nodes (chain, place, node, metres from its start).  Each edge within a chain points
+    to the one before it, and pointers jump twice as far in each round, so a chain of n edges takes log n rounds.  Rings without
+    a node that stays belong to no chain and go.
+    """
+    once = e.where("u <> v").groupBy("u", "v").agg(F.min("metres").alias("metres"))
+    beside = once.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(once.select(F.col("v").alias("node"), F.col("u").alias("other"))).distinct()
+    inner = settled(beside.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").join(keep, "node", "left_anti").select("node"))
+    # The edge before u -> v is w -> u, if u is within a chain and w is not v.
+    before = once.select(F.col("u").alias("w"), F.col("v").alias("u"), F.col("metres").alias("behind")).join(inner.select(F.col("node").alias("u")), "u", "left_semi")
+    linked = once.join(before, "u", "left").where("w IS NULL OR w <> v")
+    # An inner node that is entered from v alone begins a chain.
+    alone = once.join(linked.select("u", "v"), ["u", "v"], "left_anti").withColumns({"w": F.lit(None).cast("long"), "behind": F.lit(None).cast("double")})
+    edge = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    on = F.col("w").isNotNull()
+    jump = linked.unionByName(alone).select(edge("u", "v").alias("edge"), F.when(on, edge("w", "u")).alias("to"), F.col("metres").alias("length"), F.coalesce("behind", F.lit(0.0)).alias("behind"), on.cast("int").alias("place"), edge("u", "v").alias("head"))
+    jump = settled(jump)
+    size = jump.count()
+    for _ in range(max(1, size).bit_length()):
+        if jump.where("to IS NOT NULL").isEmpty():
+            break
+        jump = settled(_jumped(jump))
+    whole = jump.where("to IS NULL")
+    told = F.max(F.struct("place", F.col("edge.v").alias("v"), (F.col("behind") + F.col("length")).alias("metres"))).alias("last")
+    edges = whole.groupBy("head").agg(told, F.count("*").alias("edges"))
+    edges = edges.select(F.col("head.u").alias("u"), F.col("last.v").alias("v"), F.col("last.metres").alias("metres"), F.col("head").alias("chain"), "edges")
+    nodes = whole.select(F.col("head").alias("chain"), (F.col("place") + 1).alias("place"), F.col("edge.v").alias("node"), (F.col("behind") + F.col("length")).alias("metres"))
+    return edges, nodes
+
+
+def _jumped(jump: DataFrame) -> DataFrame:
+    """Each edge's pointer moved on to what the edge it points to points to, with what lies between added up."""
+    ahead = jump.select(F.col("edge").alias("to"), F.col("to").alias("next"), F.col("behind").alias("far"), F.col("place").alias("steps"), F.col("head").alias("front"))
+    moved = jump.join(ahead, "to", "left")
+    # What points nowhere has found its head.
+    return moved.select(
+        "edge", F.col("next").alias("to"), "length", (F.col("behind") + F.coalesce("far", F.lit(0.0))).alias("behind"), (F.col("place") + F.coalesce("steps", F.lit(0))).alias("place"), F.coalesce("front", "head").alias("head")
+    )
 
 
 def trail_graph(trails: DataFrame, roads: DataFrame, apart: float = 25.0, cell: float = 3.0) -> DataFrame:
@@ -151,6 +270,45 @@ def milestones(path: DataFrame) -> DataFrame:
     return df.withColumn("label", label).drop("_lat", "_lon")
 
 
+def decisions(path: DataFrame, node: DataFrame, e: DataFrame) -> DataFrame:
+    """Whether the graph asks for a decision at each node of ``path(route, seq, node)``: adds ``decision`` and ``kind``.
+
+    The last node of a route, one of a kind of its own (``node(id, kind)``; plain ones are ``intersection``), and one that has not exactly two neighbours.
+    """
+    told = path.join(node.select(F.col("id").alias("node"), "kind"), "node", "left").join(degrees(e).select(F.col("u").alias("node"), "degree"), "node", "left")
+    last = F.lead("seq").over(Window.partitionBy("route").orderBy("seq")).isNull()
+    return told.withColumn("decision", last | (F.coalesce("kind", F.lit("intersection")) != "intersection") | (F.coalesce("degree", F.lit(0)) != 2)).drop("degree")
+
+
+def drive_milestones(path: DataFrame, node: DataFrame, e: DataFrame) -> DataFrame:
+    """Milestones of ``path(route, seq, node)`` over a graph ``node(id, lat, lon, kind)`` and ``e(u, v, metres, name, speed)``, decided by the graph.
+
+    (route, leg, node, kind, name, speed, metres, total, bearing, straight, turn, label): a leg is what lies between two milestones;
+    it is straight if it has 40 m at least and no more than 1.2 times what lies between its ends.
+    """
+    from ..functions.geo import angle_difference, turn_label
+
+    route = Window.partitionBy("route").orderBy("seq")
+    own = e.groupBy("u", "v").agg(F.min(F.struct("metres", "name", "speed")).alias("edge"))
+    put = decisions(path, node, e).join(node.select(F.col("id").alias("node"), "lat", "lon"), "node").withColumn("u", F.lag("node").over(route))
+    put = put.join(own.select("u", F.col("v").alias("node"), "edge"), ["u", "node"], "left").withColumn("first", F.lag("seq").over(route).isNull())
+    # Numbered by the decisions before: the last node of each leg is its milestone.
+    put = put.withColumn("leg", F.when(F.col("first"), -1).otherwise(F.coalesce(F.sum((F.col("decision") & ~F.col("first")).cast("int")).over(route.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    end = F.max_by(F.struct("node", "lat", "lon", "kind", "edge", "first"), "seq").alias("end")
+    legs = put.groupBy("route", "leg").agg(F.sum("edge.metres").alias("metres"), end, F.max("seq").alias("seq")).select("route", "leg", F.coalesce("metres", F.lit(0.0)).alias("metres"), "seq", "end.*")
+    w = Window.partitionBy("route").orderBy("leg")
+    lat, lon, last = F.lag("lat").over(w), F.lag("lon").over(w), F.lead("leg").over(w).isNull()
+    legs = legs.withColumns({"bearing": geodesic_bearing(lat, lon, F.col("lat"), F.col("lon")), "air": haversine(lat, lon, F.col("lat"), F.col("lon")), "total": F.sum("metres").over(w), "last": last})
+    legs = legs.withColumn("turn", F.when(~F.col("first") & ~F.col("last"), angle_difference(F.lead("bearing").over(w), F.col("bearing"))))
+    straight = (F.col("metres") >= 40) & (F.col("metres") <= 1.2 * F.greatest("air", F.lit(1.0)))
+    kind = F.when(F.col("first"), "origin").when(F.col("last"), "destination").otherwise(F.coalesce("kind", F.lit("intersection")))
+    name = F.when(F.col("first"), "Start").when(F.col("last"), "Destination").otherwise(F.col("edge.name"))
+    return legs.select(
+        "route", (F.col("leg") + 1).alias("leg"), "node", kind.alias("kind"), name.alias("name"), F.when(~F.col("first"), F.col("edge.speed")).alias("speed"), "metres", "total",
+        F.round("bearing", 1).alias("bearing"), F.when(~F.col("first"), straight).alias("straight"), F.round("turn", 1).alias("turn"), F.when(F.col("turn").isNotNull(), turn_label("turn")).alias("label"),
+    )
+
+
 def collapse(path: DataFrame) -> DataFrame:
     """Merge legs at nodes without a decision (``decision`` false) into the next: (route, leg, metres, nodes)."""
     w = Window.partitionBy("route").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["motion", "terrain", "search", "world", "recovery", "lost"]
+MODULES = ["motion", "terrain", "search", "world", "recovery", "lost", "roads"]
 
 
 def queries() -> dict:
