@@ -6,14 +6,20 @@ shingles; two texts of Jaccard similarity s share a key with probability 1 - (1
 
 1. every text of a key is compared with the key's smallest one, its leader; a pair that shares several keys is
    compared once, and keys with the same texts count once;
-2. texts that these links leave apart from their key's leader, over all keys, are few.  Each of them is compared with
-   all texts of its key, dealt out in parts of about ``PART`` texts against ``ASKED`` of the odd ones at a time.
+2. texts that these links leave apart from their key's leader, over all keys, are odd.  The odd ones of a key are compared with
+   the smallest of them;
+3. what is odd is joined with the texts of its keys by prefixes.  All shingles are put in one order, those of fewest odd texts
+   first.  Of a pair that is alike, the first shingle in common stands in the first ``1 - s`` of the larger set, and in the first
+   ``1 - 2 s / (1 + s)`` of the smaller one, so only these places are indexed and looked up, and only pairs of different components
+   whose places leave room for enough in common are compared.  Texts that share a template but not
+   enough of it have rarer shingles before it, and do not meet.
 
 All other texts of a key are linked with its leader already, so these links have the components of all pairs.  No
-key's texts meet in one task or one row.
+key's texts meet in one task or one row, and what is shuffled is linear in the texts' shingles.
 
 Defined cases: a text of fewer words than a shingle has one, of all its words; texts without words
-have no signature.
+have no signature; rows that share their identity are one text; of texts of a key the smallest identity leads;
+texts of any length are taken whole; an empty table has no links.
 """
 
 from __future__ import annotations
@@ -27,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import cut, lanes
+from .store import cut, discard
 
 BANDS, ROWS = 24, 5
-PART, ASKED = 512, 128
+ROWS_OUT = 1 << 16
 _FACTOR = np.random.default_rng(5).integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -78,27 +84,9 @@ def alike(one: np.ndarray, other: np.ndarray, least: float) -> bool:
     return shared >= least * (len(one) + len(other) - shared) - 1e-9
 
 
-def _compare(asked: list, part: list, least: float, src: list, dst: list) -> None:
-    """Append the links between texts asked about and those of a part, each an (xt, sorted set)."""
-    if not asked or not part:
-        return
-    size = np.array([len(s) for _, s in part])
-    owner = np.repeat(np.arange(len(part)), size)
-    known, value = np.unique(np.concatenate([s for _, s in part]), return_inverse=True)
-    for xt, own in asked:
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        mark = np.zeros(len(known), bool)
-        mark[at[known[at] == own]] = True
-        shared = np.bincount(owner[mark[value]], minlength=len(part))
-        for k in np.flatnonzero(shared >= least * (len(own) + size - shared) - 1e-9):
-            if part[k][0] != xt:
-                src.append(xt)
-                dst.append(part[k][0])
-
-
 def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     """Links (src, dst) between texts ``docs(xt, text)``, xt the identity of the text, whose components are those of similar pairs."""
-    spark, kind = docs.sparkSession, docs.schema["xt"].dataType.simpleString()
+    kind = docs.schema["xt"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -119,21 +107,19 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
             good = pa.array([alike(a, b, least) for a, b in sets], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(good), batch.column("dst").filter(good)], ["src", "dst"])
 
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of (key, part, asked, no): texts asked about come first in their group, then the texts of the part."""
-        group, asked, part = None, [], []
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, dst = [], []
-            for key, of, some, no, xt, own in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "asked", "no", "xt", "set"))):
-                if (key, of, some) != group:
-                    _compare(asked, part, least, src, dst)
-                    group, asked, part = (key, of, some), [], []
-                (part if no else asked).append((xt, np.frombuffer(own, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(src, batch.schema.field("xt").type), pa.array(dst, batch.schema.field("xt").type)], ["src", "dst"])
-        if group is not None:
-            src, dst = [], []
-            _compare(asked, part, least, src, dst)
-            yield pa.RecordBatch.from_arrays([pa.array(src, batch.schema.field("xt").type), pa.array(dst, batch.schema.field("xt").type)], ["src", "dst"])
+            sets = [np.frombuffer(b, np.int64) for b in batch.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets], np.int32)
+            every = np.concatenate([*sets, np.zeros(0, np.int64)])
+            for at in range(0, len(every), ROWS_OUT):
+                row = np.repeat(np.arange(len(sets)), size)[at : at + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays([batch.column("xt").take(pa.array(row)), pa.array(size[row]), pa.array(every[at : at + ROWS_OUT])], ["xt", "size", "token"])
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """The links among ``rows(src, dst)`` whose sets are alike."""
+        both = rows.join(sets.select(F.col("xt").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("xt").alias("dst"), F.col("set").alias("b")), "dst")
+        return cut(both.select("src", "dst", "a", "b").mapInArrow(pairs, f"src {kind}, dst {kind}"), "links-of-sets")
 
     kept = docs.select("xt", "text")
     signed = cut(kept.mapInArrow(sign, f"xt {kind}, keys array<long>").dropDuplicates(["xt"]), "signatures")
@@ -143,24 +129,47 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     keys = cut(keys.groupBy("leader", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "leader", "n"), "shared-keys")
     members = cut(by_key.select("key", "xt").join(keys, "key"), "key-members")
     few = members.where("xt <> leader").select("xt", "leader").distinct()
-    # Texts are joined in one way at every size.
-    texts = kept.join(cut(members.select("xt").distinct(), "members").hint("merge"), "xt", "left_semi")
+    texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
     sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
-    both = few.join(sets.select("xt", F.col("set").alias("a")), "xt").join(sets.select(F.col("xt").alias("leader"), F.col("set").alias("b")), "leader")
-    links = cut(both.select(F.col("xt").alias("src"), F.col("leader").alias("dst"), "a", "b").mapInArrow(pairs, f"src {kind}, dst {kind}"), "links-to-leaders")
+    links = compared(few.select(F.col("xt").alias("src"), F.col("leader").alias("dst")))
+
+    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components of links, and (key, xt) of the texts that are not in their leader's."""
+        group = cut(components(links), "alike-so-far").select(F.col("node").alias("xt"), F.col("component").alias("group"))
+        head = group.select(F.col("xt").alias("leader"), F.col("group").alias("leader_group"))
+        far = members.where("n > 2").join(group, "xt", "left").join(head, "leader", "left").where(F.coalesce("group", "xt") != F.coalesce("leader_group", "leader"))
+        return group, cut(far.select("key", "xt"), "odd-members")
 
-    group = cut(components(links), "alike-so-far")
-    own, head = (group.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")) for c in ("xt", "leader"))
-    apart = members.where("n > 2").join(own, "xt", "left").join(head, "leader", "left").where(F.coalesce("xt_group", "xt") != F.coalesce("leader_group", "leader"))
-    odd = cut(apart.select("key", "xt", "n"), "odd-members")
+    _, odd = apart(links)
+    if odd.isEmpty():
+        discard(signed, keys, members, sets, odd)
+        return links
+    second = odd.join(odd.groupBy("key").agg(F.min("xt").alias("dst")), "key").where("xt <> dst").select(F.col("xt").alias("src"), "dst").distinct()
+    links = links.unionByName(compared(second))
+    discard(odd)
+    group, odd = apart(links)
     if odd.isEmpty():
+        discard(signed, keys, members, sets, odd)
         return links
-    many = odd.groupBy("key").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks"), F.ceil(F.first("n") / PART).cast("int").alias("parts"))
-    many = cut(many, "odd-keys")
-    spread = lambda salt, most: F.pmod(F.xxhash64("xt", F.lit(salt)), F.col(most)).cast("int")
-    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
-    ask = odd.select("key", "xt").join(many, "key").withColumn("asked", spread(1, "asks")).withColumn("part", every("parts")).withColumn("no", F.lit(0))
-    stand = members.select("key", "xt").join(many, "key").withColumn("part", spread(2, "parts")).withColumn("asked", every("asks")).withColumn("no", F.lit(1))
-    rows = ask.select("key", "part", "asked", "no", "xt").unionByName(stand.select("key", "part", "asked", "no", "xt")).join(sets, "xt")
-    dealt = rows.repartition(lanes(spark), "key", "part", "asked").sortWithinPartitions("key", "part", "asked", "no")
-    return links.unionByName(dealt.mapInArrow(against, f"src {kind}, dst {kind}"))
+    strange = cut(odd.select("xt").distinct(), "odd-texts")
+    around = members.join(odd.select("key").distinct(), "key", "left_semi").select("xt").distinct()
+    token_types = f"xt {kind}, size int, token long"
+    rare = cut(sets.join(strange, "xt", "left_semi").mapInArrow(tokens, token_types).groupBy("token").agg(F.count("*").alias("held")), "odd-shingles")
+    # Shingles that no odd text has come first in the order; they only move the others on.
+    known = sets.join(around, "xt", "left_semi").mapInArrow(tokens, token_types).join(rare, "token")
+    ordered = known.groupBy("xt", "size").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("of"))
+    ordered = ordered.join(strange.withColumn("odd", F.lit(True)), "xt", "left").join(group, "xt", "left").select("xt", "size", F.coalesce("odd", F.lit(False)).alias("odd"), F.coalesce("group", "xt").alias("group"), "of")
+    reach = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    skipped = F.col("size") - F.size("of")
+    first = F.filter(F.transform("of", lambda x, i: F.struct((skipped + i).alias("at"), x["token"].alias("token"))), lambda x: x["at"] < reach(least))
+    places = cut(ordered.select("xt", "size", "odd", "group", reach(2 * least / (1 + least)).alias("indexed"), F.inline(first)), "prefixes")
+    small, large = (places.select(*(F.col(c).alias(f"{c}_{k}") for c in ("xt", "size", "odd", "group", "at", "indexed")), "token") for k in "yx")
+    common = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    meets = (
+        ((F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("xt_y") < F.col("xt_x")))) & (F.col("size_y") >= F.col("size_x") * least - 1e-9)
+        & (F.col("odd_x") | F.col("odd_y")) & (F.col("group_x") != F.col("group_y")) & (common >= (F.col("size_x") + F.col("size_y")) * (least / (1 + least)) - 1e-9)
+    )
+    met = small.where("at_y < indexed_y").join(large, "token").where(meets).select(F.col("xt_x").alias("src"), F.col("xt_y").alias("dst")).distinct()
+    found = links.unionByName(compared(met))
+    discard(signed, keys, members, sets, odd, strange, rare, places)
+    return found
