@@ -126,13 +126,25 @@ def coverage_count(clusters: DataFrame, share: float = 0.85) -> DataFrame:
     return run.crossJoin(F.broadcast(total)).agg((F.sum(F.when(F.col("_r") < share * F.col("_t"), 1).otherwise(0)) + 1).alias("n"))
 
 
-def clusters(df: DataFrame, radius: float, run: str = "run", least: float = 0.02, weighted: bool = True) -> DataFrame:
-    """(run, x, y, w): greedy clusters of each run's hypotheses in order of cid, heaviest first; order matters, so a run is one task."""
+#: Runs of no more live hypotheses than this are clustered in one task each.
+TOGETHER = 20_000
+
+
+def clusters(df: DataFrame, radius: float, run: str = "run", least: float = 0.02, weighted: bool = True, together: int = TOGETHER) -> DataFrame:
+    """(run, x, y, w): greedy clusters of each run's hypotheses in order of cid.
+
+    A hypothesis that no cluster has taken begins one and takes all within ``radius``.  Order matters, but only nearby: small runs
+    are folded in a task each, their size being counted, and larger ones settled in rounds over cells, with the same result.
+    """
+    top = df.groupBy(run).agg((F.max("w") * least).alias("_floor"))
+    live = settled(df.select(run, "cid", "x", "y", "w").join(top, run).where("w > _floor").drop("_floor"))
+    if live.count() > together and live.groupBy(run).count().agg(F.max("count")).first()[0] > together:
+        return in_rounds(live, radius, run, weighted)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
         x, y, w = (pdf[c].to_numpy(float) for c in ("x", "y", "w"))
-        left = w > (least * w.max() if len(w) else 0)
+        left = np.ones(len(w), bool)
         out = []
         for i in range(len(w)):
             if left[i]:
@@ -142,7 +154,43 @@ def clusters(df: DataFrame, radius: float, run: str = "run", least: float = 0.02
                 out.append((pdf[run].iloc[0], float((x[hit] * v).sum() / v.sum()), float((y[hit] * v).sum() / v.sum()), float(w[hit].sum())))
         return pd.DataFrame(sorted(out, key=lambda r: -r[3]), columns=[run, "x", "y", "w"])
 
-    return df.select(run, "cid", "x", "y", "w").groupBy(run).applyInPandas(greedy, f"{run} long, x double, y double, w double")
+    return live.groupBy(run).applyInPandas(greedy, f"{run} long, x double, y double, w double")
+
+
+def in_rounds(live: DataFrame, radius: float, run: str = "run", weighted: bool = True) -> DataFrame:
+    """The greedy clusters of ``live(run, cid, x, y, w)``, whatever the size of a run.
+
+    A hypothesis begins a cluster as soon as none that comes before it and is still open lies within ``radius``; what lies
+    within ``radius`` of one that begins is not open any more.  A cell is so small that its members are all within ``radius`` of each
+    other, so only its first open one can begin, and it looks at the cells two around.  When none is open, each joins the first beginning in reach.
+    """
+    side = radius * 0.7
+    cell = lambda c: F.floor(F.col(c) / side)
+    each = settled(live.select(run, "cid", "x", "y", "w", cell("x").alias("gx"), cell("y").alias("gy")))
+    near = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-2, 3) for b in range(-2, 3)))
+
+    def reaching(some: DataFrame, name: str) -> DataFrame:
+        """Hypotheses listed in the cells that they may reach into."""
+        listed = some.select(run, "gx", "gy", F.col("cid").alias(name), F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"), F.explode(near).alias("d"))
+        return listed.select(run, (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"), name, f"{name}_x", f"{name}_y")
+
+    def within(name: str):
+        return F.hypot(F.col("x") - F.col(f"{name}_x"), F.col("y") - F.col(f"{name}_y")) <= radius
+
+    open_, begun = each, None
+    while True:
+        first = settled(open_.groupBy(run, "gx", "gy").agg(F.min(F.struct("cid", "x", "y")).alias("f")).select(run, "gx", "gy", "f.*"))
+        # Those that something open before them reaches wait.
+        waits = open_.join(reaching(first, "head"), [run, "gx", "gy"]).where((F.col("cid") < F.col("head")) & within("head")).select(run, F.col("head").alias("cid")).distinct()
+        begins = settled(first.join(waits, [run, "cid"], "left_anti"))
+        begun = begins if begun is None else begun.unionByName(begins)
+        taken = open_.join(reaching(begins, "head"), [run, "gx", "gy"]).where(within("head")).select(run, "cid").distinct()
+        open_ = settled(open_.join(taken, [run, "cid"], "left_anti"))
+        if open_.isEmpty():
+            break
+    joined = each.join(reaching(begun, "head"), [run, "gx", "gy"]).where(within("head")).groupBy(run, "cid", "x", "y", "w").agg(F.min("head").alias("head"))
+    v = F.col("w") if weighted else F.lit(1.0)
+    return joined.groupBy(run, "head").agg((F.sum(F.col("x") * v) / F.sum(v)).alias("x"), (F.sum(F.col("y") * v) / F.sum(v)).alias("y"), F.sum("w").alias("w")).select(run, "x", "y", "w")
 
 
 def resample(df: DataFrame, n: int, offset: float, jitter: float = 0.0, seed: int = 0) -> DataFrame:

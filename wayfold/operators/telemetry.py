@@ -64,14 +64,40 @@ def fold(df: DataFrame, fields: list[str], start: Column, step, read, keys: tupl
     return df.groupBy(*keys).agg(F.aggregate(rows, start, step, read).alias("out"))
 
 
+#: Seconds of a chunk: of one device so much is ordered in one task.
+CHUNK_S = 6 * 3600.0
+
+
+def decayed(df: DataFrame, values: dict[str, Column], keep: float, keys: tuple[str, ...] = ("device_id",), order: tuple[str, ...] = ("t", "event_id"), chunk_s: float = CHUNK_S, primed: bool = False) -> DataFrame:
+    """(keys, n, a column for each of ``values``): keep * previous + (1 - keep) * value after each key's last row; from 0, or the first value if ``primed``.
+
+    A step is an affine map, and so is a chunk of steps: what it keeps of the state before, and what its rows add.  Chunks of
+    ``chunk_s`` seconds are summed up on their own, so one device's history is spread over many tasks, and only the chunks' maps, a few numbers
+    each, are put together in order of time.  Rows without a value are left out.
+    """
+    from functools import reduce
+
+    rows = df.select(*keys, *order, *(c.alias(f"_{k}") for k, c in values.items())).where(reduce(lambda a, b: a & b, (F.col(f"_{k}").isNotNull() for k in values)))
+    rows = rows.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_s))
+    back = Window.partitionBy(*keys, "_chunk").orderBy(*(F.desc(c) for c in order))
+    rows = rows.withColumn("_after", F.row_number().over(back) - 1)
+    adds = [F.sum(F.col(f"_{k}") * (1 - keep) * F.pow(F.lit(keep), "_after")).alias(k) for k in values]
+    starts = [F.min_by(f"_{k}", F.struct(*order)).alias(f"_first_{k}") for k in values]
+    maps = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), *adds, *starts)
+    listed = maps.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_chunk", "_n", *values, *(f"_first_{k}" for k in values)))).alias("_maps"))
+    start = F.struct(*((F.get("_maps", F.lit(0))[f"_first_{k}"] if primed else F.lit(0.0)).cast("double").alias(k) for k in values))
+    step = lambda a, m: F.struct(*((a[k] * F.pow(F.lit(keep), m["_n"]) + m[k]).alias(k) for k in values))
+    return listed.withColumn("_end", F.aggregate("_maps", start, step)).select(*keys, "n", *(F.col(f"_end.{k}").alias(k) for k in values))
+
+
 def ema(df: DataFrame, field: str, keep: float) -> DataFrame:
     """``out``: keep * previous + (1 - keep) * value, from 0."""
-    return fold(df, [field], F.lit(0.0), lambda a, x: a * keep + x[field] * (1 - keep), lambda a: a)
+    return decayed(df, {"out": F.col(field)}, keep).drop("n")
 
 
 def low_pass(df: DataFrame, field: str, keep: float = 0.6) -> DataFrame:
     """``out``: the same, primed with the first value."""
-    return fold(df, [field], F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[field]).otherwise(a * keep + x[field] * (1 - keep)), lambda a: a)
+    return decayed(df, {"out": F.col(field)}, keep, primed=True).drop("n")
 
 
 def complementary(df: DataFrame, field: str, trust: float = 0.92) -> DataFrame:
@@ -81,11 +107,10 @@ def complementary(df: DataFrame, field: str, trust: float = 0.92) -> DataFrame:
 
 def calibrate(df: DataFrame, compass: str, bearing: str, alpha: float = 0.03, least: int = 40) -> DataFrame:
     """``out``: (n, ready, offset) of the circular moving average of compass - bearing."""
-    o = lambda x: F.radians(wrap360(x[compass] - x[bearing]))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"), F.lit(0).alias("n"))
-    step = lambda a, x: F.struct((a.s * (1 - alpha) + F.sin(o(x)) * alpha).alias("s"), (a.c * (1 - alpha) + F.cos(o(x)) * alpha).alias("c"), (a.n + 1).alias("n"))
-    read = lambda a: F.struct(a.n.alias("n"), ((a.n >= least) & (a.s * a.s + a.c * a.c > 1e-6)).alias("ready"), wrap360(F.degrees(F.atan2(a.s, a.c))).alias("offset"))
-    return fold(df, [compass, bearing], start, step, read)
+    off = F.radians(wrap360(F.col(compass) - F.col(bearing)))
+    ends = decayed(df, {"s": F.sin(off), "c": F.cos(off)}, 1 - alpha)
+    ready = (F.col("n") >= least) & (F.col("s") * F.col("s") + F.col("c") * F.col("c") > 1e-6)
+    return ends.select("device_id", F.struct(F.col("n").cast("int").alias("n"), ready.alias("ready"), wrap360(F.degrees(F.atan2("s", "c"))).alias("offset")).alias("out"))
 
 
 def calibrate_gated(df: DataFrame, compass: str, bearing: str, ok: str, alpha: float = 0.03, least: int = 40, most_off: float = 40.0) -> DataFrame:

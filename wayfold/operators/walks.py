@@ -148,6 +148,27 @@ def observe(bins: DataFrame, seed: int = 7, height_m: float = 0.5, heading_deg:
     return bins.withColumn("heading", F.pmod(F.col("heading") + gauss(seed, "walk", "i") * heading_deg, F.lit(360.0))).withColumn("climb", F.col("climb") + gauss(seed + 1, "walk", "i") * height_m)
 
 
+#: A session's state before its first tick: leg, speed, metres done on the leg, when it was entered, time of the last tick.
+BEGIN = (0, 11.0, 0.0, None, None)
+
+
+def tick(state: tuple, t: float, moving: bool, still: bool, answer: str | None, lengths: list[float]) -> tuple[tuple, tuple | None]:
+    """A session's state after a tick, and the event (kind, leg, speed) that the tick brings about, if any."""
+    leg, speed, done, entered, last = state
+    entered = t if entered is None else entered
+    dt = 0.0 if last is None else t - last
+    if answer != "arrive":
+        if answer == "deny":
+            done = max(0.0, lengths[leg] - speed)
+        if moving:
+            done = min(done + speed * dt, lengths[leg])
+    if answer == "arrive" or (still and lengths[leg] - done <= 50.0 and t - entered >= 3.0):
+        speed = min(45.0, max(1.0, 0.7 * speed + 0.3 * (lengths[leg] / max(t - entered, 3.0))))
+        kind = "destination" if leg + 1 == len(lengths) else "arrived" if answer == "arrive" else "snapped"
+        return (leg + 1, speed, 0.0, t, t), (kind, leg + 1, speed)
+    return (leg, speed, done, entered, t), ("prompt", leg + 1, speed) if done >= lengths[leg] else None
+
+
 def session(ticks: DataFrame) -> DataFrame:
     """(route, t, event, leg, speed): arrivals, prompts and the end of each route's session.
 
@@ -159,34 +180,13 @@ def session(ticks: DataFrame) -> DataFrame:
     routes = ticks.groupBy("route").agg(own, F.first("lengths").alias("lengths"))
 
     def fold(route: int, rows, lengths: list[float], out: list[tuple]) -> None:
-        leg, speed, done, entered, last = 0, 11.0, 0.0, None, None
-
-        def arrive(t: float, kind: str) -> None:
-            nonlocal leg, speed, done, entered
-            v = lengths[leg] / max(t - entered, 3.0)
-            speed = min(45.0, max(1.0, 0.7 * speed + 0.3 * v))
-            leg += 1
-            out.append((route, t, "destination" if leg == len(lengths) else kind, leg, speed))
-            done, entered = 0.0, t
-
+        state = BEGIN
         for r in rows:
-            if leg >= len(lengths):
+            if state[0] >= len(lengths):
                 break
-            t = r["t"]
-            entered = t if entered is None else entered
-            dt = 0.0 if last is None else t - last
-            last = t
-            if r["answer"] == "arrive":
-                arrive(t, "arrived")
-                continue
-            if r["answer"] == "deny":
-                done = max(0.0, lengths[leg] - speed)
-            if r["moving"]:
-                done = min(done + speed * dt, lengths[leg])
-            if r["still"] and lengths[leg] - done <= 50.0 and t - entered >= 3.0:
-                arrive(t, "snapped")
-            elif done >= lengths[leg]:
-                out.append((route, t, "prompt", leg + 1, speed))
+            state, event = tick(state, r["t"], r["moving"], r["still"], r["answer"], lengths)
+            if event:
+                out.append((route, r["t"], *event))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,7 @@ from ..operators import walks as wa
 from ..sources import worlds as wo
 from ..sources.worlds import with_sql
 from ..streaming import motion as live
+from ..streaming import sessions as sessions_live
 from .motion import DETECTOR, ROWS, _trigger, r6
 from .search import _edges
 
@@ -136,5 +137,25 @@ def live_stationary(spark: SparkSession, d: str) -> DataFrame:
     """The detector as a stream with state over the same telemetry."""
     source = spark.readStream.schema(wo.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = source.select(F.col("user_id").alias("device_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("mag"))
-    return live.drain(live.stationary_stream(rows, DETECTOR, ROWS), f"live_stationary_{abs(hash(d)) % 10**8}")
+    return sessions_live.written(live.stationary_stream(rows, DETECTOR, ROWS), "live-stationary")
+
+
+@query("live_sessions", with_sql("legs", "tele").replace("WITH", "WITH RECURSIVE", 1) + """, l AS (SELECT route, list(metres ORDER BY seq) AS lens FROM legs GROUP BY 1),
+ k AS (SELECT device_id AS route, t, k%7<>0 AS moving, k%7=0 AS still, CASE k%30 WHEN 7 THEN 'arrive' WHEN 11 THEN 'deny' END AS ans FROM tele WHERE t<=(SELECT max(t) FROM tele)-60), q AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY t, moving, still, ans NULLS FIRST) AS rn FROM k),
+ r AS (SELECT route, lens, 0::BIGINT AS rn, NULL::DOUBLE AS t, 0 AS leg, 11.0::DOUBLE AS speed, 0.0::DOUBLE AS done, NULL::DOUBLE AS entered, NULL::VARCHAR AS event FROM l
+  UNION ALL SELECT route, lens, rn, t, leg+arr::INT, CASE WHEN arr THEN least(45.0,greatest(1.0,0.7*speed+0.3*(lens[leg+1]/greatest(t-entered,3.0)))) ELSE speed END, CASE WHEN arr THEN 0.0 ELSE done END, CASE WHEN arr THEN t ELSE entered END,
+    CASE WHEN arr THEN CASE WHEN leg+1=len(lens) THEN 'destination' WHEN ans='arrive' THEN 'arrived' ELSE 'snapped' END WHEN done>=lens[leg+1] THEN 'prompt' END FROM
+   (SELECT *, coalesce(ans='arrive',false) OR (still AND lens[leg+1]-done<=50 AND t-entered>=3) AS arr FROM
+    (SELECT r.route, lens, q.rn, q.t, leg, speed, coalesce(entered,q.t) AS entered, ans, still, CASE WHEN ans='arrive' THEN done ELSE least(CASE WHEN ans='deny' THEN greatest(0.0,lens[leg+1]-speed) ELSE done END+CASE WHEN moving THEN speed*coalesce(q.t-r.t,0) ELSE 0 END, CASE WHEN moving THEN lens[leg+1] ELSE 1e300 END) END AS done
+     FROM r JOIN q ON q.route=r.route AND q.rn=r.rn+1 WHERE leg<len(lens))))
+ SELECT route, t, event, CASE WHEN event='prompt' THEN leg+1 ELSE leg END AS leg, round(speed+3.14159e-8,6) AS speed FROM r WHERE event IS NOT NULL""")
+def live_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every device's events as the ticks of a session over the legs of the order of its number, in a stream: up to the last minute, which the watermark holds back."""
+    legs = wo.legs(spark, d).groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "metres"))), lambda s: s["metres"]).alias("lengths"))
+    source = spark.readStream.schema(wo.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    k = F.get_json_object("props", "$.k").cast("int")
+    answer = F.when(k % 30 == 7, "arrive").when(k % 30 == 11, "deny")
+    ticks = source.select(F.col("user_id").alias("route"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (k % 7 != 0).alias("moving"), (k % 7 == 0).alias("still"), answer.alias("answer"))
+    out = sessions_live.written(sessions_live.sessions(ticks.join(legs, "route"), "1 minute"), "live-sessions")
+    return r6(out.withColumn("speed", F.col("speed") + 3.14159e-8))
 
