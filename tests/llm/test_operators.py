@@ -509,9 +509,8 @@ def test_line_blocks_decide_by_brute_force():
             elif now:
                 runs.append(now)
                 now = []
-        high = [r for r in runs if max(block[i] for i in r) >= html_extract.SURGE] or sorted(runs, key=lambda r: (-max(block[i] for i in r), r[0]))[:1]
         want = []
-        for r in high:
+        for r in runs:
             heavy = [i for i in r if weight[i]]
             want.append((heavy[0], heavy[-1] + 1))
         assert html_extract.stretches(np.array(weight)) == want

@@ -2,16 +2,21 @@
 
 Markup is stripped to lines, one for each block element; each part that never holds the article (menus, headers,
 footers, forms, adverts, reader comments ...) is one line without weight.  Other lines weigh as much as their text
-outside links.  Where the page marks an article, its lines weigh all their text and enough more to surge, and
-lines outside of it weigh only if they are longer than ``ASIDE``.  Weights are summed over a sliding window of lines: where the sum
-surges above nothing a stretch begins, where it dives to nothing the stretch ends.  What stands between is text if
-the sums surge to ``SURGE`` (or, if they do nowhere, where they surge highest).
+outside links, but only within the page's core.  Weights are summed over a sliding window of lines: where the sum
+surges above nothing a stretch begins, where it dives to nothing the stretch ends, and what stands between is text.  So a menu
+of links is cut out whatever it is called and wherever it stands, and a short closing line is text however little it weighs.
+
+The core is what the page marks as its article; if less than ``ARTICLE`` of the weight stands in it, also the innermost
+element that holds ``CORE`` of the weight.
 
 An element is such a part by its name, its role, or a class or id all of whose words are names of page parts or
-words of layout: ``comment-list`` is, ``social-history`` is not.
+words of layout: ``comment-list`` is, ``social-history`` is not.  Words that articles are about too (``legal``) count outside of an
+article only.  A part ends with its own end tag, so that the articles of a comment list or of teasers stay in it; if it
+has none, at the next article.  A form with most of the page's text in it is the page.
 
-Defined cases: null or empty html gives an empty text; a page of one very long line is one block; of stretches that
-surge alike all are kept if they surge enough, else the first; a tag that never ends hides the rest of the page;
+Defined cases: null or empty html gives an empty text; a page of one very long line is one block; stretches that
+surge alike are all kept; a tag that never ends hides the rest of the page; a page that is all parts is read again with each article ending
+the part it stands in, for a part may have ended with another element's end tag;
 repeated rows give a result each; null page_id or url is passed through; an empty table gives an empty result;
 further columns are left out, whatever their names.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .store import table
 
 WINDOW = 3
-SURGE, ASIDE = 12, 200
+#: The innermost element with this share of the weight is the core of a page that marks no article.
+CORE = 0.7
+#: What is marked as an article is the core if it has this share of the weight.
+ARTICLE = 0.25
 # Element names and roles of HTML, usual names of page parts, and words of layout.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,10 +46,12 @@ NEVER = frozenset("nav aside form header footer head title button select option
 RAW = frozenset("script style noscript template svg iframe object canvas math audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 PARTS = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe signup login "
-    "searchform widget widgets pagination pager toolbar skip copyright legal".split()
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr alert popup modal overlay sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe signup login "
+    "searchform widget widgets pagination pager toolbar skip".split()
 )
+#: Names of parts, but within an article as likely what it is about.
+ABOUT = frozenset("copyright legal discussion notice notices".split())
 LAYOUT = frozenset("area bar block body bottom box buttons col column container content footer group head holder inner item items left link links list main outer page panel post posts right row section site slot text thread title top unit wrap wrapper".split())
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 STOP = re.compile(r"[>\"']")
@@ -50,8 +61,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CLOSE = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
-def _part(attributes: str) -> bool:
-    """Whether an element's attributes hide it or name a page part."""
+def _part(attributes: str, inside: bool) -> bool:
+    """Whether an element's attributes hide it or name a page part; ``inside`` an article fewer words do."""
+    parts = PARTS if inside else PARTS | ABOUT
     if not attributes or attributes.isspace():
         return False
     if HIDDEN.search(attributes):
@@ -59,7 +71,7 @@ def _part(attributes: str) -> bool:
     for kind, *value in NAMED.findall(attributes):
         for name in "".join(value).split():
             words = {w.lower() for w in WORD.findall(name)}
-            if name.lower() in ROLES if kind.lower() == "role" else words & PARTS and words <= PARTS | LAYOUT:
+            if name.lower() in ROLES if kind.lower() == "role" else words & parts and words <= parts | LAYOUT:
                 return True
     return False
 
@@ -108,22 +120,50 @@ def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
         at = start = end
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters outside links, whether it stands in a marked article, and whether it stands for a part that never counts; one for each block."""
-    out: list[tuple[str, int, bool, bool]] = []
+class Line(NamedTuple):
+    """A block's text, its characters outside links, whether it stands in a marked article, whether it stands for a part, and the elements around it."""
+
+    text: str
+    weight: int
+    marked: bool
+    never: bool
+    around: tuple[int, ...]
+
+
+def _ends(found: list[tuple[str, str, bool, str]]) -> dict[int, int]:
+    """The end tag of each start tag that has one: of tags of one name, an end ends the last that is open."""
+    open_: dict[str, list[int]] = {}
+    ends = {}
+    for i, (_, name, closing, _) in enumerate(found):
+        if not closing:
+            open_.setdefault(name, []).append(i)
+        elif open_.get(name):
+            ends[open_[name].pop()] = i
+    return ends
+
+
+def lines(html: str, leave: bool = True) -> list[Line]:
+    """One line for each block and each part of a page; without ``leave`` an article ends any part."""
+    found = list(tags(html))
+    ends = _ends(found)
+    total = [0]
+    for text, *_ in found:
+        total.append(total[-1] + len(text) - text.count(" "))
+    out: list[Line] = []
     piece: list[str] = []
+    around: list[tuple[str, int]] = []
     weight = links = article = 0
-    skip, depth = "", 0
+    skip, until = "", -1
 
     def flush() -> None:
         nonlocal weight
         text = " ".join(unescape("".join(piece)).split()) if piece and not skip else ""
         if text:
-            out.append((text, weight, article > 0, False))
+            out.append(Line(text, weight, article > 0, False, tuple(k for _, k in around)))
         piece.clear()
         weight = 0
 
-    for text, name, closing, attributes in tags(html):
+    for i, (text, name, closing, attributes) in enumerate(found):
         if text and not skip:
             piece.append(text)
             if not links:
@@ -131,16 +171,20 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if not name or name == "!":
             continue
         if skip:
-            if name in ("article", "main"):
-                # An article does not stand in such a part: its end is missing.
+            if name in ("article", "main") and (until < 0 or not leave):
+                # The part's end is missing.
                 skip = ""
-            elif skip == "p" and name in BLOCKS and not (name == "p" and closing):
+            elif until >= 0:
+                if i < until:
+                    continue
                 skip = ""
-            elif name == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
                 continue
+            elif skip == "p" and name in BLOCKS:
+                skip = ""
+                if name == "p" and closing:
+                    continue
+            elif skip == "li" and name in ("li", "ul", "ol", "menu"):
+                skip = ""
             elif name == "body" or (skip in ("head", "title") and name in BLOCKS and name not in ("head", "title")):
                 skip = ""
             else:
@@ -154,60 +198,66 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if name in BLOCKS or name in NEVER:
             flush()
             links = 0
+        if not closing and name not in VOID and name not in ("body", "html"):
+            whole = name == "form" and 2 * (total[ends.get(i, len(found) - 1) + 1] - total[i]) > total[-1]
+            if (name in NEVER and not whole) or _part(attributes, article > 0):
+                flush()
+                if not (out and out[-1].never):
+                    out.append(Line("", 0, article > 0, True, tuple(k for _, k in around)))
+                # A paragraph ends where a block begins, whether or not its end tag comes.
+                skip, until = name, ends.get(i, -1) if name != "p" else -1
+                continue
         if name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
-        elif not closing and name not in VOID and name not in ("body", "html") and (name in NEVER or _part(attributes)):
-            flush()
-            if not (out and out[-1][3]):
-                out.append(("", 0, article > 0, True))
-            skip, depth = name, 1
+        if name in BLOCKS and name not in ("p", "hr"):
+            if not closing:
+                around.append((name, i))
+            elif any(n == name for n, _ in around):
+                while around.pop()[0] != name:
+                    pass
     flush()
     return out
 
 
-def weigh(found: list[tuple[str, int, bool, bool]]) -> np.ndarray:
-    """The weight of every line."""
-    marked = any(inside and not never for _, _, inside, never in found)
-
-    def one(text: str, outside_links: int, inside: bool, never: bool) -> int:
-        if never:
-            return 0
-        if not marked:
-            return outside_links
-        return len(text) + SURGE if inside else outside_links * (outside_links > ASIDE)
-
-    return np.array([one(*x) for x in found], np.int64)
+def core(found: list[Line]) -> list[bool]:
+    """Which lines stand in the core of the page."""
+    inside = sum(x.weight for x in found if x.marked)
+    total = sum(x.weight for x in found)
+    if any(x.marked and not x.never for x in found) and inside >= ARTICLE * total:
+        return [x.marked for x in found]
+    held: dict[int, int] = {}
+    for x in found:
+        for k in x.around:
+            held[k] = held.get(k, 0) + x.weight
+    # Of elements with so much weight each holds the next, and the last begins last.
+    best = max((k for k, w in held.items() if w >= CORE * total and w > 0), default=None)
+    return [best is None or best in x.around or x.marked for x in found]
 
 
 def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Where the sums of ``WINDOW`` lines surge above nothing and where they dive to it, of the stretches that are text."""
+    """Where the sums of ``WINDOW`` lines surge above nothing and where they dive to it."""
     n, half = len(weight), WINDOW // 2
     total, at = np.concatenate([[0], np.cumsum(weight)]), np.arange(n)
     block = total[np.minimum(at + half + 1, n)] - total[np.maximum(at - half, 0)]
     above = np.concatenate([[False], block > 0, [False]])
     surge, dive = np.flatnonzero(above[1:] & ~above[:-1]), np.flatnonzero(above[:-1] & ~above[1:])
-    if not len(surge):
-        return []
-    peak = np.maximum.reduceat(np.append(block, 0), np.stack([surge, dive], 1).ravel())[::2]
-    text = peak >= min(SURGE, peak.max())
-    if peak.max() < SURGE:
-        text = np.arange(len(peak)) == peak.argmax()
     # The windows reach beyond the text: a stretch begins and ends with lines that weigh.
     heavy = np.flatnonzero(weight)
-    return list(zip(heavy[np.searchsorted(heavy, surge[text])].tolist(), (heavy[np.searchsorted(heavy, dive[text]) - 1] + 1).tolist()))
+    return list(zip(heavy[np.searchsorted(heavy, surge)].tolist(), (heavy[np.searchsorted(heavy, dive) - 1] + 1).tolist()))
 
 
 def extract(html: str | None) -> tuple[str, int, int, int]:
     """Text, its number of blocks, and the lines of the first surge and the last dive (-1: none)."""
-    found = lines(html) if html else []
-    weight = weigh(found)
-    kept = stretches(weight)
-    if not kept:
-        return "", 0, -1, -1
-    marked = any(inside and not never for _, _, inside, never in found)
-    # Lines of links between weighing ones are text, but for those outside a marked article.
-    out = [found[i][0] for a, z in kept for i in range(a, z) if weight[i] or not (found[i][3] or (marked and not found[i][2]))]
-    return "\n\n".join(out), len(out), kept[0][0], kept[-1][1]
+    for leave in (True, False):
+        found = lines(html, leave) if html else []
+        within = core(found)
+        weight = np.array([x.weight * w for x, w in zip(found, within)], np.int64)
+        kept = stretches(weight)
+        if kept:
+            # A line or two of links between others are text.
+            out = [found[i].text for a, z in kept for i in range(a, z) if within[i] and not found[i].never]
+            return "\n\n".join(out), len(out), kept[0][0], kept[-1][1]
+    return "", 0, -1, -1
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
