@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import chat, components, debruijn, decontaminate, html_extract, language, mixing, quality_crf, quality_rules, simhash, suffix_dedup
 
+from .edits import best_match
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo zy".split()
@@ -398,7 +400,7 @@ def test_best_match_is_the_edit_distance():
     rng = random.Random(8)
     for _ in range(40):
         a, b = bytes(rng.choices(b"abc ", k=rng.randint(1, 30))), bytes(rng.choices(b"abc ", k=rng.randint(0, 60)))
-        assert decontaminate.best_match(a, b, 1000) == edit(a, b)
+        assert best_match(a, b, 1000) == edit(a, b)
     items = [bytes(rng.choices(b"abc ", k=rng.choice([1, 5, 63, 64, 65, 130, 200]))) for _ in range(60)]
     texts = [bytes(rng.choices(b"abc ", k=rng.randint(0, 90))) + (i[5:] if rng.random() < 0.5 else b"") for i in items]
     assert decontaminate.best_matches(items, texts).tolist() == [edit(a, b) for a, b in zip(items, texts)]
@@ -480,7 +482,7 @@ def test_recall_of_edited_items_wherever_verification_accepts(spark):
     met = Counter()
     for d, (k, _) in copies.items():
         item, whole = items[k].encode(), re.sub(r"\s+", " ", rows[d][1]).lower().encode()
-        if decontaminate.best_match(item, whole, 10**6) <= int(0.2 * len(item)):
+        if best_match(item, whole, 10**6) <= int(0.2 * len(item)):
             met[rate_of[d], (d, k) in got] += 1
     for rate in (0.05, 0.10, 0.15, 0.18):
         assert met[rate, True] >= 0.9 * (met[rate, True] + met[rate, False]) and met[rate, True] >= 30, (rate, met)

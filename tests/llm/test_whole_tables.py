@@ -13,6 +13,8 @@ import xxhash
 from wayfold.llm import debruijn, decontaminate, quality_crf, quality_rules, registry, simhash, suffix_dedup  # noqa: F401
 from wayfold.llm.store import table
 
+from .edits import best_match
+
 from .test_operators import brute_fingerprint, brute_words, classes, count_words, edit
 
 TABLES = "/root/testdata/sf0.01"
@@ -83,7 +85,7 @@ def test_contaminated_documents_are_near_their_items(spark, texts):
     for (i, k), r in list(got.items())[:12]:
         assert r["edits"] == edit(fold(items[k]), held[i]) <= int(0.2 * len(fold(items[k])))
     for (i, k), r in got.items():
-        assert r["edits"] == decontaminate.best_match(fold(items[k]), held[i], 10**6) and r["item_bytes"] == len(fold(items[k]))
+        assert r["edits"] == best_match(fold(items[k]), held[i], 10**6) and r["item_bytes"] == len(fold(items[k]))
 
 
 def test_held_out_accuracy(spark, texts):

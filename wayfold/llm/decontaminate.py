@@ -2,16 +2,18 @@
 
 Texts are folded (ASCII lower case, white space runs to one space).  A window begins at every word of every
 item and of every document.  A CGK walk reads a window at its pointer and moves on by a random bit that
-depends on the step and the byte read; the ``STEPS`` bytes read have small Hamming distance where the edit
-distance was small, and differ in runs, until the pointers meet again.  A bit sample leaves out ``GAP`` places that
-follow each other; samples stand so close that any run of ``RUN`` places is left out by one: walks that differ
-in one such run agree in some sample for certain.  Windows are a walk long, not an item: an item has one at every
+depends on the step and the byte read; the bytes read have small Hamming distance where the edit
+distance was small, and differ in runs, until the pointers meet again.  A bit sample leaves out ``gap`` places that
+follow each other; samples stand so close that any run of ``run`` places is left out by one: walks that differ
+in one such run agree in some sample for certain.  Windows go by classes of items' lengths (``CLASSES``): short items are walked
+in short windows, so that as many of their windows are free of all but one edit.  An item has a window at every
 word, and one that agrees is enough; of walks over a whole item with edits in a fifth of its bytes no number
 of samples would agree.
 
 Keys of documents pass a Bloom filter of the items' keys; those that do become regions, which meet the items in
 an equality join, and each (region, item) pair is verified by the exact edit distance between the item and its
-best match about the places where windows agree.
+best match about the places where windows agree.  Of so many items that the filter would let most keys on, the keys are
+taken in parts, each with a filter and a pass of its own.
 
 Items are also indexed by their runs of ``GRAM`` tokens (letters, digits and bytes beyond ASCII), all their
 tokens where they have fewer: an exact copy that stands on token boundaries has them all, however short it is.
@@ -26,7 +28,9 @@ columns are left out, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +40,41 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .store import cut, identity, table
 
-STEPS, GAP, RUN, WALKS = 34, 8, 6, 1
-#: Where samples leave places out.
-OUT = [*range(0, STEPS - GAP, GAP - RUN + 1), STEPS - GAP]
+
+
+class Walk(NamedTuple):
+    """How items of up to ``most`` bytes are walked, and the number that tells its keys from others'."""
+
+    most: float
+    steps: int
+    gap: int
+    run: int
+    number: int
+
+    @property
+    def out(self) -> list[int]:
+        """Where samples leave places out."""
+        return [*range(0, self.steps - self.gap, self.gap - self.run + 1), self.steps - self.gap]
+
+
+#: For items within 0.8, so that nine copies of ten share a key at 20 % edits and nearly all at fewer.
+CLASSES = (Walk(50, 16, 5, 4, 2), Walk(110, 20, 6, 4, 1), Walk(float("inf"), 34, 8, 6, 0))
+STEPS = max(w.steps for w in CLASSES)
 GRAM = 4
 SIMILARITY = 0.8
 #: Bits of the Bloom filter for each key, its probes, and the most bits (as a power of two).
 FILTER_SHARE, PROBES, MOST_FILTER_BITS, COARSE_BITS = 64, 4, 26, 21
+#: With fewer bits for each key the keys are taken in parts.
+LEAST_SHARE = 16
 #: A region is so many times as long as the longest item may reach, at most.
 REGION = 8
 #: Item keys are broadcast up to this number of rows (counted first); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 _RANDOM = np.random.default_rng(99)
-_MOVE = _RANDOM.integers(0, 2, (WALKS, STEPS, 256)).astype(np.int32)
+_MOVE = _RANDOM.integers(0, 2, (STEPS, 256)).astype(np.int32)
 #: A place's byte counts by this factor.
-_FACTOR = _RANDOM.integers(1, 2**63, (WALKS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = _RANDOM.integers(1, 2**63, STEPS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -75,25 +98,24 @@ def fold(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b, np.zeros(STEPS, np.uint8)]), at
 
 
-def keys(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of the windows at ``at``: an array of (windows, WALKS * len(OUT))."""
-    out = np.empty((len(at), WALKS * len(OUT)), np.uint64)
+def keys(buf: np.ndarray, at: np.ndarray, walk: Walk = CLASSES[-1]) -> np.ndarray:
+    """Keys of the windows at ``at``: an array of (windows, samples of the walk)."""
+    out = np.empty((len(at), len(walk.out)), np.uint64)
     for a in range(0, len(at), _CHUNK):
         part = at[a : a + _CHUNK]
         # Sums of the places before each step: a sample is the whole without the places it leaves out.
-        before = np.zeros((STEPS + 1, len(part)), np.uint64)
+        before = np.zeros((walk.steps + 1, len(part)), np.uint64)
         byte, term, move = np.empty(len(part), np.uint8), np.empty(len(part), np.uint64), np.empty(len(part), np.int32)
-        for w in range(WALKS):
-            pos = part.astype(np.int32)
-            for j in range(STEPS):
-                np.take(buf, pos, out=byte, mode="clip")
-                np.multiply(byte, _FACTOR[w, j], out=term, casting="unsafe")
-                np.add(before[j], term, out=before[j + 1])
-                np.take(_MOVE[w, j], byte, out=move, mode="clip")
-                pos += move
-            for s, o in enumerate(OUT):
-                key = before[STEPS] - before[o + GAP] + before[o]
-                out[a : a + len(part), w * len(OUT) + s] = tx.mix(key, w * len(OUT) + s + 1)
+        pos = part.astype(np.int32)
+        for j in range(walk.steps):
+            np.take(buf, pos, out=byte, mode="clip")
+            np.multiply(byte, _FACTOR[j], out=term, casting="unsafe")
+            np.add(before[j], term, out=before[j + 1])
+            np.take(_MOVE[j], byte, out=move, mode="clip")
+            pos += move
+        for s, o in enumerate(walk.out):
+            key = before[walk.steps] - before[o + walk.gap] + before[o]
+            out[a : a + len(part), s] = tx.mix(key, walk.number * 100 + s + 1)
     return out
 
 
@@ -111,7 +133,7 @@ def grams(buf: np.ndarray, begin: np.ndarray, sizes: list[int]) -> tuple[np.ndar
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    """(i1, i2, key, off, gram) of ``items(i1, i2, text)``: the keys of an item's windows and runs, and where in it these begin; gram is 0, or the tokens of a key of a run."""
+    """(i1, i2, key, off, gram) of ``items(i1, i2, text)``: the keys of an item's windows and runs, and where in it these begin; gram is the tokens of a key of a run, or no more than 0, a walk's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text", 1 << 16):
@@ -119,12 +141,18 @@ def item_keys(items: DataFrame) -> DataFrame:
             at = tx.words(buf[: begin[-1]], begin)[0]
             if not len(at):
                 continue
-            found = keys(buf, at)
+            length = np.array([len(buf[a:z].tobytes().strip()) for a, z in zip(begin[:-1], begin[1:])])[np.searchsorted(begin, at, side="right") - 1]
+            least, some = 0, []
+            for walk in CLASSES:
+                own_at = at[(length > least) & (length <= walk.most)]
+                least = walk.most
+                found = keys(buf, own_at, walk)
+                some.append((np.repeat(own_at, found.shape[1]), found.ravel(), np.full(found.size, -walk.number)))
             pos, run_key, size, tokens = grams(buf, begin, list(range(1, GRAM + 1)))
             own = size == np.minimum(tokens[np.searchsorted(begin, pos, side="right") - 1], GRAM)
-            at = np.concatenate([np.repeat(at, found.shape[1]), pos[own]])
-            key = np.concatenate([found.ravel(), run_key[own]]).view(np.int64)
-            gram = np.concatenate([np.zeros(found.size, np.int32), size[own].astype(np.int32)])
+            some.append((pos[own], run_key[own], size[own]))
+            at, key, gram = (np.concatenate(x) for x in zip(*some))
+            key, gram = key.view(np.int64), gram.astype(np.int32)
             row = np.searchsorted(begin, at, side="right") - 1
             head = np.array([len(x) - len(x.lstrip()) for x in (buf[a:z].tobytes() for a, z in zip(begin[:-1], begin[1:]))])
             off = (at - begin[row] - head[row]).astype(np.int32)
@@ -145,7 +173,7 @@ def folded(items: DataFrame) -> DataFrame:
     return items.select("i1", "i2", "item_id", "text").mapInArrow(run, f"i1 long, i2 long, item_id {items.schema['item_id'].dataType.simpleString()}, item binary")
 
 
-def regions(docs: DataFrame, passes: tuple[np.ndarray, np.ndarray], bits: int, reach: int, sizes: list[int]) -> DataFrame:
+def regions(docs: DataFrame, passes: tuple[np.ndarray, np.ndarray], bits: int, reach: int, sizes: list[int], walks: list[Walk], part: int = 0, parts: int = 1) -> DataFrame:
     """(doc_id, hits, region): stretches of documents about windows, and runs of ``sizes`` tokens, that pass the filter, with their keys and places."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -154,20 +182,27 @@ def regions(docs: DataFrame, passes: tuple[np.ndarray, np.ndarray], bits: int, r
         for block in tx.blocks(batches, "text"):
             buf, begin = fold(*tx.raw(block.column("text")))
             at = tx.words(buf[: begin[-1]], begin)[0]
-            key = keys(buf, at).ravel()
-            pos = np.arange(len(key)) // (WALKS * len(OUT))
+            listed = []
+            for walk in walks:
+                found = keys(buf, at, walk)
+                listed.append((found.ravel(), np.repeat(at, found.shape[1])))
             if sizes:
                 run_pos, run_key, _, _ = grams(buf, begin, sizes)
-                key = np.concatenate([key, run_key])
-            # A small table of the keys' highest bits, which fits a core's cache, lets few others on to the filter.
-            hit = np.flatnonzero(coarse[(key >> np.uint64(64 - COARSE_BITS)).view(np.int64)])
-            for p in range(PROBES):
-                hit = hit[known[((key[hit] >> np.uint64(9 * p)) & np.uint64((1 << bits) - 1)).view(np.int64)]]
-            if not len(hit):
+                listed.append((run_key, run_pos))
+            passed = []
+            for key, place in listed:
+                # A small table of the keys' highest bits, which fits a core's cache, lets few others on to the filter.
+                hit = np.flatnonzero(coarse[(key >> np.uint64(64 - COARSE_BITS)).view(np.int64)])
+                if parts > 1:
+                    hit = hit[key[hit].view(np.int64) % parts == part]
+                for p in range(PROBES):
+                    hit = hit[known[((key[hit] >> np.uint64(9 * p)) & np.uint64((1 << bits) - 1)).view(np.int64)]]
+                passed.append((key[hit], place[hit]))
+            key, place = (np.concatenate(x) for x in zip(*passed))
+            if not len(key):
                 continue
-            place = np.concatenate([at[pos[hit[hit < len(pos)]]], run_pos[hit[hit >= len(pos)] - len(pos)]]) if sizes else at[pos[hit]]
             order = np.argsort(place, kind="stable")
-            key, place = key[hit][order].view(np.int64), place[order]
+            key, place = key[order].view(np.int64), place[order]
             doc = np.searchsorted(begin, place, side="right") - 1
             # A region ends where the next hit is far, or after REGION reaches; what is cut overlaps by twice the reach.
             rows, lists, texts = [], [], []
@@ -188,40 +223,8 @@ def regions(docs: DataFrame, passes: tuple[np.ndarray, np.ndarray], bits: int, r
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, hits array<struct<key:long,at:int>>, region binary")
 
 
-def best_match(item: bytes, region: bytes, most: int) -> int:
-    """The least edit distance between the item and any stretch of the region; most + 1 if it is greater."""
-    if item in region:
-        return 0
-    m = len(item)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    places: dict[int, int] = {}
-    for i, c in enumerate(item):
-        places[c] = places.get(c, 0) | 1 << i
-    plus, minus, score, best, left = full, 0, m, m, len(region)
-    for c in region:  # Myers' bit vectors
-        left -= 1
-        eq = places.get(c, 0)
-        x = eq | minus
-        d = (((x & plus) + plus) ^ plus) | x
-        up = minus | (~(d | plus) & full)
-        down = plus & d
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-        up = (up << 1) & full
-        down = (down << 1) & full
-        plus = down | (~(d | up) & full)
-        minus = up & d
-        if score < best:
-            best = score
-        elif score - left > most:
-            break  # no later place can be near enough
-    return min(best, most + 1)
-
-
 def best_matches(items: list[bytes], regions_: list[bytes]) -> np.ndarray:
-    """:func:`best_match` of many pairs, without a bound: Myers' bit vectors in blocks of 64, all pairs of as many blocks step together."""
+    """The least edit distance between each item and any stretch of its region: Myers' bit vectors in blocks of 64, all pairs of as many blocks step together."""
     out = np.array([len(i) for i in items])
     one, high = np.uint64(1), np.uint64(63)
     of: dict[int, list[int]] = {}
@@ -293,9 +296,12 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     if not n:
         return spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, item_bytes int, edits int, similarity double")
     longest = known.agg(F.max(F.length("item"))).first()[0]
-    sizes = sorted(r["gram"] for r in listed.where("gram > 0").select("gram").distinct().collect())
+    kinds = sorted(r["gram"] for r in listed.select("gram").distinct().collect())
+    sizes, walks = [k for k in kinds if k > 0], [w for w in CLASSES if -w.number in kinds]
     reach = longest + ceil((1 - similarity) * longest) + STEPS
-    found = cut(regions(docs, *bloom(listed, n), reach, sizes).withColumn("rid", F.xxhash64("doc_id", "region")).withColumn("rid2", F.xxhash64(F.lit(1), "doc_id", "region")), "regions")
+    parts = -(-n * LEAST_SHARE >> MOST_FILTER_BITS)
+    some = [regions(docs, *bloom(listed.where(F.pmod("key", F.lit(parts)) == k), -(-n // parts)), reach, sizes, walks, k, parts) for k in range(parts)]
+    found = cut(reduce(DataFrame.unionByName, some).withColumn("rid", F.xxhash64("doc_id", "region")).withColumn("rid2", F.xxhash64(F.lit(1), "doc_id", "region")), "regions")
     few = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
     rid = ["rid", "rid2"]
     met = found.select(*rid, F.inline("hits")).join(few(listed.select("key", "i1", "i2", "off")), "key")
@@ -308,7 +314,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         for batch in batches:
             texts, parts = batch.column("item").to_pylist(), []
             size = np.array([len(t) for t in texts])
-            most = ((1 - similarity) * size).astype(int)
+            most = ((1 - similarity) * size + 1e-9).astype(int)
             for region, low, high in zip(batch.column("region").to_pylist(), (batch.column("first").to_numpy() - most).tolist(), (batch.column("last").to_numpy() + size + most).tolist()):
                 parts.append(region[max(0, low) : max(0, high)])
             edits = best_matches(texts, parts)
@@ -317,7 +323,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     checked = pairs.mapInArrow(verify, f"doc_id {id_type}, i1 long, i2 long, item_id {item_type}, item_bytes int, edits int")
     best = checked.groupBy("doc_id", "item_id", "item_bytes").agg(F.min("edits").alias("edits"))
     share = 1 - F.col("edits") / F.col("item_bytes")
-    return best.where(F.col("edits") <= F.floor((1 - similarity) * F.col("item_bytes"))).withColumn("similarity", share)
+    return best.where(F.col("edits") <= F.floor((1 - similarity) * F.col("item_bytes") + 1e-9)).withColumn("similarity", share)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
