@@ -58,8 +58,12 @@ def covers(node: DataFrame, north: float, south: float, east: float, west: float
 
 def distances(e: DataFrame, start: int) -> DataFrame:
     """(node, metres) of every node that can be reached from ``start``: the frontier is relaxed until nothing improves."""
-    pairs = e.sparkSession.range(1).select(F.lit(0).cast("long").alias("route"), F.lit(start).cast("long").alias("start"), F.lit(None).cast("long").alias("goal"))
-    return _searched(e, pairs).select("node", "metres")
+    return distances_from(e, e.sparkSession.range(1).select(F.lit(0).cast("long").alias("route"), F.lit(start).cast("long").alias("start"))).select("node", "metres")
+
+
+def distances_from(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """(route, node, metres) of what each of ``starts(route, start)`` reaches, all searched together."""
+    return _searched(e, starts.withColumn("goal", F.lit(None).cast("long"))).select("route", "node", "metres")
 
 
 #: So many landmarks tell how far apart two nodes are at least.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_gap
+from ..functions.noise import uniform
 from ..sources.tables import settled
 from .sequences import dtw, dtw_many
 from .terrain import BROADCAST_CELLS, sample
@@ -205,7 +206,7 @@ def resample(df: DataFrame, n: int, offset: float, jitter: float = 0.0, seed: in
     picks = df.where(low <= high).withColumn("k", F.explode(F.sequence(low.cast("int"), high.cast("int")))).where(F.col("k").between(0, n - 1))
     if not jitter:
         return picks.select("k", "cid")
-    moved = lambda c, s: F.col(c) + (F.rand(s) * 2 - 1) * jitter
+    moved = lambda c, s: F.col(c) + (uniform(s, "k", "cid") * 2 - 1) * jitter
     return picks.select("k", "cid", moved("x", seed).alias("x"), moved("y", seed + 1).alias("y"), F.lit(1.0 / n).alias("w"))
 
 

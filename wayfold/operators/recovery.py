@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE
+from ..functions.noise import uniform
 from ..sources.tables import settled
 from .hypotheses import BAND, SOFT, cumulate, normalise
 
@@ -19,17 +20,21 @@ CONFIRM_M, REJECT_M, LOCK_SHARE = 70.0, 300.0, 0.80
 
 def scatter(spark: SparkSession, n: int, cx: float, cy: float, radius: float, seed: int, impossible: Callable[[Column, Column], Column] | None = None, tries: int = 8) -> DataFrame:
     """(cid, x, y, w): uniform in a disc; of ``tries`` draws the first that is possible, else the last."""
-    df = spark.range(n).withColumnRenamed("id", "cid")
+    return scattered(spark.range(n).withColumnRenamed("id", "cid"), F.lit(cx), F.lit(cy), radius, seed, impossible, tries).withColumn("w", F.lit(1.0 / n))
+
+
+def scattered(df: DataFrame, cx: Column, cy: Column, radius: float, seed: int, impossible: Callable[[Column, Column], Column] | None = None, tries: int = 8) -> DataFrame:
+    """(cid, x, y): a place in the disc about (cx, cy) for each row of ``df(cid ...)``, the same in every run."""
     spots = []
     for k in range(tries):
-        r, a = F.sqrt(F.rand(seed + 2 * k)) * radius, F.rand(seed + 2 * k + 1) * (2 * np.pi)
+        r, a = F.sqrt(uniform(seed + 2 * k, "cid")) * radius, uniform(seed + 2 * k + 1, "cid") * (2 * np.pi)
         df = df.withColumns({f"_x{k}": cx + r * F.cos(a), f"_y{k}": cy + r * F.sin(a)})
         spots.append(F.struct(F.col(f"_x{k}").alias("x"), F.col(f"_y{k}").alias("y")))
     pick = spots[-1]
     for k in reversed(range(tries - 1)):
         ok = ~impossible(F.col(f"_x{k}"), F.col(f"_y{k}")) if impossible else F.lit(True)
         pick = F.when(ok, spots[k]).otherwise(pick)
-    return df.select("cid", pick.alias("p")).select("cid", "p.x", "p.y", F.lit(1.0 / n).alias("w"))
+    return df.select("cid", pick.alias("p")).select("cid", "p.x", "p.y")
 
 
 def mask(df: DataFrame, impossible: Column) -> DataFrame:

@@ -84,7 +84,9 @@ def rotation_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("road_ghosts")
 def road_ghosts(spark: SparkSession, d: str) -> DataFrame:
-    return sp.on_roads(wo.roads(spark), 3000, 8.0, 11)
+    """Places on the streets of every supplier's town, ten for each block side."""
+    roads = wo.towns(spark, d)
+    return sp.on_roads(roads, 10 * roads.count(), 8.0, 11)
 
 
 _ADHERENCE = """ w0 AS (SELECT pid, x AS x0, y AS y0, i, CASE WHEN i<3 THEN 90.0 ELSE 0.0 END AS heading FROM points, range(6) r(i)),
@@ -118,7 +120,7 @@ OBSERVED = [0.4 * k for k in range(len(HEADINGS))]
  SELECT a, b, round(s,6)::DOUBLE AS s, count(*) AS n FROM moved GROUP BY 1,2,3""")
 def driving_advance(spark: SparkSession, d: str) -> DataFrame:
     """Each hypothesis at its own road's speed."""
-    e = _edges(spark).withColumn("speed", 10.0 + F.col("a") % 5)
+    e = _edges(spark, d).withColumn("speed", 10.0 + F.col("a") % 5)
     w = hy.seed(e, 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
     return hy.advance(w, e, hy.driven(6.0, 0.9), 90.0).groupBy("a", "b", F.round("s", 6).alias("s")).agg(F.count("*").alias("n"))
 
@@ -128,8 +130,8 @@ def driving_advance(spark: SparkSession, d: str) -> DataFrame:
  SELECT a, b, s::DOUBLE AS s, count(*) AS n FROM (SELECT * FROM m2 WHERE s<=200 UNION ALL SELECT * FROM m3) GROUP BY 1,2,3""")
 def long_advance(spark: SparkSession, d: str) -> DataFrame:
     """A step of several junctions."""
-    w = hy.seed(_edges(spark), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
-    return hy.advance(w, _edges(spark), 450.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
+    w = hy.seed(_edges(spark, d), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
+    return hy.advance(w, _edges(spark, d), 450.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
 
 
 @query("possible_places", with_sql("points", "places", "roads") + "," + _ROADS.format(src="points") + """, near AS (SELECT DISTINCT pid FROM n WHERE dist<=40), wet AS (SELECT DISTINCT pid FROM points p JOIN places g ON kind='water' AND p.y>g.y-60.5 AND p.y<g.y+60.5 AND abs(p.x-g.x)<60.5-abs(p.y-g.y))

@@ -35,7 +35,9 @@ def particle_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("particle_scatter")
 def particle_scatter(spark: SparkSession, d: str) -> DataFrame:
-    return re.scatter(spark, 3000, 900.0, 900.0, 800.0, 11, lambda x, y: (F.abs(x - 900) < 300) & (F.abs(y - 900) < 300))
+    """A place within 400 m of each customer's, out of the middle."""
+    about = wo.points(spark, d).select(F.col("pid").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return re.scattered(about, F.col("cx"), F.col("cy"), 400.0, 11, lambda x, y: (F.abs(x - 900) < 300) & (F.abs(y - 900) < 300))
 
 
 @query("stride_sample", with_sql("points") + "," + _CLOUD + ", n AS (SELECT *, row_number() OVER (ORDER BY cid) AS r, count(*) OVER () AS c FROM cloud) SELECT cid FROM n WHERE c<=100 OR (r-1)%CAST(ceil(c/100.0) AS BIGINT)=0")

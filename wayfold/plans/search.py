@@ -36,18 +36,18 @@ def query(name: str, sql: str | None = None):
 
 
 _WALKS = "h AS (SELECT i, CASE WHEN i<12 THEN 90.0 ELSE 0.0 END AS heading FROM range(22) r(i)), off AS (SELECT i, coalesce(sum(sin(radians(heading))*15) OVER w,0) AS dx, coalesce(sum(cos(radians(heading))*15) OVER w,0) AS dy FROM h WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
-_GRID = "cand AS (SELECT r AS cid, 30.0*(r%19)*3 AS x, 30.0*(r//19)*3 AS y FROM range(361) g(r))"
+_GRID = "cand AS (SELECT pid AS cid, x, y FROM points)"
 
 
-def _profiles(spark: SparkSession) -> DataFrame:
-    cand = spark.range(361).select(F.col("id").alias("cid"), (F.col("id") % 19 * 90.0).alias("x"), (F.floor(F.col("id") / 19) * 90.0).alias("y"))
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    cand = wo.points(spark, d).select(F.col("pid").alias("cid"), "x", "y")
     return hy.path_profiles(cand, HEADINGS, 15.0, wo.dem(spark), *GRID)
 
 
-@query("path_profiles", with_sql("dem") + "," + _WALKS + "," + _GRID + f""", p AS (SELECT cid, i, x+dx AS px, y+dy AS py FROM cand, off), s AS (SELECT *, max(CASE WHEN h IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY cid ORDER BY i) AS cut FROM {_sample_sql('p', 'px', 'py')})
+@query("path_profiles", with_sql("dem", "points") + "," + _WALKS + "," + _GRID + f""", p AS (SELECT cid, i, x+dx AS px, y+dy AS py FROM cand, off), s AS (SELECT *, max(CASE WHEN h IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY cid ORDER BY i) AS cut FROM {_sample_sql('p', 'px', 'py')})
  SELECT cid, count(*) FILTER (WHERE cut=0) AS n, round(coalesce(sum(h-h0) FILTER (WHERE cut=0),0),4) AS total FROM (SELECT *, first_value(h) OVER (PARTITION BY cid ORDER BY i) AS h0 FROM s) GROUP BY 1""")
 def path_profiles(spark: SparkSession, d: str) -> DataFrame:
-    p = _profiles(spark)
+    p = _profiles(spark, d)
     return p.select("cid", F.size("profile").cast("long").alias("n"), (F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
 
 
@@ -98,28 +98,29 @@ def cloud_clusters(spark: SparkSession, d: str) -> DataFrame:
     return r6(hy.clusters(_cloud(spark, d).withColumn("run", F.col("cid") % 8), 200.0))
 
 
-def _edges(spark: SparkSession) -> DataFrame:
+def _edges(spark: SparkSession, d: str | None = None) -> DataFrame:
+    """The street grid's directed edges; with tables, a town of them for each supplier."""
     from ..functions.geo import planar_bearing
 
-    r = wo.roads(spark)
-    node = lambda x, y: (F.col(x) / 200 + F.col(y) / 200 * 9).cast("long")
+    r = wo.towns(spark, d) if d else wo.roads(spark).withColumn("town", F.lit(0).cast("long"))
+    node = lambda x, y: F.col("town") * 81 + (F.col(x) / 200 + F.col(y) / 200 * 9).cast("long")
     out = r.select(node("ax", "ay").alias("a"), node("bx", "by").alias("b"), "ax", "ay", "bx", "by")
     back = out.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
     return out.unionByName(back).withColumns({"len": F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), "bearing": planar_bearing(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))})
 
 
-_EDGES = """e1 AS (SELECT CAST(ax/200+ay/200*9 AS BIGINT) AS a, CAST(ex/200+ey/200*9 AS BIGINT) AS b, ax, ay, ex, ey FROM roads), edges AS (SELECT *, 200.0 AS len, CASE WHEN ax=ex THEN 0.0 ELSE 90.0 END AS bearing FROM e1 UNION ALL SELECT b, a, ex, ey, ax, ay, 200.0, CASE WHEN ax=ex THEN 180.0 ELSE 270.0 END FROM e1),
+_EDGES = """e1 AS (SELECT s_suppkey*81+CAST(ax/200+ay/200*9 AS BIGINT) AS a, s_suppkey*81+CAST(ex/200+ey/200*9 AS BIGINT) AS b, ax, ay, ex, ey FROM roads, supplier), edges AS (SELECT *, 200.0 AS len, CASE WHEN ax=ex THEN 0.0 ELSE 90.0 END AS bearing FROM e1 UNION ALL SELECT b, a, ex, ey, ax, ay, 200.0, CASE WHEN ax=ex THEN 180.0 ELSE 270.0 END FROM e1),
  walkers AS (SELECT a, b, 25.0+k*50 AS s FROM edges, range(4) r(k))"""
 
 
 @query("road_seeds", with_sql("roads") + "," + _EDGES + " SELECT a, b, s::DOUBLE AS s FROM walkers")
 def road_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return hy.seed(_edges(spark), 50.0)
+    return hy.seed(_edges(spark, d), 50.0)
 
 
-@query("seed_spacing", with_sql("roads") + " SELECT round(greatest(12, 28800.0/300),6)::DOUBLE AS spacing")
+@query("seed_spacing", with_sql("roads") + " SELECT round(greatest(12, 28800.0*(SELECT count(*) FROM supplier)/300),6)::DOUBLE AS spacing")
 def seed_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark).agg(F.round(hy.spacing_for(_edges(spark), 300), 6).alias("spacing"))
+    return _edges(spark, d).agg(F.round(hy.spacing_for(_edges(spark, d), 300), 6).alias("spacing"))
 
 
 _MOVED = """, moved AS (SELECT a, b, s+60 AS s FROM walkers WHERE s+60<=200 UNION ALL SELECT e.a, e.b, w.s+60-200 FROM walkers w JOIN edges e ON e.a=w.b AND e.b<>w.a WHERE w.s+60>200 AND abs((e.bearing-90+180)-360*floor((e.bearing-90+180)/360)-180)<=150)"""
@@ -127,8 +128,8 @@ _MOVED = """, moved AS (SELECT a, b, s+60 AS s FROM walkers WHERE s+60<=200 UNIO
 
 @query("road_advance", with_sql("roads") + "," + _EDGES + _MOVED + " SELECT a, b, s::DOUBLE AS s, count(*) AS n FROM moved GROUP BY 1,2,3")
 def road_advance(spark: SparkSession, d: str) -> DataFrame:
-    w = hy.seed(_edges(spark), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
-    return hy.advance(w, _edges(spark), 60.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
+    w = hy.seed(_edges(spark, d), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
+    return hy.advance(w, _edges(spark, d), 60.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
 
 
 @query("road_scores", with_sql("roads", "dem") + "," + _EDGES + _MOVED + f""", p AS (SELECT m.a, m.b, m.s, e.bearing, e.ax+(e.ex-e.ax)*m.s/200 AS px, e.ay+(e.ey-e.ay)*m.s/200 AS py FROM moved m JOIN edges e ON e.a=m.a AND e.b=m.b),
@@ -137,7 +138,7 @@ def road_advance(spark: SparkSession, d: str) -> DataFrame:
  bst AS (SELECT *, row_number() OVER (PARTITION BY a,b,round(s/8) ORDER BY logw DESC, s) AS rn FROM sc)
  SELECT a, b, s::DOUBLE AS s, round(logw,6) AS logw FROM (SELECT * FROM bst WHERE rn=1 ORDER BY logw DESC, a, b, s LIMIT 100)""")
 def road_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark)
+    e = _edges(spark, d)
     w = hy.advance(hy.seed(e, 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)}), e, 60.0, 90.0)
     at = w.join(e.select("a", "b", "ax", "ay", "bx", "by", "len"), ["a", "b"]).withColumns({"px": F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("s") / F.col("len"), "py": F.col("ay") + (F.col("by") - F.col("ay")) * F.col("s") / F.col("len")})
     at = tr.sample(at, wo.dem(spark), *GRID, "px", "py").select("a", "b", "s", "logw", "e_prev", "h")
@@ -203,10 +204,12 @@ def graph_fresh(spark: SparkSession, d: str) -> DataFrame:
     return gr.covers(gr.nodes(_elements(spark, d)), 40.05, 40.0, -79.9, -80.0)
 
 
-@query("street_distances", with_sql("roads") + ", g AS (SELECT x, y FROM range(9) a(x), range(9) b(y)) SELECT CAST(x+y*9 AS BIGINT) AS node, (x+y)*200.0::DOUBLE AS metres FROM g")
+@query("street_distances", with_sql("roads") + ", g AS (SELECT x, y FROM range(9) a(x), range(9) b(y)) SELECT s_suppkey AS town, s_suppkey*81+CAST(x+y*9 AS BIGINT) AS node, (x+y)*200.0::DOUBLE AS metres FROM g, supplier")
 def street_distances(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("len").alias("metres"))
-    return gr.distances(e, 0)
+    """How far every corner of each town is from its first."""
+    e = _edges(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("len").alias("metres"))
+    towns = wo.read(spark, d, "supplier").select(F.col("s_suppkey").alias("route"), (F.col("s_suppkey") * 81).alias("start"))
+    return gr.distances_from(e, towns).select(F.col("route").alias("town"), "node", "metres")
 
 
 @query("route_milestones", with_sql("legs") + """, l AS (SELECT route, seq, 40+(seq*7+route)%11*0.001::DOUBLE AS lat, -80+(seq*5+route)%13*0.001::DOUBLE AS lon, metres FROM legs), a AS (SELECT *, lag(lat) OVER w AS a1, lag(lon) OVER w AS o1, lag(seq) OVER w IS NULL AS head, lead(seq) OVER w IS NULL AS tail, sum(metres) OVER w AS total FROM l WINDOW w AS (PARTITION BY route ORDER BY seq)),

@@ -75,12 +75,14 @@ def horizon(spark: SparkSession, d: str) -> DataFrame:
     return r6(tr.horizon(_line(spark, d), ["pid"], 60.0).withColumn("lit", F.lit(10.0) > F.col("angle")))
 
 
-@query("tile_mosaic", with_sql("dem") + """, t AS (SELECT gx//16 AS tile_x, gy//16 AS tile_y, gx%16 AS cx, gy%16 AS cy, (gx%3+128)*256+gy+(gx%7)/256.0::DOUBLE-32768 AS h FROM dem)
+@query("tile_mosaic", """WITH t AS (SELECT s_suppkey%8 AS tile_x, s_suppkey//8 AS tile_y, cx, cy, ((s_suppkey+cx)%3+128)*256+cy+s_suppkey%200+(cx%7)/256.0::DOUBLE-32768 AS h FROM supplier, range(16) a(cx), range(16) b(cy))
  SELECT CAST(tile_x*16+cx AS INT) AS gx, CAST(tile_y*16+cy AS INT) AS gy, round(h,6) AS h, CAST(round(h) AS SMALLINT) AS whole FROM t""")
 def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
-    t = wo.dem(spark).select(
-        F.floor(F.col("gx") / 16).alias("tile_x"), F.floor(F.col("gy") / 16).alias("tile_y"), (F.col("gx") % 16).alias("cx"), (F.col("gy") % 16).alias("cy"),
-        tr.terrarium(F.col("gx") % 3 + 128, F.col("gy"), (F.col("gx") % 7).cast("double")).alias("h"),
+    """A tile of heights for every supplier, put together."""
+    k, side = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(15))
+    pixels = wo.read(spark, d, "supplier").select("s_suppkey", F.explode(side).alias("cx")).select("s_suppkey", "cx", F.explode(side).alias("cy"))
+    t = pixels.select(
+        (k % 8).alias("tile_x"), F.floor(k / 8).alias("tile_y"), "cx", "cy", tr.terrarium((k + F.col("cx")) % 3 + 128, F.col("cy") + k % 200, (F.col("cx") % 7).cast("double")).alias("h")
     )
     out = tr.mosaic(t, 16)
     return r6(out.select(F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), "h", tr.as_int16(F.col("h")).alias("whole")))

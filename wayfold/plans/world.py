@@ -74,9 +74,14 @@ def recovery_gates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shape_outlines", """WITH c AS (SELECT * FROM (VALUES ('triangle',0,0.0,0.0),('triangle',1,1.0,0.0),('triangle',2,0.5,0.866025),('triangle',3,0.0,0.0),('square',0,0.0,0.0),('square',1,1.0,0.0),('square',2,1.0,1.0),('square',3,0.0,1.0),('square',4,0.0,0.0),
  ('rectangle',0,0.0,0.0),('rectangle',1,2.0,0.0),('rectangle',2,2.0,1.0),('rectangle',3,0.0,1.0),('rectangle',4,0.0,0.0)) v(shape,i,x,y))
- SELECT shape, i, x::DOUBLE AS x, y::DOUBLE AS y FROM c UNION ALL SELECT 'circle', CAST(i AS INT), round(cos(i%240*pi()/120),6), round(sin(i%240*pi()/120),6) FROM range(241) r(i) UNION ALL SELECT 'zigzag', CAST(i AS INT), round(i*cos(radians(30)),6), CASE WHEN i%2=1 THEN round(sin(radians(30)),6) ELSE 0 END FROM range(7) r(i)""")
+, o AS (SELECT shape, i, x::DOUBLE AS x, y::DOUBLE AS y FROM c UNION ALL SELECT 'circle', CAST(i AS INT), round(cos(i%240*pi()/120),6), round(sin(i%240*pi()/120),6) FROM range(241) r(i) UNION ALL SELECT 'zigzag', CAST(i AS INT), round(i*cos(radians(30)),6), CASE WHEN i%2=1 THEN round(sin(radians(30)),6) ELSE 0 END FROM range(7) r(i))
+ SELECT p_partkey AS id, shape, i, x*p_size AS x, y*p_size AS y FROM part JOIN o ON shape=['triangle','square','rectangle','circle','zigzag'][CAST(p_partkey%5 AS INT)+1]""")
 def shape_outlines(spark: SparkSession, d: str) -> DataFrame:
-    return r6(wa.outlines(spark))
+    """Every part's outline, as large as the part."""
+    shape = F.get(F.array(*(F.lit(s) for s in ("triangle", "square", "rectangle", "circle", "zigzag"))), (F.col("p_partkey") % 5).cast("int"))
+    part = wo.read(spark, d, "part").select(F.col("p_partkey").alias("id"), shape.alias("shape"), "p_size")
+    out = part.join(r6(wa.outlines(spark)), "shape")
+    return out.select("id", "shape", "i", *((F.col(c) * F.col("p_size")).alias(c) for c in "xy"))
 
 
 @query("placed_shapes", with_sql("points") + """, o AS (SELECT 'triangle' AS shape, i, [0.0,1.0,0.5,0.0][i+1]::DOUBLE AS x, [0.0,0.0,sqrt(3)/2,0.0][i+1]::DOUBLE AS y FROM range(4) r(i) UNION ALL SELECT 'square', i, [0.0,1.0,1.0,0.0,0.0][i+1], [0.0,0.0,1.0,1.0,0.0][i+1] FROM range(5) r(i)

@@ -67,6 +67,12 @@ def roads(spark: SparkSession) -> DataFrame:
     return east.unionByName(north)
 
 
+def towns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(town, sid, ax, ay, bx, by): the street grid once for each supplier, all in one frame."""
+    town = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("town"))
+    return town.crossJoin(F.broadcast(roads(spark))).withColumn("sid", F.col("town") * 144 + F.col("sid"))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fid, kind, x, y, name): parts as named features."""
     key = F.col("p_partkey")
