@@ -6,9 +6,8 @@ shingles; two texts of Jaccard similarity s share a key with probability 1 - (1
 
 1. every text of a key is compared with the key's smallest one, its leader; a pair that shares several keys is
    compared once, and keys with the same texts count once;
-2. texts that these links leave apart from their key's leader, over all keys, are odd.  The odd ones of a key are compared with
-   the smallest of them;
-3. what is odd is joined with the texts of its keys by prefixes.  All shingles are put in one order, those of fewest odd texts
+2. texts that these links leave apart from their key's leader, over all keys, are odd.  They
+   are joined with the texts of their keys by prefixes.  All shingles are put in one order, those of fewest odd texts
    first.  Of a pair that is alike, the first shingle in common stands in the first ``1 - s`` of the larger set, and in the first
    ``1 - 2 s / (1 + s)`` of the smaller one, so only these places are indexed and looked up, and only pairs of different components
    whose places leave room for enough in common are compared.  Texts that share a template but not
@@ -132,25 +131,16 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
     sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
     links = compared(few.select(F.col("xt").alias("src"), F.col("leader").alias("dst")))
-
-    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The components of links, and (key, xt) of the texts that are not in their leader's."""
-        group = cut(components(links), "alike-so-far").select(F.col("node").alias("xt"), F.col("component").alias("group"))
-        head = group.select(F.col("xt").alias("leader"), F.col("group").alias("leader_group"))
-        far = members.where("n > 2").join(group, "xt", "left").join(head, "leader", "left").where(F.coalesce("group", "xt") != F.coalesce("leader_group", "leader"))
-        return group, cut(far.select("key", "xt"), "odd-members")
-
-    _, odd = apart(links)
-    if odd.isEmpty():
-        discard(signed, keys, members, sets, odd)
-        return links
-    second = odd.join(odd.groupBy("key").agg(F.min("xt").alias("dst")), "key").where("xt <> dst").select(F.col("xt").alias("src"), "dst").distinct()
-    links = links.unionByName(compared(second))
-    discard(odd)
-    group, odd = apart(links)
+    # A text's link to the smallest of its component stands for all its links.
+    group = cut(components(links).select(F.col("node").alias("xt"), F.col("component").alias("group")), "alike-so-far")
+    star = group.select(F.col("xt").alias("src"), F.col("group").alias("dst"))
+    head = group.select(F.col("xt").alias("leader"), F.col("group").alias("leader_group"))
+    far = members.where("n > 2").join(group, "xt", "left").join(head, "leader", "left").where(F.coalesce("group", "xt") != F.coalesce("leader_group", "leader"))
+    odd = cut(far.select("key", "xt"), "odd-members")
+    discard(links)
     if odd.isEmpty():
         discard(signed, keys, members, sets, odd)
-        return links
+        return star
     strange = cut(odd.select("xt").distinct(), "odd-texts")
     around = members.join(odd.select("key").distinct(), "key", "left_semi").select("xt").distinct()
     token_types = f"xt {kind}, size int, token long"
@@ -169,7 +159,9 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
         ((F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("xt_y") < F.col("xt_x")))) & (F.col("size_y") >= F.col("size_x") * least - 1e-9)
         & (F.col("odd_x") | F.col("odd_y")) & (F.col("group_x") != F.col("group_y")) & (common >= (F.col("size_x") + F.col("size_y")) * (least / (1 + least)) - 1e-9)
     )
+    # Written first: what is few is broadcast then, and the sets stay where they are.
     met = small.where("at_y < indexed_y").join(large, "token").where(meets).select(F.col("xt_x").alias("src"), F.col("xt_y").alias("dst")).distinct()
-    found = links.unionByName(compared(met))
-    discard(signed, keys, members, sets, odd, strange, rare, places)
+    met = cut(met, "to-compare")
+    found = star.unionByName(compared(met))
+    discard(signed, keys, members, sets, odd, strange, rare, places, met)
     return found
