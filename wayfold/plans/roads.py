@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
+from ..operators import magnetism as mg
 from ..sources import worlds as wo
 from ..sources.worlds import with_sql
 from .search import _OSM, _elements
@@ -75,3 +76,19 @@ def drive_milestones(spark: SparkSession, d: str) -> DataFrame:
     path = path.join(node.select(F.col("id").alias("node")), "node")
     found = gr.drive_milestones(path, node, gr.edges(el, node))
     return found.select("route", F.col("leg").cast("long").alias("leg"), "node", "kind", F.round("speed", 4).alias("speed"), F.round("metres", 3).alias("metres"), F.round("total", 3).alias("total"), "straight")
+
+
+# A tilted dipole, with drift: what its closed form says.
+_DIPOLE = [(1, 0, -29_000.0, 0.0, 10.0, 0.0), (1, 1, -1_500.0, 4_600.0, 8.0, -25.0)]
+
+
+@query("dipole_declinations", """WITH c AS (SELECT c_custkey AS id, radians(c_custkey%160-80) AS lat, radians(c_custkey*7%360-180) AS lon, (c_custkey%9)/2.0::DOUBLE AS dt FROM customer), r AS (SELECT *, 6378.137/sqrt(1-0.0066943799901413165*sin(lat)**2) AS rc FROM c),
+ x AS (SELECT *, rc*cos(lat) AS xp, rc*(1-0.0066943799901413165)*sin(lat) AS zp FROM r), q AS (SELECT *, asin(zp/sqrt(xp*xp+zp*zp)) AS gc FROM x), f AS (SELECT *, -29000.0::DOUBLE+10*dt AS g0, (-1500.0::DOUBLE+8*dt)*cos(lon)+(4600.0::DOUBLE-25*dt)*sin(lon) AS al, (-1500.0::DOUBLE+8*dt)*sin(lon)-(4600.0::DOUBLE-25*dt)*cos(lon) AS ac FROM q),
+ b AS (SELECT *, -(g0*cos(gc)-al*sin(gc)) AS bn, -2*(g0*sin(gc)+al*cos(gc)) AS bd FROM f) SELECT id, round(degrees(atan2(ac, bn*cos(gc-lat)-bd*sin(gc-lat))),6) AS declination FROM b""")
+def dipole_declinations(spark: SparkSession, d: str) -> DataFrame:
+    """The declination of a dipole at a place of each customer's, by the general recursion."""
+    c = F.col("c_custkey")
+    terms = spark.createDataFrame(_DIPOLE, mg.COEFFICIENT)
+    at = wo.read(spark, d, "customer").select(c.alias("id"), (c % 160 - 80).alias("lat"), (c * 7 % 360 - 180).alias("lon"), (2025 + c % 9 / 2).alias("year"))
+    found = mg.declination(at, terms, 2025.0, F.col("lat"), F.col("lon"), F.col("year"))
+    return found.select("id", F.round("declination", 6).alias("declination"))
