@@ -107,7 +107,10 @@ def anchors(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
 
 
 def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
-    """Of ``docs(d1, d2, own, text)``, own being positions of repeated minimisers: where the pieces are whose windows these own (o: the minimiser's place in the piece), and their kinds."""
+    """(h1, h2, n, o, a, seen) of ``docs(d1, d2, own, text)``, own being positions of repeated minimisers: the kinds of the pieces whose windows these own.
+
+    n: windows, o: the minimiser's place in the piece, a: its hash, seen: where the kind is found (d1, d2, start) in a block of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -127,10 +130,18 @@ def pieces(docs: DataFrame, k: int = K, g: int = GRAM) -> DataFrame:
                 continue
             begin, holder = start[head], doc[head]
             kind = tx.strong_hash(buf.tobytes(), begin, begin + size + k - 1)
-            cols = [*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array((own[head] - begin).astype(np.int32)), pa.array(hashed[own[head]].view(np.int64)), *map(pa.array, kind)]
-            yield pa.RecordBatch.from_arrays(cols, [*DOC, "start", "n", "o", "a", *KIND])
+            # A kind is one row of the block, however often it is found there.
+            order = np.lexsort((kind[1], kind[0]))
+            begin, holder, head, size = begin[order], holder[order], head[order], size[order]
+            h1, h2 = (h[order] for h in kind)
+            first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+            seen = pa.StructArray.from_arrays([*(block.column(c).take(pa.array(holder)) for c in DOC), pa.array((begin - at[holder]).astype(np.int32))], [*DOC, "start"])
+            listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(h1)).astype(np.int32)), seen)
+            own_head = own[head[first]]
+            cols = [h1[first], h2[first], size[first].astype(np.int32), (own_head - begin[first]).astype(np.int32), hashed[own_head].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), listed], [*KIND, "n", "o", "a", "seen"])
 
-    return docs.select(*DOC, "own", "text").mapInArrow(run, "d1 long, d2 long, start int, n int, o int, a long, h1 long, h2 long")
+    return docs.select(*DOC, "own", "text").mapInArrow(run, "h1 long, h2 long, n int, o int, a long, seen array<struct<d1: long, d2: long, start: int>>")
 
 
 def piece_texts(docs: DataFrame, k: int = K) -> DataFrame:
@@ -341,13 +352,13 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
     # Pieces are told apart by 128 bits; of each kind the first occurrence's text is sorted.
     found = cut(pieces(docs.join(own, DOC), k, g), "pieces")
     discard(every, twice)
-    kinds = found.groupBy(*KIND).agg(F.count("*").alias("times"), F.first("a").alias("a"), F.first("o").alias("o"), F.min(F.struct(*DOC, "start", "n")).alias("at"))
+    kinds = found.groupBy(*KIND).agg(F.sum(F.size("seen")).alias("times"), F.first("a").alias("a"), F.first("o").alias("o"), F.first("n").alias("n"), F.min(F.array_min("seen")).alias("at"))
     kinds = cut(kinds, "piece-kinds")
     # A kind whose minimiser owns no other is repeated as a whole, or not at all.
     several = cut(kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "mixed-buckets")
-    alone = kinds.join(several, "a", "left_anti").where("times > 1").select(*KIND, F.lit(0).alias("i"), F.col("at.n").alias("n"))
+    alone = kinds.join(several, "a", "left_anti").where("times > 1").select(*KIND, F.lit(0).alias("i"), "n")
     mixed = kinds.join(several, "a", "left_semi")
-    listed = mixed.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("at.start", "at.n", "o", "a", *KIND, "times")).alias("listed"))
+    listed = mixed.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("at.start", "n", "o", "a", *KIND, "times")).alias("listed"))
     # Repeated rows give their pieces twice, which are repeated anyhow.
     texts = piece_texts(docs.join(listed, DOC), k)
     crowded = several.where(F.col("c") > most_pieces).select("a")
@@ -356,7 +367,8 @@ def spans(docs: DataFrame, k: int = K, g: int = GRAM, most_pieces: int = MOST_PI
         runs = runs.unionByName(split_buckets(cut(texts.join(crowded, "a", "left_semi"), "crowded-pieces"), k, most_pieces))
     runs = cut(runs.groupBy(*KIND).agg(F.collect_set(F.struct("i", "n")).alias("runs")), "repeated-runs")
     discard(kinds, several)
-    back = found.select(*DOC, "start", *KIND).join(runs, KIND)
+    # Runs meet the lists of a kind's places, a row for each block, and only then the places.
+    back = found.select("seen", *KIND).join(runs, KIND).select(F.inline("seen"), "runs")
     placed = F.transform("runs", lambda r: F.struct((F.col("start") + r["i"]).alias("start"), (r["n"] + k - 1).alias("bytes")))
     return back.select(*DOC, placed.alias("placed")).groupBy(*DOC).agg(F.flatten(F.collect_list("placed")).alias("gone"))
 
