@@ -99,3 +99,34 @@ def test_clusters_in_rounds_equal_the_loop(spark, weighted):
         for r in hy.clusters(df, 90.0, weighted=weighted, together=together).collect():
             got[r["run"]].append((round(r["x"], 6), round(r["y"], 6), round(r["w"], 6)))
         assert {r: sorted(v) for r, v in got.items()} == {r: greedy(rows, 90.0, weighted) for r, rows in runs.items()}
+
+
+def test_datagrams_come_by_a_spool_and_once(spark, tmp_path):
+    import socket
+    import threading
+
+    from wayfold.streaming import motion, spool
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    folder, stop, came = str(tmp_path / "spool"), threading.Event(), []
+    t = threading.Thread(target=lambda: came.append(spool.receive(folder, "127.0.0.1", port, lambda: not stop.is_set(), 0.2, 7)))
+    t.start()
+    time.sleep(0.5)
+    for k in range(40):
+        motion.send([{"n": k}], "127.0.0.1", port)
+        time.sleep(0.005)
+    time.sleep(0.8)
+    stop.set()
+    t.join()
+    assert came == [40]
+
+    def run():
+        q = spool.spooled(spark, folder, 2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r["body"] for r in spark.read.schema(spool.ROW).parquet(f"{tmp_path}/out").collect())
+
+    want = sorted(f'{{"n": {k}}}' for k in range(40))
+    # Begun again, the stream goes on where it was.
+    assert run() == want and run() == want and spool.spooled(spark, folder).isStreaming

@@ -96,9 +96,9 @@ def curve_costs(candidates: DataFrame, headings: list[float], step: float, dem:
 
 def cumulate(df: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
     """``out``: the running sum of ``value`` in order of the number ``order``, by sums of up to ``parts`` ranges and windows inside them, so that no task sees all rows."""
-    edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
-    part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    df = df.withColumn("_part", part)
+    edges = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("_edges"))
+    part = F.size(F.filter(F.coalesce("_edges", F.array()), lambda e: F.col(order) > e))
+    df = df.crossJoin(F.broadcast(edges)).withColumn("_part", part).drop("_edges")
     sums = df.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     run = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

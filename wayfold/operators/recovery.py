@@ -111,6 +111,22 @@ def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame
     return found.select("pid", F.col("fid").alias("node"), "dist")
 
 
+def nearest_node_anywhere(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """The same however far the node is: the reach grows for the points that have found none, until it spans all."""
+    ends = [f.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for f in (points, nodes)]
+    if any(e[0] is None for e in ends):
+        return nearest_node(points, nodes, reach)
+    wide = sum(max(e[k + 1] for e in ends) - min(e[k] for e in ends) for k in (0, 2))
+    left, done = points, None
+    while True:
+        found = settled(nearest_node(left, nodes, reach))
+        done = found if done is None else done.unionByName(found)
+        left = settled(left.join(found.select("pid"), "pid", "left_anti"))
+        if reach > wide or left.isEmpty():
+            return done
+        reach *= 4
+
+
 def retrace(crumbs: DataFrame, here: DataFrame, back_m: float = 20.0) -> DataFrame:
     """(device_id, i, left_m, target): the crumb nearest to where one is, the way left along the path, and the crumb to head for."""
     w = Window.partitionBy("device_id").orderBy("i")

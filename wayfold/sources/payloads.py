@@ -35,11 +35,14 @@ def _listed(v: Column) -> Column:
             for k in keys:
                 here = here & F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
             any_flat = any_flat | here
-        batch = F.array().cast("array<struct<x:double,y:double,z:double>>")
-        for name in reversed(LISTS):
+        none = F.array().cast("array<struct<x:double,y:double,z:double>>")
+        lists = []
+        for name in LISTS:
             named = F.filter(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda m: F.lower(F.try_variant_get(m, "$.name", "string")).isin(*names))
             got = F.filter(F.transform(named, lambda m: xyz(F.coalesce(F.try_variant_get(m, "$.values", "variant"), m))), lambda s: s.isNotNull())
-            batch = F.when(F.size(got) > 0, got).otherwise(batch)
+            lists.append(F.coalesce(got, none))
+        # Each list is read once; the first that yields anything counts.
+        batch = F.coalesce(F.get(F.filter(F.array(*lists), lambda g: F.size(g) > 0), F.lit(0)), none)
         got = F.when(any_flat, F.filter(F.array(xyz(v, FLAT[kind])), lambda s: s.isNotNull())).otherwise(batch)
         out.append(_numbered(kind, got))
     return F.concat(*out)
