@@ -161,7 +161,7 @@ def brute_labels(text, rules=license_rules.RULES):
             places.append((r.rank, a, a + m.group().count(" ")))
     kept = [rules[d[0]] for d in places if not any(e[0] < d[0] and e[1] <= d[1] and e[2] >= d[2] for e in places)]
     more = {r.label for r in kept if r.label}
-    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), max([r.score for r in kept if r.label], default=0.5 if base else 0.0)
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), max([license_scan.BASE_SCORE if base else 0.0, *(r.score for r in kept if r.label)])
 
 
 LICENSED = [
