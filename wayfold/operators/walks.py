@@ -201,6 +201,48 @@ def session(ticks: DataFrame) -> DataFrame:
     return routes.select("route", "ticks", "lengths").mapInArrow(some, "route long, t double, event string, leg int, speed double")
 
 
+def session_by_clock(routes: DataFrame, clock: list[tuple[float, bool, bool, str | None]]) -> DataFrame:
+    """The same rows for ``routes(route, lengths)`` that all get the ticks (t, moving, still, answer) of one clock.
+
+    No route has ticks of its own to be shuffled or listed: all routes of a batch step together, as arrays, until none has a leg left.
+    """
+    ordered = sorted(clock, key=lambda r: (r[0], r[1], r[2], r[3] is not None, r[3] or ""))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("lengths")
+            count = lengths.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            route, first, flat = batch.column("route").to_numpy(zero_copy_only=False), np.cumsum(count) - count, lengths.flatten().to_numpy(zero_copy_only=False)
+            leg, speed, done, entered, last = np.zeros(len(route), np.int32), np.full(len(route), BEGIN[1]), np.zeros(len(route)), np.full(len(route), np.nan), None
+            out: list[tuple] = []
+            for t, moving, still, answer in ordered:
+                open_ = leg < count
+                if not open_.all():
+                    route, first, count, leg, speed, done, entered = (x[open_] for x in (route, first, count, leg, speed, done, entered))
+                if not len(route):
+                    break
+                here, dt = flat[first + leg], 0.0 if last is None else t - last
+                entered = np.full(len(route), t) if last is None else entered
+                last = t
+                if answer == "deny":
+                    done = np.maximum(0.0, here - speed)
+                if answer != "arrive" and moving:
+                    done = np.minimum(done + speed * dt, here)
+                came = np.full(len(route), True) if answer == "arrive" else (here - done <= 50.0) & (t - entered >= 3.0) if still else np.full(len(route), False)
+                prompt = ~came & (done >= here)
+                if came.any():
+                    speed = np.where(came, np.minimum(45.0, np.maximum(1.0, 0.7 * speed + 0.3 * (here / np.maximum(t - entered, 3.0)))), speed)
+                    end = leg[came] + 1 == count[came]
+                    out.append((route[came], np.full(came.sum(), t), np.where(end, "destination", "arrived" if answer == "arrive" else "snapped"), leg[came] + 1, speed[came]))
+                if prompt.any():
+                    out.append((route[prompt], np.full(prompt.sum(), t), np.full(prompt.sum(), "prompt"), leg[prompt] + 1, speed[prompt]))
+                leg, done, entered = leg + came.astype(np.int32), np.where(came, 0.0, done), np.where(came, t, entered)
+            for cols in out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.float64()))], ["route", "t", "event", "leg", "speed"])
+
+    return routes.select("route", "lengths").mapInArrow(some, "route long, t double, event string, leg int, speed double")
+
+
 #: Points of a road's height profile are so far apart, at most.
 PROFILE_M = 5.0
 
