@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hypotheses import even_question
-from .spatial import feature_distance, nearest_feature
+from .spatial import feature_distance, line_distance, nearest_feature
 from .terrain import horizon, relative_profile, sample, slope_aspect, straight_line
 
 # Question -> kinds of features, and how near one must be (metres); the steepness that tells (degrees).
@@ -26,8 +26,10 @@ def _all(cloud: DataFrame, name: str, yes: DataFrame) -> DataFrame:
 
 
 def _near(cloud: DataFrame, features: DataFrame, kinds: tuple[str, ...], reach: float) -> DataFrame:
-    points = cloud.select(F.col("cid").alias("pid"), "x", "y")
-    return feature_distance(points, features.where(F.col("kind").isin(*kinds)), reach).select(F.col("pid").alias("cid"))
+    """Whether there is one is asked once of each place and each line, however many share them: no pair of hypothesis and feature is listed."""
+    shape = features.where(F.col("kind").isin(*kinds)).groupBy("line").agg(F.min("fid").alias("shape"))
+    hit = line_distance(cloud.select("x", "y").distinct(), shape, reach).select("x", "y").distinct()
+    return cloud.select("cid", "x", "y").join(hit, ["x", "y"], "left_semi").select("cid")
 
 
 def bank(cloud: DataFrame, features: DataFrame, nature: bool, heading: float | None = None, steep: DataFrame | None = None) -> DataFrame:
@@ -69,17 +71,23 @@ def named(cloud: DataFrame, things: DataFrame, kind: str, lead_x: Column, lead_y
     near = feature_distance(lead, kept, reach).where(F.col("dist") < reach).join(kept.select("fid", "name"), "fid")
     chosen = near.groupBy("name").agg(F.min("dist").alias("dist")).orderBy("dist", "name").limit(most)
     lines = kept.join(chosen.select("name"), "name", "left_semi")
-    yes = feature_distance(cloud.select(F.col("cid").alias("pid"), "x", "y"), lines, yes_m).join(lines.select("fid", "name"), "fid").select("name", F.col("pid").alias("cid")).distinct().withColumn("_hit", F.lit(True))
-    grid = cloud.select("cid", "w").crossJoin(F.broadcast(chosen.select("name")))
-    return grid.join(yes, ["name", "cid"], "left").select(F.col("name").alias("q"), "cid", F.coalesce("_hit", F.lit(False)).alias("yes"), "w")
+    # Asked once of each place and each line of a name, however many share them.
+    shape = lines.select("line", "name", F.min("fid").over(Window.partitionBy("line")).alias("shape")).distinct()
+    near_by = line_distance(cloud.select("x", "y").distinct(), shape.select("shape", "line").distinct(), yes_m).join(shape.select("shape", "name"), "shape")
+    yes = near_by.select("name", "x", "y").distinct().withColumn("_hit", F.lit(True))
+    grid = cloud.select("cid", "x", "y", "w").crossJoin(F.broadcast(chosen.select("name")))
+    return grid.join(yes, ["name", "x", "y"], "left").select(F.col("name").alias("q"), "cid", F.coalesce("_hit", F.lit(False)).alias("yes"), "w")
 
 
 def horizons(cloud: DataFrame, dem: DataFrame, cols: int, rows: int, cell: float, reach: float = 4000.0, step: float = 60.0) -> DataFrame:
     """(q, cid, yes, w): whether a ridge hides what lies behind, from every hypothesis towards each of eight bearings."""
-    turned = cloud.select("cid", "x", "y", "w").withColumn("q", F.explode(F.array(*[F.lit(h) for h in COMPASS])))
+    compass = F.explode(F.array(*[F.lit(h) for h in COMPASS]))
+    # Each place looks about once, however many hypotheses stand there.
+    turned = cloud.select("x", "y").distinct().withColumn("q", compass)
     line = sample(straight_line(turned, F.col("q"), reach, step), dem, cols, rows, cell, "px", "py")
-    found = horizon(relative_profile(line, ["q", "cid"]), ["q", "cid"], step)
-    return turned.join(found, ["q", "cid"], "left").select("q", "cid", F.coalesce("blocked", F.lit(False)).alias("yes"), "w")
+    found = horizon(relative_profile(line, ["q", "x", "y"]), ["q", "x", "y"], step)
+    asked = cloud.select("cid", "x", "y", "w").withColumn("q", compass)
+    return asked.join(found, ["q", "x", "y"], "left").select("q", "cid", F.coalesce("blocked", F.lit(False)).alias("yes"), "w")
 
 
 def horizon_question(cloud: DataFrame, dem: DataFrame, cols: int, rows: int, cell: float, reach: float = 4000.0, step: float = 60.0) -> DataFrame:
