@@ -141,8 +141,10 @@ def possible_places(spark: SparkSession, d: str) -> DataFrame:
     cloud = _cloud(spark, d)
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     lakes = wo.places(spark, d).where("kind = 'water'").select("fid", F.array(corner(60.5, 0.0), corner(0.0, 60.5), corner(-60.5, 0.0), corner(0.0, -60.5)).alias("ring"))
-    wet = sp.contains(wo.points(spark, d), lakes, 100.0).select(F.col("pid").alias("cid")).distinct()
-    near = sp.nearest_road(wo.points(spark, d).select("pid", "x", "y"), wo.roads(spark), ["pid"]).where("dist <= 40").select(F.col("pid").alias("cid"))
+    wet = sp.inside_any(wo.points(spark, d), lakes, 100.0).select(F.col("pid").alias("cid"))
+    # One road search for each place, however many hypotheses stand there.
+    at = sp.nearest_road(wo.points(spark, d).select("x", "y").distinct(), wo.roads(spark), ["x", "y"]).where("dist <= 40")
+    near = wo.points(spark, d).join(at, ["x", "y"], "left_semi").select(F.col("pid").alias("cid"))
     return hy.possible(cloud, "road", wet, cloud.where("x < 1500"), near).select("cid")
 
 
