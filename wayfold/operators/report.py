@@ -72,8 +72,9 @@ COMPARED = ["early_gain_frac", "mid_gain_frac", "late_gain_frac", "elev_roughnes
 
 def compact_rows(walks: DataFrame, elevations: DataFrame) -> DataFrame:
     """A benchmark row for each of ``walks(walk, located, error, conc, lat, lon, end_lat, end_lon, asked, turns, heading_sd, turned, steps, metres, pre_error, pre_conc, least_asked)`` with the noisy ``elevations(walk, i, elev)``."""
+    from ..functions.geo import rounded as r
+
     m = terrain_metrics(elevations).select("walk", "gain", "range")
-    r = lambda c, n: F.round(c, n)
     return walks.join(m, "walk").select(
         "walk", "located", r("error", 1).alias("locatedErrorM"), r("conc", 4).alias("locatedConc"), r("lat", 6).alias("locatedLat"), r("lon", 6).alias("locatedLon"), r("end_lat", 6).alias("trueEndLat"), r("end_lon", 6).alias("trueEndLon"),
         F.col("asked").alias("qAnsweredCount"), F.col("turns").alias("significantTurns"), r("heading_sd", 2).alias("headingStdDev"), r("turned", 1).alias("totalHeadingChangeDeg"), r("gain", 1).alias("elevGainM"), r("range", 1).alias("elevRangeM"),

@@ -144,7 +144,7 @@ def track_length(spark: SparkSession, d: str) -> DataFrame:
  SELECT device_id, CAST(k2 AS INT) AS k, round(x+(x2-x)*(k2*22-(e-len))/len,4) AS x, round(y+(y2-y)*(k2*22-(e-len))/len,4) AS y FROM k""")
 def track_resampled(spark: SparkSession, d: str) -> DataFrame:
     out = se.along(_track(spark, d), 22.0, ["device_id"])
-    return out.select("device_id", "k", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+    return out.select("device_id", "k", *[(geo.rounded(c, 4) + 0.0).alias(c) for c in "xy"])
 
 
 @query("profile_variance", "SELECT vec_id, round(list_aggregate(list_transform(embedding, lambda v: v::DOUBLE*100),'var_pop'),4) AS variance, list_aggregate(list_transform(embedding, lambda v: v::DOUBLE*100),'var_pop')<1.0 AS flat FROM embeddings")
