@@ -119,7 +119,9 @@ def breadcrumbs(df: DataFrame, most_gap: float = 3.0, gate: float = 0.05, apart:
         moved = go > gate
         x = F.when(moved, a["x"] + F.sin(F.radians(r["heading"])) * go).otherwise(a["x"])
         y = F.when(moved, a["y"] + F.cos(F.radians(r["heading"])) * go).otherwise(a["y"])
-        falls = moved & (F.hypot(x - a["last"]["x"], y - a["last"]["y"]) >= apart)
+        # A root of squares, as SQL has it: at just the distance a last digit decides.
+        dx, dy = x - a["last"]["x"], y - a["last"]["y"]
+        falls = moved & (F.sqrt(dx * dx + dy * dy) >= apart)
         return F.struct(F.when(moved, r["d"]).otherwise(base).alias("base"), r["t"].alias("t"), x.alias("x"), y.alias("y"), F.when(falls, place(x, y)).otherwise(a["last"]).alias("last"), F.when(falls, F.concat(a["crumbs"], F.array(place(x, y)))).otherwise(a["crumbs"]).alias("crumbs"))
 
     out = df.groupBy("device_id").agg(F.aggregate(rows, start, step, lambda a: a["crumbs"]).alias("crumbs"))
