@@ -57,3 +57,45 @@ def test_pairs_of_heaps_are_whole(spark):
     line = F.array(*[F.struct((F.col("x") + k).alias("x"), F.col("y").alias("y")) for k in (0.0, 2.0)])
     found = sp.feature_distance(points, features.select("fid", line.alias("line")), 40.0)
     assert found.distinct().count() == 2000 and {r[0] for r in found.select("dist").distinct().collect()} == {5.0}
+
+
+def test_copies_of_boxes_and_points_meet_once(spark):
+    from wayfold.operators import atlas as at
+
+    began = time.monotonic()
+    points = spark.range(MANY).select(F.col("id").alias("pid"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon"))
+    patches = spark.range(7, MANY).select(F.col("id").alias("patch"), F.lit(1.0).alias("s"), F.lit(2.0).alias("n"), F.lit(2.0).alias("w"), F.lit(3.0).alias("e"))
+    found = at.first_patch(points, patches)
+    assert found.agg(F.count("*"), F.min("patch"), F.max("patch")).first()[:] == (MANY, 7, 7)
+    assert time.monotonic() - began < 30
+
+
+def test_trails_along_one_line_are_one(spark):
+    from wayfold.operators import graph as gr
+
+    line = F.array(*[F.struct((F.col("id") % 1 + 500.0 + 9 * k).alias("x"), F.lit(500.0).alias("y")) for k in range(3)])
+    trails = spark.range(1000).select(F.col("id").alias("fid"), line.alias("line"))
+    roads = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0)], "sid long, ax double, ay double, bx double, by double")
+    found = gr.trail_graph(trails, roads)
+    assert found.count() == 4
+    # Grouped before its sides are made.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(fid#" in plan
+
+
+def test_terrain_walks_keep_only_what_comes_off(spark):
+    import numpy as np
+
+    from wayfold.operators import recovery as re
+
+    starts = spark.range(40).select(F.col("id").alias("walk"), (F.col("id") * 50.0).alias("x"), F.lit(30.0).alias("y"), F.col("id").alias("seed")).coalesce(1)
+    flat = lambda x, y: np.zeros_like(x)
+    found = re.terrain_walks(starts, flat, 15.0, 8, 0.5, 1500.0, 1500.0)
+    # One partition of starts is dealt to all cores, and no walk is stored on the way.
+    assert found.rdd.getNumPartitions() > 1 and "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["walk"], []).append(r)
+    assert all(len(w) == 8 and len({r["attempt"] for r in w}) == 1 and all(0 <= r["x"] <= 1500 and 0 <= r["y"] <= 1500 for r in w) for w in per.values())
+    assert 0 in per and max(per) <= 30

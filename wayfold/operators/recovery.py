@@ -208,43 +208,63 @@ def meander(starts: DataFrame, height: Callable[[np.ndarray, np.ndarray], np.nda
         for pdf in batches:
             if not len(pdf):
                 continue
-            rngs = [np.random.default_rng(int(s)) for s in pdf["seed"]]
-            h = np.array([r.uniform(0, 360) for r in rngs])
-            turns = np.stack([r.normal(0, 25, (steps, 7)) for r in rngs])
-            draws = np.stack([r.uniform(0, 1, steps) for r in rngs])
-            x, y, out = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), []
-            for i in range(steps):
-                out.append(pd.DataFrame({"walk": pdf["walk"].to_numpy(), "i": np.int32(i), "x": x, "y": y, "heading": h}))
-                turn = (h[:, None] + turns[:, i]) % 360
-                nx, ny = x[:, None] + np.sin(np.radians(turn)) * step, y[:, None] + np.cos(np.radians(turn)) * step
-                grade = np.abs(height(nx, ny) - height(x, y)[:, None]) / step
-                p = np.cumsum(np.exp(-((grade / most_grade) ** 2)) + 1e-9, axis=1)
-                k = np.minimum((p < draws[:, i, None] * p[:, -1:]).sum(axis=1), 6)
-                at = np.arange(len(k))
-                x, y, h = nx[at, k], ny[at, k], turn[at, k]
-            yield pd.concat(out)
+            x, y, h = _drawn(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["seed"].to_numpy(), height, step, steps, most_grade)
+            yield _rows({"walk": pdf["walk"].to_numpy()}, x, y, h)
 
     return starts.select("walk", "x", "y", "seed").mapInPandas(some, "walk long, i int, x double, y double, heading double")
 
 
+def _drawn(x: np.ndarray, y: np.ndarray, seed: np.ndarray, height: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float, steps: int, most_grade: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and headings of meanders, a row for each walk and a column for each of its points."""
+    rngs = [np.random.default_rng(int(s)) for s in seed]
+    h = np.array([r.uniform(0, 360) for r in rngs])
+    turns = np.stack([r.normal(0, 25, (steps, 7)) for r in rngs])
+    draws = np.stack([r.uniform(0, 1, steps) for r in rngs])
+    out = []
+    for i in range(steps):
+        out.append((x, y, h))
+        turn = (h[:, None] + turns[:, i]) % 360
+        nx, ny = x[:, None] + np.sin(np.radians(turn)) * step, y[:, None] + np.cos(np.radians(turn)) * step
+        grade = np.abs(height(nx, ny) - height(x, y)[:, None]) / step
+        p = np.cumsum(np.exp(-((grade / most_grade) ** 2)) + 1e-9, axis=1)
+        k = np.minimum((p < draws[:, i, None] * p[:, -1:]).sum(axis=1), 6)
+        at = np.arange(len(k))
+        x, y, h = nx[at, k], ny[at, k], turn[at, k]
+    return tuple(np.stack(c, axis=1) for c in zip(*out))
+
+
+def _rows(keys: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+    """Walks as rows, with the keys of each."""
+    n = x.shape[1]
+    return pd.DataFrame({k: np.repeat(v, n) for k, v in keys.items()} | {"i": np.tile(np.arange(n, dtype=np.int32), len(x)), "x": x.ravel(), "y": y.ravel(), "heading": h.ravel()})
+
+
 # Tries for each terrain walk, and the climb that one may take.
 TERRAIN_TRIES, CLIMB_BUDGET_M = 25, 500.0
+#: So many walks are drawn as arrays at a time.
+TERRAIN_TOGETHER = 1000
 
 
 def terrain_walks(starts: DataFrame, height: Callable[[np.ndarray, np.ndarray], np.ndarray], step: float, steps: int, most_grade: float, x1: float, y1: float) -> DataFrame:
     """(walk, attempt, i, x, y, heading): of ``TERRAIN_TRIES`` meanders from each of ``starts(walk, x, y, seed)`` the first that stays on the map (0 to x1, 0 to y1) and within the climb budget and the grade; none if all fail."""
-    tries = starts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(TERRAIN_TRIES - 1))))
-    tries = tries.select((F.col("walk") * TERRAIN_TRIES + F.col("attempt")).alias("walk"), "x", "y", (F.col("seed") * TERRAIN_TRIES + F.col("attempt")).alias("seed"))
-    drawn = settled(meander(tries, height, step, steps, most_grade))
 
-    def climbs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"walk": pdf["walk"], "i": pdf["i"], "h": height(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))})
-
-    h = drawn.select("walk", "i", "x", "y").mapInPandas(climbs, "walk long, i int, h double")
-    up = F.col("h") - F.lag("h").over(Window.partitionBy("walk").orderBy("i"))
-    gain = h.withColumn("_d", up).groupBy("walk").agg(F.coalesce(F.sum(F.greatest("_d", F.lit(0.0))), F.lit(0.0)).alias("gain"), F.coalesce(F.max(F.abs("_d")), F.lit(0.0)).alias("steepest"))
-    inside = drawn.groupBy("walk").agg(F.min(F.col("x").between(0.0, x1) & F.col("y").between(0.0, y1)).alias("inside"))
-    good = gain.join(inside, "walk").where(F.col("inside") & (F.col("gain") <= CLIMB_BUDGET_M) & (F.col("steepest") <= most_grade * step))
-    first = good.groupBy(F.floor(F.col("walk") / TERRAIN_TRIES).alias("_w")).agg(F.min("walk").alias("walk"))
-    return drawn.join(first, "walk").select(F.col("_w").alias("walk"), (F.col("walk") % TERRAIN_TRIES).cast("int").alias("attempt"), "i", "x", "y", "heading")
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), TERRAIN_TOGETHER):
+                left = batch.iloc[at : at + TERRAIN_TOGETHER]
+                # Only walks that have not come off yet are tried again, and only those that do are rows.
+                for attempt in range(TERRAIN_TRIES):
+                    if not len(left):
+                        break
+                    x, y, h = _drawn(left["x"].to_numpy(float), left["y"].to_numpy(float), left["seed"].to_numpy() * TERRAIN_TRIES + attempt, height, step, steps, most_grade)
+                    climb = np.diff(height(x, y), axis=1)
+                    inside = ((x >= 0.0) & (x <= x1) & (y >= 0.0) & (y <= y1)).all(axis=1)
+                    good = inside & (np.maximum(climb, 0.0).sum(axis=1) <= CLIMB_BUDGET_M) & (np.abs(climb).max(axis=1, initial=0.0) <= most_grade * step)
+                    if good.any():
+                        done = left["walk"].to_numpy()[good]
+                        yield _rows({"walk": done, "attempt": np.full(len(done), attempt, np.int32)}, x[good], y[good], h[good])
+                    left = left[~good]
+
+    # A small table is one partition: its starts are dealt to all cores.
+    dealt = starts.select("walk", "x", "y", "seed").repartition(4 * starts.sparkSession.sparkContext.defaultParallelism, "walk")
+    return dealt.mapInPandas(some, "walk long, attempt int, i int, x double, y double, heading double")
