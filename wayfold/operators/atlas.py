@@ -67,12 +67,18 @@ def migrated(spark: SparkSession, path: str, patch: str) -> DataFrame:
 
 
 def first_patch(points: DataFrame, patches: DataFrame) -> DataFrame:
-    """(pid, patch): the first patch (patch, s, n, w, e) that covers each point; patches meet points on whole degrees."""
+    """(pid, patch): the first patch (patch, s, n, w, e) that covers each point; patches meet points on whole degrees.
+
+    Of patches of one box the first counts, and points of one place share theirs, so copies of either meet nothing more.
+    """
+    boxes = patches.groupBy("s", "n", "w", "e").agg(F.min("patch").alias("patch"))
+    places = points.select("lat", "lon").distinct()
     span = lambda a, b: F.sequence(F.floor(F.col(a)), F.floor(F.col(b)))
-    cells = patches.withColumn("cy", F.explode(span("s", "n"))).withColumn("cx", F.explode(span("w", "e")))
-    p = points.withColumns({"cy": F.floor("lat"), "cx": F.floor("lon")})
+    cells = boxes.withColumn("cy", F.explode(span("s", "n"))).withColumn("cx", F.explode(span("w", "e")))
+    p = places.withColumns({"cy": F.floor("lat"), "cx": F.floor("lon")})
     hit = p.join(cells, ["cx", "cy"]).where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
-    return hit.groupBy("pid").agg(F.min("patch").alias("patch"))
+    first = hit.groupBy("lat", "lon").agg(F.min("patch").alias("patch"))
+    return points.select("pid", "lat", "lon").join(first, ["lat", "lon"]).groupBy("pid").agg(F.min("patch").alias("patch"))
 
 
 def missing_tiles(spark: SparkSession, patches: DataFrame, south: float, west: float, north: float, east: float, cell: float = 0.30) -> DataFrame:
