@@ -78,7 +78,9 @@ def line_distances(spark: SparkSession, d: str) -> DataFrame:
 @query("rotation_search")
 def rotation_search(spark: SparkSession, d: str) -> DataFrame:
     """The turn at which a walk from any customer's place keeps to the streets best."""
-    p = wo.points(spark, d).select("pid", F.col("x").alias("x0"), F.col("y").alias("y0")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("heading", F.when(F.col("i") < 3, 80.0).otherwise(350.0))
+    # Customers of one place are one candidate: only the best of all is told.
+    at = wo.points(spark, d).groupBy(F.col("x").alias("x0"), F.col("y").alias("y0")).agg(F.min("pid").alias("pid"))
+    p = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("heading", F.when(F.col("i") < 3, 80.0).otherwise(350.0))
     return r6(sp.best_rotation(p, wo.roads(spark), ["pid"], 15.0, 25.0))
 
 
@@ -103,13 +105,16 @@ def road_weights(spark: SparkSession, d: str) -> DataFrame:
 @query("curve_scores")
 def curve_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's place as the start of a walk over one hill to another: heights and streets together."""
-    start = wo.points(spark, d).select(F.col("pid").alias("cid"), "x", "y")
+    own = wo.points(spark, d).select(F.col("pid").alias("cid"), "x", "y")
+    # Each place is walked from and scored once, for all customers who are there.
+    start = own.groupBy("x", "y").agg(F.min("cid").alias("cid")).select("cid", "x", "y")
     walk = hy.path_offsets(spark, HEADINGS, 15.0).where(F.col("i") < len(HEADINGS))
     heading = F.element_at(F.array(*[F.lit(h) for h in HEADINGS]), F.col("i") + 1)
     bins = start.crossJoin(F.broadcast(walk)).select("cid", "i", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), heading.alias("heading"))
     fit = sp.adherence(bins, wo.roads(spark), ["cid"], 30.0)
     scored = hy.curve_costs(start, HEADINGS, 15.0, wo.dem(spark), *GRID, OBSERVED).join(fit, "cid")
-    return r6(scored.select("cid", hy.curve_score(F.col("adherence"), F.col("cost"), F.col("length"), len(OBSERVED)).alias("score")))
+    scored = scored.select("x", "y", hy.curve_score(F.col("adherence"), F.col("cost"), F.col("length"), len(OBSERVED)).alias("score"))
+    return r6(own.join(scored, ["x", "y"]).select("cid", "score"))
 
 
 #: What a walker to be found has climbed, a value for each bin.
