@@ -127,6 +127,7 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     keys = by_key.groupBy("key").agg(F.min("xt").alias("leader"), F.count("*").alias("n"), *told).where("n > 1")
     keys = cut(keys.groupBy("leader", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "leader", "n"), "shared-keys")
     members = cut(by_key.select("key", "xt").join(keys, "key"), "key-members")
+    discard(signed, keys)
     few = members.where("xt <> leader").select("xt", "leader").distinct()
     texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
     sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
@@ -139,7 +140,7 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     odd = cut(far.select("key", "xt"), "odd-members")
     discard(links)
     if odd.isEmpty():
-        discard(signed, keys, members, sets, odd)
+        discard(members, sets, odd)
         return star
     strange = cut(odd.select("xt").distinct(), "odd-texts")
     around = members.join(odd.select("key").distinct(), "key", "left_semi").select("xt").distinct()
@@ -163,5 +164,5 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     met = small.where("at_y < indexed_y").join(large, "token").where(meets).select(F.col("xt_x").alias("src"), F.col("xt_y").alias("dst")).distinct()
     met = cut(met, "to-compare")
     found = star.unionByName(compared(met))
-    discard(signed, keys, members, sets, odd, strange, rare, places, met)
+    discard(members, sets, odd, strange, rare, places, met)
     return found

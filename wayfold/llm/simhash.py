@@ -39,6 +39,8 @@ SEED = 42
 CROWD = 1024
 #: Up to so many members of a key give their pairs; more give a tree.
 FEW = 8
+#: So many crowded fingerprints are spread to their points at once, and so many rows sent on.
+PART, ROWS_OUT = 1024, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -192,15 +194,17 @@ def midpoints(fps: DataFrame, most_bits: int) -> DataFrame:
         ball = np.unique(np.concatenate(masks))
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            for a in range(0, len(fp), 4096):
-                part = fp[a : a + 4096]
+            for a in range(0, len(fp), PART):
+                part = fp[a : a + PART]
                 point = (part[:, None] ^ ball[None, :]).ravel()
                 owner = np.repeat(part.view(np.int64), len(ball))
                 order = np.argsort(point, kind="stable")
                 point, owner = point[order], owner[order]
                 head = np.append(True, point[1:] != point[:-1])
                 low = np.minimum.reduceat(owner, np.flatnonzero(head))
-                yield pa.RecordBatch.from_arrays([pa.array(point.view(np.int64)), pa.array(owner), pa.array(low[np.cumsum(head) - 1])], ["point", "fp", "low"])
+                rows = pa.RecordBatch.from_arrays([pa.array(point.view(np.int64)), pa.array(owner), pa.array(low[np.cumsum(head) - 1])], ["point", "fp", "low"])
+                for b in range(0, rows.num_rows, ROWS_OUT):
+                    yield rows.slice(b, ROWS_OUT)
 
     listed = fps.mapInArrow(run, "point long, fp long, low long")
     # Within a block the smallest of a point is known: its own links, and one row of the block for the point.
