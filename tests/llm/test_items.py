@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from wayfold.llm import decontaminate
@@ -58,3 +59,25 @@ def test_keys_in_parts_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_FILTER_BITS", 16)
     monkeypatch.setattr(decontaminate, "LEAST_SHARE", 20)
     assert find() == whole and len(whole) >= 55
+
+
+def test_blocks_leave_out_most_pairs_and_none_within_reach():
+    rng = random.Random(4)
+    items, texts, first, last = [], [], [], []
+    for k in range(300):
+        item = prose(rng, rng.randint(5, 60))
+        before = prose(rng, rng.randint(0, 40)) + " "
+        copy = edited(rng, item, 0.2) if k % 3 == 0 else prose(rng, 60)
+        at = len(before) + rng.randint(-9, 9)
+        items.append(item.encode())
+        texts.append((before + copy + " " + prose(rng, 30)).encode())
+        first.append(at)
+        last.append(at + rng.randint(0, 9))
+    first, last = np.array(first), np.array(last)
+    most = (0.2 * np.array([len(i) for i in items]) + 1e-9).astype(int)
+    left = set(decontaminate.promising(items, texts, first, last, most).tolist())
+    size = np.array([len(i) for i in items])
+    cut = [t[max(0, a) : max(0, z)] for t, a, z in zip(texts, first - most, last + size + most)]
+    near = set(np.flatnonzero(decontaminate.best_matches(items, cut) <= most).tolist())
+    assert near <= left and len(near) > 50 and sum(size[p] > 64 for p in left - near) < 20
+    assert decontaminate.promising([], [], first[:0], last[:0], most[:0]).tolist() == []

@@ -270,6 +270,26 @@ def best_matches(items: list[bytes], regions_: list[bytes]) -> np.ndarray:
     return out
 
 
+def promising(items: list[bytes], regions_: list[bytes], first: np.ndarray, last: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Indexes of the pairs whose items may lie within ``most`` edits of their region, as far as blocks of 64 bytes tell.
+
+    Of a match every block lies at most 2 * most from its place after ``first`` and ``last``, and the least edits of the blocks
+    add up to those of the item or fewer: nothing that is within reach is lost.
+    """
+    size = np.array([len(i) for i in items], np.int64)
+    total, left = np.zeros(len(items), np.int64), np.arange(len(items))
+    for b in range(0, int(size.max(initial=0)), 64):
+        some = left[(size[left] > b) & (size[left] > 64)]
+        if not len(some):
+            break
+        low = np.maximum(first - most, first - 2 * most + b)[some]
+        high = np.minimum(last + size + most, last + 2 * most + b + 64)[some]
+        texts = [regions_[p][max(0, a) : max(0, z)] for p, a, z in zip(some.tolist(), low.tolist(), high.tolist())]
+        total[some] += best_matches([items[p][b : b + 64] for p in some.tolist()], texts)
+        left = left[total[left] <= most[left]]
+    return left
+
+
 def _packed(bit: Column, of: DataFrame, bits: int) -> np.ndarray:
     """A packed table of 2 ** ``bits`` bits with those of the column set; words of 64 bits come to the driver."""
     word = of.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
@@ -313,9 +333,13 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column("item").to_pylist()
+            most = ((1 - similarity) * np.array([len(t) for t in texts]) + 1e-9).astype(int)
+            # Most pairs share little but a key: a block or two of the item leave them out.
+            left = promising(texts, batch.column("region").to_pylist(), batch.column("first").to_numpy(), batch.column("last").to_numpy(), most)
+            batch, most = batch.take(pa.array(left)), most[left]
             texts, parts = batch.column("item").to_pylist(), []
-            size = np.array([len(t) for t in texts])
-            most = ((1 - similarity) * size + 1e-9).astype(int)
+            size = np.array([len(t) for t in texts], int)
             for region, low, high in zip(batch.column("region").to_pylist(), (batch.column("first").to_numpy() - most).tolist(), (batch.column("last").to_numpy() + size + most).tolist()):
                 parts.append(region[max(0, low) : max(0, high)])
             edits = best_matches(texts, parts)
