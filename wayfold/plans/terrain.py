@@ -80,7 +80,8 @@ def horizon(spark: SparkSession, d: str) -> DataFrame:
 def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
     """A tile of heights for every supplier, put together."""
     k, side = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(15))
-    pixels = wo.read(spark, d, "supplier").select("s_suppkey", F.explode(side).alias("cx")).select("s_suppkey", "cx", F.explode(side).alias("cy"))
+    tiles = wo.dealt(wo.read(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 1000)
+    pixels = tiles.select("s_suppkey", F.explode(side).alias("cx")).select("s_suppkey", "cx", F.explode(side).alias("cy"))
     t = pixels.select(
         (k % 8).alias("tile_x"), F.floor(k / 8).alias("tile_y"), "cx", "cy", tr.terrarium((k + F.col("cx")) % 3 + 128, F.col("cy") + k % 200, (F.col("cx") % 7).cast("double")).alias("h")
     )

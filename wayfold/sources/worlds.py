@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` with about ``rows`` rows in a partition, for rows that many others are made of: small files are one partition, and its task would make them all."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(device_id, event_id, t, mag, k, heading, kind): one reading for each event."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -69,7 +74,7 @@ def roads(spark: SparkSession) -> DataFrame:
 
 def towns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(town, sid, ax, ay, bx, by): the street grid once for each supplier, all in one frame."""
-    town = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("town"))
+    town = dealt(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("town")), "town", 1000)
     return town.crossJoin(F.broadcast(roads(spark))).withColumn("sid", F.col("town") * 144 + F.col("sid"))
 
 
