@@ -41,10 +41,12 @@ def placed(outline: DataFrame, placements: DataFrame, perimeter: float) -> DataF
     # A row for each shape.
     size = step.groupBy("shape").agg(F.sum("_s").alias("_len"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
     # Outlines are a constant few hundred points; placements may be many.
-    p = placements.crossJoin(F.broadcast(outline.join(size, "shape")))
-    k, r = perimeter / F.col("_len"), F.radians("turn")
-    dx, dy = (F.col("x") - F.col("_mx")) * k, (F.col("y") - F.col("_my")) * k
-    return p.select("shape", "pid", "i", (F.col("cx") + dx * F.cos(r) - dy * F.sin(r)).alias("x"), (F.col("cy") + dx * F.sin(r) + dy * F.cos(r)).alias("y"))
+    # Each shape is scaled once and each placement's turn taken once, not for every pair.
+    k = perimeter / F.col("_len")
+    scaled = outline.join(size, "shape").select("shape", "i", ((F.col("x") - F.col("_mx")) * k).alias("_dx"), ((F.col("y") - F.col("_my")) * k).alias("_dy"))
+    turned = placements.select("pid", "cx", "cy", F.cos(F.radians("turn")).alias("_cos"), F.sin(F.radians("turn")).alias("_sin"))
+    p, dx, dy, cos, sin = turned.crossJoin(F.broadcast(scaled)), *(F.col(c) for c in ("_dx", "_dy", "_cos", "_sin"))
+    return p.select("shape", "pid", "i", (F.col("cx") + dx * cos - dy * sin).alias("x"), (F.col("cy") + dx * sin + dy * cos).alias("y"))
 
 
 def _by_area(walks: DataFrame, edges: DataFrame, fold, schema: str, lanes: int = 8) -> DataFrame:
