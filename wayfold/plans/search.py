@@ -288,7 +288,7 @@ def _bodies(spark, d):
     listed = F.concat(F.lit('{"messages": [], "payload": [{"name": "Gyroscope", "values": {"x": '), k, F.lit(', "y": 0.5, "z": -'), k, F.lit('}}, {"name": "gravity", "values": {"x": 9, "y": 9, "z": 9}}, {"name": "gyroscopeUncalibrated", "gx": 1, "gy": 2, "gz": 3}]}'))
     mag = F.concat(F.lit('{"mx": '), k, F.lit(', "my": 0.5, "mz": -'), k, F.lit("}"))
     body = F.when(F.col("k") % 4 == 0, flat).when(F.col("k") % 4 == 1, listed).when(F.col("k") % 4 == 2, mag).otherwise("not json")
-    return wo.telemetry(spark, d).select(F.col("event_id").alias("pid"), body.alias("body"))
+    return wo.dealt(wo.telemetry(spark, d).select("event_id", "k"), "event_id", 100_000).select(F.col("event_id").alias("pid"), body.alias("body"))
 
 
 @query("payload_rejects", with_sql("tele") + " SELECT event_id AS pid, 'not json' AS body FROM tele WHERE k%4=3")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ def xyz(values: Column, styles=STYLES) -> Column:
 
 def _listed(v: Column) -> Column:
     """Array of (kind, i, x, y, z) of a parsed payload's samples, in the order accel, gyro, mag."""
+    return F.concat(*_by_kind(v))
+
+
+def _by_kind(v: Column) -> list[Column]:
     out = []
     for kind, names in NAMES.items():
         any_flat = F.lit(False)
@@ -45,7 +51,7 @@ def _listed(v: Column) -> Column:
         batch = F.coalesce(F.get(F.filter(F.array(*lists), lambda g: F.size(g) > 0), F.lit(0)), none)
         got = F.when(any_flat, F.filter(F.array(xyz(v, FLAT[kind])), lambda s: s.isNotNull())).otherwise(batch)
         out.append(_numbered(kind, got))
-    return F.concat(*out)
+    return out
 
 
 def _numbered(kind: str, found: Column) -> Column:
@@ -63,7 +69,10 @@ def samples(payloads: DataFrame) -> DataFrame:
 
 def rejects(payloads: DataFrame) -> DataFrame:
     """Payloads of which no sample can be read."""
-    return payloads.withColumn("_v", F.try_parse_json("body")).where(F.coalesce(F.size(_listed(F.col("_v"))), F.lit(0)) == 0).drop("_v")
+    # A filter is pushed below a column and the parse put in for each of its mentions, but not below an exploded one: each body is parsed once.
+    parsed = payloads.select("*", F.explode(F.array(F.try_parse_json("body"))).alias("_v"))
+    some = reduce(Column.__or__, [F.coalesce(F.size(found), F.lit(0)) > 0 for found in _by_kind(F.col("_v"))])
+    return parsed.where(~some).drop("_v")
 
 
 def post(bodies: DataFrame, running: Column) -> DataFrame:
