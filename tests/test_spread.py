@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfold.operators import routes as ro
 from wayfold.operators import walks as wa
 from wayfold.plans import registry
 from wayfold.sources import payloads as pl
@@ -29,3 +30,14 @@ def test_turns_are_taken_once_for_a_placement(spark):
 def test_a_rejected_body_is_parsed_once(spark):
     df = pl.rejects(spark.createDataFrame([(1, "not json"), (2, '{"ax": 1, "ay": 2, "az": 3}'), (3, None), (4, "{}")], "pid long, body string").repartition(2))
     assert plan(df).count("parse_json") <= 1 and sorted(r["pid"] for r in df.collect()) == [1, 3, 4] and df.columns == ["pid", "body"]
+
+
+def test_ticks_of_one_clock_are_the_rows_of_the_window(spark, tmp_path):
+    clock = [(0, True, 2.0), (1, False, 2.0), (2, True, 0.3), (3, True, 0.7), (4, False, 1.0), (5, True, 0.1)]
+    legs = spark.createDataFrame([(1, 1, 100.0, 8.1), (1, 2, 0.9, 0.3), (2, 1, 5.0, None), (2, 2, None, 3.3), (3, 1, 0.0, 0.0)], "route long, leg int, metres double, speed double")
+    ticks = legs.crossJoin(spark.createDataFrame(clock, "t int, moving boolean, dt double"))
+    rows = lambda df: sorted(map(str, df.select("route", "leg", "t", "moving", "done", "prompt").collect()))
+    assert rows(ro.progress_by_clock(legs, clock)) == rows(ro.progress(ticks)) and len(rows(ro.progress(ticks))) == 30
+    # Legs are dealt out once, and no tick is.
+    reckoned = registry.queries()["dead_reckoning"](spark, "/root/testdata/sf0.001")
+    assert reckoned._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -28,6 +28,24 @@ def progress(ticks: DataFrame, keys: tuple[str, ...] = ("route", "leg")) -> Data
     return df.withColumn("prompt", F.col("done") >= F.col("metres"))
 
 
+def progress_by_clock(legs: DataFrame, clock: list[tuple[int, bool, float]]) -> DataFrame:
+    """The rows of :func:`progress` for ``legs(..., metres, speed)`` that all get the ticks (t, moving, dt) of one clock, and ``t`` and ``moving``.
+
+    A leg's sums are one array, added up in the order of ticks as the window adds them, and written out in the plan:
+    for clocks of some tens of ticks.  No tick is shuffled or sorted.
+    """
+    sums, ticks, stood = [F.lit(0.0)], [], False
+    for t, moving, dt in sorted(clock):
+        stood = stood or not moving
+        if moving:
+            sums.append(sums[-1] + F.coalesce(F.col("speed") * dt, F.lit(0.0)))
+        ticks.append(F.struct(F.lit(t).alias("t"), F.lit(moving).alias("moving"), F.lit(len(sums) - 1).alias("_k"), F.lit(stood).alias("_stood")))
+    df = legs.withColumn("_sums", F.array(*sums)).select("*", F.inline(F.array(*ticks)))
+    # Where no increment is known yet, there is no sum.
+    total = F.when(F.col("_stood") | F.col("speed").isNotNull(), F.get("_sums", F.col("_k")))
+    return df.withColumn("done", F.least(total, F.col("metres"))).withColumn("prompt", F.col("done") >= F.col("metres")).drop("_sums", "_k", "_stood")
+
+
 def snaps(done: Column, metres: Column, still: Column, leg_s: Column) -> Column:
     """Whether a stop counts as arriving: still, close before the end, and the leg not too young."""
     return still & (metres - done <= SNAP_M) & (leg_s >= LEAST_LEG_S)
