@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import components, jaccard
+from wayfold.llm import components, jaccard, store
 
 from .test_operators import classes
 
@@ -84,3 +84,17 @@ def test_components_of_random_links(spark):
         got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame([*links, *links], "src long, dst long")).collect()}
         assert got == {k: c for k, c in enumerate(of) if k != c}
     assert components.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_what_shares_no_key_is_sifted_out_before_a_join(spark, monkeypatch):
+    every = spark.range(20_000).select(F.struct(F.col("id").alias("a"), (F.col("id") * 7).alias("b")).alias("xt"), F.lit("some text").alias("text"), F.lit(1).alias("word"))
+    few = every.where("xt.a % 20 = 0").select("xt")
+    left = store.sifted(every, few, "xt")
+    assert left.columns == ["xt", "text", "word"] and left.join(few, "xt").count() == 1000 and left.count() < 3500
+    # Of more keys than the bits are made for, more others pass, and no key goes.
+    monkeypatch.setattr(store, "MOST_SIEVE_BITS", 4)
+    assert store.sifted(every, few, "xt").join(few, "xt").count() == 1000
+    assert store.sifted(every, few.limit(0), "xt").count() == 0
+    # The sieve stands below the exchange of whole texts.
+    plan = left.join(few, "xt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ones") and plan.count("Join") == 2

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import cut, discard
+from .store import cut, discard, sifted
 
 BANDS, ROWS = 24, 5
 ROWS_OUT = 1 << 16
@@ -126,10 +126,13 @@ def similar(docs: DataFrame, least: float, n: int = 5) -> DataFrame:
     told = F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")
     keys = by_key.groupBy("key").agg(F.min("xt").alias("leader"), F.count("*").alias("n"), *told).where("n > 1")
     keys = cut(keys.groupBy("leader", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "leader", "n"), "shared-keys")
-    members = cut(by_key.select("key", "xt").join(keys, "key"), "key-members")
+    # Most keys are no two texts', and most texts share none: neither is shuffled.
+    members = cut(sifted(by_key.select("key", "xt"), keys, "key").join(keys, "key"), "key-members")
     discard(signed, keys)
     few = members.where("xt <> leader").select("xt", "leader").distinct()
-    texts = kept.join(cut(members.select("xt").distinct(), "members"), "xt", "left_semi")
+    held = cut(members.select("xt").distinct(), "members")
+    # An inner join, as a semi-join would be pushed below the sieve.
+    texts = sifted(kept, held, "xt").join(held, "xt")
     sets = cut(texts.mapInArrow(collect, f"xt {kind}, set binary").dropDuplicates(["xt"]), "shingle-sets")
     links = compared(few.select(F.col("xt").alias("src"), F.col("leader").alias("dst")))
     # A text's link to the smallest of its component stands for all its links.
