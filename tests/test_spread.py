@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from wayfold.operators import hypotheses as hy
 from wayfold.operators import routes as ro
 from wayfold.operators import walks as wa
 from wayfold.plans import registry
+from wayfold.plans.search import _edges
 from wayfold.sources import payloads as pl
 from wayfold.sources import worlds as wo
 
@@ -41,3 +45,15 @@ def test_ticks_of_one_clock_are_the_rows_of_the_window(spark, tmp_path):
     # Legs are dealt out once, and no tick is.
     reckoned = registry.queries()["dead_reckoning"](spark, "/root/testdata/sf0.001")
     assert reckoned._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_walkers_that_bring_their_edge_go_where_others_do(spark):
+    e = _edges(spark).withColumn("speed", 10.0 + F.col("a") % 5)
+    keep = ("ax", "bearing", "len")
+    rows = lambda df, *more: sorted(map(tuple, df.select("a", "b", "s", *more).collect()))
+    for step in (hy.driven(6.0, 0.9), 450.0, 1000.0, -10.0):
+        bare = hy.advance(hy.seed(e, 50.0), e, step, 90.0)
+        with_edge = hy.advance(hy.seed(e, 50.0, (*keep, "speed")), e, step, 90.0, keep, 7)
+        assert bare.columns == ["a", "b", "s"] and rows(with_edge) == rows(bare)
+        # What a walker brings is of the edge on which it ends.
+        assert rows(with_edge, *keep) == rows(bare.join(e.select("a", "b", *keep), ["a", "b"]), *keep)

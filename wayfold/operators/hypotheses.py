@@ -218,10 +218,10 @@ def assess(inside: Column, clusters_n: Column, clustered: Column) -> Column:
 # Road hypotheses: walkers (a, b, s, logw, e_prev) on directed edges (a, b, ax, ay, bx, by, len).
 
 
-def seed(edges: DataFrame, spacing: float) -> DataFrame:
-    """(a, b, s): a walker at half a spacing and every spacing from there along every directed edge."""
+def seed(edges: DataFrame, spacing: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, s, *keep): a walker at half a spacing and every spacing from there along every directed edge, with columns of that."""
     last = F.ceil((F.col("len") - spacing / 2) / spacing) - 1
-    return edges.where(F.col("len") > spacing / 2).select("a", "b", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("k")).select("a", "b", (spacing / 2 + F.col("k") * spacing).alias("s"))
+    return edges.where(F.col("len") > spacing / 2).select("a", "b", *keep, F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("k")).select("a", "b", (spacing / 2 + F.col("k") * spacing).alias("s"), *keep)
 
 
 def spacing_for(edges: DataFrame, target: int) -> Column:
@@ -231,29 +231,52 @@ def spacing_for(edges: DataFrame, target: int) -> Column:
 
 #: A hypothesis takes so many edges in one step, at most; a step is shorter than that many edges.
 MOST_POPS = 16
+#: Edges whose walkers one task takes, about: of larger graphs there are more tasks, and none is larger.
+TASK_EDGES = 50_000
 
 
-def advance(walkers: DataFrame, edges: DataFrame, step: float | Column, heading: float) -> DataFrame:
+def tasks_for(edges: DataFrame) -> int:
+    """Into how many tasks the walkers of a graph are dealt."""
+    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+
+
+def advance(walkers: DataFrame, edges: DataFrame, step: float | Column, heading: float, keep: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Walkers moved ``step`` metres: those past their edge's end go on along every edge there that does not turn
     back and lies within the gate of the heading, until all have stopped; dead ends vanish.
 
     step: metres, or for driving a column over the walker's starting edge, such as :func:`driven`.
+    keep: columns of the edges that walkers bring from theirs (:func:`seed`, with ``len``, and ``speed`` if edges have one),
+    and get from the one that they end on; without it they are joined with their edges first.
     """
-    e = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("len").alias("_len"), F.col("bearing").alias("_bearing"))
-    start = edges.select("a", "b", "len", *([F.col("speed").alias("_speed")] if "speed" in edges.columns else []))
+    tasks = tasks or tasks_for(edges)
+    has_speed = "speed" in edges.columns
     metres = step if isinstance(step, Column) else F.lit(float(step))
+    own = [c for c in keep if c not in ("len", "speed")]
+    start = edges.select("a", "b", "len", *([F.col("speed").alias("_speed")] if has_speed else []))
     # So many junctions a step can pass at most: the longest step over the shortest edge.
     longest, shortest = start.agg(F.max(metres), F.min("len")).first()
     hops = 0 if longest is None else min(MOST_POPS, int(longest / max(shortest, 1e-9)) + 1)
-    now = walkers.join(start, ["a", "b"]).withColumn("s", F.col("s") + metres).drop("_speed")
+    if not keep:
+        now = walkers.join(start, ["a", "b"])
+    else:
+        now = walkers.withColumnRenamed("speed", "_speed") if has_speed else walkers
+    now = now.withColumn("s", F.col("s") + metres).drop("_speed")
+    # Edges by the node that they leave, in the same tasks as the walkers who come there.
+    e = edges.select(*(F.col(c).alias(f"_{c}") for c in ("a", "b", "len", "bearing")), *(F.col(c).alias(f"_to_{c}") for c in own)).repartition(tasks, "_a")
     done = now.where("s <= len")
     for hop in range(hops):
-        on = now.where("s > len").withColumnRenamed("len", "_old")
+        on = now.where("s > len").drop(*own).withColumnRenamed("len", "_old").repartition(tasks, "b")
         on = on.join(e, (F.col("b") == F.col("_a")) & (F.col("_b") != F.col("a"))).where(bearing_gap(F.col("_bearing"), F.lit(heading)) <= BRANCH_GATE)
-        now = on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len")}).drop("_old", "_a", "_b", "_len", "_bearing")
+        now = on.withColumns({"s": F.col("s") - F.col("_old"), "a": F.col("_a"), "b": F.col("_b"), "len": F.col("_len"), **{c: F.col(f"_to_{c}") for c in own}})
+        now = now.select(*done.columns)
         now = settled(now) if hop % 4 == 3 else now
         done = done.unionByName(now.where("s <= len"))
-    return done.drop("len")
+    return done if "len" in keep else done.drop("len")
+
+
+def counted(walkers: DataFrame, tasks: int) -> DataFrame:
+    """(a, b, s, n): how many walkers stand at each place; those of an edge meet in one task, and counts are made there alone."""
+    return walkers.select("a", "b", "s").repartition(tasks, "a", "b").groupBy("a", "b", "s").agg(F.count("*").alias("n"))
 
 
 def driven(seconds: float, scale: float = 1.0, default: float = 13.0) -> Column:
@@ -262,16 +285,18 @@ def driven(seconds: float, scale: float = 1.0, default: float = 13.0) -> Column:
 
 
 def score(walkers: DataFrame, edges: DataFrame, heading: float, climb: float, sigma_h: float, sigma_s: float, height: str = "h") -> DataFrame:
-    """logw less a capped penalty for heading and climb; off the map only the heading counts and e_prev stays."""
-    df = walkers.join(edges.select("a", "b", "bearing"), ["a", "b"])
+    """logw less a capped penalty for heading and climb; off the map only the heading counts and e_prev stays. Walkers may bring their edge's bearing."""
+    df = walkers if "bearing" in walkers.columns else walkers.join(edges.select("a", "b", "bearing"), ["a", "b"])
     gap = bearing_gap(F.col("bearing"), F.lit(heading))
     off = F.coalesce((F.col(height) - F.col("e_prev") - climb) ** 2 / (2 * sigma_s**2), F.lit(0.0))
     df = df.withColumn("logw", F.col("logw") - F.least(gap * gap / (2 * sigma_h**2) + off, F.lit(PENALTY_CAP)))
     return df.withColumn("e_prev", F.coalesce(height, "e_prev")).drop("bearing", height)
 
 
-def merge_and_prune(walkers: DataFrame, beam: int = BEAM) -> DataFrame:
-    """The best walker of each edge and ``MERGE_M`` metres, and of those the ``beam`` best."""
+def merge_and_prune(walkers: DataFrame, beam: int = BEAM, tasks: int | None = None) -> DataFrame:
+    """The best walker of each edge and ``MERGE_M`` metres, and of those the ``beam`` best; if ``tasks`` is given, the walkers are dealt to that many by their edges."""
+    if tasks:
+        walkers = walkers.repartition(tasks, "a", "b")
     bucket = F.round(F.col("s") / MERGE_M)
     best = walkers.groupBy("a", "b", bucket.alias("_k")).agg(F.max_by(F.struct("s", "logw", "e_prev"), F.struct("logw", -F.col("s"))).alias("v"))
     return best.select("a", "b", "v.*").orderBy(F.desc("logw"), "a", "b", "s").limit(beam)

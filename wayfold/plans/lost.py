@@ -126,8 +126,9 @@ OBSERVED = [0.4 * k for k in range(len(HEADINGS))]
 def driving_advance(spark: SparkSession, d: str) -> DataFrame:
     """Each hypothesis at its own road's speed."""
     e = _edges(spark, d).withColumn("speed", 10.0 + F.col("a") % 5)
-    w = hy.seed(e, 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
-    return hy.advance(w, e, hy.driven(6.0, 0.9), 90.0).groupBy("a", "b", F.round("s", 6).alias("s")).agg(F.count("*").alias("n"))
+    tasks = hy.tasks_for(e)
+    moved = hy.advance(hy.seed(e, 50.0, ("len", "speed")), e, hy.driven(6.0, 0.9), 90.0, ("len",), tasks)
+    return hy.counted(moved.withColumn("s", F.round("s", 6)), tasks)
 
 
 @query("long_advance", with_sql("roads") + "," + _EDGES + """, m1 AS (SELECT e.a, e.b, w.s+450-200 AS s FROM walkers w JOIN edges e ON e.a=w.b AND e.b<>w.a WHERE abs((e.bearing-90+180)-360*floor((e.bearing-90+180)/360)-180)<=150),
@@ -135,8 +136,9 @@ def driving_advance(spark: SparkSession, d: str) -> DataFrame:
  SELECT a, b, s::DOUBLE AS s, count(*) AS n FROM (SELECT * FROM m2 WHERE s<=200 UNION ALL SELECT * FROM m3) GROUP BY 1,2,3""")
 def long_advance(spark: SparkSession, d: str) -> DataFrame:
     """A step of several junctions."""
-    w = hy.seed(_edges(spark, d), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
-    return hy.advance(w, _edges(spark, d), 450.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
+    e = _edges(spark, d)
+    tasks = hy.tasks_for(e)
+    return hy.counted(hy.advance(hy.seed(e, 50.0, ("len",)), e, 450.0, 90.0, ("len",), tasks), tasks)
 
 
 @query("possible_places", with_sql("points", "places", "roads") + "," + _ROADS.format(src="points") + """, near AS (SELECT DISTINCT pid FROM n WHERE dist<=40), wet AS (SELECT DISTINCT pid FROM points p JOIN places g ON kind='water' AND p.y>g.y-60.5 AND p.y<g.y+60.5 AND abs(p.x-g.x)<60.5-abs(p.y-g.y))
