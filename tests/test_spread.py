@@ -47,6 +47,19 @@ def test_ticks_of_one_clock_are_the_rows_of_the_window(spark, tmp_path):
     assert reckoned._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_walkers_are_dealt_to_tasks_that_grow_with_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(hy, "TASK_EDGES", 100)
+    e = _edges(spark, "/root/testdata/sf0.001").withColumn("speed", 10.0 + F.col("a") % 5)
+    tasks = hy.tasks_for(e)
+    assert tasks == -(-e.count() // 100) > 20
+    for name in ("driving_advance", "road_advance", "long_advance"):
+        moved = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        # Counts are made where the walkers of an edge are; none is joined with the edge that it comes from.
+        assert moved.rdd.getNumPartitions() == tasks and "join inner, ((a#" not in plan(moved)
+    scores = registry.queries()["road_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in scores and "hashpartitioning(a" in scores and scores.count("SortMergeJoin") <= 1
+
+
 def test_walkers_that_bring_their_edge_go_where_others_do(spark):
     e = _edges(spark).withColumn("speed", 10.0 + F.col("a") % 5)
     keep = ("ax", "bearing", "len")

@@ -128,8 +128,9 @@ _MOVED = """, moved AS (SELECT a, b, s+60 AS s FROM walkers WHERE s+60<=200 UNIO
 
 @query("road_advance", with_sql("roads") + "," + _EDGES + _MOVED + " SELECT a, b, s::DOUBLE AS s, count(*) AS n FROM moved GROUP BY 1,2,3")
 def road_advance(spark: SparkSession, d: str) -> DataFrame:
-    w = hy.seed(_edges(spark, d), 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)})
-    return hy.advance(w, _edges(spark, d), 60.0, 90.0).groupBy("a", "b", "s").agg(F.count("*").alias("n"))
+    e = _edges(spark, d)
+    tasks = hy.tasks_for(e)
+    return hy.counted(hy.advance(hy.seed(e, 50.0, ("len",)), e, 60.0, 90.0, ("len",), tasks), tasks)
 
 
 @query("road_scores", with_sql("roads", "dem") + "," + _EDGES + _MOVED + f""", p AS (SELECT m.a, m.b, m.s, e.bearing, e.ax+(e.ex-e.ax)*m.s/200 AS px, e.ay+(e.ey-e.ay)*m.s/200 AS py FROM moved m JOIN edges e ON e.a=m.a AND e.b=m.b),
@@ -139,10 +140,11 @@ def road_advance(spark: SparkSession, d: str) -> DataFrame:
  SELECT a, b, s::DOUBLE AS s, round(logw,6) AS logw FROM (SELECT * FROM bst WHERE rn=1 ORDER BY logw DESC, a, b, s LIMIT 100)""")
 def road_scores(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
-    w = hy.advance(hy.seed(e, 50.0).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)}), e, 60.0, 90.0)
-    at = w.join(e.select("a", "b", "ax", "ay", "bx", "by", "len"), ["a", "b"]).withColumns({"px": F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("s") / F.col("len"), "py": F.col("ay") + (F.col("by") - F.col("ay")) * F.col("s") / F.col("len")})
-    at = tr.sample(at, wo.dem(spark), *GRID, "px", "py").select("a", "b", "s", "logw", "e_prev", "h")
-    return r6(hy.merge_and_prune(hy.score(at, e, 90.0, 1.5, 25.0, 3.0), 100).select("a", "b", "s", "logw"))
+    tasks, keep = hy.tasks_for(e), ("ax", "ay", "bx", "by", "len", "bearing")
+    w = hy.advance(hy.seed(e, 50.0, keep).withColumns({"logw": F.lit(0.0), "e_prev": F.lit(0.0)}), e, 60.0, 90.0, keep, tasks)
+    at = w.withColumns({"px": F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("s") / F.col("len"), "py": F.col("ay") + (F.col("by") - F.col("ay")) * F.col("s") / F.col("len")})
+    at = tr.sample(at, wo.dem(spark), *GRID, "px", "py").select("a", "b", "s", "logw", "e_prev", "h", "bearing")
+    return r6(hy.merge_and_prune(hy.score(at, e, 90.0, 1.5, 25.0, 3.0), 100, tasks).select("a", "b", "s", "logw"))
 
 
 _ASK = "q AS (SELECT q, (cid*(q+3))%(q+2)=0 AS yes, w FROM cloud, range(6) r(q))"
