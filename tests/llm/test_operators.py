@@ -574,6 +574,18 @@ def test_paths_are_compacted_where_nodes_do_not_branch(spark):
     assert {r["x1"]: r["off"] for r in debruijn.compact(edges).collect()} == {2: 1, 3: 6}
 
 
+def test_long_paths_are_compacted_in_one_pass(spark, monkeypatch):
+    # (x1, x2, u, v, n, times, d1, d2, start): a path of 300 edges of 1 to 3 windows, and one in another text that a gap in its source cuts in two.
+    size = [1 + i % 3 for i in range(300)]
+    start = [sum(size[:i]) for i in range(300)]
+    rows = [(i, 0, i, i + 1, size[i], 2, 1, 1, start[i]) for i in range(300)] + [(1000 + i, 0, 1000 + i, 1001 + i, 1, 2, 1, 2, i + 5 * (i >= 4)) for i in range(8)]
+    edges = spark.createDataFrame(rows, "x1 long, x2 long, u long, v long, n int, times long, d1 long, d2 long, start int").repartition(5)
+    written = []
+    monkeypatch.setattr(debruijn, "cut", lambda df, name: written.append(name) or df)
+    found = {r["x1"]: r["off"] for r in debruijn.compact(edges).collect()}
+    assert found == {i: start[i] for i in range(1, 300)} | {1000 + i: i % 4 for i in range(8) if i % 4} and len(written) == 1
+
+
 def test_debruijn_keeps_spans_whose_words_differ(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = debruijn.with_key(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))

@@ -11,7 +11,7 @@ Nodes are runs of ``K - 1`` words, edges are windows of ``K``.  Only edges that
    segments of other minimisers are taken apart to their edges of one window.  An edge has the number of its
    occurrences and its first source coordinate; edges that occur once go;
 4. nodes with one edge in and one out, as often, whose source coordinates go on, do not branch: edges there are linked,
-   and pointer jumping by joins compacts them to paths, each edge with its place in its path;
+   and one pass over each source's links in order compacts them to paths, each edge with its place in its path;
 5. every occurrence joins its path; the edges of a path that follow each other in a text are one long repeated span with
    its source coordinate.  The source's words there are read and digested (SHA-256), and a span is removed
    only if its own words have that digest.
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -164,19 +164,12 @@ def compact(edges: DataFrame) -> DataFrame:
     most = [F.max(F.when(c, F.col(f))).alias(f"{name}_{f}") for name, c in side.items() for f in fields]
     nodes = ends.groupBy("node").agg(*[F.count(F.when(c, 1)).alias(f"{name}s") for name, c in side.items()], *most).where("ins = 1 AND outs = 1")
     goes_on = (F.col("in_start") + F.col("in_n") == F.col("out_start")) & (F.col("in_times") == F.col("out_times")) & (F.col("in_d1") == F.col("out_d1")) & (F.col("in_d2") == F.col("out_d2"))
-    # Source coordinates grow along links, so there are no circles.
-    links = nodes.where(goes_on).select(F.col("out_x1").alias("x1"), F.col("out_x2").alias("x2"), F.col("in_x1").alias("p1"), F.col("in_x2").alias("p2"), F.col("in_n").alias("off"), F.lit(False).alias("ended"))
-    state = cut(links, "links")
-    while not state.where("NOT ended").isEmpty():
-        ahead = state.select(F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("off").alias("more"), F.col("ended").alias("there"))
-        # Each edge looks as far ahead as the one it looks at; one that looks at the first of its path is done.
-        first = F.col("more").isNull()
-        jumped = state.where("NOT ended").join(ahead, ["p1", "p2"], "left").select(
-            *EDGE, F.coalesce("q1", "p1").alias("p1"), F.coalesce("q2", "p2").alias("p2"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (first | F.coalesce("there", F.lit(False))).alias("ended")
-        )
-        before, state = state, cut(jumped.unionByName(state.where("ended")), "jumps")
-        discard(before)
-    return state.select(*EDGE, "off")
+    # Along a link source coordinates go on, and a window of a text is of one edge: a path's edges follow each other in the source's order, with none between.
+    links = nodes.where(goes_on).select(*(F.col(f"out_{c}").alias(c) for c in (*EDGE, *ROW, "start")), F.col("in_start").alias("before"))
+    order = Window.partitionBy(*ROW).orderBy("start")
+    fresh = F.coalesce(F.lag("start").over(order) != F.col("before"), F.lit(True))
+    head = F.last(F.when(F.col("fresh"), F.col("before")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return cut(links.withColumn("fresh", fresh).select(*EDGE, (F.col("start") - head).alias("off")), "links")
 
 
 def _runs(steps: str) -> str:
