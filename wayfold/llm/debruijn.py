@@ -174,9 +174,9 @@ def compact(edges: DataFrame) -> DataFrame:
 
 def _runs(steps: str) -> str:
     """SQL: the runs (start, n) of an array of (start, n) in order, joined where one ends as the next begins."""
-    last = "try_element_at(acc, -1)"
-    grown = f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'n', {last}.n + x.n)))"
-    return f"aggregate({steps}, cast(array() AS array<struct<start:int,n:int>>), (acc, x) -> IF({last}.start + {last}.n = x.start, {grown}, concat(acc, array(x))))"
+    heads = f"filter({steps}, (x, i) -> i = 0 OR get({steps}, i - 1).start + get({steps}, i - 1).n <> x.start)"
+    tails = f"filter({steps}, (x, i) -> i = size({steps}) - 1 OR x.start + x.n <> get({steps}, i + 1).start)"
+    return f"zip_with({heads}, {tails}, (h, t) -> named_struct('start', h.start, 'n', t.start + t.n - h.start))"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -185,8 +185,8 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
             rows, listed = [], block.column("listed")
-            for t, spans_ in zip(block.column("text").to_pylist(), listed.to_pylist()):
-                words = (t or "").encode().split()
+            for t, spans_ in zip(block.column("text").cast(pa.large_binary()).to_pylist(), listed.to_pylist()):
+                words = (t or b"").split()
                 rows.append([sha256(b" ".join(words[s["start"] : s["start"] + s["words"]])).digest() for s in spans_])
             own = pa.array(np.repeat(np.arange(block.num_rows), [len(r) for r in rows]))
             flat = listed.flatten()
@@ -252,14 +252,14 @@ def remove(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
                 total.append(len(words))
                 if listed.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for s in listed.as_py():
-                        a, z = s["start"], s["start"] + s["words"]
-                        if sha256(b" ".join(words[a:z])).digest() == s["digest"]:
-                            edge[a] += 1
-                            edge[z] -= 1
-                    stay = np.cumsum(edge[:-1]) == 0
-                    words = [w for w, s in zip(words, stay.tolist()) if s]
+                    flat, stay = listed.values, []
+                    start, size = (flat.field(c).to_numpy() for c in ("start", "words"))
+                    alike = {(a, n) for a, n, d in zip(start.tolist(), size.tolist(), flat.field("digest").to_pylist()) if sha256(b" ".join(words[a : a + n])).digest() == d}
+                    end = 0
+                    for a, n in sorted(alike):
+                        stay += words[end:a]
+                        end = max(end, a + n)
+                    words = stay + words[end:]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
