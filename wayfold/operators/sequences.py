@@ -100,6 +100,18 @@ def variance(profile: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.aggregate(profile, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
 
 
+def deviation(values: Column) -> Column:
+    """Population standard deviation of an array, by Welford's running mean in the array's order: where a last digit decides a rounding, it is the SQL's."""
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "squares")])
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), none, step, lambda s: F.when(s["n"] > 0, F.sqrt(s["squares"] / s["n"])))
+
+
 def band_width(n: int, m: int, share: float = 0.2) -> int:
     return max(abs(n - m) + 1, int(np.ceil(max(n, m) * share)))
 

@@ -296,9 +296,10 @@ def compact_results(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("device_id").orderBy("t", "event_id")
     tele = wo.telemetry(spark, d).select(F.col("device_id").alias("walk"), F.row_number().over(w).alias("i"), (F.col("mag") / 100).alias("elev"), "k")
     n, k = F.count("*"), F.col("k")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda s: s["k"])
     walks = tele.groupBy("walk").agg(
         (n > 20).alias("located"), F.max(k).cast("double").alias("error"), (F.avg(k) / 100).alias("conc"), F.lit(40.5).alias("lat"), F.lit(-80.25).alias("lon"), F.lit(40.75).alias("end_lat"), F.lit(-80.125).alias("end_lon"), (n % 7).alias("asked"), (n % 5).alias("turns"),
-        F.stddev_pop(k).alias("heading_sd"), F.sum(k).cast("double").alias("turned"), n.alias("steps"), (n * 15).cast("double").alias("metres"), F.min(k).cast("double").alias("pre_error"), F.lit(0.5).alias("pre_conc"), (n % 3).alias("least_asked"),
+        se.deviation(in_order).alias("heading_sd"), F.sum(k).cast("double").alias("turned"), n.alias("steps"), (n * 15).cast("double").alias("metres"), F.min(k).cast("double").alias("pre_error"), F.lit(0.5).alias("pre_conc"), (n % 3).alias("least_asked"),
     )
     return rp.compact_rows(walks, tele.select("walk", "i", "elev"))
 
