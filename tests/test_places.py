@@ -99,3 +99,22 @@ def test_terrain_walks_keep_only_what_comes_off(spark):
         per.setdefault(r["walk"], []).append(r)
     assert all(len(w) == 8 and len({r["attempt"] for r in w}) == 1 and all(0 <= r["x"] <= 1500 and 0 <= r["y"] <= 1500 for r in w) for w in per.values())
     assert 0 in per and max(per) <= 30
+
+
+def test_pairs_of_a_crowded_place_take_little_room(spark, tmp_path):
+    # 400 points of one place and 4,999 features of one line, joined as large tables are, and some elsewhere.
+    line = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 10.0), (30.0, 10.0))])
+    points = spark.range(410).select((F.col("id") * 7 + 3).alias("pid"), F.when(F.col("id") < 400, 5.0).otherwise(F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    features = spark.range(4999).select((F.col("id") * 11).alias("fid"), line.alias("line"))
+    far = spark.createDataFrame([(90_001, [(4050.0, 3.0)])], "fid long, line array<struct<x:double,y:double>>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sp.feature_distance(points, features.unionByName(far), 40.0).write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.columns == ["pid", "fid", "dist"]
+    assert got.where("fid < 90000").agg(F.count("*"), F.countDistinct("pid", "fid"), F.min("dist"), F.max("dist"), F.max("pid")).first()[:] == (1_999_600, 1_999_600, 10.0, 10.0, 399 * 7 + 3)
+    assert sorted((r["pid"], r["fid"]) for r in got.where("fid > 90000").collect()) == [(k * 7 + 3, 90_001) for k in range(402, 409)]
+    # Lists that come again are told in less than half a byte a pair.
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_000_000
